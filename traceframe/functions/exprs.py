@@ -1,0 +1,73 @@
+"""Column builders shared by batch and streaming jobs.
+
+Every helper returns a ``Column`` made of built-in functions so it stays in
+whole-stage generated code; none of them is a Python UDF.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Token source priorities, best first (unlisted sources = 5).
+TOKEN_SOURCE_PRIORITY = {
+    "response_usage": 0,
+    "orphan_response_usage": 1,
+    "gemini_cli_stdout_stats": 2,
+    "claude_telemetry": 3,
+    "agent_native_session": 4,
+}
+
+# open(2) flag bits used by the writable-open test.
+O_ACCMODE = 0o3
+O_CREAT = 0o100
+O_TRUNC = 0o1000
+O_APPEND = 0o2000
+
+
+def token_source_priority(source: Column) -> Column:
+    expr = None
+    for name, prio in TOKEN_SOURCE_PRIORITY.items():
+        expr = (F.when(source == name, F.lit(prio)) if expr is None
+                else expr.when(source == name, F.lit(prio)))
+    return expr.otherwise(F.lit(5))
+
+
+def empty_to_unknown(c: Column) -> Column:
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
+
+
+def is_writable_open(flags: Column) -> Column:
+    """F8: ``flags & O_ACCMODE != 0 or flags & (O_CREAT|O_TRUNC|O_APPEND) != 0``."""
+    f = F.coalesce(flags.cast("bigint"), F.lit(0))
+    return ((f.bitwiseAND(O_ACCMODE) != 0)
+            | (f.bitwiseAND(O_CREAT | O_TRUNC | O_APPEND) != 0))
+
+
+def file_directory(path: Column) -> Column:
+    """Parent directory of a path ('' when none)."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def normalize_path(path: Column) -> Column:
+    """Replace UUIDs, numeric ids and long hex hashes by placeholders, in that order."""
+    p = F.regexp_replace(path, r"/[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "/{uuid}")
+    p = F.regexp_replace(p, r"/\d+", "/{id}")
+    p = F.regexp_replace(p, r"/[a-fA-F0-9]{32,}", "/{hash}")
+    return p
+
+
+def short_hash(text: Column, n: int = 12) -> Column:
+    """First ``n`` hex chars of sha256."""
+    return F.substring(F.sha2(text, 256), 1, n)
+
+
+def safe_frame(text: Column) -> Column:
+    """Lower-case, non-frame characters to '_', trimmed of '_'."""
+    t = F.regexp_replace(F.lower(text), r"[^a-z0-9._:/+-]+", "_")
+    return F.regexp_replace(t, r"^_+|_+$", "")
+
+
+def last_model_segment(model: Column) -> Column:
+    """Text after the last '/'."""
+    return F.element_at(F.split(model, "/"), -1)

@@ -1,0 +1,68 @@
+"""Process, audit and lineage queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import process as P
+from ..sources import fixtures as FX
+from .registry import register
+from .sql_common import AUDIT, PROCESS_CTES
+
+W = FX.with_fixtures
+
+
+@register("w2_process_instances", W(
+    ["canon"], "SELECT seq, pid, event, timestamp_ms, island, instance_id FROM inst", PROCESS_CTES[:3]))
+def w2_process_instances(spark, sf):
+    return P.process_instances(FX.canonical_events(spark, sf)).select(
+        "seq", "pid", "event", "timestamp_ms", "island", "instance_id")
+
+
+@register("s8_process_nodes", W(["canon"], "SELECT * FROM nodes", PROCESS_CTES))
+def s8_process_nodes(spark, sf):
+    return P.process_nodes(FX.canonical_events(spark, sf))
+
+
+@register("f9_audit_events", W(["canon"], "SELECT * FROM audit", [("audit", AUDIT)]))
+def f9_audit_events(spark, sf):
+    return P.audit_from_events(FX.canonical_events(spark, sf))
+
+
+@register("j5_attach_process", W(["canon"], """
+    SELECT a.*, b.process_id FROM audit a LEFT JOIN (
+        SELECT id, process_id FROM cand
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, hs DESC, process_id DESC) = 1) b
+    ON a.id = b.id""", [("audit", AUDIT)] + PROCESS_CTES + [
+    ("cand", "SELECT a.id, n.id AS process_id, coalesce(n.start_timestamp_ms, 0) AS s, "
+             "n.start_timestamp_ms IS NOT NULL AS hs FROM audit a JOIN nodes n ON a.pid = n.pid "
+             "AND coalesce(n.start_timestamp_ms, 0) <= a.timestamp_ms "
+             "AND (n.end_timestamp_ms IS NULL OR a.timestamp_ms <= n.end_timestamp_ms)")]))
+def j5_attach_process(spark, sf):
+    canon = FX.canonical_events(spark, sf)
+    return P.attach_process(P.audit_from_events(canon), P.process_nodes(canon))
+
+
+@register("j6_process_parents", W(["canon"], """
+    SELECT c.child_id, b.parent_id FROM child c LEFT JOIN (
+        SELECT child_id, parent_id FROM pc
+        QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY s DESC, hs DESC, parent_id DESC) = 1) b
+    ON c.child_id = b.child_id""", PROCESS_CTES + [
+    ("child", "SELECT id AS child_id, ppid AS pid, coalesce(start_timestamp_ms, 0) AS ts FROM nodes "
+              "WHERE ppid IS NOT NULL"),
+    ("pc", "SELECT c.child_id, n.id AS parent_id, coalesce(n.start_timestamp_ms, 0) AS s, "
+           "n.start_timestamp_ms IS NOT NULL AS hs FROM child c JOIN nodes n ON n.pid = c.pid "
+           "AND n.id <> c.child_id AND coalesce(n.start_timestamp_ms, 0) <= c.ts "
+           "AND (n.end_timestamp_ms IS NULL OR c.ts <= n.end_timestamp_ms)")]))
+def j6_process_parents(spark, sf):
+    return P.process_parents(P.process_nodes(FX.canonical_events(spark, sf)))
+
+
+@register("j6_process_lineage", W(["canon"], """
+    SELECT pid, arg_max(anc, depth) AS root_pid, max(depth) AS depth FROM up GROUP BY pid""", [
+    ("edges", "SELECT DISTINCT pid, ppid FROM canon WHERE pid IS NOT NULL"),
+    ("up", "SELECT pid, pid AS anc, 0 AS depth FROM edges UNION ALL "
+           "SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN edges e ON up.anc = e.pid "
+           "WHERE e.ppid <> e.pid AND e.ppid IS NOT NULL AND up.depth < 64")], recursive=True))
+def j6_process_lineage(spark, sf):
+    return P.process_lineage(P.process_edges(FX.canonical_events(spark, sf)))

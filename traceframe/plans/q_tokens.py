@@ -1,0 +1,123 @@
+"""Token accounting queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import process as P
+from ..operators import tokens as T
+from ..sources import fixtures as FX
+from .registry import register
+from .sql_common import AUDIT, PROCESS_CTES, TOKEN_SESSION_CTES
+from .sql_common import CALLS_LATEST, EFF
+
+W = FX.with_fixtures
+
+TOKEN_COLS_SQL = ("id, llm_call_id, seq, timestamp_ms, pid, comm, provider, model, input_tokens, "
+                  "output_tokens, cache_creation_tokens, cache_read_tokens, total_tokens, source, "
+                  "view_source, confidence")
+
+
+@register("w1_effective_tokens",
+          W(["token_usage"], f"SELECT token_key, {TOKEN_COLS_SQL} FROM eff", [("eff", EFF)]))
+def w1_effective_tokens(spark, sf):
+    return T.effective_tokens(FX.token_usage(spark, sf))
+
+
+@register("s7_upsert_llm_calls", W(["llm_calls"], "SELECT * FROM calls_latest",
+                                   [("calls_latest", CALLS_LATEST)]))
+def s7_upsert_llm_calls(spark, sf):
+    return T.latest_calls(FX.llm_calls(spark, sf))
+
+
+@register("j3_token_session_key",
+          W(["token_usage", "llm_calls", "sessions"], "SELECT id, llm_call_id, session_key FROM tks",
+            TOKEN_SESSION_CTES))
+def j3_token_session_key(spark, sf):
+    eff = T.effective_tokens(FX.token_usage(spark, sf)).drop("token_key")
+    return T.token_session_key(eff, FX.llm_calls(spark, sf), FX.sessions(spark, sf)) \
+        .select("id", "llm_call_id", "session_key")
+
+
+_DIR_CTES = TOKEN_SESSION_CTES + PROCESS_CTES + [
+    ("pcwd", "SELECT pid, arg_min(cwd, id) AS proc_cwd FROM nodes WHERE cwd IS NOT NULL AND cwd <> '' GROUP BY pid"),
+    ("tkd", "SELECT tks.*, coalesce(nullif(s.cwd, ''), p.proc_cwd) AS working_dir FROM tks "
+            "LEFT JOIN sessions s ON tks.session_key = s.id "
+            "LEFT JOIN calls_latest c ON tks.llm_call_id = c.id "
+            "LEFT JOIN pcwd p ON coalesce(tks.pid, c.pid) = p.pid"),
+]
+
+
+@register("j4_token_working_dir",
+          W(["token_usage", "llm_calls", "sessions", "canon"],
+            "SELECT id, session_key, working_dir FROM tkd", _DIR_CTES))
+def j4_token_working_dir(spark, sf):
+    eff = T.effective_tokens(FX.token_usage(spark, sf)).drop("token_key")
+    calls, sess = FX.llm_calls(spark, sf), FX.sessions(spark, sf)
+    t = T.token_session_key(eff, calls, sess)
+    nodes = P.process_nodes(FX.canonical_events(spark, sf))
+    return T.token_working_dir(t, calls, sess, nodes).select("id", "session_key", "working_dir")
+
+
+def _summary_sql(group_expr: str, src: str = "tks", ctes=TOKEN_SESSION_CTES, fixtures=None) -> str:
+    sel = f"""SELECT coalesce(nullif({group_expr}, ''), 'unknown') AS "group",
+        CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+        CAST(sum(cache_creation_tokens) AS BIGINT) AS cache_creation_tokens,
+        CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens,
+        CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(*) AS calls,
+        count(DISTINCT session_key) AS sessions
+        FROM {src} GROUP BY 1 ORDER BY total_tokens DESC, "group" ASC"""
+    return W(fixtures or ["token_usage", "llm_calls", "sessions"], sel, ctes)
+
+
+def _summary(group_by):
+    def run(spark, sf):
+        nodes = None
+        if group_by == "dir":
+            nodes = P.process_nodes(FX.canonical_events(spark, sf))
+        return T.token_summary(FX.token_usage(spark, sf), FX.llm_calls(spark, sf),
+                               FX.sessions(spark, sf), nodes, group_by)
+    return run
+
+
+register("a1_token_summary_model", _summary_sql("model"))(_summary("model"))
+register("a1_token_summary_provider", _summary_sql("provider"))(_summary("provider"))
+register("a1_token_summary_comm", _summary_sql("comm"))(_summary("comm"))
+register("a1_token_summary_pid", _summary_sql("CAST(pid AS VARCHAR)"))(_summary("pid"))
+register("a1_token_summary_dir",
+         _summary_sql("working_dir", "tkd", _DIR_CTES,
+                      ["token_usage", "llm_calls", "sessions", "canon"]))(_summary("dir"))
+
+
+@register("a2_snapshot_summary", W(
+    ["token_usage", "llm_calls", "sessions", "canon"],
+    """SELECT (SELECT count(DISTINCT id) FROM llm_calls) AS llm_calls,
+        (SELECT count(DISTINCT id) FROM token_usage) AS token_usage_rows,
+        (SELECT count(DISTINCT id) FROM audit) AS audit_events,
+        (SELECT count(DISTINCT id) FROM sessions) AS sessions,
+        (SELECT CAST(sum(input_tokens) AS BIGINT) FROM eff) AS input_tokens,
+        (SELECT CAST(sum(output_tokens) AS BIGINT) FROM eff) AS output_tokens,
+        (SELECT CAST(sum(total_tokens) AS BIGINT) FROM eff) AS total_tokens,
+        least((SELECT min(start_timestamp_ms) FROM llm_calls), (SELECT min(timestamp_ms) FROM token_usage),
+              (SELECT min(timestamp_ms) FROM audit), (SELECT min(start_timestamp_ms) FROM sessions)) AS start_timestamp_ms,
+        greatest((SELECT max(end_timestamp_ms) FROM llm_calls), (SELECT max(timestamp_ms) FROM token_usage),
+              (SELECT max(timestamp_ms) FROM audit), (SELECT max(end_timestamp_ms) FROM sessions)) AS end_timestamp_ms""",
+    [("eff", EFF), ("audit", AUDIT)]))
+def a2_snapshot_summary(spark, sf):
+    canon = FX.canonical_events(spark, sf)
+    return T.snapshot_summary(FX.token_usage(spark, sf), FX.llm_calls(spark, sf),
+                              P.audit_from_events(canon), FX.sessions(spark, sf))
+
+
+@register("a4_llm_call_rows", W(
+    ["token_usage", "llm_calls"],
+    """SELECT c.id, c.seq, c.session_id, c.start_timestamp_ms, c.end_timestamp_ms, c.pid, c.comm, c.provider,
+        c.model, c.status, c.status_code, c.host, c.path,
+        CAST(coalesce(e.input_tokens, 0) AS BIGINT) AS input_tokens,
+        CAST(coalesce(e.output_tokens, 0) AS BIGINT) AS output_tokens,
+        CAST(coalesce(e.total_tokens, 0) AS BIGINT) AS total_tokens
+    FROM calls_latest c LEFT JOIN (SELECT * FROM eff WHERE llm_call_id <> '') e ON c.id = e.llm_call_id
+    ORDER BY c.start_timestamp_ms DESC, c.id LIMIT 100""",
+    [("eff", EFF), ("calls_latest", CALLS_LATEST)]))
+def a4_llm_call_rows(spark, sf):
+    return T.llm_call_rows(FX.llm_calls(spark, sf), FX.token_usage(spark, sf), 100)
