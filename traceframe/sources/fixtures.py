@@ -181,6 +181,7 @@ def proc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("k") * 100).over(w).alias("read_bytes"),
         F.sum((F.col("k") % 7) * 1000).over(w).alias("write_bytes"),
         F.col("value").alias("cpu_percent"),
+        ((F.col("timestamp_ms") - 1704067200000) / 1000 + 1000).alias("uptime_s"),
     )
 
 
@@ -306,7 +307,7 @@ SQL: dict[str, str] = {
         '/usr/bin/' || comm AS command, '/repo/u' || (pid % 7) AS cwd,
         CAST(sum(k) OVER w AS BIGINT) AS ticks, k * 1024 AS rss_kb,
         CAST(sum(k * 100) OVER w AS BIGINT) AS read_bytes, CAST(sum((k % 7) * 1000) OVER w AS BIGINT) AS write_bytes,
-        value AS cpu_percent
+        value AS cpu_percent, (timestamp_ms - 1704067200000) / 1000 + 1000 AS uptime_s
         FROM raw WINDOW w AS (PARTITION BY pid ORDER BY timestamp_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "session_log": """SELECT 'c-' || conv_id AS session_id, conv_id, turn AS position, role,
         CASE WHEN role = 'user' THEN 'prompt' WHEN role = 'assistant' THEN 'llm' ELSE 'system' END AS kind,
