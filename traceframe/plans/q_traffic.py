@@ -1,0 +1,239 @@
+"""HTTP traffic queries over messages derived from ``pages`` (R1, F4, F20, F22,
+J2, J18, X20, A19–A22, A24)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import traffic as H
+from ..sources import fixtures as FX
+from .registry import register
+
+W = FX.with_fixtures
+CRLF_SQL = "(chr(13) || chr(10))"
+
+# Reason phrases of the status codes used by the fixture.
+STATUS_TEXT = {200: "OK", 204: "No Content", 304: "Not Modified", 404: "Not Found",
+               500: "Internal Server Error"}
+
+
+def _status_text(c):
+    e = None
+    for code, text in STATUS_TEXT.items():
+        e = F.when(c == code, text) if e is None else e.when(c == code, text)
+    return e.otherwise("Unknown")
+
+
+def payloads(spark, sf):
+    """Raw HTTP/1.1 texts (request and response) rebuilt from the messages."""
+    h = FX.http_messages(spark, sf)
+    crlf = F.lit("\r\n")
+    target = F.concat(F.col("path"), F.when(F.col("query") != "", F.concat(F.lit("?"), F.col("query")))
+                      .otherwise(F.lit("")))
+    req = F.concat(F.col("method"), F.lit(" "), target, F.lit(" HTTP/1.1"), crlf,
+                   F.lit("Host: "), F.col("host"), crlf,
+                   F.lit("User-Agent: agent/"), F.col("pid").cast("string"), crlf,
+                   F.when(F.col("pid") % 2 == 0,
+                          F.concat(F.lit("Authorization: Bearer t"), F.col("seq").cast("string"), crlf))
+                    .otherwise(F.lit("")),
+                   F.lit("Content-Length: "), F.length("body").cast("string"), crlf, crlf, F.col("body"))
+    resp = F.concat(F.lit("HTTP/1.1 "), F.col("status_code").cast("string"), F.lit(" "),
+                    _status_text(F.col("status_code")), crlf,
+                    F.lit("Content-Type: "), F.col("content_type"), crlf,
+                    F.lit("Content-Length: "), F.length("body").cast("string"), crlf, crlf, F.col("body"))
+    return h.select("seq", "tid", "timestamp_ms",
+                    F.when(F.col("message_type") == "request", req).otherwise(resp).alias("payload"))
+
+
+_STATUS_SQL = ("CASE status_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in STATUS_TEXT.items())
+               + " ELSE 'Unknown' END")
+_PAYLOAD_SQL = f"""SELECT seq, tid, timestamp_ms, CASE WHEN message_type = 'request' THEN
+        method || ' ' || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END || ' HTTP/1.1' || {CRLF_SQL}
+        || 'Host: ' || host || {CRLF_SQL} || 'User-Agent: agent/' || pid || {CRLF_SQL}
+        || CASE WHEN pid % 2 = 0 THEN 'Authorization: Bearer t' || seq || {CRLF_SQL} ELSE '' END
+        || 'Content-Length: ' || length(body) || {CRLF_SQL} || {CRLF_SQL} || body
+    ELSE 'HTTP/1.1 ' || status_code || ' ' || {_STATUS_SQL} || {CRLF_SQL} || 'Content-Type: ' || content_type
+        || {CRLF_SQL} || 'Content-Length: ' || length(body) || {CRLF_SQL} || {CRLF_SQL} || body END AS payload
+    FROM http"""
+
+_PARSE_SQL = [
+    ("payloads", _PAYLOAD_SQL),
+    ("pp", f"SELECT seq, payload, strpos(payload, {CRLF_SQL} || {CRLF_SQL}) AS sep FROM payloads"),
+    ("pq", "SELECT seq, CASE WHEN sep > 0 THEN substr(payload, 1, sep - 1) ELSE payload END AS head, "
+           "CASE WHEN sep > 0 THEN substr(payload, sep + 4) ELSE '' END AS body FROM pp"),
+    ("pr", f"SELECT seq, head, body, split_part(head, {CRLF_SQL}, 1) AS first FROM pq"),
+]
+
+
+@register("r1_parse_http", W(["http"], f"""
+    SELECT seq, CASE WHEN starts_with(first, 'HTTP/') THEN 'response' ELSE 'request' END AS message_type,
+        CASE WHEN NOT starts_with(first, 'HTTP/') THEN split_part(first, ' ', 1) END AS method,
+        CASE WHEN NOT starts_with(first, 'HTTP/') THEN split_part(first, ' ', 2) END AS path,
+        CASE WHEN starts_with(first, 'HTTP/') THEN split_part(first, ' ', 1)
+             ELSE regexp_extract(first, '^[^ ]* [^ ]* (.*)$', 1) END AS protocol,
+        CASE WHEN starts_with(first, 'HTTP/') THEN TRY_CAST(split_part(first, ' ', 2) AS INTEGER) END AS status_code,
+        CASE WHEN starts_with(first, 'HTTP/') THEN regexp_extract(first, '^[^ ]* [^ ]* (.*)$', 1) END AS status_text,
+        nullif(trim(regexp_extract(head, '(?i)\\r\\nhost:([^\\r\\n]*)', 1)), '') AS host,
+        nullif(trim(regexp_extract(head, '(?i)\\r\\ncontent-type:([^\\r\\n]*)', 1)), '') AS content_type,
+        TRY_CAST(trim(regexp_extract(head, '(?i)\\r\\ncontent-length:([^\\r\\n]*)', 1)) AS INTEGER) AS content_length,
+        len(list_filter(string_split(head, {CRLF_SQL})[2:], lambda x: contains(x, ':'))) AS header_count,
+        length(body) AS body_length
+    FROM pr""", _PARSE_SQL))
+def r1_parse_http(spark, sf):
+    p = H.parse_http(payloads(spark, sf))
+    return p.select("seq", "message_type", "method", "path", "protocol", "status_code", "status_text",
+                    F.element_at("headers", F.lit("host")).alias("host"),
+                    F.element_at("headers", F.lit("content-type")).alias("content_type"),
+                    F.expr("try_cast(element_at(headers, 'content-length') as int)").alias("content_length"),
+                    F.size("headers").alias("header_count"),
+                    F.length("body").alias("body_length"))
+
+
+@register("f4_strip_auth_headers", W(["http"], f"""
+    SELECT seq, len(list_filter(string_split(head, {CRLF_SQL})[2:], lambda x: contains(x, ':')
+        AND lower(trim(split_part(x, ':', 1))) NOT IN ('authorization', 'x-api-key', 'x-auth-token', 'bearer',
+            'token', 'x-access-token', 'x-session-token', 'cookie', 'set-cookie'))) AS header_count
+    FROM pr""", _PARSE_SQL))
+def f4_strip_auth_headers(spark, sf):
+    p = H.strip_auth_headers(H.parse_http(payloads(spark, sf)))
+    return p.select("seq", F.size("headers").alias("header_count"))
+
+
+@register("x20_normalized_paths", W(["http"], """
+    SELECT seq, path, regexp_replace(regexp_replace(regexp_replace(split_part(path, '?', 1),
+        '/[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}', '/{{uuid}}', 'g'),
+        '/[0-9]+', '/{{id}}', 'g'), '/[a-f0-9]{24,}', '/{{hash}}', 'g') AS endpoint
+    FROM http WHERE message_type = 'request'"""))
+def x20_normalized_paths(spark, sf):
+    h = FX.http_messages(spark, sf).where(F.col("message_type") == "request")
+    return h.select("seq", "path", H.normalize_path(F.col("path")).alias("endpoint"))
+
+
+@register("f20_drop_overhead", W(["http"], """
+    SELECT seq, message_type, method, path, status_code FROM http
+    WHERE message_type IN ('request', 'response')
+      AND NOT (regexp_matches(coalesce(path, ''), '(?i)(\\.well-known|/handshake|/negotiate|/connect|/ping|/health|/status|/version)')
+               OR coalesce(method, '') IN ('OPTIONS', 'HEAD')
+               OR (message_type = 'response' AND coalesce(body, '') = '' AND coalesce(status_code, 200) IN (204, 304)))"""))
+def f20_drop_overhead(spark, sf):
+    return H.drop_overhead(FX.http_messages(spark, sf)).select("seq", "message_type", "method", "path", "status_code")
+
+
+@register("f22_simple_timeline", W(["http"], """
+    SELECT seq, timestamp_ms, CASE WHEN message_type = 'request'
+        THEN coalesce(method, 'UNKNOWN') || ' ' || coalesce(path, '/') || ' ' || coalesce(protocol, 'HTTP/1.1')
+             || ' host: ' || coalesce(host, 'unknown-host')
+        ELSE 'HTTP/1.1 ' || coalesce(CAST(status_code AS VARCHAR), '0') || ' ' || '' || ' content-type: '
+             || coalesce(content_type, 'unknown') END AS line
+    FROM http"""))
+def f22_simple_timeline(spark, sf):
+    return H.simple_timeline(FX.http_messages(spark, sf).withColumn("status_text", F.lit(None).cast("string")))
+
+
+_PAIRS = [("x", """SELECT *, lag(message_type) OVER w AS p_type, lag(seq) OVER w AS p_seq,
+        lag(timestamp_ms) OVER w AS p_ts, lag(method) OVER w AS p_method, lag(path) OVER w AS p_path,
+        lag(host) OVER w AS p_host FROM http WINDOW w AS (PARTITION BY tid ORDER BY timestamp_ms, seq)"""),
+          ("pairs", """SELECT tid, p_seq AS req_seq, seq AS resp_seq, p_ts AS req_ts, timestamp_ms AS resp_ts,
+        p_method AS method, p_path AS path, p_host AS host, status_code, content_type,
+        timestamp_ms - p_ts AS duration_ms FROM x WHERE message_type = 'response' AND p_type = 'request'""")]
+
+
+@register("j2_pair_by_tid", W(["http"], "SELECT * FROM pairs", _PAIRS))
+def j2_pair_by_tid(spark, sf):
+    return H.pair_by_tid(FX.http_messages(spark, sf))
+
+
+@register("j18_http_spans", W(["http"], """
+    SELECT 'req-' || r.seq AS span_id, CAST(NULL AS VARCHAR) AS parent_id, r.tid, r.timestamp_ms AS start_ms,
+        p.duration_ms, p.status_code, r.method || ' ' || r.path AS name
+    FROM http r LEFT JOIN pairs p ON r.seq = p.req_seq WHERE r.message_type = 'request'
+    UNION ALL
+    SELECT 'resp-' || resp_seq, 'req-' || req_seq, tid, resp_ts, 0, status_code, 'response' FROM pairs
+    UNION ALL
+    SELECT 'resp-' || seq, NULL, tid, timestamp_ms, NULL, status_code, 'orphan response' FROM http
+    WHERE message_type = 'response' AND seq NOT IN (SELECT resp_seq FROM pairs)""", _PAIRS))
+def j18_http_spans(spark, sf):
+    return H.http_spans(FX.http_messages(spark, sf))
+
+
+_LASTM = [("lastm", "SELECT * FROM http WHERE tid IS NOT NULL AND tid <> 0 QUALIFY row_number() OVER "
+                    "(PARTITION BY tid, message_type ORDER BY seq DESC) = 1"),
+          ("pt", "SELECT q.tid, q.timestamp_ms AS req_ts, q.path AS req_path, q.method AS req_method, "
+                 "q.host AS req_host, r.seq AS resp_seq, r.timestamp_ms AS resp_ts, r.status_code AS resp_status, "
+                 "r.body AS resp_body, CASE WHEN r.timestamp_ms > q.timestamp_ms THEN r.timestamp_ms - q.timestamp_ms "
+                 "END AS lat FROM lastm q LEFT JOIN lastm r ON q.tid = r.tid AND r.message_type = 'response' "
+                 "WHERE q.message_type = 'request'")]
+
+
+@register("a19_response_metrics", W(["http"], """
+    SELECT count(lat) AS samples, round(avg(lat), 4) AS mean_ms, round(quantile_cont(lat, 0.5), 4) AS median_ms,
+        CAST(min(lat) AS DOUBLE) AS min_ms, CAST(max(lat) AS DOUBLE) AS max_ms, round(stddev_samp(lat), 4) AS stddev_ms,
+        round(quantile_cont(lat, 0.95), 4) AS p95_ms, round(quantile_cont(lat, 0.99), 4) AS p99_ms,
+        round(avg(length(resp_body)), 4) AS avg_size, count(resp_seq) AS responses
+    FROM pt""", _LASTM))
+def a19_response_metrics(spark, sf):
+    return H.response_metrics(FX.http_messages(spark, sf))
+
+
+def _top_sql(category, value, where, n):
+    lim = f"WHERE r <= {n}" if n else ""
+    return f"""SELECT '{category}' AS category, value, count, first_seq FROM (
+        SELECT *, row_number() OVER (ORDER BY count DESC, first_seq) AS r FROM (
+            SELECT {value} AS value, count(*) AS count, min(seq) AS first_seq FROM http WHERE {where} GROUP BY 1)) {lim}"""
+
+
+_NORM = ("regexp_replace(regexp_replace(regexp_replace(split_part(coalesce(path, 'unknown'), '?', 1), "
+         "'/[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}', '/{{uuid}}', 'g'), "
+         "'/[0-9]+', '/{{id}}', 'g'), '/[a-f0-9]{24,}', '/{{hash}}', 'g')")
+
+
+@register("a20_communication_patterns", W(["http"], " UNION ALL ".join([
+    _top_sql("request_method", "coalesce(method, 'unknown')", "message_type = 'request'", 10),
+    _top_sql("protocol", "coalesce(protocol, 'unknown')", "message_type = 'request'", None),
+    _top_sql("path", _NORM, "message_type = 'request'", 20),
+    _top_sql("response_content_type", "coalesce(content_type, 'unknown')", "message_type = 'response'", 10)])))
+def a20_communication_patterns(spark, sf):
+    return H.communication_patterns(FX.http_messages(spark, sf))
+
+
+@register("a21_content_stats", W(["http"], """
+    SELECT count(*) FILTER (WHERE message_type = 'request' AND b <> '') AS requests_with_body,
+        count(*) FILTER (WHERE message_type = 'request' AND b <> '' AND (starts_with(ltrim(b), '{') OR starts_with(ltrim(b), '['))) AS json_requests,
+        count(*) FILTER (WHERE message_type = 'request' AND b <> '' AND contains(ct, 'application/x-www-form-urlencoded')) AS form_requests,
+        CAST(coalesce(sum(length(b)) FILTER (WHERE message_type = 'request' AND b <> ''), 0) AS BIGINT) AS total_request_size,
+        count(*) FILTER (WHERE message_type = 'response' AND b <> '') AS responses_with_body,
+        count(*) FILTER (WHERE message_type = 'response' AND b <> '' AND (starts_with(ltrim(b), '{') OR starts_with(ltrim(b), '['))) AS json_responses,
+        count(*) FILTER (WHERE message_type = 'response' AND b <> '' AND contains(ct, 'text/html')) AS html_responses,
+        count(*) FILTER (WHERE message_type = 'response' AND b <> '' AND NOT contains(ct, 'text/html') AND contains(ct, 'text/event-stream')) AS sse_responses,
+        CAST(coalesce(sum(length(b)) FILTER (WHERE message_type = 'response' AND b <> ''), 0) AS BIGINT) AS total_response_size
+    FROM (SELECT *, coalesce(body, '') AS b, coalesce(content_type, '') AS ct FROM http)"""))
+def a21_content_stats(spark, sf):
+    return H.content_stats(FX.http_messages(spark, sf))
+
+
+@register("a22_endpoint_patterns", W(["http"], f"""
+    SELECT endpoint, count(*) AS request_count,
+        array_to_string(list_sort(list_distinct(list(req_method))), ',') AS methods,
+        array_to_string(list_sort(list_distinct(list(CAST(resp_status AS VARCHAR)))), ',') AS status_codes,
+        round(avg(lat), 4) AS avg_latency_ms, max(lat) AS max_latency_ms, min(lat) AS min_latency_ms,
+        count(DISTINCT req_host) AS hosts
+    FROM (SELECT *, {_NORM.replace('path', 'req_path')} AS endpoint FROM pt)
+    GROUP BY endpoint ORDER BY request_count DESC, endpoint LIMIT 15""", _LASTM))
+def a22_endpoint_patterns(spark, sf):
+    return H.endpoint_patterns(FX.http_messages(spark, sf), 15)
+
+
+@register("a24_timeline_summary", W(["http"], """
+    SELECT count(*) AS messages, CAST(coalesce(sum(length(b)), 0) AS BIGINT) AS total_bytes,
+        count(*) FILTER (WHERE t = 'json') AS json_bodies, count(*) FILTER (WHERE t = 'html') AS html_bodies,
+        count(*) FILTER (WHERE t = 'sse') AS sse_bodies, count(*) FILTER (WHERE t = 'text') AS text_bodies,
+        count(*) FILTER (WHERE t = 'empty') AS empty_bodies, max(timestamp_ms) - min(timestamp_ms) AS duration_ms,
+        round(CASE WHEN max(timestamp_ms) - min(timestamp_ms) > 0 THEN
+            sum(length(b)) / ((max(timestamp_ms) - min(timestamp_ms)) / 1000) END, 4) AS bytes_per_second
+    FROM (SELECT *, coalesce(body, '') AS b,
+        CASE WHEN starts_with(ltrim(coalesce(body, '')), '{') OR starts_with(ltrim(coalesce(body, '')), '[') THEN 'json'
+             WHEN starts_with(lower(ltrim(coalesce(body, ''))), '<!doctype html') OR contains(lower(coalesce(body, '')), '<html') THEN 'html'
+             WHEN starts_with(coalesce(body, ''), 'data:') OR starts_with(coalesce(body, ''), 'event:') THEN 'sse'
+             WHEN coalesce(body, '') = '' THEN 'empty' ELSE 'text' END AS t FROM http)"""))
+def a24_timeline_summary(spark, sf):
+    return H.timeline_summary(FX.http_messages(spark, sf))

@@ -22,6 +22,8 @@ BASE_CONF = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.cteRecursionRowLimit": "-1",
 }
 
@@ -46,7 +48,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the correctness settings to an existing session (driver-made)."""
-    for k in ("spark.sql.session.timeZone",):
+    for k in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
         spark.conf.set(k, BASE_CONF[k])
     try:
         spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
