@@ -8,26 +8,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_writable_open
+from ..functions.scan import running_sum
 
 
-def process_instances(canon: DataFrame) -> DataFrame:
+def process_instances(canon: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
     """Instance id per EXEC/EXIT event, surviving pid reuse.
 
     Gaps and islands per pid in arrival order (timestamp, seq): the island of
     a row is the number of EXITs before it. The first EXEC of an island opens
     the instance ``process-{pid}-{exec ts}``; later EXECs share it; the EXIT
     closes it. An island without EXEC is a lone EXIT with its own id.
+
+    The EXIT count is a two-level running sum (per pid and time bucket, plus a
+    carry over buckets), and the island's first EXEC is a grouped min, so a
+    pid holding most events does not serialise the job into one task.
     """
     p = canon.where(F.col("event").isin("EXEC", "EXIT"))
-    is_exit = (F.col("event") == "EXIT").cast("int")
-    w_prev = (Window.partitionBy("pid").orderBy("timestamp_ms", "seq")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    p = p.withColumn("island", F.coalesce(F.sum(is_exit).over(w_prev), F.lit(0)))
-    w_isl = Window.partitionBy("pid", "island")
-    first_exec = F.min(F.when(F.col("event") == "EXEC", F.col("timestamp_ms"))).over(w_isl)
+    p = running_sum(p, ["pid"], F.expr(f"timestamp_ms div {int(bucket_ms)}"), ["timestamp_ms", "seq"],
+                    (F.col("event") == "EXIT").cast("bigint"), "island", inclusive=False)
+    first = (p.groupBy("pid", "island")
+             .agg(F.min(F.when(F.col("event") == "EXEC", F.col("timestamp_ms"))).alias("_first_exec")))
+    p = p.join(first, ["pid", "island"])
     return p.withColumn(
         "instance_id",
-        F.format_string("process-%d-%d", F.col("pid"), F.coalesce(first_exec, F.col("timestamp_ms"))))
+        F.format_string("process-%d-%d", F.col("pid"), F.coalesce("_first_exec", "timestamp_ms"))
+    ).drop("_first_exec")
 
 
 def process_node_rows(instances: DataFrame) -> DataFrame:

@@ -1,0 +1,260 @@
+"""Session-log and profile queries over the conversation transcripts
+(W4, W3, P8, A9, A10, A15, A16, P4, P7, A12–A14, S14)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import profiles as PR
+from ..operators import sessions as S
+from ..sources import fixtures as FX
+from .registry import register
+
+W = FX.with_fixtures
+
+# Custom tag rules of the demo queries (KIND:TAG=REGEX), applied before presets.
+RULES = ["prompt:question=\\?$", "all:greeting=(?i)^(bonjour|hallo|hola|hello)[ ,!]", "llm:numeric=[0-9]{3}"]
+
+
+def _log(spark, sf):
+    return S.assign_prompt_index(FX.session_log(spark, sf))
+
+
+def _tagged(spark, sf):
+    idx = _log(spark, sf)
+    sess, ptag, llm = S.tag_log(idx, RULES, True)
+    conv = F.substring_index("session_id", "-", -1).cast("bigint")
+    sess = sess.select("session_id", "session_tag",
+                       F.element_at(F.array(*[F.lit(c) for c in FX.COMMS]), (conv % 5 + 1).cast("int")).alias("agent"))
+    llm = (llm.withColumn("model", F.format_string("vendor/model-%d", conv % 3))
+           .withColumn("input_tokens", F.col("position") * 10)
+           .withColumn("output_tokens", F.expr("char_length(text) div 4"))
+           .withColumn("cache_tokens", F.lit(0).cast("bigint"))
+           .withColumn("total_tokens", F.col("position") * 10 + F.expr("char_length(text) div 4")))
+    return idx, sess, ptag, llm
+
+
+# ---- oracle SQL -----------------------------------------------------------
+
+def _clean(x):
+    return f"regexp_replace(regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def _sql_lit(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _tag_sql(kind, text):
+    parts = []
+    for rk, tag, pat in S.parse_rules(RULES):
+        if rk in (kind, "all"):
+            parts.append(f"WHEN regexp_matches({text}, {_sql_lit(pat)}) THEN {_sql_lit(tag)}")
+    low = f"translate({text}, '{S.UPPER}', '{S.LOWER}')"
+    for tag, needles in S.PRESETS:
+        cond = " OR ".join(f"contains({low}, {_sql_lit(n)})" for n in needles)
+        parts.append(f"WHEN {cond} THEN {_sql_lit(tag)}")
+    return "CASE " + " ".join(parts) + " ELSE 'unmatched' END"
+
+
+def _sf(x):
+    v = f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9._:/+-]+', '_', 'g'), '^_+|_+$', '', 'g')"
+    return f"(CASE WHEN {v} = '' THEN 'unknown' ELSE {v} END)"
+
+
+_COMMS = "[" + ", ".join(f"'{c}'" for c in FX.COMMS) + "]"
+
+IDX_CTES = [
+    ("firsts", "SELECT session_id, text_hash, min(position) AS first_pos FROM session_log WHERE kind = 'prompt' GROUP BY 1, 2"),
+    ("pidx", "SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY first_pos) - 1 AS BIGINT) AS pi FROM firsts"),
+    ("l2", "SELECT l.*, i.pi AS own FROM session_log l LEFT JOIN pidx i ON l.session_id = i.session_id "
+           "AND l.text_hash = i.text_hash AND l.kind = 'prompt'"),
+    ("idx", "SELECT * EXCLUDE (own), coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY position "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS prompt_index FROM l2"),
+]
+TAG_CTES = IDX_CTES + [
+    ("dp", "SELECT session_id, prompt_index, arg_min(timestamp_ms, position) AS timestamp_ms, "
+           "arg_min(text, position) AS text, arg_min(text_hash, position) AS text_hash, min(position) AS position "
+           "FROM idx WHERE kind = 'prompt' GROUP BY 1, 2"),
+    ("sess0", f"SELECT session_id, {_clean('string_agg(' + _clean('text') + ", ' ' ORDER BY prompt_index)")} AS st "
+              "FROM dp WHERE prompt_index < 8 GROUP BY session_id"),
+    ("sess", f"SELECT session_id, {_tag_sql('session', 'st')} AS session_tag, "
+             f"{_COMMS}[CAST(split_part(session_id, '-', 2) AS BIGINT) % 5 + 1] AS agent FROM sess0"),
+    ("ptag", f"SELECT session_id, prompt_index, position, timestamp_ms, text_hash, {_tag_sql('prompt', _clean('text'))} AS tag FROM dp"),
+    ("llm", f"SELECT session_id, position, prompt_index, timestamp_ms, text, text_hash, "
+            f"{_tag_sql('llm', _clean('text'))} AS tag, "
+            "'vendor/model-' || (CAST(split_part(session_id, '-', 2) AS BIGINT) % 3) AS model, "
+            "position * 10 AS input_tokens, length(text) // 4 AS output_tokens, CAST(0 AS BIGINT) AS cache_tokens, "
+            "position * 10 + length(text) // 4 AS total_tokens FROM idx WHERE kind = 'llm'"),
+]
+
+
+@register("w4_prompt_index", W(["session_log"], "SELECT session_id, position, kind, text_hash, prompt_index FROM idx",
+                               IDX_CTES))
+def w4_prompt_index(spark, sf):
+    return _log(spark, sf).select("session_id", "position", "kind", "text_hash", "prompt_index")
+
+
+@register("p8_tag_prompts", W(["session_log"], "SELECT session_id, prompt_index, text_hash, tag FROM ptag", TAG_CTES))
+def p8_tag_prompts(spark, sf):
+    _, _, ptag, _ = _tagged(spark, sf)
+    return ptag.select("session_id", "prompt_index", "text_hash", "tag")
+
+
+@register("p8_tag_sessions", W(["session_log"], "SELECT session_id, session_tag, agent FROM sess", TAG_CTES))
+def p8_tag_sessions(spark, sf):
+    _, sess, _, _ = _tagged(spark, sf)
+    return sess
+
+
+_COUNTS = ("SELECT 'prompt:' || tag AS tag, count(*) AS count FROM ptag GROUP BY 1 UNION ALL "
+           "SELECT 'llm:' || tag, count(*) FROM llm WHERE tag <> 'unmatched' GROUP BY 1")
+
+
+@register("a15_tag_counts", W(["session_log"], _COUNTS, TAG_CTES))
+def a15_tag_counts(spark, sf):
+    _, _, ptag, llm = _tagged(spark, sf)
+    return S.tag_counts(ptag, llm)
+
+
+@register("a15_tag_totals", W(["session_log"], """
+    SELECT (SELECT count(*) FROM sess) AS total_sessions,
+        (SELECT count(*) FROM sess WHERE session_tag <> 'unmatched') AS matched_sessions,
+        (SELECT count(*) FROM ptag) AS total_prompts,
+        (SELECT count(*) FROM ptag WHERE tag <> 'unmatched') AS matched_prompts,
+        (SELECT count(*) FROM llm) AS total_llm_calls,
+        (SELECT count(*) FROM llm WHERE tag <> 'unmatched') AS matched_llm_calls""", TAG_CTES))
+def a15_tag_totals(spark, sf):
+    _, sess, ptag, llm = _tagged(spark, sf)
+    return S.tag_totals(sess, ptag, llm)
+
+
+@register("a16_tag_distribution", W(["session_log"], """
+    SELECT kind, count(*) AS num_tags, CAST(sum(count) AS BIGINT) AS total,
+        round(sum(count) FILTER (WHERE r <= 1) / sum(count) * 100, 4) AS top1_pct,
+        round(sum(count) FILTER (WHERE r <= 3) / sum(count) * 100, 4) AS top3_pct,
+        round(sum(count) FILTER (WHERE r <= 5) / sum(count) * 100, 4) AS top5_pct,
+        round(CASE WHEN count(*) > 1 THEN sum(-(count / t) * ln(count / t)) / ln(count(*)) ELSE 0.0 END, 6)
+            AS normalized_entropy
+    FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY count DESC, tag) AS r,
+                 sum(count) OVER (PARTITION BY kind) AS t
+          FROM (SELECT tag, count, split_part(tag, ':', 1) AS kind FROM counts WHERE NOT ends_with(tag, ':unmatched')))
+    GROUP BY kind""", TAG_CTES + [("counts", _COUNTS)]))
+def a16_tag_distribution(spark, sf):
+    _, _, ptag, llm = _tagged(spark, sf)
+    return S.tag_distribution(S.tag_counts(ptag, llm))
+
+
+_EV = [
+    ("ev", """SELECT session_id, position, timestamp_ms, 0 AS kind_rank, prompt_index, 'prompt' AS k,
+                     NULL AS tag, NULL AS model FROM ptag
+              UNION ALL SELECT session_id, position, timestamp_ms, 2, prompt_index, 'llm', tag, model FROM llm"""),
+    ("evd", """SELECT *, CASE WHEN nxt IS NULL THEN 1 ELSE greatest((nxt - timestamp_ms) // 1000, 1) END AS duration_s
+               FROM (SELECT *, lead(timestamp_ms) OVER (PARTITION BY session_id ORDER BY timestamp_ms, kind_rank, position)
+                     AS nxt FROM ev)"""),
+]
+
+
+@register("w3_event_durations", W(["session_log"], "SELECT session_id, position, kind_rank, timestamp_ms, "
+                                                   "CAST(duration_s AS BIGINT) AS duration_s FROM evd",
+                                  TAG_CTES + _EV))
+def w3_event_durations(spark, sf):
+    _, _, ptag, llm = _tagged(spark, sf)
+    pe = ptag.select("session_id", "position", "timestamp_ms", F.lit(0).alias("kind_rank"))
+    le = llm.select("session_id", "position", "timestamp_ms", F.lit(2).alias("kind_rank"))
+    return S.event_durations(pe.unionByName(le)).select("session_id", "position", "kind_rank", "timestamp_ms",
+                                                         "duration_s")
+
+
+def _stack_sql(detail):
+    base = (f"'project:demo;agent:' || {_sf('s.agent')} || ';session:' || {_sf('s.session_tag')} "
+            f"|| ';prompt:' || {_sf('p.tag')}")
+    return f"{base} || {detail}"
+
+
+_TIME_STACKS = TAG_CTES + _EV + [
+    ("tstacks", f"""SELECT stack, CAST(sum(greatest(duration_s, 1)) AS BIGINT) AS weight FROM (
+        SELECT {_stack_sql("CASE WHEN e.k = 'prompt' THEN ';kind:prompt' ELSE ';kind:llm;call:' || " + _sf("'llm/' || e.tag") + " || ';model:' || " + _sf("string_split(e.model, '/')[-1]") + " END")} AS stack,
+               e.duration_s
+        FROM evd e LEFT JOIN ptag p ON e.session_id = p.session_id AND e.prompt_index = p.prompt_index
+        LEFT JOIN sess s ON e.session_id = s.session_id) GROUP BY stack"""),
+]
+
+_TOKEN_STACKS = TAG_CTES + [
+    ("tc", """SELECT *, CASE WHEN len(comps) > 0 THEN comps
+                   WHEN total_tokens BETWEEN 1 AND 2000000 THEN [{'kind': 'estimate', 'value': total_tokens}]
+                   ELSE [{'kind': 'unknown', 'value': CAST(1 AS BIGINT)}] END AS cs
+              FROM (SELECT *, list_filter([{'kind': 'input', 'value': CAST(input_tokens AS BIGINT)},
+                                           {'kind': 'output', 'value': CAST(output_tokens AS BIGINT)},
+                                           {'kind': 'cache', 'value': CAST(cache_tokens AS BIGINT)}],
+                                          lambda c: c.value >= 1 AND c.value <= 10000000) AS comps FROM llm)"""),
+    ("kstacks", f"""SELECT stack, CAST(sum(greatest(w, 1)) AS BIGINT) AS weight FROM (
+        SELECT {_stack_sql("';call:' || " + _sf("'llm/' || e.tag") + " || ';model:' || " + _sf("string_split(e.model, '/')[-1]") + " || ';kind:' || " + _sf("c.kind"))} AS stack,
+               c.value AS w
+        FROM (SELECT *, unnest(cs) AS c FROM tc) e
+        LEFT JOIN ptag p ON e.session_id = p.session_id AND e.prompt_index = p.prompt_index
+        LEFT JOIN sess s ON e.session_id = s.session_id) WHERE w <> 0 GROUP BY stack"""),
+]
+
+
+def _time_stacks(spark, sf):
+    _, sess, ptag, llm = _tagged(spark, sf)
+    return PR.fold_stacks(PR.time_profile_samples(sess, ptag, llm))
+
+
+def _token_stacks(spark, sf):
+    _, sess, ptag, llm = _tagged(spark, sf)
+    return PR.fold_stacks(PR.token_profile_samples(sess, ptag, llm))
+
+
+register("a12_time_stacks", W(["session_log"], "SELECT * FROM tstacks", _TIME_STACKS))(_time_stacks)
+register("a12_token_stacks", W(["session_log"], "SELECT * FROM kstacks", _TOKEN_STACKS))(_token_stacks)
+
+
+@register("a13_stack_summary", W(["session_log"], """
+    SELECT CAST(coalesce(sum(weight), 0) AS BIGINT) AS total_weight, count(*) AS unique_stacks,
+        coalesce(round(sum(weight) / count(*), 3), 0.0) AS compression_ratio,
+        CAST(coalesce(max(weight), 0) AS BIGINT) AS max_stack_reuse FROM tstacks""", _TIME_STACKS))
+def a13_stack_summary(spark, sf):
+    return PR.stack_summary(_time_stacks(spark, sf))
+
+
+@register("a13_top_stacks", W(["session_log"], "SELECT * FROM kstacks ORDER BY weight DESC, stack LIMIT 10",
+                              _TOKEN_STACKS))
+def a13_top_stacks(spark, sf):
+    return PR.top_stacks(_token_stacks(spark, sf), 10)
+
+
+@register("a14_flame_tree", W(["session_log"], """
+    SELECT node, any_value(depth) AS depth, CAST(sum(weight) AS BIGINT) AS value FROM (
+        SELECT array_to_string(f[1:i], ';') AS node, i AS depth, weight
+        FROM (SELECT list_filter(string_split(stack, ';'), lambda x: x <> '') AS f, weight FROM tstacks WHERE weight <> 0),
+             LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i))
+    GROUP BY node""", _TIME_STACKS))
+def a14_flame_tree(spark, sf):
+    return PR.flame_tree(_time_stacks(spark, sf)).select("node", F.col("depth").cast("bigint").alias("depth"), "value")
+
+
+@register("s14_folded_lines", W(["session_log"], "SELECT stack || ' ' || weight AS line FROM kstacks ORDER BY line",
+                                _TOKEN_STACKS))
+def s14_folded_lines(spark, sf):
+    return PR.folded_lines(_token_stacks(spark, sf))
+
+
+@register("a10_dedup_usage", W(["session_log"], """
+    SELECT session_id, text_hash, position, prompt_index, total_tokens FROM llm
+    QUALIFY row_number() OVER (PARTITION BY session_id, text_hash ORDER BY position) = 1""", TAG_CTES))
+def a10_dedup_usage(spark, sf):
+    _, _, _, llm = _tagged(spark, sf)
+    return S.dedup_usage(llm.select("session_id", "text_hash", "position", "prompt_index", "total_tokens"))
+
+
+@register("a9_session_rollup", W(["session_log"], """
+    SELECT session_id, min(timestamp_ms) AS start_timestamp_ms, max(timestamp_ms) AS end_timestamp_ms,
+        count(*) FILTER (WHERE kind = 'prompt') AS prompts, count(*) FILTER (WHERE kind = 'llm') AS responses,
+        count(DISTINCT CASE WHEN kind = 'prompt' THEN text_hash END) AS distinct_prompts,
+        arg_min(text_hash, position) FILTER (WHERE kind = 'prompt') AS first_prompt_hash,
+        arg_max(text_hash, position) AS last_message_hash
+    FROM idx GROUP BY session_id
+    HAVING count(*) FILTER (WHERE kind = 'prompt') + count(*) FILTER (WHERE kind = 'llm') > 0""", IDX_CTES))
+def a9_session_rollup(spark, sf):
+    return S.session_rollup(_log(spark, sf))
