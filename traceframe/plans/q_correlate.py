@@ -1,0 +1,152 @@
+"""Correlation and findings queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import correlate as C
+from ..operators import process as P
+from ..operators import tokens as T
+from ..sources import fixtures as FX
+from .registry import register
+from .sql_common import AUDIT, EFF, PROCESS_CTES
+
+W = FX.with_fixtures
+
+
+def _prompt_sides(spark, sf):
+    """Local transcript prompts and their TLS-captured copies (a third of the
+    user turns, ASCII-uppercased on even turns, shifted -5..+14 s, pid missing
+    for every fifth conversation)."""
+    log = FX.session_log(spark, sf).where(F.col("kind") == "prompt")
+    model = F.format_string("model-%d", F.col("conv_id") % 3)
+    local = log.select(F.format_string("local-%d-%d", "conv_id", "position").alias("id"),
+                       "conv_id", "position", "timestamp_ms", model.alias("model"),
+                       F.when(F.col("conv_id") % 6 == 1, (F.col("conv_id") + 1) % 7)
+                        .otherwise(F.col("conv_id") % 7).alias("pid"), "text")
+    ssl = (log.where((F.col("conv_id") + F.col("position")) % 3 == 0)
+           .select(model.alias("model"),
+                   F.when(F.col("conv_id") % 5 == 0, F.lit(None).cast("bigint"))
+                    .otherwise(F.col("conv_id") % 7).alias("pid"),
+                   (F.col("timestamp_ms") + (F.char_length("text") % 20) * 1000 - 5000).alias("timestamp_ms"),
+                   F.when(F.col("position") % 2 == 0, F.translate("text", C.LOWER, C.UPPER))
+                    .otherwise(F.col("text")).alias("text")))
+    return ssl, local
+
+
+def _clean_sql(x):
+    t = f"regexp_replace(regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g'), '^ | $', '', 'g')"
+    t = (f"(CASE WHEN starts_with({t}, '<session>') AND ends_with({t}, '</session>') AND length({t}) >= 19 "
+         f"THEN regexp_extract({t}, '^<session>(.*)</session>$', 1) ELSE {t} END)")
+    t = f"regexp_replace({t}, '^ +| +$', '', 'g')"
+    return f"nullif({t}, '')"
+
+
+_KEY = lambda x: f"translate({_clean_sql(x)}, '{C.UPPER}', '{C.LOWER}')"
+
+
+@register("j13_dedup_prompts", W(["session_log"], f"""
+    SELECT l.id, l.conv_id, l.position, l.timestamp_ms, l.model, l.pid, l.text FROM loc l
+    WHERE NOT EXISTS (SELECT 1 FROM ssl s WHERE s.model = l.model AND {_KEY('s.text')} = {_KEY('l.text')}
+        AND abs(l.timestamp_ms - s.timestamp_ms) <= 10000
+        AND (l.pid IS NULL OR s.pid IS NULL OR l.pid = s.pid))""", [
+    ("loc", "SELECT 'local-' || conv_id || '-' || position AS id, conv_id, position, timestamp_ms, "
+            "'model-' || (conv_id % 3) AS model, CASE WHEN conv_id % 6 = 1 THEN (conv_id + 1) % 7 ELSE conv_id % 7 END AS pid, "
+            "text FROM session_log WHERE kind = 'prompt'"),
+    ("ssl", f"SELECT 'model-' || (conv_id % 3) AS model, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id % 7 END AS pid, "
+            "timestamp_ms + (length(text) % 20) * 1000 - 5000 AS timestamp_ms, "
+            f"CASE WHEN position % 2 = 0 THEN translate(text, '{C.LOWER}', '{C.UPPER}') ELSE text END AS text "
+            "FROM session_log WHERE kind = 'prompt' AND (conv_id + position) % 3 = 0")]))
+def j13_dedup_prompts(spark, sf):
+    ssl, local = _prompt_sides(spark, sf)
+    return C.dedup_prompts(ssl, local)
+
+
+_SENS = " OR ".join(f"contains(coalesce(path, ''), '{p}')" for p in C.SENSITIVE_PATHS)
+
+
+@register("j15_detect_exfiltration", W(["canon"], f"""
+    SELECT l.session_id, l.last_sensitive_ms, l.sensitive_accesses, count(*) AS network_after,
+        min(n.timestamp_ms) AS first_network_after_ms
+    FROM (SELECT 's-' || pid AS session_id, max(timestamp_ms) AS last_sensitive_ms, count(*) AS sensitive_accesses
+          FROM canon WHERE event = 'FILE_OPEN' AND ({_SENS}) GROUP BY 1) l
+    JOIN (SELECT 's-' || pid AS session_id, timestamp_ms FROM canon WHERE event = 'NET_CONNECT') n
+      ON l.session_id = n.session_id AND n.timestamp_ms > l.last_sensitive_ms
+    GROUP BY 1, 2, 3"""))
+def j15_detect_exfiltration(spark, sf):
+    c = FX.canonical_events(spark, sf).withColumn("session_id", F.format_string("s-%d", "pid"))
+    return C.detect_exfiltration(c.where(F.col("event") == "FILE_OPEN"), c.where(F.col("event") == "NET_CONNECT"))
+
+
+def _calls_with_response(spark, sf):
+    c = FX.llm_calls(spark, sf)
+    return c.select("session_id", "seq", "start_timestamp_ms",
+                    F.when(F.col("status_code") >= 400, F.format_string("Error: HTTP %d", "status_code"))
+                     .otherwise(F.lit("ok")).alias("response"),
+                    F.expr("(end_timestamp_ms - start_timestamp_ms) div 10").alias("total_tokens"))
+
+
+_LOOPS_SQL = """SELECT session_id, count(*) FILTER (WHERE e) AS loop_count,
+        CAST(sum(CASE WHEN e THEN total_tokens ELSE 0 END) AS BIGINT) AS total_tokens_wasted
+    FROM (SELECT *, contains(lower(coalesce(response, '')), 'error') AS e FROM (
+        SELECT session_id, seq, start_timestamp_ms,
+            CASE WHEN status_code >= 400 THEN 'Error: HTTP ' || status_code ELSE 'ok' END AS response,
+            (end_timestamp_ms - start_timestamp_ms) // 10 AS total_tokens
+        FROM llm_calls QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY start_timestamp_ms DESC, seq DESC) <= 10))
+    GROUP BY session_id
+    HAVING count(*) >= 3 AND count(*) FILTER (WHERE e) >= 3 AND count(DISTINCT CASE WHEN e THEN response END) = 1"""
+
+
+@register("a28_reasoning_loops", W(["llm_calls"], _LOOPS_SQL))
+def a28_reasoning_loops(spark, sf):
+    return C.detect_reasoning_loops(_calls_with_response(spark, sf), window=10, min_errors=3)
+
+
+@register("a29_risk_score", W(["token_usage", "llm_calls", "canon"], f"""
+    SELECT s.session_id, l.session_id IS NOT NULL AS reasoning_loop, x.session_id IS NOT NULL AS data_exfiltration,
+        CAST(coalesce(t.tokens, 0) AS BIGINT) AS tokens, CAST(coalesce(a.actions, 0) AS BIGINT) AS actions,
+        (CASE WHEN l.session_id IS NOT NULL THEN 3 ELSE 0 END) + (CASE WHEN x.session_id IS NOT NULL THEN 5 ELSE 0 END)
+        + (CASE WHEN coalesce(t.tokens, 0) > 10000 THEN 2 ELSE 0 END)
+        + (CASE WHEN coalesce(a.actions, 0) > 1000 THEN 1 ELSE 0 END) AS risk_score
+    FROM (SELECT DISTINCT 's-' || pid AS session_id FROM canon) s
+    LEFT JOIN loops l ON s.session_id = l.session_id
+    LEFT JOIN (SELECT DISTINCT l2.session_id FROM
+        (SELECT 's-' || pid AS session_id, max(timestamp_ms) AS m FROM canon WHERE event = 'FILE_OPEN' AND ({_SENS}) GROUP BY 1) l2
+        JOIN (SELECT 's-' || pid AS session_id, timestamp_ms FROM canon WHERE event = 'NET_CONNECT') n
+        ON l2.session_id = n.session_id AND n.timestamp_ms > l2.m) x ON s.session_id = x.session_id
+    LEFT JOIN (SELECT 's-' || pid AS session_id, sum(total_tokens) AS tokens FROM eff GROUP BY 1) t
+        ON s.session_id = t.session_id
+    LEFT JOIN (SELECT 's-' || pid AS session_id, count(*) AS actions FROM audit GROUP BY 1) a
+        ON s.session_id = a.session_id""", [("eff", EFF), ("audit", AUDIT), ("loops", _LOOPS_SQL)]))
+def a29_risk_score(spark, sf):
+    canon = FX.canonical_events(spark, sf).withColumn("session_id", F.format_string("s-%d", "pid"))
+    loops = C.detect_reasoning_loops(_calls_with_response(spark, sf))
+    exfil = C.detect_exfiltration(canon.where(F.col("event") == "FILE_OPEN"),
+                                  canon.where(F.col("event") == "NET_CONNECT"))
+    tokens = (T.effective_tokens(FX.token_usage(spark, sf))
+              .groupBy(F.format_string("s-%d", "pid").alias("session_id"))
+              .agg(F.sum("total_tokens").alias("tokens")))
+    audit = P.audit_from_events(FX.canonical_events(spark, sf))
+    actions = (audit.groupBy(F.format_string("s-%d", "pid").alias("session_id"))
+               .agg(F.count(F.lit(1)).alias("actions")))
+    return C.risk_score(canon, loops, exfil, tokens, actions)
+
+
+@register("a34_friction_findings", W(["canon", "resource_samples"], """
+    SELECT 'process_failure' AS finding, 'medium' AS severity, pid, count(*) AS evidence_count, 'non-zero exits' AS detail
+    FROM audit WHERE audit_type = 'process' AND status = 'failure' GROUP BY pid HAVING count(*) >= 1
+    UNION ALL
+    SELECT 'long_running_process', 'low', pid, count(*), 'max ' || max(end_timestamp_ms - start_timestamp_ms) || ' ms'
+    FROM nodes WHERE end_timestamp_ms - start_timestamp_ms > 604800000 GROUP BY pid
+    UNION ALL
+    SELECT 'file_scope_risk', 'high', pid, count(*), min(target)
+    FROM audit WHERE audit_type = 'file' AND NOT starts_with(target, '/repo/') GROUP BY pid
+    UNION ALL
+    SELECT 'network_scope_risk', 'medium', pid, count(DISTINCT target), 'distinct hosts'
+    FROM audit WHERE audit_type = 'network' GROUP BY pid HAVING count(DISTINCT target) > 15
+    UNION ALL
+    SELECT 'resource_waste', 'low', pid, count(*), printf('peak cpu %.2f', max(cpu_percent))
+    FROM resource_samples WHERE cpu_percent > 400.0 GROUP BY pid""", [("audit", AUDIT)] + PROCESS_CTES))
+def a34_friction_findings(spark, sf):
+    canon = FX.canonical_events(spark, sf)
+    return C.friction_findings(P.audit_from_events(canon), P.process_nodes(canon), FX.resource_samples(spark, sf))
