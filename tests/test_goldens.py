@@ -1,0 +1,194 @@
+"""Golden cases of the reference's unit tests, re-expressed as DataFrame tests."""
+
+import random
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from traceframe.functions import exprs as X
+from traceframe.functions.scan import next_value, running_last, running_sum
+from traceframe.operators import audit as A
+from traceframe.operators import process as P
+from traceframe.operators import profiles as PR
+from traceframe.operators import sessions as S
+from traceframe.operators import tokens as T
+from traceframe.operators import traffic as H
+
+TOKEN_SCHEMA = ("id string, llm_call_id string, timestamp_ms bigint, pid bigint, comm string, provider string, "
+                "model string, input_tokens bigint, output_tokens bigint, cache_creation_tokens bigint, "
+                "cache_read_tokens bigint, total_tokens bigint, source string, confidence double")
+CALL_SCHEMA = "id string, seq bigint, session_id string, pid bigint, start_timestamp_ms bigint"
+SESSION_SCHEMA = "id string, cwd string"
+NODE_SCHEMA = "id string, pid bigint, cwd string"
+
+
+def tok(spark, rows):
+    return spark.createDataFrame(rows, TOKEN_SCHEMA)
+
+
+def test_token_priority_prefers_response_usage(spark):
+    tokens = tok(spark, [
+        ("t1", "call-1", 1, 1, "c", "p", "m", 10, 5, 0, 0, 15, "response_usage", None),
+        ("t2", "call-1", 2, 1, "c", "p", "m", 100, 50, 0, 0, 150, "agent_native_session", 0.9),
+    ])
+    calls = spark.createDataFrame([("call-1", 1, "s1", 1, 1)], CALL_SCHEMA)
+    sess = spark.createDataFrame([("s1", "")], SESSION_SCHEMA)
+    out = T.token_summary(tokens, calls, sess, None, "model").collect()
+    assert [(r["group"], r["total_tokens"], r["calls"]) for r in out] == [("m", 15, 1)]
+
+
+def test_effective_tokens_one_row_per_key(spark):
+    rows = []
+    for i in range(200):
+        rows.append((f"t{i}", f"call-{i % 17}" if i % 5 else "", i, 1, "c", "p", "m", i, 1, 0, 0, i + 1,
+                     random.choice(["response_usage", "claude_telemetry", "other"]), random.random()))
+    eff = T.effective_tokens(tok(spark, rows))
+    keys = eff.groupBy("token_key").count().where("count > 1").count()
+    assert keys == 0
+    assert eff.count() == 17 + 40  # 17 call ids + 40 rows without a call id
+
+
+def test_tokens_by_dir_session_prefix(spark):
+    tokens = tok(spark, [
+        ("t1", "sess-1-a", 1, None, "c", "p", "m", 10, 4, 1, 2, 17, "response_usage", None),
+        ("t2", "sess-1-b", 2, None, "c", "p", "m", 7, 3, 1, 2, 13, "response_usage", None),
+    ])
+    calls = spark.createDataFrame([], CALL_SCHEMA)
+    sess = spark.createDataFrame([("sess-1", "/repo/one"), ("sess", "/repo/other")], SESSION_SCHEMA)
+    nodes = spark.createDataFrame([], NODE_SCHEMA)
+    out = T.token_summary(tokens, calls, sess, nodes, "dir").collect()
+    r = out[0]
+    # 'sess' is also a dash-prefix of 'sess-1-a'; the smallest matching id wins
+    assert len(out) == 1 and r["group"] == "/repo/other"
+    sess2 = spark.createDataFrame([("sess-1", "/repo/one")], SESSION_SCHEMA)
+    r = T.token_summary(tokens, calls, sess2, nodes, "dir").collect()[0]
+    assert (r["group"], r["input_tokens"], r["output_tokens"], r["cache_creation_tokens"],
+            r["cache_read_tokens"], r["total_tokens"], r["calls"], r["sessions"]) == \
+        ("/repo/one", 17, 7, 2, 4, 30, 2, 1)
+
+
+def test_tokens_by_dir_process_and_missing(spark):
+    tokens = tok(spark, [
+        ("t1", "call-1", 1, 42, "c", "p", "m", 20, 4, 0, 0, 24, "response_usage", None),
+        ("t2", "", 2, 7, "c", "p", "m", 5, 5, 0, 0, 10, "response_usage", None),
+    ])
+    calls = spark.createDataFrame([("call-1", 1, "s-1", 42, 1)], CALL_SCHEMA)
+    sess = spark.createDataFrame([("s-1", "")], SESSION_SCHEMA)
+    nodes = spark.createDataFrame([("process-42-1", 42, "/repo/saved")], NODE_SCHEMA)
+    out = {r["group"]: (r["total_tokens"], r["sessions"])
+           for r in T.token_summary(tokens, calls, sess, nodes, "dir").collect()}
+    assert out == {"/repo/saved": (24, 1), "unknown": (10, 0)}
+
+
+def test_pid_reuse_gets_new_instance(spark):
+    canon = spark.createDataFrame([
+        (1, 1000, 42, "EXEC"), (2, 2000, 42, "EXIT"), (3, 3000, 42, "EXEC"), (4, 500, 7, "EXIT")],
+        "seq bigint, timestamp_ms bigint, pid bigint, event string")
+    ids = {r["seq"]: r["instance_id"] for r in P.process_instances(canon, bucket_ms=1000).collect()}
+    assert ids[1] == ids[2] == "process-42-1000"
+    assert ids[3] == "process-42-3000"
+    assert ids[4] == "process-7-500"  # lone EXIT gets its own id
+
+
+def test_writable_open_flags(spark):
+    df = spark.createDataFrame([(0,), (1,), (2,), (0o100,), (0o1000,), (0o2000,), (0o4000,)], "flags bigint")
+    got = [r[0] for r in df.select(X.is_writable_open(F.col("flags"))).collect()]
+    assert got == [False, True, True, True, True, True, False]
+
+
+def test_time_stack_weights(spark):
+    ev = spark.createDataFrame([("s", 1000, 0, 0), ("s", 3000, 1, 1), ("s", 8000, 2, 2)],
+                               "session_id string, timestamp_ms bigint, kind_rank int, position bigint")
+    got = [r["duration_s"] for r in S.event_durations(ev, block_ms=2000).orderBy("timestamp_ms").collect()]
+    assert got == [2, 5, 1]
+
+
+def test_safe_frame(spark):
+    df = spark.createDataFrame([("Hello World!",), ("__x__",), ("",), ("a/b:c+d",), ("Ünïcode",)], "t string")
+    got = [r[0] for r in df.select(PR.safe_frame_value(F.col("t"))).collect()]
+    assert got == ["hello_world", "x", "unknown", "a/b:c+d", "n_code"]
+
+
+def test_flame_tree_conserves_totals(spark):
+    stacks = spark.createDataFrame([("a;b;c", 3), ("a;b", 2), ("a;d", 5), ("e", 1)], "stack string, weight bigint")
+    tree = PR.flame_tree(stacks)
+    top = tree.where("depth = 1").agg(F.sum("value")).first()[0]
+    assert top == 11
+    vals = {r["node"]: r["value"] for r in tree.collect()}
+    assert vals["a"] == 10 and vals["a;b"] == 5 and vals["a;b;c"] == 3
+
+
+def test_edge_samples_top_bottom_disjoint(spark):
+    df = spark.createDataFrame([(1, f"h{i:02d}", i) for i in range(20)] + [(2, "x", 1), (2, "y", 2)],
+                               "g int, key string, score int")
+    out = A.edge_samples(df, ["g"], "score", "key", 5).collect()
+    g1 = [r for r in out if r["g"] == 1]
+    assert sorted(r["score"] for r in g1 if r["rank_kind"] == "top") == [15, 16, 17, 18, 19]
+    assert sorted(r["score"] for r in g1 if r["rank_kind"] == "bottom") == [0, 1, 2, 3, 4]
+    assert {r["rank_kind"] for r in out if r["g"] == 2} == {"all"}
+
+
+def test_normalize_path(spark):
+    df = spark.createDataFrame([("/v1/users/123/items?x=1",),
+                                ("/a/550e8400-e29b-41d4-a716-446655440000/b",),
+                                ("/h/abcdefabcdefabcdefabcdef01",)], "p string")
+    got = [r[0] for r in df.select(H.normalize_path(F.col("p"))).collect()]
+    assert got == ["/v1/users/{{id}}/items", "/a/{{uuid}}/b", "/h/{{hash}}"]
+
+
+def test_http_parse_and_auth_strip(spark):
+    txt = "POST /v1/messages?beta=1 HTTP/1.1\r\nHost: api.example.com\r\nAuthorization: Bearer x\r\n" \
+          "Content-Type: application/json\r\n\r\n{\"a\": 1}"
+    df = spark.createDataFrame([(1, txt)], "seq bigint, payload string")
+    r = H.strip_auth_headers(H.parse_http(df)).first()
+    assert (r["method"], r["path"], r["protocol"]) == ("POST", "/v1/messages?beta=1", "HTTP/1.1")
+    assert r["headers"] == {"host": "api.example.com", "content-type": "application/json"}
+    assert r["body"] == "{\"a\": 1}"
+
+
+def test_pair_by_tid_last_request_wins(spark):
+    rows = [(1, 1, "request", 100, "GET", "/a", "h", None, None, ""), (2, 1, "request", 200, "GET", "/b", "h", None, None, ""),
+            (3, 1, "response", 300, None, None, "h", 200, "t", "x"), (4, 1, "response", 400, None, None, "h", 200, "t", "y")]
+    df = spark.createDataFrame(rows, "seq bigint, tid bigint, message_type string, timestamp_ms bigint, method string, "
+                                     "path string, host string, status_code int, content_type string, body string")
+    pairs = H.pair_by_tid(df).collect()
+    assert [(p["req_seq"], p["resp_seq"]) for p in pairs] == [(2, 3)]
+
+
+def _rand_df(spark, n=500):
+    rnd = random.Random(7)
+    rows = [(rnd.randint(0, 3), i, rnd.randint(0, 10_000), rnd.choice([None, None, rnd.randint(0, 9)]))
+            for i in range(n)]
+    return spark.createDataFrame(rows, "k int, seq int, t bigint, v int")
+
+
+def test_running_scans_match_plain_windows(spark):
+    df = _rand_df(spark)
+    w = Window.partitionBy("k").orderBy("t", "seq")
+    wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = df.select("seq", F.sum(F.coalesce("v", F.lit(0))).over(wr).alias("s"),
+                      F.last("v", ignorenulls=True).over(wr).alias("l"),
+                      F.lead("t").over(w).alias("n"))
+    rs = running_sum(df, ["k"], F.expr("t div 700"), ["t", "seq"], F.coalesce("v", F.lit(0)), "s")
+    rl = running_last(df, ["k"], F.expr("t div 700"), ["t", "seq"], F.col("v"), "l")
+    nv = next_value(df, ["k"], F.expr("t div 700"), ["t", "seq"], "t", "n")
+    got = rs.select("seq", "s").join(rl.select("seq", "l"), "seq").join(nv.select("seq", "n"), "seq")
+    a = sorted(tuple(r) for r in plain.collect())
+    b = sorted(tuple(r) for r in got.select("seq", "s", "l", "n").collect())
+    assert a == b
+
+
+def test_prompt_index_reactivates_repeated_prompt(spark):
+    log = spark.createDataFrame([
+        ("s", 0, "prompt", "h0"), ("s", 1, "llm", "r1"), ("s", 2, "prompt", "h1"),
+        ("s", 3, "llm", "r2"), ("s", 4, "prompt", "h0"), ("s", 5, "llm", "r3")],
+        "session_id string, position bigint, kind string, text_hash string")
+    got = [r["prompt_index"] for r in S.assign_prompt_index(log, block=2).orderBy("position").collect()]
+    assert got == [0, 0, 1, 1, 0, 0]
+
+
+def test_tag_rules_and_presets(spark):
+    df = spark.createDataFrame([("Please FIX the parser",), ("why?",), ("nothing here",)], "t string")
+    rules = S.parse_rules(["prompt:question=\\?$"])
+    got = [r[0] for r in df.select(S.tag_expr("prompt", F.col("t"), rules, True)).collect()]
+    assert got == ["debug", "question", "unmatched"]
