@@ -1,0 +1,13 @@
+"""Sequential and streaming-shaped operators without a SQL form (checked by
+golden tests and rows-only), plus the remaining small views."""
+
+from __future__ import annotations
+
+from ..operators import pairing as PA
+from ..sources import fixtures as FX
+from .registry import register
+
+
+@register("j1_pair_llm_calls")
+def j1_pair_llm_calls(spark, sf):
+    return PA.pair_llm_calls(FX.llm_events(spark, sf))

@@ -203,6 +203,29 @@ def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def llm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LLM request/response events for pairing: every purchase is a request
+    on thread (user div 15, user % 2); most get a response k*5 s later
+    (beyond the 5-minute TTL when k > 60), some carry request ids, some
+    requests have neither body nor model (rejected)."""
+    raw = raw_events(spark, sf_dir).where(F.col("event_type") == "purchase")
+    k = F.col("k")
+    base = raw.select(
+        "seq", "timestamp_ms", F.expr("pid div 15").alias("pid"), (F.col("pid") % 2).alias("tid"), "k",
+        F.when(k % 4 == 0, F.format_string("req-%d", "seq")).alias("request_id"),
+        F.when(k % 9 == 0, F.lit(None).cast("string")).otherwise(F.format_string("model-%d", k % 5)).alias("model"),
+        ((k % 9 != 0) | (k % 2 == 0)).alias("has_body"))
+    req = base.select((F.col("seq") * 2).alias("seq"), "timestamp_ms", "pid", "tid",
+                      F.lit("request").alias("kind"), "request_id", "model", "has_body",
+                      F.lit(None).cast("int").alias("status_code"))
+    resp = base.where(k % 7 != 0).select(
+        (F.col("seq") * 2 + 1).alias("seq"), (F.col("timestamp_ms") + k * 5000).alias("timestamp_ms"),
+        "pid", "tid", F.lit("response").alias("kind"), "request_id",
+        F.lit(None).cast("string").alias("model"), F.lit(True).alias("has_body"),
+        F.when(k % 17 == 0, 500).when(k % 13 == 0, 429).otherwise(200).cast("int").alias("status_code"))
+    return req.unionByName(resp)
+
+
 URL_HOST = r"^https?://([^/?#]+)"
 URL_PATH = r"^https?://[^/?#]+([^?#]*)"
 URL_QUERY = r"\?([^#]*)"
