@@ -11,3 +11,94 @@ from .registry import register
 @register("j1_pair_llm_calls")
 def j1_pair_llm_calls(spark, sf):
     return PA.pair_llm_calls(FX.llm_events(spark, sf))
+
+
+# ---- sources and sinks -----------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..sources import sinks as SK  # noqa: E402
+from ..sources import trace as TR  # noqa: E402
+from ..operators import tokens as T  # noqa: E402
+
+W = FX.with_fixtures
+
+
+def _json_lines(spark, sf):
+    """Event-log lines rebuilt from the events table, with envelope defects:
+    string timestamp (k % 23), no pid (k % 19), no comm (k % 29), broken JSON
+    (k % 31)."""
+    raw = FX.raw_events(spark, sf)
+    k = F.col("k")
+    line = F.concat(
+        F.when(k % 31 == 0, F.lit("[")).otherwise(F.lit("{")),
+        F.when(k % 23 == 0, F.lit('"timestamp": "x", '))
+         .otherwise(F.format_string('"timestamp": %d, ', "timestamp_ms")),
+        F.lit('"source": "process", '),
+        F.when(k % 19 == 0, F.lit("")).otherwise(F.format_string('"pid": %d, ', "pid")),
+        F.when(k % 29 == 0, F.lit("")).otherwise(F.format_string('"comm": "%s", ', "comm")),
+        F.format_string('"data": {"k": %d}}', k))
+    return raw.select(F.col("seq").alias("line_order"), F.lit("events").alias("file"), line.alias("line")) \
+        .withColumn("v", F.expr("try_parse_json(line)"))
+
+
+_LINES_SQL = [("lines", """SELECT seq, CASE WHEN k % 31 = 0 THEN '[' ELSE '{' END
+        || CASE WHEN k % 23 = 0 THEN '"timestamp": "x", ' ELSE '"timestamp": ' || timestamp_ms || ', ' END
+        || '"source": "process", '
+        || CASE WHEN k % 19 = 0 THEN '' ELSE '"pid": ' || pid || ', ' END
+        || CASE WHEN k % 29 = 0 THEN '' ELSE '"comm": "' || comm || '", ' END
+        || '"data": {"k": ' || k || '}}' AS line FROM raw"""),
+              ("good", """SELECT seq, line, json_type(line, '$.timestamp') AS tt, json_type(line, '$.pid') AS pt,
+        json_type(line, '$.comm') AS ct, TRY_CAST(json_extract_string(line, '$.timestamp') AS BIGINT) AS ts,
+        TRY_CAST(json_extract_string(line, '$.pid') AS BIGINT) AS p, json_extract_string(line, '$.comm') AS c
+        FROM lines WHERE json_valid(line)"""),
+              ("checked", """SELECT seq, line, ts, p, c,
+        CASE WHEN NOT coalesce(tt IN ('UBIGINT', 'BIGINT') AND ts >= 0, false) THEN 'missing timestamp'
+             WHEN NOT coalesce(pt IN ('UBIGINT', 'BIGINT') AND p >= 0, false) THEN 'missing pid'
+             WHEN ct IS DISTINCT FROM 'VARCHAR' THEN 'missing comm' END AS reason FROM good
+        UNION ALL SELECT seq, line, NULL, NULL, NULL, 'invalid json' FROM lines WHERE NOT json_valid(line)""")]
+
+
+@register("s2_split_valid_diagnostics", W(["raw"], """
+    SELECT seq AS line_order, reason, ts AS timestamp, coalesce(p, 0) AS pid, coalesce(c, 'process') AS comm,
+        row_number() OVER (ORDER BY seq) AS parse_error_count
+    FROM checked WHERE reason IS NOT NULL""", _LINES_SQL))
+def s2_split_valid_diagnostics(spark, sf):
+    _, diag = TR.split_valid(_json_lines(spark, sf))
+    return diag.select("line_order", "reason", "timestamp", "pid", "comm", "parse_error_count")
+
+
+@register("s1_trace_events_by_comm", W(["raw"], """
+    SELECT c AS comm, count(*) AS events, min(ts) AS first_timestamp, max(ts) AS last_timestamp
+    FROM checked WHERE reason IS NULL GROUP BY c""", _LINES_SQL))
+def s1_trace_events_by_comm(spark, sf):
+    ev, _ = TR.split_valid(_json_lines(spark, sf))
+    return ev.groupBy("comm").agg(F.count(F.lit(1)).alias("events"), F.min("timestamp").alias("first_timestamp"),
+                                  F.max("timestamp").alias("last_timestamp"))
+
+
+_SPANS_SQL = """SELECT left(sha256(session_id), 32) AS trace_id, substr(sha256(id), 33, 16) AS span_id,
+        'traceframe' AS service_name, 'chat ' || coalesce(model, 'unknown') AS name, 3 AS kind,
+        start_timestamp_ms * 1000000 AS start_unix_nano, end_timestamp_ms * 1000000 AS end_unix_nano,
+        CASE WHEN status_code >= 400 THEN 2 ELSE 1 END AS status_code,
+        CASE WHEN status_code >= 400 THEN 'HTTP ' || status_code END AS status_message,
+        3 + (model IS NOT NULL)::INT + (status_code IS NOT NULL)::INT AS attribute_count, id
+    FROM calls_latest WHERE end_timestamp_ms IS NOT NULL"""
+
+
+@register("s12_genai_spans", W(["llm_calls"], _SPANS_SQL, [("calls_latest", "SELECT * FROM llm_calls QUALIFY "
+                                                           "row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")]))
+def s12_genai_spans(spark, sf):
+    sp = SK.genai_spans(T.latest_calls(FX.llm_calls(spark, sf)), trace_col="session_id")
+    return sp.withColumn("attribute_count", F.size("attributes")).drop("attributes")
+
+
+@register("s13_spans_to_traces", W(["llm_calls"], f"""
+    SELECT trace_id, count(*) AS span_count, min(start_unix_nano) AS first_start_unix_nano,
+        count(*) FILTER (WHERE status_code = 2) AS error_spans,
+        arg_min(name, (start_unix_nano, span_id)) AS root_name
+    FROM ({_SPANS_SQL}) GROUP BY trace_id""", [("calls_latest", "SELECT * FROM llm_calls QUALIFY "
+                                                "row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")]))
+def s13_spans_to_traces(spark, sf):
+    sp = SK.genai_spans(T.latest_calls(FX.llm_calls(spark, sf)), trace_col="session_id")
+    return SK.spans_to_traces(sp)
