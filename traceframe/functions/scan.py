@@ -69,3 +69,26 @@ def next_value(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
     blocks = blocks.withColumn("_carry", F.lead("_bfirst").over(w_blk)).drop("_bfirst")
     x = x.join(blocks, keys + ["_bk"], "left")
     return x.withColumn(out, F.coalesce("_local", "_carry")).drop("_bk", "_local", "_carry")
+
+
+def prev_value(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
+               value: str, out: str) -> DataFrame:
+    """``lag(value)`` per ``keys`` in ``order``, two-level: the local lag
+    within (key, bucket), else the last value of the previous non-empty bucket."""
+    x = df.withColumn("_bk", bucket)
+    w_local = Window.partitionBy(*keys, "_bk").orderBy(*order)
+    x = x.withColumn("_local", F.lag(value).over(w_local))
+    x = x.withColumn("_first", F.row_number().over(w_local) == 1)
+    ordkey = F.struct(*[F.col(c) for c in order])
+    blocks = x.groupBy(*keys, "_bk").agg(F.max_by(value, ordkey).alias("_blast"))
+    w_blk = Window.partitionBy(*keys).orderBy("_bk")
+    blocks = blocks.withColumn("_carry", F.lag("_blast").over(w_blk)).drop("_blast")
+    x = x.join(blocks, keys + ["_bk"], "left")
+    return (x.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_local")))
+            .drop("_bk", "_local", "_carry", "_first"))
+
+
+def global_index(df: DataFrame, bucket: Column, order: list[str], out: str = "row_index") -> DataFrame:
+    """0-based position of each row in a global order without a
+    single-partition window: a running count over (bucket) blocks."""
+    return running_sum(df, [], bucket, order, F.lit(1).cast("bigint"), out, inclusive=False)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from ..sources import sinks as SK  # noqa: E402
 from ..sources import trace as TR  # noqa: E402
 from ..operators import tokens as T  # noqa: E402
+from .sql_common import AUDIT, PROCESS_CTES  # noqa: E402
 
 W = FX.with_fixtures
 
@@ -102,3 +103,159 @@ def s12_genai_spans(spark, sf):
 def s13_spans_to_traces(spark, sf):
     sp = SK.genai_spans(T.latest_calls(FX.llm_calls(spark, sf)), trace_col="session_id")
     return SK.spans_to_traces(sp)
+
+
+# ---- timeline views ---------------------------------------------------------
+
+from ..operators import timeline as TL  # noqa: E402
+from ..operators import process as P  # noqa: E402
+from ..operators import audit as A  # noqa: E402
+
+
+def _tl_events(spark, sf):
+    return FX.canonical_events(spark, sf).select("seq", "timestamp_ms", "pid", "tid", "comm",
+                                                 F.col("kind").alias("source"), "event")
+
+
+_TL = [("tl", "SELECT seq, timestamp_ms, pid, tid, comm, kind AS source, event FROM canon"),
+       ("b", "SELECT *, CAST(floor((timestamp_ms - (SELECT min(timestamp_ms) FROM tl)) / 60000) AS BIGINT) AS bucket FROM tl")]
+
+
+@register("a26_time_buckets", W(["canon"], """
+    SELECT t.bucket, t.count, s.sources, t.bucket * 60 / 60 AS minute FROM
+      (SELECT bucket, count(*) AS count FROM b GROUP BY bucket ORDER BY count DESC, bucket LIMIT 10) t
+    LEFT JOIN (SELECT bucket, string_agg(source || ':' || c, ', ' ORDER BY r) AS sources FROM (
+        SELECT bucket, source, count(*) AS c, row_number() OVER (PARTITION BY bucket ORDER BY count(*) DESC, min(seq)) AS r
+        FROM b GROUP BY bucket, source) WHERE r <= 3 GROUP BY bucket) s ON t.bucket = s.bucket""", _TL))
+def a26_time_buckets(spark, sf):
+    return TL.time_buckets(_tl_events(spark, sf))
+
+
+@register("a26_time_summary", W(["canon"], """
+    SELECT duration_s, active_buckets, CAST(floor(duration_s / 60) AS BIGINT) + 1 AS total_buckets,
+        round(active_buckets / (CAST(floor(duration_s / 60) AS BIGINT) + 1) * 100, 4) AS coverage_pct,
+        gaps, avg_gap_s, max_gap_s, inactive_s FROM (
+      SELECT count(*) AS active_buckets, (max(m) - (SELECT min(timestamp_ms) FROM tl)) / 1000 AS duration_s,
+        count(*) FILTER (WHERE gap > 0) AS gaps, round(avg(CASE WHEN gap > 0 THEN gap * 60 END), 4) AS avg_gap_s,
+        max(CASE WHEN gap > 0 THEN gap * 60 END) AS max_gap_s,
+        coalesce(sum(CASE WHEN gap > 0 THEN gap * 60 END), 0) AS inactive_s
+      FROM (SELECT bucket, m, bucket - lag(bucket) OVER (ORDER BY bucket) - 1 AS gap
+            FROM (SELECT bucket, max(timestamp_ms) AS m FROM b GROUP BY bucket)))""", _TL))
+def a26_time_summary(spark, sf):
+    return TL.time_summary(_tl_events(spark, sf))
+
+
+@register("w8_time_anomalies", W(["canon"], """
+    SELECT pid, tid, prev_seq, seq, abs(timestamp_ms - prev_ts) AS gap_ms FROM (
+        SELECT *, lag(seq) OVER w AS prev_seq, lag(timestamp_ms) OVER w AS prev_ts FROM tl
+        WINDOW w AS (PARTITION BY pid, tid ORDER BY seq))
+    WHERE prev_seq IS NOT NULL AND seq - prev_seq <= 10 AND abs(timestamp_ms - prev_ts) > 3600000""", _TL))
+def w8_time_anomalies(spark, sf):
+    # pid/tid of the HTTP thread view: tid = pid % 3, so several threads share a pid
+    e = _tl_events(spark, sf)
+    return TL.time_anomalies(e, 10, 3_600_000)
+
+
+@register("w9_simultaneous", W(["canon"], """
+    SELECT pid, tid, timestamp_ms // 1000 AS second, count(*) AS events, min(seq) AS first_seq
+    FROM tl GROUP BY 1, 2, 3 HAVING count(*) > 1""", _TL))
+def w9_simultaneous(spark, sf):
+    return TL.simultaneous(_tl_events(spark, sf))
+
+
+@register("f25_sample_evenly", W(["canon"], """
+    SELECT seq, timestamp_ms, i AS sample_index FROM (
+        SELECT seq, timestamp_ms, row_number() OVER (ORDER BY timestamp_ms, seq) - 1 AS i, count(*) OVER () AS n FROM tl)
+    WHERE n <= 20 OR (i % greatest(n // 20, 1) = 0 AND i / greatest(n // 20, 1) < 20)""", _TL))
+def f25_sample_evenly(spark, sf):
+    return TL.sample_evenly(_tl_events(spark, sf), 20).select("seq", "timestamp_ms", "sample_index")
+
+
+@register("u4_timeline_groups", W(["canon"], """
+    SELECT source, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms, count(*) AS events,
+        round((min(timestamp_ms) - (SELECT min(timestamp_ms) FROM tl)) / greatest((SELECT max(timestamp_ms) - min(timestamp_ms) FROM tl), 1), 6) AS start_pos,
+        round((max(timestamp_ms) - (SELECT min(timestamp_ms) FROM tl)) / greatest((SELECT max(timestamp_ms) - min(timestamp_ms) FROM tl), 1), 6) AS end_pos
+    FROM tl GROUP BY source""", _TL))
+def u4_timeline_groups(spark, sf):
+    return TL.timeline_groups(_tl_events(spark, sf))
+
+
+def _flat(spark, sf):
+    ev, diag = TR.split_valid(_json_lines(spark, sf))
+    a = ev.select(F.col("line_order").alias("seq"), "source", "comm", "pid",
+                  F.col("timestamp").alias("timestamp_ms"), F.lit(None).cast("string").alias("error"))
+    b = diag.select(F.col("line_order").alias("seq"), F.lit("diagnostic").alias("source"), "comm", "pid",
+                    F.col("timestamp").alias("timestamp_ms"), F.col("reason").alias("error"))
+    return a.unionByName(b)
+
+
+@register("a25_event_log_summary", W(["raw"], """
+    SELECT 'totals' AS category, 'total' AS key, count(*) AS value FROM checked
+    UNION ALL SELECT 'totals', 'valid', count(*) FILTER (WHERE reason IS NULL) FROM checked
+    UNION ALL SELECT 'totals', 'errors', count(*) FILTER (WHERE reason IS NOT NULL) FROM checked
+    UNION ALL SELECT 'source', 'process', count(*) FROM checked WHERE reason IS NULL HAVING count(*) > 0
+    UNION ALL SELECT 'comm', c, cnt FROM (SELECT c, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, min(seq)) AS r
+        FROM checked WHERE reason IS NULL AND c IS NOT NULL AND c <> '' GROUP BY c) WHERE r <= 5
+    UNION ALL SELECT 'pid', CAST(p AS VARCHAR), cnt FROM (SELECT p, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, min(seq)) AS r
+        FROM checked WHERE reason IS NULL AND p > 0 GROUP BY p) WHERE r <= 5
+    UNION ALL SELECT 'range', 'start_ms', min(ts) FROM checked WHERE reason IS NULL AND ts > 0
+    UNION ALL SELECT 'range', 'end_ms', max(ts) FROM checked WHERE reason IS NULL AND ts > 0""", _LINES_SQL))
+def a25_event_log_summary(spark, sf):
+    return TL.event_log_summary(_flat(spark, sf), 5)
+
+
+def _display(spark, sf):
+    """One display row per audit event, LLM call, token row, network
+    target, process node and resource sample, in time order."""
+    canon = FX.canonical_events(spark, sf)
+    audit = P.audit_from_events(canon).select(
+        "timestamp_ms", F.lit("audit").alias("source"), F.col("audit_type").alias("kind"), "pid", "comm",
+        F.concat_ws(" ", "action", "target", "status").alias("text"))
+    calls = T.latest_calls(FX.llm_calls(spark, sf)).select(
+        F.col("start_timestamp_ms").alias("timestamp_ms"), F.lit("llm_call").alias("source"),
+        F.lit("llm").alias("kind"), "pid", "comm", F.concat_ws(" ", "model", "status").alias("text"))
+    toks = FX.token_usage(spark, sf).select(
+        "timestamp_ms", F.lit("token_usage").alias("source"), F.col("source").alias("kind"), "pid", "comm",
+        F.format_string("%s %d tokens", F.coalesce("model", F.lit("unknown")), "total_tokens").alias("text"))
+    nodes = P.process_nodes(canon).select(
+        F.coalesce("start_timestamp_ms", "end_timestamp_ms").alias("timestamp_ms"), F.lit("process").alias("source"),
+        F.lit("process").alias("kind"), "pid", "comm", F.concat_ws(" ", "command", "status").alias("text"))
+    samples = FX.resource_samples(spark, sf).select(
+        "timestamp_ms", F.lit("resource").alias("source"), F.lit("sample").alias("kind"), "pid", "comm",
+        F.format_string("cpu %.2f rss %d", "cpu_percent", "rss_mb").alias("text"))
+    return audit.unionByName(calls).unionByName(toks).unionByName(nodes).unionByName(samples)
+
+
+_DISPLAY_SQL = [("audit", AUDIT)] + PROCESS_CTES + [
+    ("calls_latest", "SELECT * FROM llm_calls QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"),
+    ("display", """SELECT timestamp_ms, 'audit' AS source, audit_type AS kind, pid, comm,
+            concat_ws(' ', action, target, status) AS text FROM audit
+        UNION ALL SELECT start_timestamp_ms, 'llm_call', 'llm', pid, comm, concat_ws(' ', model, status) FROM calls_latest
+        UNION ALL SELECT timestamp_ms, 'token_usage', source, pid, comm,
+            coalesce(model, 'unknown') || ' ' || total_tokens || ' tokens' FROM token_usage
+        UNION ALL SELECT coalesce(start_timestamp_ms, end_timestamp_ms), 'process', 'process', pid, comm,
+            concat_ws(' ', command, status) FROM nodes
+        UNION ALL SELECT timestamp_ms, 'resource', 'sample', pid, comm,
+            printf('cpu %.2f rss %d', cpu_percent, rss_mb) FROM resource_samples""")]
+
+
+@register("u2_display_events", W(["canon", "llm_calls", "token_usage", "resource_samples"],
+                                 "SELECT * FROM display ORDER BY timestamp_ms", _DISPLAY_SQL))
+def u2_display_events(spark, sf):
+    return _display(spark, sf).orderBy("timestamp_ms")
+
+
+@register("f16_filter_display_events", W(["canon", "llm_calls", "token_usage", "resource_samples"], """
+    SELECT * FROM display WHERE comm = 'codex'
+      AND contains(lower(concat_ws(' ', CAST(timestamp_ms AS VARCHAR), source, kind, CAST(pid AS VARCHAR), comm, text)), 'model-3')""",
+    _DISPLAY_SQL))
+def f16_filter_display_events(spark, sf):
+    return TL.filter_display_events(_display(spark, sf), comm="codex", text="MODEL-3")
+
+
+@register("f18_filter_options", W(["canon", "llm_calls", "token_usage", "resource_samples"], """
+    SELECT DISTINCT facet, value FROM (
+        SELECT 'kind' AS facet, kind AS value FROM display UNION ALL SELECT 'source', source FROM display
+        UNION ALL SELECT 'comm', comm FROM display) WHERE value IS NOT NULL ORDER BY facet, value""", _DISPLAY_SQL))
+def f18_filter_options(spark, sf):
+    return TL.filter_options(_display(spark, sf), ("kind", "source", "comm"))
