@@ -161,8 +161,10 @@ def process_lineage(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     unknown is a root. ``max_depth`` bounds the walk (cycles stop there).
     Output: pid, root_pid, depth.
     """
+    from ..session import cut_lineage
     spark = edges.sparkSession
-    e = _tmp(edges.select("pid", "ppid"), "edges")
+    # stored input: the recursion re-runs its inputs at every level
+    e = _tmp(cut_lineage(edges.select("pid", "ppid")), "edges")
     q = f"""
     WITH RECURSIVE up(pid, anc, depth) AS (
       SELECT pid, pid, 0 FROM {e}

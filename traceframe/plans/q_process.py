@@ -66,3 +66,80 @@ def j6_process_parents(spark, sf):
            "WHERE e.ppid <> e.pid AND e.ppid IS NOT NULL AND up.depth < 64")], recursive=True))
 def j6_process_lineage(spark, sf):
     return P.process_lineage(P.process_edges(FX.canonical_events(spark, sf)))
+
+
+# ---- families, roots, related pids, attribution -----------------------------
+
+from ..operators import audit as A  # noqa: E402
+from ..operators import family as FM  # noqa: E402
+
+AGENT_COMMS = ["claude", "codex"]
+
+
+def _procs(spark, sf):
+    return FX.proc_samples(spark, sf).select("pid", "ppid", "comm").distinct()
+
+
+def _roots(spark, sf):
+    p = _procs(spark, sf)
+    return FM.root_processes(p, F.col("comm").isin(*AGENT_COMMS))
+
+
+_FAM_SQL = [
+    ("procs", "SELECT DISTINCT pid, ppid, comm FROM proc_samples"),
+    ("edges", "SELECT DISTINCT pid, ppid FROM procs WHERE ppid IS NOT NULL AND ppid <> pid"),
+    ("up", "SELECT pid, ppid AS anc, 1 AS depth FROM edges UNION ALL "
+           "SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN edges e ON up.anc = e.pid WHERE up.depth < 64"),
+    ("m", "SELECT DISTINCT pid FROM procs WHERE comm IN ('claude', 'codex')"),
+    ("roots", "SELECT pid FROM m WHERE pid NOT IN (SELECT up.pid FROM up JOIN m ON up.anc = m.pid)"),
+    ("edges_nr", "SELECT * FROM edges WHERE pid NOT IN (SELECT pid FROM roots)"),
+    ("fam", "SELECT pid AS root_pid, pid, 0 AS depth FROM roots UNION ALL "
+            "SELECT fam.root_pid, e.pid, fam.depth + 1 FROM fam JOIN edges_nr e ON e.ppid = fam.pid WHERE fam.depth < 64"),
+]
+
+
+@register("j9_root_processes", W(["proc_samples"], "SELECT pid FROM roots", _FAM_SQL, recursive=True))
+def j9_root_processes(spark, sf):
+    return _roots(spark, sf)
+
+
+@register("j8_process_family", W(["proc_samples"], "SELECT root_pid, pid, min(depth) AS depth FROM fam "
+                                                    "GROUP BY root_pid, pid", _FAM_SQL, recursive=True))
+def j8_process_family(spark, sf):
+    return FM.process_family(_procs(spark, sf), _roots(spark, sf)).withColumn("depth", F.col("depth").cast("int"))
+
+
+@register("j7_related_pids", W(["proc_samples", "canon"], """
+    SELECT target, related_pid, ['self', 'parent', 'descendant', 'sibling'][min(o) + 1] AS relation FROM (
+        SELECT pid AS target, pid AS related_pid, 0 AS o FROM targets
+        UNION ALL SELECT t.pid, e.ppid, 1 FROM targets t JOIN edges e ON t.pid = e.pid
+        UNION ALL SELECT t.pid, up.pid, 2 FROM targets t JOIN up ON up.anc = t.pid
+        UNION ALL SELECT t.pid, s.pid, 3 FROM targets t JOIN edges p ON t.pid = p.pid
+            JOIN edges s ON s.ppid = p.ppid WHERE s.pid <> t.pid)
+    GROUP BY target, related_pid""", _FAM_SQL + [
+    ("targets", "SELECT DISTINCT pid FROM canon WHERE event = 'EXIT' AND exit_code = 2 AND pid % 4 = 1")],
+    recursive=True))
+def j7_related_pids(spark, sf):
+    c = FX.canonical_events(spark, sf)
+    targets = c.where((F.col("event") == "EXIT") & (F.col("exit_code") == 2) & (F.col("pid") % 4 == 1)).select("pid")
+    return FM.related_pids(_procs(spark, sf), targets)
+
+
+@register("j16_attribute_counters", W(["proc_samples", "canon"], """
+    SELECT CAST(root_pid AS VARCHAR) AS root_pid, CAST(sum(process_execs) AS BIGINT) AS process_execs,
+        CAST(sum(file_events) AS BIGINT) AS file_events, CAST(sum(network_events) AS BIGINT) AS network_events,
+        count(DISTINCT c.pid) AS pids
+    FROM counters c JOIN fam f ON c.pid = f.pid GROUP BY root_pid
+    UNION ALL
+    SELECT 'unattributed', CAST(coalesce(sum(process_execs), 0) AS BIGINT), CAST(coalesce(sum(file_events), 0) AS BIGINT),
+        CAST(coalesce(sum(network_events), 0) AS BIGINT), count(DISTINCT pid)
+    FROM counters WHERE pid NOT IN (SELECT pid FROM fam)""", [("audit", AUDIT)] + _FAM_SQL + [
+    ("counters", "SELECT pid, count(*) FILTER (WHERE audit_type = 'process' AND action = 'exec') AS process_execs, "
+                 "count(*) FILTER (WHERE audit_type = 'file') AS file_events, "
+                 "count(*) FILTER (WHERE audit_type = 'network') AS network_events "
+                 "FROM audit WHERE pid % 3 <> 0 OR pid > 40 GROUP BY pid")], recursive=True))
+def j16_attribute_counters(spark, sf):
+    counters = A.audit_counters(P.audit_from_events(FX.canonical_events(spark, sf)), by_pid=True) \
+        .where((F.col("pid") % 3 != 0) | (F.col("pid") > 40))
+    fam = FM.process_family(_procs(spark, sf), _roots(spark, sf))
+    return FM.attribute_counters(fam, counters, ["process_execs", "file_events", "network_events"])
