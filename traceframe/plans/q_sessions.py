@@ -258,3 +258,109 @@ def a10_dedup_usage(spark, sf):
     HAVING count(*) FILTER (WHERE kind = 'prompt') + count(*) FILTER (WHERE kind = 'llm') > 0""", IDX_CTES))
 def a9_session_rollup(spark, sf):
     return S.session_rollup(_log(spark, sf))
+
+
+# ---- P1: transcripts (JSONL) → prompts, tools, responses --------------------
+
+from ..operators import sessionlog as SL  # noqa: E402
+from .q_correlate import _clean_sql  # noqa: E402
+
+
+def _p1(spark, sf):
+    return SL.session_events(FX.session_jsonl(spark, sf))
+
+
+_WRAP = "[" + ", ".join(f"'{w}'" for w in SL.WRAPPERS) + "]"
+
+
+def _words(xs):
+    return "[" + ", ".join(f"'{w}'" for w in xs) + "]"
+
+
+_BASENAME = f"""coalesce(nullif(CASE WHEN len(parts) = 0 THEN NULL ELSE base[
+        [i FOR i IN range(1, len(parts) + 1) IF NOT list_contains({_WRAP}, base[i])
+            AND NOT (starts_with(parts[i], '-') AND i > 1 AND list_contains({_WRAP}, base[greatest(i - 1, 1)]))][1]] END, ''), 'none')"""
+
+_P1_SQL = [
+    ("p", """SELECT file, line_no, line, line->>'$.type' AS type, coalesce(line->>'$.sessionId', file) AS session_id,
+            epoch_ms(CAST(line->>'$.timestamp' AS TIMESTAMPTZ)) AS timestamp_ms,
+            json_type(line, '$.message.content') AS ct FROM session_jsonl WHERE json_valid(line)"""),
+    ("blocks", """SELECT *, json_extract(line, '$.message.content[' || block_no || ']') AS b FROM (
+            SELECT *, unnest(range(CAST(json_array_length(line, '$.message.content') AS BIGINT))) AS block_no
+            FROM p WHERE ct = 'ARRAY')"""),
+    ("prompt_raw", """SELECT session_id, line_no, timestamp_ms, line->>'$.message.content' AS raw_text FROM p
+            WHERE type = 'user' AND ct = 'VARCHAR'
+            UNION ALL
+            SELECT session_id, line_no, timestamp_ms, string_agg(b->>'$.text', chr(10) ORDER BY block_no)
+            FROM blocks WHERE type = 'user' AND b->>'$.type' = 'text' GROUP BY session_id, line_no, timestamp_ms"""),
+    ("prompts", f"""SELECT session_id, line_no AS position, timestamp_ms, text, left(sha256(text), 12) AS text_hash
+            FROM (SELECT *, {_clean_sql('raw_text')} AS text FROM prompt_raw) WHERE text IS NOT NULL"""),
+    ("results", """SELECT session_id, call_id, arg_max(is_error, result_line) AS is_error FROM (
+            SELECT session_id, line_no AS result_line, b->>'$.tool_use_id' AS call_id,
+                coalesce(TRY_CAST(line->>'$.toolUseResult.is_error' AS BOOLEAN), TRY_CAST(b->>'$.is_error' AS BOOLEAN), false) AS is_error
+            FROM blocks WHERE type = 'user' AND b->>'$.type' = 'tool_result') GROUP BY session_id, call_id"""),
+    ("tools0", """SELECT session_id, line_no AS position, timestamp_ms, b->>'$.name' AS tool_name, b->>'$.id' AS call_id,
+            coalesce(b->>'$.input.command', b->>'$.input.file_path', b->>'$.input.url', '') AS command
+            FROM blocks WHERE type = 'assistant' AND b->>'$.type' = 'tool_use'"""),
+    ("tools1", f"""SELECT t.*, CASE WHEN r.is_error IS NULL THEN 'observed' WHEN r.is_error THEN 'fail' ELSE 'ok' END AS status,
+            translate(coalesce(tool_name, ''), '{S.UPPER}', '{S.LOWER}') AS n,
+            translate(command, '{S.UPPER}', '{S.LOWER}') AS lt,
+            list_filter(string_split_regex(command, '\\s+'), lambda y: y <> '') AS parts
+            FROM tools0 t LEFT JOIN results r ON t.session_id = r.session_id AND t.call_id = r.call_id"""),
+    ("tools2", f"""SELECT *, list_transform(parts, lambda q: string_split(q, '/')[-1]) AS base FROM tools1"""),
+    ("tools3", f"""SELECT *, {_BASENAME} AS cmd_name,
+            CASE WHEN ends_with(n, 'exec_command') OR n IN ('bash') THEN 'shell'
+                 WHEN n IN {tuple(SL.EDIT_TOOLS)} THEN 'edit' WHEN n IN {tuple(SL.READ_TOOLS)} THEN 'read'
+                 WHEN contains(n, 'web') OR contains(n, 'browser') OR contains(n, 'search') OR contains(command, 'http') THEN 'network'
+                 WHEN contains(n, 'plan') OR contains(n, 'todo') THEN 'plan'
+                 WHEN contains(n, 'task') OR contains(n, 'agent') THEN 'subagent' ELSE 'tool' END AS category
+            FROM tools2"""),
+    ("tools", f"""SELECT session_id, position, timestamp_ms, tool_name, call_id, command, status, category,
+            CASE WHEN category = 'shell' THEN cmd_name ELSE '' END AS command_name,
+            CASE WHEN category <> 'shell' THEN category
+                 WHEN cmd_name IN {tuple(SL.TEST_CMDS)} AND list_has_any(string_split_regex(lt, '[^a-z0-9_]+'), {_words(SL.TEST_WORDS)}) THEN 'test'
+                 WHEN cmd_name = 'git' AND list_has_any(string_split_regex(lt, '[^a-z0-9_]+'), {_words(SL.REPO_WORDS)}) THEN 'repo'
+                 WHEN cmd_name IN {tuple(SL.NET_CMDS)} AND (list_has_any(string_split_regex(lt, '[^a-z0-9_]+'), {_words(SL.NET_WORDS)})
+                      OR contains(lt, 'http://') OR contains(lt, 'https://')) THEN 'network'
+                 WHEN cmd_name IN {tuple(SL.WRITE_CMDS)} AND ({' OR '.join(f"contains(lt, '{m}')" for m in SL.WRITE_MARKS)}) THEN 'write'
+                 WHEN cmd_name IN {tuple(SL.READ_CMDS)} THEN 'read'
+                 WHEN contains(lt, 'http://') OR contains(lt, 'https://') OR contains(lt, 'crates.io') OR contains(lt, 'github.com') THEN 'network'
+                 ELSE 'process' END AS effect FROM tools3"""),
+    ("atext", """SELECT session_id, line_no, string_agg(b->>'$.text', chr(10) ORDER BY block_no) AS text
+            FROM blocks WHERE type = 'assistant' AND b->>'$.type' = 'text' GROUP BY session_id, line_no"""),
+    ("a", """SELECT p.session_id, coalesce(line->>'$.message.id', line->>'$.requestId', p.session_id || ':' || p.line_no) AS message_id,
+            p.line_no, timestamp_ms, coalesce(line->>'$.message.model', 'unknown') AS model,
+            coalesce(TRY_CAST(line->>'$.message.usage.input_tokens' AS BIGINT), 0) AS input_tokens,
+            coalesce(TRY_CAST(line->>'$.message.usage.output_tokens' AS BIGINT), 0) AS output_tokens,
+            coalesce(TRY_CAST(line->>'$.message.usage.cache_creation_input_tokens' AS BIGINT), 0)
+              + coalesce(TRY_CAST(line->>'$.message.usage.cache_read_input_tokens' AS BIGINT), 0) AS cache_tokens,
+            coalesce(x.text, '') AS text
+            FROM p LEFT JOIN atext x ON p.session_id = x.session_id AND p.line_no = x.line_no WHERE p.type = 'assistant'"""),
+    ("llm", """SELECT session_id, message_id, min(line_no) AS position, arg_min(timestamp_ms, line_no) AS timestamp_ms,
+            arg_min(model, line_no) AS model, arg_min(input_tokens, line_no) AS input_tokens,
+            arg_min(output_tokens, line_no) AS output_tokens, arg_min(cache_tokens, line_no) AS cache_tokens,
+            left(sha256(string_agg(text, '' ORDER BY line_no)), 12) AS text_hash
+            FROM a GROUP BY session_id, message_id"""),
+]
+
+
+@register("p1_prompts", W(["session_jsonl"], "SELECT * FROM prompts", _P1_SQL))
+def p1_prompts(spark, sf):
+    return _p1(spark, sf)[0]
+
+
+@register("p1_tools", W(["session_jsonl"], "SELECT * FROM tools", _P1_SQL))
+def p1_tools(spark, sf):
+    return _p1(spark, sf)[1].select("session_id", "position", "timestamp_ms", "tool_name", "call_id", "command",
+                                    "status", "category", "command_name", "effect")
+
+
+@register("p1_llm_responses", W(["session_jsonl"], "SELECT * FROM llm", _P1_SQL))
+def p1_llm_responses(spark, sf):
+    return _p1(spark, sf)[2]
+
+
+@register("w12_tool_status", W(["session_jsonl"], "SELECT status, count(*) AS tools FROM tools GROUP BY status",
+                               _P1_SQL))
+def w12_tool_status(spark, sf):
+    return _p1(spark, sf)[1].groupBy("status").agg(F.count(F.lit(1)).alias("tools"))

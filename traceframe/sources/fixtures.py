@@ -226,6 +226,73 @@ def llm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.unionByName(resp)
 
 
+# Fixed values of the transcript fixture: tool names and shell commands.
+TOOLS = ["Bash", "Read", "Edit", "WebFetch"]
+COMMANDS = ["cargo test --all", "git commit -m fix", "curl https://h%d.example.com/x", "ls -la /repo",
+            "sudo -E python3 run.py > out.txt"]
+EPOCH_2024_MS = 1704067200000
+
+
+def session_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent transcripts as JSONL lines (one file per conversation): user
+    prompts (string or text-block content), assistant messages with usage,
+    tool_use blocks on a second line of the same message, tool results, and
+    system lines. Columns: file, line_no, line."""
+    conv = read_table(spark, sf_dir, "conversations")
+    c, t = F.col("conv_id"), F.col("turn")
+    ts = F.lit(EPOCH_2024_MS) + c * 3600000 + t * 60000 + F.char_length("text") % 30000
+    iso = F.date_format(F.timestamp_millis(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    sid = F.format_string("c-%d", c)
+    base = conv.select("conv_id", "turn", "role", "text", sid.alias("sid"), iso.alias("iso"),
+                       F.format_string("/work/c%d", c % 5).alias("cwd"),
+                       F.format_string("/sessions/c-%d.jsonl", c).alias("file"))
+    head = [F.col("sid").alias("sessionId"), F.col("cwd"), F.col("iso").alias("timestamp")]
+    user = base.where((F.col("role") == "user") & (c % 4 != 2)).select(
+        "file", (t * 3).alias("line_no"),
+        F.to_json(F.struct(F.lit("user").alias("type"), *head,
+                           F.struct(F.lit("user").alias("role"), F.col("text").alias("content")).alias("message")))
+        .alias("line"))
+    user_blocks = base.where((F.col("role") == "user") & (c % 4 == 2)).select(
+        "file", (t * 3).alias("line_no"),
+        F.to_json(F.struct(F.lit("user").alias("type"), *head, F.struct(
+            F.lit("user").alias("role"),
+            F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))
+            .alias("message"))).alias("line"))
+    usage = F.struct((t * 10).alias("input_tokens"), F.expr("char_length(text) div 4").alias("output_tokens"),
+                     (c % 7).alias("cache_read_input_tokens"))
+    msg = lambda content: F.struct(F.format_string("msg-%d-%d", c, t).alias("id"),
+                                   F.format_string("claude-sonnet-%d", c % 3).alias("model"),
+                                   usage.alias("usage"), content.alias("content"))
+    asst = base.where(F.col("role") == "assistant")
+    a_text = asst.select("file", (t * 3).alias("line_no"), F.to_json(F.struct(
+        F.lit("assistant").alias("type"), *head,
+        msg(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))).alias("message")))
+        .alias("line"))
+    k = (c + t) % 4
+    cmd = F.element_at(F.array(*[F.lit(x) for x in COMMANDS]), ((c * 7 + t) % 5 + 1).cast("int"))
+    cmd = F.when(F.instr(cmd, "%d") > 0, F.format_string("curl https://h%d.example.com/x", c)).otherwise(cmd)
+    tool_input = F.struct(
+        F.when(k == 0, cmd).alias("command"),
+        F.when(k.isin(1, 2), F.format_string("/repo/d%d/f%d.py", t % 3, c)).alias("file_path"),
+        F.when(k == 3, F.format_string("https://docs.example.com/p%d", t)).alias("url"))
+    tool_block = F.struct(F.lit("tool_use").alias("type"), F.format_string("tu-%d-%d", c, t).alias("id"),
+                          F.element_at(F.array(*[F.lit(x) for x in TOOLS]), (k + 1).cast("int")).alias("name"),
+                          tool_input.alias("input"))
+    with_tool = asst.where(t % 3 == 1)
+    a_tool = with_tool.select("file", (t * 3 + 1).alias("line_no"), F.to_json(F.struct(
+        F.lit("assistant").alias("type"), *head, msg(F.array(tool_block)).alias("message"))).alias("line"))
+    result = with_tool.where((c + t) % 7 != 0).select("file", (t * 3 + 2).alias("line_no"), F.to_json(F.struct(
+        F.lit("user").alias("type"), *head,
+        F.struct(F.lit("user").alias("role"), F.array(F.struct(
+            F.lit("tool_result").alias("type"), F.format_string("tu-%d-%d", c, t).alias("tool_use_id"),
+            F.lit("done").alias("content"))).alias("content")).alias("message"),
+        F.struct(((c + t) % 5 == 0).alias("is_error")).alias("toolUseResult"))).alias("line"))
+    system = base.where(F.col("role") == "system").select("file", (t * 3).alias("line_no"), F.to_json(F.struct(
+        F.lit("system").alias("type"), *head, F.col("text").alias("content"))).alias("line"))
+    return user.unionByName(user_blocks).unionByName(a_text).unionByName(a_tool).unionByName(result) \
+        .unionByName(system)
+
+
 URL_HOST = r"^https?://([^/?#]+)"
 URL_PATH = r"^https?://[^/?#]+([^?#]*)"
 URL_QUERY = r"\?([^#]*)"
@@ -355,11 +422,57 @@ SQL: dict[str, str] = {
         FROM http_base""",
 }
 
+_CMDS_SQL = "[" + ", ".join("'" + x + "'" for x in COMMANDS) + "]"
+_TOOLS_SQL = "[" + ", ".join("'" + x + "'" for x in TOOLS) + "]"
+SQL["jsonl_base"] = f"""SELECT conv_id AS c, turn AS t, role, text, 'c-' || conv_id AS sid,
+        strftime(make_timestamp(({EPOCH_2024_MS} + conv_id * 3600000 + turn * 60000 + length(text) % 30000) * 1000),
+                 '%Y-%m-%dT%H:%M:%S.%gZ') AS iso,
+        '/work/c' || (conv_id % 5) AS cwd, '/sessions/c-' || conv_id || '.jsonl' AS file,
+        (conv_id + turn) % 4 AS k,
+        CASE WHEN strpos({_CMDS_SQL}[(conv_id * 7 + turn) % 5 + 1], '%d') > 0
+             THEN 'curl https://h' || conv_id || '.example.com/x' ELSE {_CMDS_SQL}[(conv_id * 7 + turn) % 5 + 1] END AS cmd
+    FROM conversations"""
+SQL["session_jsonl"] = f"""
+    SELECT file, t * 3 AS line_no, json_object('type', 'user', 'sessionId', sid, 'cwd', cwd, 'timestamp', iso,
+        'message', json_object('role', 'user', 'content', text))::VARCHAR AS line
+    FROM jsonl_base WHERE role = 'user' AND c % 4 <> 2
+    UNION ALL
+    SELECT file, t * 3, json_object('type', 'user', 'sessionId', sid, 'cwd', cwd, 'timestamp', iso,
+        'message', json_object('role', 'user', 'content', json_array(json_object('type', 'text', 'text', text))))::VARCHAR
+    FROM jsonl_base WHERE role = 'user' AND c % 4 = 2
+    UNION ALL
+    SELECT file, t * 3, json_object('type', 'assistant', 'sessionId', sid, 'cwd', cwd, 'timestamp', iso,
+        'message', json_object('id', 'msg-' || c || '-' || t, 'model', 'claude-sonnet-' || (c % 3),
+            'usage', json_object('input_tokens', t * 10, 'output_tokens', length(text) // 4, 'cache_read_input_tokens', c % 7),
+            'content', json_array(json_object('type', 'text', 'text', text))))::VARCHAR
+    FROM jsonl_base WHERE role = 'assistant'
+    UNION ALL
+    SELECT file, t * 3 + 1, json_object('type', 'assistant', 'sessionId', sid, 'cwd', cwd, 'timestamp', iso,
+        'message', json_object('id', 'msg-' || c || '-' || t, 'model', 'claude-sonnet-' || (c % 3),
+            'usage', json_object('input_tokens', t * 10, 'output_tokens', length(text) // 4, 'cache_read_input_tokens', c % 7),
+            'content', json_array(json_object('type', 'tool_use', 'id', 'tu-' || c || '-' || t,
+                'name', {_TOOLS_SQL}[k + 1],
+                'input', CASE WHEN k = 0 THEN json_object('command', cmd)
+                              WHEN k IN (1, 2) THEN json_object('file_path', '/repo/d' || (t % 3) || '/f' || c || '.py')
+                              ELSE json_object('url', 'https://docs.example.com/p' || t) END))))::VARCHAR
+    FROM jsonl_base WHERE role = 'assistant' AND t % 3 = 1
+    UNION ALL
+    SELECT file, t * 3 + 2, json_object('type', 'user', 'sessionId', sid, 'cwd', cwd, 'timestamp', iso,
+        'message', json_object('role', 'user', 'content', json_array(json_object('type', 'tool_result',
+            'tool_use_id', 'tu-' || c || '-' || t, 'content', 'done'))),
+        'toolUseResult', json_object('is_error', (c + t) % 5 = 0))::VARCHAR
+    FROM jsonl_base WHERE role = 'assistant' AND t % 3 = 1 AND (c + t) % 7 <> 0
+    UNION ALL
+    SELECT file, t * 3, json_object('type', 'system', 'sessionId', sid, 'cwd', cwd, 'timestamp', iso,
+        'content', text)::VARCHAR
+    FROM jsonl_base WHERE role = 'system'"""
+
 # CTE dependencies, in definition order.
 SQL_DEPS = {
     "raw": [], "token_usage": ["raw"], "llm_calls": ["raw"], "sessions": ["raw"],
     "canon": ["raw"], "resource_samples": ["raw"], "proc_samples": ["raw"],
     "session_log": [], "http_base": [], "http": ["http_base"],
+    "jsonl_base": [], "session_jsonl": ["jsonl_base"],
 }
 
 
