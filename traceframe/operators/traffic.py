@@ -242,3 +242,69 @@ def timeline_summary(http: DataFrame) -> DataFrame:
         (F.max("timestamp_ms") - F.min("timestamp_ms")).alias("duration_ms"))
     return s.withColumn("bytes_per_second", F.round(
         F.when(F.col("duration_ms") > 0, F.col("total_bytes") / (F.col("duration_ms") / 1000)), 4))
+
+
+# Response header classes.
+CACHE_HEADERS = ["cache-control", "expires", "etag"]
+SECURITY_HEADERS = ["strict-transport-security", "content-security-policy", "x-frame-options",
+                    "x-content-type-options", "x-xss-protection", "referrer-policy"]
+
+
+def _top(df: DataFrame, category, value: Column, n: int | None) -> DataFrame:
+    """Counter.most_common over (value): count desc, then first occurrence."""
+    cat = category if isinstance(category, Column) else F.lit(category)
+    g = (df.select(cat.alias("category"), value.cast("string").alias("value"), "_ord")
+         .where(F.col("value").isNotNull())
+         .groupBy("category", "value").agg(F.count(F.lit(1)).alias("count"), F.min("_ord").alias("_first")))
+    if n is not None:
+        w = Window.partitionBy("category").orderBy(F.col("count").desc(), F.col("_first").asc())
+        g = g.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    return g.drop("_first")
+
+
+def header_stats(parsed: DataFrame, message_type: str = "request") -> DataFrame:
+    """Header frequency, per-header value distribution (top 10)
+    and the special header classes, as (category, value, count) rows.
+
+    ``parsed``: R1 output (seq, message_type, method, path, status_code,
+    headers map). Headers are exploded once; every statistic is a grouped
+    count with a top-n per category (partial group limit)."""
+    msgs = parsed.where(F.col("message_type") == message_type)
+    hdr = msgs.select("seq", F.posexplode(F.map_entries("headers")).alias("pos", "e")) \
+        .select("seq", "pos", F.col("e.key").alias("name"), F.col("e.value").alias("value"))
+    hdr = hdr.withColumn("_ord", F.struct("seq", "pos"))
+    m = msgs.withColumn("_ord", F.struct("seq", F.lit(-1).alias("pos")))
+    parts = [_top(hdr, "header", F.col("name"), 20),
+             _top(hdr, F.concat(F.lit("header_value:"), F.col("name")), F.col("value"), 10)]
+    if message_type == "request":
+        parts += [
+            _top(m, "method", F.coalesce("method", F.lit("UNKNOWN")), 10),
+            _top(m, "url_path", F.coalesce("path", F.lit("/")), 20),
+            _top(hdr.where(F.col("name") == "host"), "host", F.col("value"), 10),
+            _top(hdr.where(F.col("name") == "user-agent"), "user_agent", F.col("value"), 10),
+            _top(hdr.where(F.col("name") == "content-type"), "content_type", F.col("value"), 10),
+            _top(hdr.where(F.col("name") == "authorization"), "authorization_type",
+                 F.when(F.col("value").contains(" "), F.substring_index("value", " ", 1)).otherwise(F.col("value")), 10),
+        ]
+    else:
+        parts += [
+            _top(m, "status_code", F.col("status_code"), 10),
+            _top(hdr.where(F.col("name") == "content-type"), "content_type", F.col("value"), 10),
+            _top(hdr.where(F.col("name").isin(*CACHE_HEADERS)), "cache_header",
+                 F.concat(F.col("name"), F.lit(": "), F.col("value")), 10),
+            _top(hdr.where(F.col("name").isin(*SECURITY_HEADERS)), "security_header", F.col("name"), None),
+            _top(hdr.where(F.col("name") == "server"), "server", F.col("value"), 10),
+            _top(hdr.where(F.col("name") == "content-encoding"), "encoding", F.col("value"), 10),
+        ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def content_length_stats(parsed: DataFrame) -> DataFrame:
+    """count/min/max/mean/total of integer content-length headers."""
+    cl = F.expr("try_cast(element_at(headers, 'content-length') as bigint)")
+    r = parsed.where(F.col("message_type") == "response").select(cl.alias("cl")).where(F.col("cl").isNotNull())
+    return r.agg(F.count(F.lit(1)).alias("count"), F.min("cl").alias("min"), F.max("cl").alias("max"),
+                 F.round(F.avg("cl"), 4).alias("mean"), F.sum("cl").alias("total"))

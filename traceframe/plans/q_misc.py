@@ -138,7 +138,7 @@ def a26_time_buckets(spark, sf):
       SELECT count(*) AS active_buckets, (max(m) - (SELECT min(timestamp_ms) FROM tl)) / 1000 AS duration_s,
         count(*) FILTER (WHERE gap > 0) AS gaps, round(avg(CASE WHEN gap > 0 THEN gap * 60 END), 4) AS avg_gap_s,
         max(CASE WHEN gap > 0 THEN gap * 60 END) AS max_gap_s,
-        coalesce(sum(CASE WHEN gap > 0 THEN gap * 60 END), 0) AS inactive_s
+        CAST(coalesce(sum(CASE WHEN gap > 0 THEN gap * 60 END), 0) AS BIGINT) AS inactive_s
       FROM (SELECT bucket, m, bucket - lag(bucket) OVER (ORDER BY bucket) - 1 AS gap
             FROM (SELECT bucket, max(timestamp_ms) AS m FROM b GROUP BY bucket)))""", _TL))
 def a26_time_summary(spark, sf):

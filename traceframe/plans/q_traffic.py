@@ -85,8 +85,8 @@ def r1_parse_http(spark, sf):
                     F.element_at("headers", F.lit("host")).alias("host"),
                     F.element_at("headers", F.lit("content-type")).alias("content_type"),
                     F.expr("try_cast(element_at(headers, 'content-length') as int)").alias("content_length"),
-                    F.size("headers").alias("header_count"),
-                    F.length("body").alias("body_length"))
+                    F.size("headers").cast("bigint").alias("header_count"),
+                    F.length("body").cast("bigint").alias("body_length"))
 
 
 @register("f4_strip_auth_headers", W(["http"], f"""
@@ -96,7 +96,7 @@ def r1_parse_http(spark, sf):
     FROM pr""", _PARSE_SQL))
 def f4_strip_auth_headers(spark, sf):
     p = H.strip_auth_headers(H.parse_http(payloads(spark, sf)))
-    return p.select("seq", F.size("headers").alias("header_count"))
+    return p.select("seq", F.size("headers").cast("bigint").alias("header_count"))
 
 
 @register("x20_normalized_paths", W(["http"], """
@@ -237,3 +237,69 @@ def a22_endpoint_patterns(spark, sf):
              WHEN coalesce(body, '') = '' THEN 'empty' ELSE 'text' END AS t FROM http)"""))
 def a24_timeline_summary(spark, sf):
     return H.timeline_summary(FX.http_messages(spark, sf))
+
+
+# ---- header statistics (A17, A18, A23) ---------------------------------------
+
+_HDR_SQL = _PARSE_SQL + [
+    ("msg", f"""SELECT seq, CASE WHEN starts_with(first, 'HTTP/') THEN 'response' ELSE 'request' END AS message_type,
+        CASE WHEN NOT starts_with(first, 'HTTP/') THEN split_part(first, ' ', 1) END AS method,
+        CASE WHEN NOT starts_with(first, 'HTTP/') THEN split_part(first, ' ', 2) END AS path,
+        CASE WHEN starts_with(first, 'HTTP/') THEN TRY_CAST(split_part(first, ' ', 2) AS INTEGER) END AS status_code,
+        head FROM pr"""),
+    ("hl", f"""SELECT seq, message_type, pos - 1 AS pos, lower(trim(split_part(l, ':', 1))) AS name,
+        trim(regexp_extract(l, '^[^:]*:(.*)$', 1)) AS value FROM (
+        SELECT seq, message_type, l, row_number() OVER (PARTITION BY seq ORDER BY i) AS pos FROM (
+            SELECT seq, message_type, unnest(string_split(head, {CRLF_SQL})[2:]) AS l,
+                   unnest(range(len(string_split(head, {CRLF_SQL})) - 1)) AS i FROM msg) WHERE contains(l, ':'))"""),
+]
+
+
+def _top_sql(cat, value, src, where, n):
+    lim = f"WHERE r <= {n}" if n else ""
+    return f"""SELECT category, value, count FROM (
+        SELECT *, row_number() OVER (PARTITION BY category ORDER BY count DESC, fs, fp) AS r FROM (
+            SELECT {cat} AS category, CAST({value} AS VARCHAR) AS value, count(*) AS count,
+                   arg_min(seq, (seq, pos)) AS fs, arg_min(pos, (seq, pos)) AS fp
+            FROM {src} WHERE {where} AND {value} IS NOT NULL GROUP BY 1, 2)) {lim}"""
+
+
+def _hdr_sql(mt):
+    h = f"(SELECT * FROM hl WHERE message_type = '{mt}')"
+    m = f"(SELECT *, -1 AS pos FROM msg WHERE message_type = '{mt}')"
+    parts = [_top_sql("'header'", "name", h, "true", 20),
+             _top_sql("'header_value:' || name", "value", h, "true", 10)]
+    if mt == "request":
+        parts += [_top_sql("'method'", "coalesce(method, 'UNKNOWN')", m, "true", 10),
+                  _top_sql("'url_path'", "coalesce(path, '/')", m, "true", 20),
+                  _top_sql("'host'", "value", h, "name = 'host'", 10),
+                  _top_sql("'user_agent'", "value", h, "name = 'user-agent'", 10),
+                  _top_sql("'content_type'", "value", h, "name = 'content-type'", 10),
+                  _top_sql("'authorization_type'", "CASE WHEN contains(value, ' ') THEN split_part(value, ' ', 1) ELSE value END",
+                           h, "name = 'authorization'", 10)]
+    else:
+        parts += [_top_sql("'status_code'", "status_code", m, "true", 10),
+                  _top_sql("'content_type'", "value", h, "name = 'content-type'", 10),
+                  _top_sql("'cache_header'", "name || ': ' || value", h, f"name IN {tuple(H.CACHE_HEADERS)}", 10),
+                  _top_sql("'security_header'", "name", h, f"name IN {tuple(H.SECURITY_HEADERS)}", None),
+                  _top_sql("'server'", "value", h, "name = 'server'", 10),
+                  _top_sql("'encoding'", "value", h, "name = 'content-encoding'", 10)]
+    return " UNION ALL ".join(parts)
+
+
+@register("a17_request_header_stats", W(["http"], _hdr_sql("request"), _HDR_SQL))
+def a17_request_header_stats(spark, sf):
+    return H.header_stats(H.parse_http(payloads(spark, sf)), "request")
+
+
+@register("a18_response_header_stats", W(["http"], _hdr_sql("response"), _HDR_SQL))
+def a18_response_header_stats(spark, sf):
+    return H.header_stats(H.parse_http(payloads(spark, sf)), "response")
+
+
+@register("a18_content_length_stats", W(["http"], """
+    SELECT count(*) AS count, min(cl) AS min, max(cl) AS max, round(avg(cl), 4) AS mean, CAST(sum(cl) AS BIGINT) AS total FROM (
+        SELECT TRY_CAST(value AS BIGINT) AS cl FROM hl WHERE message_type = 'response' AND name = 'content-length')
+    WHERE cl IS NOT NULL""", _HDR_SQL))
+def a18_content_length_stats(spark, sf):
+    return H.content_length_stats(H.parse_http(payloads(spark, sf)))

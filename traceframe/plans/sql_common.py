@@ -29,8 +29,8 @@ TOKEN_SESSION_CTES = [("eff", EFF), ("calls_latest", CALLS_LATEST), ("tk", TK),
 # W2 + S8 over canonical events.
 PROCESS_CTES = [
     ("pe", "SELECT * FROM canon WHERE event IN ('EXEC', 'EXIT')"),
-    ("isl", "SELECT *, coalesce(sum(CASE WHEN event = 'EXIT' THEN 1 ELSE 0 END) OVER "
-            "(PARTITION BY pid ORDER BY timestamp_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    ("isl", "SELECT *, CAST(coalesce(sum(CASE WHEN event = 'EXIT' THEN 1 ELSE 0 END) OVER "
+            "(PARTITION BY pid ORDER BY timestamp_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) "
             "AS island FROM pe"),
     ("inst", "SELECT *, 'process-' || pid || '-' || coalesce(min(CASE WHEN event = 'EXEC' THEN timestamp_ms END) "
              "OVER (PARTITION BY pid, island), timestamp_ms) AS instance_id FROM isl"),
