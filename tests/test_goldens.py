@@ -192,3 +192,20 @@ def test_tag_rules_and_presets(spark):
     rules = S.parse_rules(["prompt:question=\\?$"])
     got = [r[0] for r in df.select(S.tag_expr("prompt", F.col("t"), rules, True)).collect()]
     assert got == ["debug", "question", "unmatched"]
+
+
+def test_http_filter_expressions(spark):
+    from traceframe.functions.filters import compile_http_filter
+    rows = [("request", "GET", "/health", None), ("request", "POST", "/api?x=1", None),
+            ("response", None, None, 404), ("response", None, None, 200)]
+    df = spark.createDataFrame(rows, "message_type string, method string, path string, status_code int") \
+        .withColumn("headers", F.create_map()).withColumn("body", F.lit(""))
+
+    def hits(expr):
+        return [r[0] for r in df.select(compile_http_filter(expr)).collect()]
+    assert hits("request.path=/health") == [True, False, False, False]
+    assert hits("request.method=GET") == [True, False, False, False]
+    assert hits("response.status_code=404") == [False, False, True, False]
+    assert hits("request.method=GET | response.status_code=404") == [True, False, True, False]
+    assert hits("x=1") == [False, True, False, False]
+    assert hits("") == [False, False, False, False]

@@ -303,3 +303,47 @@ def a18_response_header_stats(spark, sf):
     WHERE cl IS NOT NULL""", _HDR_SQL))
 def a18_content_length_stats(spark, sf):
     return H.content_length_stats(H.parse_http(payloads(spark, sf)))
+
+
+# ---- F5 / F7: filter expressions ---------------------------------------------
+
+from ..functions import filters as FL  # noqa: E402
+
+FILTERS = ["request.method=options | response.status_code=404", "path_prefix=/en & method=POST", "page=2",
+           "response.content_type=event-stream", "health"]
+
+_PARSED_SQL = _PARSE_SQL + [
+    ("parsed", f"""SELECT seq, CASE WHEN starts_with(first, 'HTTP/') THEN 'response' ELSE 'request' END AS message_type,
+        CASE WHEN NOT starts_with(first, 'HTTP/') THEN split_part(first, ' ', 1) END AS method,
+        CASE WHEN NOT starts_with(first, 'HTTP/') THEN split_part(first, ' ', 2) END AS path,
+        CASE WHEN starts_with(first, 'HTTP/') THEN TRY_CAST(split_part(first, ' ', 2) AS INTEGER) END AS status_code,
+        nullif(trim(regexp_extract(head, '(?i)\\r\\ncontent-type:([^\\r\\n]*)', 1)), '') AS content_type,
+        body FROM pr"""),
+    ("matched", """SELECT seq, (
+          (message_type = 'request' AND lower(coalesce(method, '')) = 'options')
+          OR (message_type = 'response' AND coalesce(status_code, 0) = 404)
+          OR (message_type = 'request' AND starts_with(coalesce(path, ''), '/en') AND lower(coalesce(method, '')) = 'post')
+          OR (message_type = 'request' AND contains(CASE WHEN contains(coalesce(path, ''), '?')
+                THEN substr(path, strpos(path, '?') + 1) ELSE '' END, 'page=2'))
+          OR (message_type = 'response' AND contains(coalesce(content_type, ''), 'event-stream'))
+          OR (message_type = 'request' AND contains(coalesce(path, ''), 'health'))) AS hit FROM parsed"""),
+]
+
+
+def _parsed(spark, sf):
+    return H.parse_http(payloads(spark, sf))
+
+
+@register("f5_http_filter", W(["http"], "SELECT p.seq, p.message_type, p.path, p.status_code FROM parsed p "
+                                        "JOIN matched m ON p.seq = m.seq WHERE NOT m.hit", _PARSED_SQL))
+def f5_http_filter(spark, sf):
+    return FL.http_filter(_parsed(spark, sf), FILTERS).select("seq", "message_type", "path", "status_code")
+
+
+@register("f7_filter_metrics", W(["http"], "SELECT count(*) AS total, count(*) FILTER (WHERE hit) AS filtered, "
+                                           "count(*) FILTER (WHERE NOT hit) AS passed FROM matched", _PARSED_SQL))
+def f7_filter_metrics(spark, sf):
+    hit = F.lit(False)
+    for p in FILTERS:
+        hit = hit | FL.compile_http_filter(p)
+    return FL.filter_metrics(_parsed(spark, sf), hit)
