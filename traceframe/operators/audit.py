@@ -117,3 +117,80 @@ def edge_samples(df: DataFrame, group_cols: list[str], score_col: str, key_col:
             .when(F.col("_rb") <= k, "bottom"))
     return (x.withColumn("rank_kind", kind).where(F.col("rank_kind").isNotNull())
             .drop("_n", "_rt", "_rb"))
+
+
+def top_sections(audit: DataFrame, network_targets: DataFrame, model_tokens: DataFrame,
+                 tool_calls: DataFrame, session_files: DataFrame | None = None, n: int = 10,
+                 view: str = "all") -> DataFrame:
+    """The five ranked sections (Processes by exec count, Files by file
+    events — else files recorded in sessions —, Network by target counts —
+    else network audit rows —, Models by tokens, Tools by calls), each top
+    ``n`` (count desc, key asc). Fallbacks are chosen per section by a
+    priority column, not by a driver-side emptiness check."""
+    def top(df, section, unit, key, weight=None, prio=0):
+        g = df.where(key.isNotNull()).groupBy(key.alias("key"))
+        g = g.agg((F.count(F.lit(1)) if weight is None else F.sum(F.greatest(weight, F.lit(0)))).cast("bigint")
+                  .alias("count"))
+        return g.select(F.lit(section).alias("section"), F.lit(unit).alias("unit"), "key", "count",
+                        F.lit(prio).alias("_prio"))
+    procs = audit.where((F.col("audit_type") == "process") & (F.col("action") == "exec"))
+    parts = [
+        top(procs, "Processes", "execs", F.coalesce("comm", "target", F.lit("unknown"))),
+        top(audit.where(F.col("audit_type") == "file"), "Files", "events", F.col("target")),
+        top(network_targets, "Network", "events", F.col("host"), F.col("count")),
+        top(audit.where(F.col("audit_type") == "network"), "Network", "events", F.col("target"), prio=1),
+        top(model_tokens, "Models", "tokens", F.col("group"), F.col("total_tokens")),
+        top(tool_calls, "Tools", "calls", F.col("tool_name")),
+    ]
+    if session_files is not None:
+        parts.append(top(session_files, "Files", "events", F.col("path"), F.col("count"), prio=1))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    # top n per (section, source) first — a partial group limit, so the
+    # fallback choice below only sees at most 2n rows per section
+    w = Window.partitionBy("section", "_prio").orderBy(F.col("count").desc(), F.col("key").asc())
+    allp = allp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    best = Window.partitionBy("section")
+    out = (allp.withColumn("_best", F.min("_prio").over(best)).where(F.col("_prio") == F.col("_best"))
+           .drop("_prio", "_best"))
+    views = {"process": ["Processes"], "processes": ["Processes"], "proc": ["Processes"],
+             "file": ["Files"], "files": ["Files"], "fs": ["Files"], "network": ["Network"], "net": ["Network"],
+             "model": ["Models", "Tools"], "models": ["Models", "Tools"], "tokens": ["Models", "Tools"],
+             "tool": ["Tools"], "tools": ["Tools"]}
+    keep = views.get(view.lower())
+    return out if keep is None else out.where(F.col("section").isin(*keep))
+
+
+def top_filter(df: DataFrame, pid: int | None = None, comm: str | None = None) -> DataFrame:
+    """pid exact, else substring of comm or command."""
+    if pid is not None:
+        return df.where(F.col("pid") == pid)
+    if comm:
+        cmd = F.coalesce(F.col("command"), F.lit("")) if "command" in df.columns else F.lit("")
+        return df.where(F.coalesce(F.col("comm"), F.lit("")).contains(comm) | cmd.contains(comm))
+    return df
+
+
+def merge_sources(*dfs: DataFrame) -> DataFrame:
+    """One stream/table from several sources (columns aligned by name)."""
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out
+
+
+ORDERS = {
+    "process_nodes": [("start_timestamp_ms", True), ("pid", True), ("id", True)],
+    "sessions": [("start_timestamp_ms", True), ("id", True)],
+    "resource_samples": [("timestamp_ms", True), ("pid", True), ("comm", True)],
+    "network_targets": [("count", False), ("host", True), ("path", True)],
+    "audit_events": [("timestamp_ms", True), ("id", True)],
+}
+
+
+def ordered(name: str, df: DataFrame) -> DataFrame:
+    """The deterministic export order of a table (nulls first, as in the
+    reference's Option ordering)."""
+    cols = [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in ORDERS[name]]
+    return df.orderBy(*cols)

@@ -190,3 +190,17 @@ def process_parents(nodes: DataFrame, bucket_ms: int = 3600 * 1000) -> DataFrame
     child = child.where(F.col("pid").isNotNull())
     j = attach_process(child, nodes, bucket_ms, key="child_id", exclude_col="child_id")
     return j.select("child_id", F.col("process_id").alias("parent_id"))
+
+
+def process_timeline(attached_audit: DataFrame, parents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per process instance, its own audit events and the starts of its
+    child processes, in time order (rows keyed by process_id; ordering within
+    a process by (timestamp, kind, id))."""
+    ev = attached_audit.where(F.col("process_id").isNotNull()).select(
+        "process_id", "timestamp_ms", F.lit("event").alias("item_type"), F.col("id").alias("item_id"))
+    child_start = nodes.select(F.col("id").alias("child_id"),
+                               F.coalesce("start_timestamp_ms", F.lit(0)).alias("timestamp_ms"))
+    ch = (parents.where(F.col("parent_id").isNotNull()).join(child_start, "child_id")
+          .select(F.col("parent_id").alias("process_id"), "timestamp_ms", F.lit("process").alias("item_type"),
+                  F.col("child_id").alias("item_id")))
+    return ev.unionByName(ch).orderBy("process_id", "timestamp_ms", "item_type", "item_id")

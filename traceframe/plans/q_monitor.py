@@ -225,3 +225,73 @@ def r7_rate_limit(spark, sf):
     fo = FX.canonical_events(spark, sf).where(F.col("event") == "FILE_OPEN").select(
         "seq", "timestamp_ms", "pid", "path")
     return M.rate_limit(fo, 30)
+
+
+# ---- T2 top sections, U3 process timeline ------------------------------------
+
+from ..operators import tokens as T  # noqa: E402
+from ..operators import sessionlog as SL  # noqa: E402
+from .sql_common import TOKEN_SESSION_CTES  # noqa: E402
+
+
+def _top_sections(spark, sf):
+    canon = FX.canonical_events(spark, sf)
+    audit = P.audit_from_events(canon)
+    targets = A.network_targets(A.network_rows(canon))
+    models = T.token_summary(FX.token_usage(spark, sf), FX.llm_calls(spark, sf), FX.sessions(spark, sf))
+    tools = SL.session_events(FX.session_jsonl(spark, sf))[1]
+    return A.top_sections(audit, targets, models, tools, None, 10, "all")
+
+
+_TOP = """SELECT section, unit, key, count, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY section ORDER BY count DESC, key) AS rank FROM (
+      SELECT 'Processes' AS section, 'execs' AS unit, coalesce(comm, target, 'unknown') AS key, count(*) AS count
+        FROM audit WHERE audit_type = 'process' AND action = 'exec' GROUP BY 3
+      UNION ALL SELECT 'Files', 'events', target, count(*) FROM audit WHERE audit_type = 'file' AND target IS NOT NULL GROUP BY 3
+      UNION ALL SELECT 'Network', 'events', host, CAST(sum(greatest(cnt, 0)) AS BIGINT) FROM (
+          SELECT host, count(*) AS cnt FROM canon WHERE host IS NOT NULL AND host <> ''
+          GROUP BY coalesce(pid, 0), host, coalesce(path, '')) GROUP BY host
+      UNION ALL SELECT 'Models', 'tokens', "group", CAST(sum(greatest(total_tokens, 0)) AS BIGINT) FROM models GROUP BY 3
+      UNION ALL SELECT 'Tools', 'calls', tool_name, count(*) FROM tools WHERE tool_name IS NOT NULL GROUP BY 3))
+    WHERE rank <= 10"""
+
+
+@register("t2_top_sections", None)
+def t2_top_sections(spark, sf):
+    return _top_sections(spark, sf)
+
+
+def _register_t2_sql():
+    from . import q_sessions as QS
+    from .registry import ORACLES
+    models = ("SELECT coalesce(nullif(model, ''), 'unknown') AS \"group\", CAST(sum(total_tokens) AS BIGINT) AS total_tokens "
+              "FROM tks GROUP BY 1")
+    ORACLES["t2_top_sections"] = W(["canon", "token_usage", "llm_calls", "sessions", "session_jsonl"], _TOP,
+                                   [("audit", AUDIT)] + TOKEN_SESSION_CTES + [("models", models)] + QS._P1_SQL)
+
+
+@register("u3_process_timeline", W(["canon"], """
+    SELECT process_id, timestamp_ms, item_type, item_id FROM (
+        SELECT b.process_id, a.timestamp_ms, 'event' AS item_type, a.id AS item_id FROM audit a
+        JOIN (SELECT id, process_id FROM cand QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, hs DESC, process_id DESC) = 1) b
+          ON a.id = b.id
+        UNION ALL
+        SELECT p.parent_id, coalesce(n.start_timestamp_ms, 0), 'process', p.child_id FROM (
+            SELECT child_id, parent_id FROM pc
+            QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY s DESC, hs DESC, parent_id DESC) = 1) p
+        JOIN nodes n ON n.id = p.child_id)
+    ORDER BY process_id, timestamp_ms, item_type, item_id""", [("audit", AUDIT)] + PROCESS_CTES + [
+    ("cand", "SELECT a.id, n.id AS process_id, coalesce(n.start_timestamp_ms, 0) AS s, "
+             "n.start_timestamp_ms IS NOT NULL AS hs FROM audit a JOIN nodes n ON a.pid = n.pid "
+             "AND coalesce(n.start_timestamp_ms, 0) <= a.timestamp_ms "
+             "AND (n.end_timestamp_ms IS NULL OR a.timestamp_ms <= n.end_timestamp_ms)"),
+    ("child", "SELECT id AS child_id, ppid AS pid, coalesce(start_timestamp_ms, 0) AS ts FROM nodes WHERE ppid IS NOT NULL"),
+    ("pc", "SELECT c.child_id, n.id AS parent_id, coalesce(n.start_timestamp_ms, 0) AS s, "
+           "n.start_timestamp_ms IS NOT NULL AS hs FROM child c JOIN nodes n ON n.pid = c.pid "
+           "AND n.id <> c.child_id AND coalesce(n.start_timestamp_ms, 0) <= c.ts "
+           "AND (n.end_timestamp_ms IS NULL OR c.ts <= n.end_timestamp_ms)")]))
+def u3_process_timeline(spark, sf):
+    canon = FX.canonical_events(spark, sf)
+    nodes = P.process_nodes(canon)
+    att = P.attach_process(P.audit_from_events(canon), nodes)
+    return P.process_timeline(att, P.process_parents(nodes), nodes)

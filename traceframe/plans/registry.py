@@ -29,6 +29,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so that the registry is complete."""
     from . import q_tokens, q_process, q_monitor, q_traffic, q_sessions, q_correlate, q_misc  # noqa: F401
+    q_monitor._register_t2_sql()
     for mod in ("q_traffic", "q_sessions", "q_monitor", "q_correlate", "q_misc"):
         try:
             __import__(f"{__package__}.{mod}")
