@@ -209,3 +209,19 @@ def test_http_filter_expressions(spark):
     assert hits("request.method=GET | response.status_code=404") == [True, False, True, False]
     assert hits("x=1") == [False, True, False, False]
     assert hits("") == [False, False, False, False]
+
+
+def test_sse_round_trip_and_chunked(spark):
+    from traceframe.operators import sse as SSE
+    from traceframe.sources import fixtures as FX
+    sf = "/root/testdata/sf0.001"
+    merged = SSE.reassemble_sse(SSE.sse_events(FX.sse_bodies(spark, sf)))
+    got = {r["first_seq"]: (r["text"], r["complete"]) for r in merged.collect()}
+    conv = FX.read_table(spark, sf, "conversations").where("role = 'assistant'").collect()
+    want = {r["conv_id"] * 1000 + r["turn"]: r["text"] for r in conv}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all(v[1] for v in got.values())
+    body = "1a\r\nevent: ping\ndata: [DONE]\n\r\n0\r\n\r\n"
+    df = spark.createDataFrame([(body,)], "body string")
+    ev = SSE.sse_events(df).collect()
+    assert [(r["event"], r["data"], r["is_json"]) for r in ev] == [("ping", "[DONE]", False)]

@@ -347,3 +347,78 @@ def f7_filter_metrics(spark, sf):
     for p in FILTERS:
         hit = hit | FL.compile_http_filter(p)
     return FL.filter_metrics(_parsed(spark, sf), hit)
+
+
+# ---- R2 / R3: server-sent events ----------------------------------------------
+
+from ..operators import sse as SSE  # noqa: E402
+
+_NL = "chr(10)"
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _strip(x):
+    return _STRIP.format(x=x)
+
+
+_SSE_SQL = [
+    ("b0", "SELECT *, string_split(body, chr(13) || chr(10)) AS ls FROM sse_bodies"),
+    ("b1", f"""SELECT *, coalesce(list_position(list_transform(ls, lambda l: regexp_matches({_strip('l')}, '^[0-9a-fA-F]+$')
+                AND (length({_strip('l')}) > 8 OR regexp_matches({_strip('l')}, '^0+$'))), true), len(ls) + 1) AS zero_at FROM b0"""),
+    ("b2", f"""SELECT *, array_to_string([ls[i + 1] FOR i IN range(1, len(ls)) IF i < zero_at
+                AND regexp_matches({_strip('ls[i]')}, '^[0-9a-fA-F]+$')], {_NL}) AS clean FROM b1"""),
+    ("b3", f"""SELECT pid, tid, seq, timestamp_ms, replace(CASE WHEN {_strip('clean')} = '' THEN body ELSE clean END,
+                chr(13) || chr(10), {_NL}) AS norm FROM b2"""),
+    ("blk", f"""SELECT pid, tid, seq, timestamp_ms, i - 1 AS block_no, string_split(norm, {_NL} || {_NL})[i] AS block
+                FROM (SELECT *, unnest(range(1, len(string_split(norm, {_NL} || {_NL})) + 1)) AS i FROM b3)"""),
+    ("ev0", f"""SELECT pid, tid, seq, timestamp_ms, block_no,
+                list_transform(string_split(block, {_NL}), lambda l: {_strip('l')}) AS lines FROM blk
+                WHERE {_strip('block')} <> ''"""),
+    ("sse", f"""SELECT pid, tid, seq, timestamp_ms, block_no,
+                CASE WHEN len(list_filter(lines, lambda l: starts_with(l, 'event:'))) > 0
+                     THEN {_strip("substr(list_filter(lines, lambda l: starts_with(l, 'event:'))[-1], 7)")} END AS event,
+                CASE WHEN len(list_filter(lines, lambda l: starts_with(l, 'data:'))) > 0
+                     THEN array_to_string(list_transform(list_filter(lines, lambda l: starts_with(l, 'data:')),
+                          lambda l: {_strip("substr(l, 6)")}), {_NL}) END AS data,
+                CASE WHEN len(list_filter(lines, lambda l: starts_with(l, 'id:'))) > 0
+                     THEN {_strip("substr(list_filter(lines, lambda l: starts_with(l, 'id:'))[-1], 4)")} END AS id
+                FROM ev0"""),
+    ("sse2", "SELECT *, coalesce(json_valid(data), false) AS is_json FROM sse WHERE event IS NOT NULL OR data IS NOT NULL"),
+]
+
+_R3_SQL = _SSE_SQL + [
+    ("r0", """SELECT pid, tid, seq, timestamp_ms, block_no, event,
+            CASE WHEN is_json AND event = 'message_start' THEN data->>'$.message.id' END AS mid,
+            coalesce(CASE WHEN is_json AND event = 'content_block_delta' AND data->>'$.delta.type' = 'text_delta' THEN data->>'$.delta.text'
+                          WHEN is_json AND event = 'content_block_delta' AND data->>'$.delta.type' = 'thinking_delta' THEN data->>'$.delta.thinking' END, '') AS txt,
+            coalesce(data = '[DONE]', false) OR (is_json AND (json_exists(data, '$.usage') OR json_exists(data, '$.usageMetadata')))
+                OR event IN ('message_stop', 'error') AS done,
+            CASE WHEN is_json THEN TRY_CAST(data->>'$.message.usage.input_tokens' AS BIGINT) END AS i_tok,
+            CASE WHEN is_json THEN TRY_CAST(data->>'$.usage.output_tokens' AS BIGINT) END AS o_tok,
+            CASE WHEN is_json THEN data->>'$.message.model' END AS model FROM sse2"""),
+    ("r1", """SELECT *, coalesce(last_value(mid IGNORE NULLS) OVER (PARTITION BY pid, tid ORDER BY seq, block_no
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'w' || (timestamp_ms // 600000)) AS message_key FROM r0"""),
+    ("r2", """SELECT *, sum(length(txt)) OVER (PARTITION BY pid, tid, message_key ORDER BY seq, block_no
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chars FROM r1"""),
+    ("r3", """SELECT r2.*, e.endpos FROM r2 LEFT JOIN (SELECT pid, tid, message_key, min(seq * 1000000 + block_no) AS endpos
+                FROM r2 WHERE done OR chars > 50000 GROUP BY 1, 2, 3) e
+              ON r2.pid = e.pid AND r2.tid = e.tid AND r2.message_key = e.message_key"""),
+]
+
+
+@register("r2_sse_events", W(["sse_bodies"], "SELECT pid, tid, seq, timestamp_ms, block_no, event, data, id, is_json FROM sse2",
+                             _SSE_SQL))
+def r2_sse_events(spark, sf):
+    return SSE.sse_events(FX.sse_bodies(spark, sf))
+
+
+@register("r3_reassemble_sse", W(["sse_bodies"], """
+    SELECT pid, tid, message_key, min(seq) AS first_seq, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms,
+        count(*) AS events, string_agg(txt, '' ORDER BY seq, block_no) AS text, bool_or(endpos IS NOT NULL) AS complete,
+        max(i_tok) AS input_tokens, max(o_tok) AS output_tokens, max(model) AS model,
+        CAST(length(string_agg(txt, '' ORDER BY seq, block_no)) AS BIGINT) AS text_len
+    FROM r3 WHERE endpos IS NULL OR seq * 1000000 + block_no <= endpos
+    GROUP BY pid, tid, message_key
+    HAVING string_agg(txt, '' ORDER BY seq, block_no) <> '' OR max(i_tok) IS NOT NULL OR max(o_tok) IS NOT NULL""", _R3_SQL))
+def r3_reassemble_sse(spark, sf):
+    return SSE.reassemble_sse(SSE.sse_events(FX.sse_bodies(spark, sf)))

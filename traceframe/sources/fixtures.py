@@ -293,6 +293,35 @@ def session_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(system)
 
 
+def sse_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed LLM responses: one SSE body per assistant turn (message_start,
+    one text delta per word, message_delta with usage, message_stop); every
+    third conversation uses chunked transfer framing."""
+    conv = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    c, t = F.col("conv_id"), F.col("turn")
+    words = F.split("text", " ")
+    n = F.size(words)
+    start = F.to_json(F.struct(F.lit("message_start").alias("type"), F.struct(
+        F.format_string("msg_%d_%d", c, t).alias("id"), F.format_string("claude-%d", c % 3).alias("model"),
+        F.struct((t * 10).alias("input_tokens")).alias("usage")).alias("message")))
+    deltas = F.transform(words, lambda w, i: F.to_json(F.struct(
+        F.lit("content_block_delta").alias("type"), F.lit(0).alias("index"),
+        F.struct(F.lit("text_delta").alias("type"),
+                 F.when(i < n - 1, F.concat(w, F.lit(" "))).otherwise(w).alias("text")).alias("delta"))))
+    mdelta = F.to_json(F.struct(F.lit("message_delta").alias("type"), F.struct(n.alias("output_tokens")).alias("usage")))
+    stop = F.lit('{"type":"message_stop"}')
+    evs = F.concat(F.array(F.concat(F.lit("event: message_start\ndata: "), start, F.lit("\n"))),
+                   F.transform(deltas, lambda d: F.concat(F.lit("event: content_block_delta\ndata: "), d, F.lit("\n"))),
+                   F.array(F.concat(F.lit("event: message_delta\ndata: "), mdelta, F.lit("\n")),
+                           F.concat(F.lit("event: message_stop\ndata: "), stop, F.lit("\n"))))
+    plain = F.array_join(evs, "\n")
+    chunked = F.concat(F.array_join(F.transform(evs, lambda e: F.concat(F.hex(F.length(e)), F.lit("\r\n"), e)),
+                                    "\r\n"), F.lit("\r\n0\r\n\r\n"))
+    return conv.select((c % 7).alias("pid"), (c % 3 + 1).alias("tid"), (c * 1000 + t).alias("seq"),
+                       (F.lit(EPOCH_2024_MS) + c * 3600000 + t * 60000).alias("timestamp_ms"),
+                       F.when(c % 3 == 0, chunked).otherwise(plain).alias("body"))
+
+
 URL_HOST = r"^https?://([^/?#]+)"
 URL_PATH = r"^https?://[^/?#]+([^?#]*)"
 URL_QUERY = r"\?([^#]*)"
@@ -467,12 +496,31 @@ SQL["session_jsonl"] = f"""
         'content', text)::VARCHAR
     FROM jsonl_base WHERE role = 'system'"""
 
+SQL["sse_bodies"] = f"""SELECT conv_id % 7 AS pid, conv_id % 3 + 1 AS tid, conv_id * 1000 + turn AS seq,
+        {EPOCH_2024_MS} + conv_id * 3600000 + turn * 60000 AS timestamp_ms,
+        CASE WHEN conv_id % 3 = 0
+             THEN array_to_string(list_transform(evs, lambda e: printf('%X', length(e)) || chr(13) || chr(10) || e),
+                                  chr(13) || chr(10)) || chr(13) || chr(10) || '0' || chr(13) || chr(10) || chr(13) || chr(10)
+             ELSE array_to_string(evs, chr(10)) END AS body
+    FROM (SELECT conv_id, turn,
+            list_concat(
+              ['event: message_start' || chr(10) || 'data: ' || json_object('type', 'message_start', 'message',
+                  json_object('id', 'msg_' || conv_id || '_' || turn, 'model', 'claude-' || (conv_id % 3),
+                              'usage', json_object('input_tokens', turn * 10)))::VARCHAR || chr(10)],
+              list_transform(ws, lambda w, i: 'event: content_block_delta' || chr(10) || 'data: ' ||
+                  json_object('type', 'content_block_delta', 'index', 0, 'delta', json_object('type', 'text_delta',
+                      'text', CASE WHEN i < len(ws) THEN w || ' ' ELSE w END))::VARCHAR || chr(10)),
+              ['event: message_delta' || chr(10) || 'data: ' || json_object('type', 'message_delta',
+                  'usage', json_object('output_tokens', len(ws)))::VARCHAR || chr(10),
+               'event: message_stop' || chr(10) || 'data: {{"type":"message_stop"}}' || chr(10)]) AS evs
+          FROM (SELECT *, string_split(text, ' ') AS ws FROM conversations WHERE role = 'assistant'))"""
+
 # CTE dependencies, in definition order.
 SQL_DEPS = {
     "raw": [], "token_usage": ["raw"], "llm_calls": ["raw"], "sessions": ["raw"],
     "canon": ["raw"], "resource_samples": ["raw"], "proc_samples": ["raw"],
     "session_log": [], "http_base": [], "http": ["http_base"],
-    "jsonl_base": [], "session_jsonl": ["jsonl_base"],
+    "jsonl_base": [], "session_jsonl": ["jsonl_base"], "sse_bodies": [],
 }
 
 
