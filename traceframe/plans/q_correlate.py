@@ -150,3 +150,111 @@ def a29_risk_score(spark, sf):
 def a34_friction_findings(spark, sf):
     canon = FX.canonical_events(spark, sf)
     return C.friction_findings(P.audit_from_events(canon), P.process_nodes(canon), FX.resource_samples(spark, sf))
+
+
+# ---- J14 / A27 / X21 / X22 -----------------------------------------------------
+
+from ..operators import family as FM  # noqa: E402
+
+
+def _interactions(spark, sf):
+    c = FX.canonical_events(spark, sf)
+    k = F.col("k")
+    text = F.format_string("I will run `cat /repo/d%d/f%d.py` and check h%d.example.com/api",
+                           k % 10, (k * 7) % 100, k % 20)
+    return c.where(F.col("event") == "LLM_REQUEST").select(
+        F.col("seq").alias("interaction_id"), "pid", (F.col("timestamp_ms") + k * 10).alias("response_ts"),
+        C.extract_references(text).alias("refs"))
+
+
+def _actions(spark, sf):
+    c = FX.canonical_events(spark, sf).where(F.col("kind").isin("process", "file", "network"))
+    args = F.filter(F.array("filename", "path"), lambda a: a.isNotNull())
+    return c.select(F.col("seq").alias("action_id"), "pid", "timestamp_ms", args.alias("args"),
+                    F.concat(args, F.array("comm")).alias("score_args"))
+
+
+def _correlate(spark, sf):
+    inter = _interactions(spark, sf)
+    procs = FX.proc_samples(spark, sf).select("pid", "ppid").distinct()
+    related = FM.related_pids(procs, inter.select("pid"))
+    return C.correlate(inter, _actions(spark, sf), related, 500)
+
+
+def _refs_sql(text):
+    pats = C.FILE_PATTERNS + C.COMMAND_PATTERNS + C.URL_PATTERNS
+    found = " || ".join("regexp_extract_all(" + text + ", '" + p.replace("'", "''") + "', 1)" for p in pats)
+    cls = "[" + C.STRIP_CHARS.replace("'", "''") + "]"
+    return (f"list_sort(list_distinct(list_filter(list_transform({found}, "
+            f"lambda r: regexp_replace(r, '^{cls}+|{cls}+$', '', 'g')), lambda r: length(r) > 2)))")
+
+
+def _score_sql(refs, args):
+    t = f"array_to_string({args}, ' ')"
+    per = (f"list_transform({refs}, lambda r: CASE WHEN contains({t}, r) THEN 1.0 "
+           f"WHEN len(list_filter({args}, lambda a: contains(a, r) OR contains(r, a))) > 0 THEN 0.5 ELSE 0.0 END)")
+    return f"(CASE WHEN len({refs}) > 0 AND len({args}) > 0 THEN list_sum({per}) / len({refs}) ELSE 0.0 END)"
+
+
+_J14_SQL = [
+    ("procs", "SELECT DISTINCT pid, ppid FROM proc_samples"),
+    ("edges", "SELECT DISTINCT pid, ppid FROM procs WHERE ppid IS NOT NULL AND ppid <> pid"),
+    ("up", "SELECT pid, ppid AS anc, 1 AS depth FROM edges UNION ALL "
+           "SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN edges e ON up.anc = e.pid WHERE up.depth < 64"),
+    ("inter", f"""SELECT seq AS interaction_id, pid, timestamp_ms + k * 10 AS response_ts,
+        {_refs_sql("'I will run `cat /repo/d' || (k % 10) || '/f' || ((k * 7) % 100) || '.py` and check h' || (k % 20) || '.example.com/api'")} AS refs
+        FROM canon WHERE event = 'LLM_REQUEST'"""),
+    ("targets", "SELECT DISTINCT pid FROM inter"),
+    ("related", """SELECT DISTINCT target, related_pid FROM (
+        SELECT pid AS target, pid AS related_pid FROM targets
+        UNION ALL SELECT t.pid, e.ppid FROM targets t JOIN edges e ON t.pid = e.pid
+        UNION ALL SELECT t.pid, up.pid FROM targets t JOIN up ON up.anc = t.pid
+        UNION ALL SELECT t.pid, s.pid FROM targets t JOIN edges p ON t.pid = p.pid JOIN edges s ON s.ppid = p.ppid
+            WHERE s.pid <> t.pid)"""),
+    ("acts", """SELECT seq AS action_id, pid, timestamp_ms, list_filter([filename, path], lambda a: a IS NOT NULL) AS args,
+        list_concat(list_filter([filename, path], lambda a: a IS NOT NULL), [comm]) AS score_args
+        FROM canon WHERE kind IN ('process', 'file', 'network')"""),
+    # brute force over distinct strings: every (ref, arg) with containment either way
+    ("dref", "SELECT DISTINCT unnest(refs) AS ref FROM inter"),
+    ("darg", "SELECT DISTINCT unnest(args) AS arg FROM acts"),
+    ("cp", "SELECT ref, arg FROM dref, darg WHERE length(arg) > 0 AND (contains(arg, ref) OR contains(ref, arg))"),
+    ("cand", """SELECT DISTINCT i.interaction_id, a.action_id FROM (SELECT interaction_id, unnest(refs) AS ref FROM inter) i
+        JOIN cp ON i.ref = cp.ref JOIN (SELECT action_id, unnest(args) AS arg FROM acts) a ON a.arg = cp.arg
+        UNION SELECT i.interaction_id, a.action_id FROM inter i JOIN acts a
+            ON a.timestamp_ms >= i.response_ts AND a.timestamp_ms <= i.response_ts + 500
+        UNION SELECT i.interaction_id, a.action_id FROM inter i JOIN related r ON r.target = i.pid
+            JOIN acts a ON a.pid = r.related_pid"""),
+    ("pairs", f"""SELECT * FROM (
+        SELECT c.interaction_id, c.action_id,
+            a.timestamp_ms >= i.response_ts AND a.timestamp_ms <= i.response_ts + 500 AS in_window,
+            EXISTS (SELECT 1 FROM related r WHERE r.target = i.pid AND r.related_pid = a.pid) AS in_tree,
+            {_score_sql('i.refs', 'a.args')} > 0.3 AS arg_match,
+            round(greatest(0.0, 1 - abs(a.timestamp_ms - i.response_ts) / 500), 6) AS temporal_score,
+            round({_score_sql('i.refs', 'a.score_args')}, 6) AS argument_score
+        FROM cand c JOIN inter i ON c.interaction_id = i.interaction_id JOIN acts a ON c.action_id = a.action_id)
+        WHERE in_window OR in_tree OR arg_match"""),
+]
+
+
+@register("x21_extract_references", W(["canon"], "SELECT interaction_id, pid, response_ts, refs FROM inter",
+                                      _J14_SQL[3:4]))
+def x21_extract_references(spark, sf):
+    return _interactions(spark, sf)
+
+
+@register("j14_correlate", W(["canon", "proc_samples"], "SELECT * FROM pairs", _J14_SQL, recursive=True))
+def j14_correlate(spark, sf):
+    return _correlate(spark, sf)
+
+
+@register("a27_score_correlations", W(["canon", "proc_samples"], """
+    SELECT interaction_id, count(*) AS related_actions,
+        round(avg(0.3 * temporal_score + 0.3 * CAST(in_tree AS DOUBLE) + 0.4 * argument_score), 6) AS correlation_score,
+        count(*) FILTER (WHERE in_tree) AS process_matches, count(*) FILTER (WHERE in_window) AS temporal_matches,
+        count(*) FILTER (WHERE arg_match) AS argument_matches,
+        CASE WHEN count(*) FILTER (WHERE arg_match) > 0 THEN 'argument_matching'
+             WHEN count(*) FILTER (WHERE in_window) > count(*) FILTER (WHERE in_tree) THEN 'temporal_proximity'
+             ELSE 'process_lineage' END AS correlation_type
+    FROM pairs GROUP BY interaction_id""", _J14_SQL, recursive=True))
+def a27_score_correlations(spark, sf):
+    return C.score_correlations(_correlate(spark, sf))
