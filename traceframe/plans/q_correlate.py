@@ -189,6 +189,13 @@ def _refs_sql(text):
             f"lambda r: regexp_replace(r, '^{cls}+|{cls}+$', '', 'g')), lambda r: length(r) > 2)))")
 
 
+def _halves_sql(refs, args):
+    t = f"array_to_string({args}, ' ')"
+    per = (f"list_transform({refs}, lambda r: CASE WHEN contains({t}, r) THEN 2 "
+           f"WHEN len(list_filter({args}, lambda a: contains(a, r) OR contains(r, a))) > 0 THEN 1 ELSE 0 END)")
+    return f"(CASE WHEN len({args}) > 0 THEN coalesce(list_sum({per}), 0) ELSE 0 END)"
+
+
 def _score_sql(refs, args):
     t = f"array_to_string({args}, ' ')"
     per = (f"list_transform({refs}, lambda r: CASE WHEN contains({t}, r) THEN 1.0 "
@@ -229,7 +236,9 @@ _J14_SQL = [
             a.timestamp_ms >= i.response_ts AND a.timestamp_ms <= i.response_ts + 500 AS in_window,
             EXISTS (SELECT 1 FROM related r WHERE r.target = i.pid AND r.related_pid = a.pid) AS in_tree,
             {_score_sql('i.refs', 'a.args')} > 0.3 AS arg_match,
-            round(greatest(0.0, 1 - abs(a.timestamp_ms - i.response_ts) / 500), 6) AS temporal_score,
+            CAST(greatest(0, 500 - abs(a.timestamp_ms - i.response_ts)) AS BIGINT) AS temporal_num,
+            CAST({_halves_sql('i.refs', 'a.score_args')} AS BIGINT) AS arg_halves, CAST(len(i.refs) AS BIGINT) AS n_refs,
+            round(greatest(0, 500 - abs(a.timestamp_ms - i.response_ts)) / 500, 6) AS temporal_score,
             round({_score_sql('i.refs', 'a.score_args')}, 6) AS argument_score
         FROM cand c JOIN inter i ON c.interaction_id = i.interaction_id JOIN acts a ON c.action_id = a.action_id)
         WHERE in_window OR in_tree OR arg_match"""),
@@ -249,7 +258,9 @@ def j14_correlate(spark, sf):
 
 @register("a27_score_correlations", W(["canon", "proc_samples"], """
     SELECT interaction_id, count(*) AS related_actions,
-        round(avg(0.3 * temporal_score + 0.3 * CAST(in_tree AS DOUBLE) + 0.4 * argument_score), 6) AS correlation_score,
+        round((0.3 * (sum(temporal_num) / 500) + 0.3 * count(*) FILTER (WHERE in_tree)
+               + 0.4 * (CASE WHEN max(n_refs) > 0 THEN sum(arg_halves) / (2 * max(n_refs)) ELSE 0.0 END)) / count(*), 6)
+            AS correlation_score,
         count(*) FILTER (WHERE in_tree) AS process_matches, count(*) FILTER (WHERE in_window) AS temporal_matches,
         count(*) FILTER (WHERE arg_match) AS argument_matches,
         CASE WHEN count(*) FILTER (WHERE arg_match) > 0 THEN 'argument_matching'
