@@ -165,3 +165,49 @@ def llm_call_rows(calls: DataFrame, tokens: DataFrame, limit: int = 100) -> Data
         F.coalesce("_out", F.lit(0)).cast("bigint").alias("output_tokens"),
         F.coalesce("_tot", F.lit(0)).cast("bigint").alias("total_tokens"))
     return out.orderBy(F.col("start_timestamp_ms").desc(), F.col("id").asc()).limit(limit)
+
+
+def _top_text(df: DataFrame, key, weight, n: int) -> DataFrame:
+    """'key(count), ...' of the n largest (count desc, key asc), one row."""
+    g = df.groupBy(key.alias("k")).agg(F.sum(weight).cast("bigint").alias("c"))
+    top = g.orderBy(F.col("c").desc(), F.col("k").asc()).limit(n)
+    return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("o"), "k", "c"))),
+                                            lambda s: F.format_string("%s(%d)", s["k"], s["c"])), ", ").alias("t"))
+
+
+def run_summary(summary: DataFrame, calls: DataFrame, audit: DataFrame, targets: DataFrame) -> DataFrame:
+    """A3: one row per run: duration, first LLM offset, LLM latency stats,
+    exec/exit counts, file access (events, first/last offset, unique files,
+    top-8 directories) and network events with the top-8 endpoints.
+
+    ``summary`` is the A2 row (start/end). The run start enters the other
+    aggregates as a scalar subquery; every part is a global aggregate or a
+    top-8, folded into one row without joins."""
+    start = summary.select("start_timestamp_ms").scalar()
+    c = latest_calls(calls)
+    lat = F.when(F.col("end_timestamp_ms") >= F.col("start_timestamp_ms"),
+                 F.col("end_timestamp_ms") - F.col("start_timestamp_ms"))
+    parts = [
+        summary.select(((F.col("end_timestamp_ms") - F.col("start_timestamp_ms")) / 1000).alias("duration_s")),
+        c.agg((F.min("start_timestamp_ms") - start).alias("first_llm_after_ms"),
+              F.count(lat).alias("llm_latency_count"), F.sum(lat).alias("llm_latency_total_ms"),
+              F.max(lat).alias("llm_latency_max_ms"), F.round(F.avg(lat), 4).alias("llm_latency_avg_ms")),
+        audit.agg(F.count_if((F.col("audit_type") == "process") & (F.col("action") == "exec")).alias("process_execs"),
+                  F.count_if((F.col("audit_type") == "process") & (F.col("action") == "exit")
+                             & (F.col("status") == "success")).alias("exit_success"),
+                  F.count_if((F.col("audit_type") == "process") & (F.col("action") == "exit")
+                             & (F.col("status") == "failure")).alias("exit_failure"),
+                  F.count_if(F.col("audit_type") == "file").alias("file_events"),
+                  F.count_distinct(F.when(F.col("audit_type") == "file", F.col("target"))).alias("unique_files"),
+                  (F.min(F.when(F.col("audit_type") == "file", F.col("timestamp_ms"))) - start).alias("first_file_after_ms"),
+                  (F.max(F.when(F.col("audit_type") == "file", F.col("timestamp_ms"))) - start).alias("last_file_after_ms")),
+        _top_text(audit.where((F.col("audit_type") == "file") & F.col("target").isNotNull()),
+                  F.regexp_extract("target", r"^(.*)/[^/]*$", 1), F.lit(1), 8).withColumnRenamed("t", "top_directories"),
+        targets.agg(F.sum(F.greatest("count", F.lit(0))).cast("bigint").alias("network_events")),
+        _top_text(targets, F.when(F.coalesce("path", F.lit("")) != "", F.concat("host", "path")).otherwise(F.col("host")),
+                  F.greatest("count", F.lit(0)), 8).withColumnRenamed("t", "top_endpoints"),
+    ]
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.unionByName(p, allowMissingColumns=True)
+    return row.agg(*[F.max(c).alias(c) for c in row.columns])

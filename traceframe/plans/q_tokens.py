@@ -121,3 +121,43 @@ def a2_snapshot_summary(spark, sf):
     [("eff", EFF), ("calls_latest", CALLS_LATEST)]))
 def a4_llm_call_rows(spark, sf):
     return T.llm_call_rows(FX.llm_calls(spark, sf), FX.token_usage(spark, sf), 100)
+
+
+from ..operators import audit as A  # noqa: E402
+
+
+@register("a3_run_summary", W(
+    ["token_usage", "llm_calls", "sessions", "canon"], """
+    SELECT (s.e - s.s) / 1000 AS duration_s,
+        (SELECT min(start_timestamp_ms) FROM calls_latest) - s.s AS first_llm_after_ms,
+        (SELECT count(lat) FROM lats) AS llm_latency_count, (SELECT CAST(sum(lat) AS BIGINT) FROM lats) AS llm_latency_total_ms,
+        (SELECT max(lat) FROM lats) AS llm_latency_max_ms, (SELECT round(avg(lat), 4) FROM lats) AS llm_latency_avg_ms,
+        (SELECT count(*) FROM audit WHERE audit_type = 'process' AND action = 'exec') AS process_execs,
+        (SELECT count(*) FROM audit WHERE audit_type = 'process' AND action = 'exit' AND status = 'success') AS exit_success,
+        (SELECT count(*) FROM audit WHERE audit_type = 'process' AND action = 'exit' AND status = 'failure') AS exit_failure,
+        (SELECT count(*) FROM audit WHERE audit_type = 'file') AS file_events,
+        (SELECT count(DISTINCT target) FROM audit WHERE audit_type = 'file') AS unique_files,
+        (SELECT min(timestamp_ms) FROM audit WHERE audit_type = 'file') - s.s AS first_file_after_ms,
+        (SELECT max(timestamp_ms) FROM audit WHERE audit_type = 'file') - s.s AS last_file_after_ms,
+        (SELECT string_agg(k || '(' || c || ')', ', ' ORDER BY c DESC, k) FROM (
+            SELECT regexp_extract(target, '^(.*)/[^/]*$', 1) AS k, count(*) AS c FROM audit
+            WHERE audit_type = 'file' AND target IS NOT NULL GROUP BY 1 ORDER BY c DESC, k LIMIT 8)) AS top_directories,
+        (SELECT CAST(sum(greatest(count, 0)) AS BIGINT) FROM targets) AS network_events,
+        (SELECT string_agg(k || '(' || c || ')', ', ' ORDER BY c DESC, k) FROM (
+            SELECT CASE WHEN coalesce(path, '') <> '' THEN host || path ELSE host END AS k,
+                   CAST(sum(greatest(count, 0)) AS BIGINT) AS c FROM targets GROUP BY 1 ORDER BY c DESC, k LIMIT 8))
+            AS top_endpoints
+    FROM (SELECT least((SELECT min(start_timestamp_ms) FROM llm_calls), (SELECT min(timestamp_ms) FROM token_usage),
+                       (SELECT min(timestamp_ms) FROM audit), (SELECT min(start_timestamp_ms) FROM sessions)) AS s,
+                 greatest((SELECT max(end_timestamp_ms) FROM llm_calls), (SELECT max(timestamp_ms) FROM token_usage),
+                       (SELECT max(timestamp_ms) FROM audit), (SELECT max(end_timestamp_ms) FROM sessions)) AS e) s""",
+    [("audit", AUDIT), ("calls_latest", CALLS_LATEST),
+     ("lats", "SELECT CASE WHEN end_timestamp_ms >= start_timestamp_ms THEN end_timestamp_ms - start_timestamp_ms END AS lat "
+              "FROM calls_latest"),
+     ("targets", "SELECT host, nullif(coalesce(path, ''), '') AS path, count(*) AS count FROM canon "
+                 "WHERE host IS NOT NULL AND host <> '' GROUP BY coalesce(pid, 0), host, coalesce(path, '')")]))
+def a3_run_summary(spark, sf):
+    canon = FX.canonical_events(spark, sf)
+    audit = P.audit_from_events(canon)
+    summary = T.snapshot_summary(FX.token_usage(spark, sf), FX.llm_calls(spark, sf), audit, FX.sessions(spark, sf))
+    return T.run_summary(summary, FX.llm_calls(spark, sf), audit, A.network_targets(A.network_rows(canon)))
