@@ -225,3 +225,14 @@ def test_sse_round_trip_and_chunked(spark):
     df = spark.createDataFrame([(body,)], "body string")
     ev = SSE.sse_events(df).collect()
     assert [(r["event"], r["data"], r["is_json"]) for r in ev] == [("ping", "[DONE]", False)]
+
+
+def test_cluster_tags_invariants(spark):
+    import re
+    from traceframe.operators import tagging as TG
+    from traceframe.sources import fixtures as FX
+    prompts = FX.session_log(spark, "/root/testdata/sf0.001").where("kind = 'prompt'").select("text")
+    out = TG.tag_cluster(prompts, "text", k=3).collect()
+    assert len(out) == prompts.where("length(trim(text)) >= 3").count()
+    assert all(re.fullmatch(r"[^\W_]{3,12}|cluster\d+", r["tag"]) for r in out)
+    assert {r["cluster"] for r in out} <= {0, 1, 2}

@@ -364,3 +364,33 @@ def p1_llm_responses(spark, sf):
                                _P1_SQL))
 def w12_tool_status(spark, sf):
     return _p1(spark, sf)[1].groupBy("status").agg(F.count(F.lit(1)).alias("tools"))
+
+
+# ---- P9 / P10: cached and clustered tags ---------------------------------------
+
+from ..operators import tagging as TG  # noqa: E402
+
+
+@register("p9_tag_from_cache", W(["session_log"], """
+    SELECT d.session_id, d.prompt_index, d.text_hash, c.tag AS cached_tag
+    FROM dp d LEFT JOIN (SELECT DISTINCT ON (hash) hash, tag FROM (
+        SELECT left(sha256(p.text), 12) AS hash, t.tag FROM dp p JOIN ptag t
+          ON p.session_id = t.session_id AND p.prompt_index = t.prompt_index
+        WHERE CAST(split_part(p.session_id, '-', 2) AS BIGINT) % 2 = 0) ORDER BY hash, tag) c
+      ON left(sha256(d.text), 12) = c.hash""", TAG_CTES))
+def p9_tag_from_cache(spark, sf):
+    idx = _log(spark, sf)
+    prompts = S.distinct_prompts(idx)
+    _, _, ptag, _ = _tagged(spark, sf)
+    conv = F.substring_index("session_id", "-", -1).cast("bigint")
+    cache = (prompts.where(conv % 2 == 0).join(ptag.select("session_id", "prompt_index", "tag"),
+                                               ["session_id", "prompt_index"])
+             .select(F.substring(F.sha2("text", 256), 1, 12).alias("hash"), "tag")
+             .groupBy("hash").agg(F.min("tag").alias("tag")))
+    return TG.tag_from_cache(prompts, cache).select("session_id", "prompt_index", "text_hash", "cached_tag")
+
+
+@register("p10_cluster_tags")
+def p10_cluster_tags(spark, sf):
+    prompts = S.distinct_prompts(_log(spark, sf)).select("text")
+    return TG.tag_cluster(prompts, "text")
