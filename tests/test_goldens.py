@@ -236,3 +236,14 @@ def test_cluster_tags_invariants(spark):
     assert len(out) == prompts.where("length(trim(text)) >= 3").count()
     assert all(re.fullmatch(r"[^\W_]{3,12}|cluster\d+", r["tag"]) for r in out)
     assert {r["cluster"] for r in out} <= {0, 1, 2}
+
+
+def test_prompt_line_diff(spark):
+    from traceframe.operators.sessions import line_diff_counts, prompt_diffs
+    assert line_diff_counts("a\nb\nc", "a\nx\nc\nd") == (2, 1)
+    assert line_diff_counts("same", "same") == (0, 0)
+    assert line_diff_counts("", "x") is None
+    df = spark.createDataFrame([("s", 0, "a\nb"), ("s", 1, "a\nb\nc"), ("s", 2, "c"), ("t", 0, "z")],
+                               "session_id string, position bigint, text string")
+    got = sorted((r["position"], r["added_lines"], r["removed_lines"]) for r in prompt_diffs(df, block=2).collect())
+    assert got == [(1, 1, 0), (2, 0, 2)]

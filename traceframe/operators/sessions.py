@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,3 +202,65 @@ def session_rollup(indexed: DataFrame) -> DataFrame:
                  F.when(F.col("kind") == "prompt", F.col("position"))).alias("first_prompt_hash"),
         F.max_by("text_hash", "position").alias("last_message_hash"))
     return g.where((F.col("prompts") + F.col("responses")) > 0)
+
+
+def line_diff_counts(old: str | None, new: str | None) -> tuple[int, int] | None:
+    """(added, removed) non-empty lines of a minimal line diff; None when a
+    side is missing (the prompts cannot be compared)."""
+    if not old or not new:
+        return None
+    a, b = old.split("\n"), new.split("\n")
+    # lines kept by the diff are an LCS; count the non-empty ones on each side
+    common = _lcs_pairs(a, b)
+    added = sum(1 for k, line in enumerate(b) if line and k not in common[1])
+    removed = sum(1 for k, line in enumerate(a) if line and k not in common[0])
+    return added, removed
+
+
+def _lcs_pairs(a: list, b: list) -> tuple[set, set]:
+    """Indices of a and b taking part in one longest common subsequence."""
+    n, m = len(a), len(b)
+    dp = [[0] * (m + 1) for _ in range(n + 1)]
+    for x in range(n - 1, -1, -1):
+        for y in range(m - 1, -1, -1):
+            dp[x][y] = dp[x + 1][y + 1] + 1 if a[x] == b[y] else max(dp[x + 1][y], dp[x][y + 1])
+    ia, ib, x, y = set(), set(), 0, 0
+    while x < n and y < m:
+        if a[x] == b[y]:
+            ia.add(x)
+            ib.add(y)
+            x += 1
+            y += 1
+        elif dp[x + 1][y] >= dp[x][y + 1]:
+            x += 1
+        else:
+            y += 1
+    return ia, ib
+
+
+def prompt_diffs(prompts: DataFrame, key: str = "session_id", order: str = "position",
+                 text_col: str = "text", block: int = 1024) -> DataFrame:
+    """Each prompt against the previous prompt of the same process or
+    session — added and removed line counts of a minimal line diff.
+
+    The previous prompt comes from a two-level lag (no single-partition
+    window); only the paired rows reach the Arrow-batched pandas UDF that
+    runs the line diff (an LCS, not expressible in SQL)."""
+    from pyspark.sql.functions import pandas_udf
+
+    from ..functions.scan import prev_value
+
+    @pandas_udf("struct<added:int,removed:int,has_changes:boolean>")
+    def diff_udf(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        rows = []
+        for o, n in zip(old, new):
+            r = line_diff_counts(None if pd.isna(o) else o, None if pd.isna(n) else n)
+            rows.append((None, None, False) if r is None else (r[0], r[1], (r[0] + r[1]) > 0))
+        return pd.DataFrame(rows, columns=["added", "removed", "has_changes"])
+
+    x = prev_value(prompts, [key], F.expr(f"{order} div {block}"), [order], text_col, "_prev_text")
+    x = prev_value(x, [key], F.expr(f"{order} div {block}"), [order], order, "previous_position")
+    x = x.where(F.col("previous_position").isNotNull())
+    d = diff_udf(F.col("_prev_text"), F.col(text_col))
+    return x.select(key, order, "previous_position", d["added"].alias("added_lines"),
+                    d["removed"].alias("removed_lines"), d["has_changes"].alias("has_changes"))

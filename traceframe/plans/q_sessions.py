@@ -394,3 +394,9 @@ def p9_tag_from_cache(spark, sf):
 def p10_cluster_tags(spark, sf):
     prompts = S.distinct_prompts(_log(spark, sf)).select("text")
     return TG.tag_cluster(prompts, "text")
+
+
+@register("w5_prompt_diffs")
+def w5_prompt_diffs(spark, sf):
+    prompts = FX.session_log(spark, sf).where(F.col("kind") == "prompt").select("session_id", "position", "text")
+    return S.prompt_diffs(prompts)
