@@ -59,3 +59,22 @@ def test_writers(spark):
     SK.export_snapshot({"audit_events": spark.createDataFrame([("a", 1)], "id string, timestamp_ms bigint")},
                        os.path.join(d, "snap"))
     assert spark.read.parquet(os.path.join(d, "snap", "audit_events")).count() == 1
+
+
+def test_session_log_discovery_newest_first(spark):
+    import time
+    from traceframe.operators.sessionlog import session_events
+    from traceframe.operators.sessions import read_session_logs
+    root = _scratch()
+    os.makedirs(os.path.join(root, "proj"))
+    for i, name in enumerate(["old.jsonl", "new.jsonl"]):
+        with open(os.path.join(root, "proj", name), "w") as f:
+            f.write('{"type":"user","sessionId":"s%d","timestamp":"2024-01-01T00:00:0%d.000Z",'
+                    '"message":{"role":"user","content":"hello %d"}}\n' % (i, i, i))
+        time.sleep(1.1)
+    with open(os.path.join(root, "proj", "notes.txt"), "w") as f:
+        f.write("ignored\n")
+    lines = read_session_logs(spark, root, "*.jsonl", newest=1)
+    assert [r["file"].split("/")[-1] for r in lines.collect()] == ["new.jsonl"]
+    prompts, _, _ = session_events(lines)
+    assert [r["text"] for r in prompts.collect()] == ["hello 1"]

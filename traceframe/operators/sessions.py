@@ -264,3 +264,39 @@ def prompt_diffs(prompts: DataFrame, key: str = "session_id", order: str = "posi
     d = diff_udf(F.col("_prev_text"), F.col(text_col))
     return x.select(key, order, "previous_position", d["added"].alias("added_lines"),
                     d["removed"].alias("removed_lines"), d["has_changes"].alias("has_changes"))
+
+
+def read_session_logs(spark, root: str, pattern: str = "*.jsonl", newest: int | None = None) -> DataFrame:
+    """Transcript files under ``root`` (recursive, name pattern), newest
+    first; with ``newest`` only that many files are read. The file choice is a
+    metadata-only listing (``binaryFile`` without content) ordered by
+    modification time; lines keep their in-file order (``line_no``)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", pattern).load(root).select("path", "modificationTime"))
+    if newest is not None:
+        files = files.orderBy(F.col("modificationTime").desc(), F.col("path").asc()).limit(newest)
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+             .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_modification_time").alias("modified"))
+             .withColumn("line_no", F.monotonically_increasing_id()))
+    return lines.join(files.select(F.col("path").alias("file")), "file", "left_semi")
+
+
+def latest_sessions(sessions: DataFrame, key: str = "display_id", updated: str = "updated_ms",
+                    limit: int = 25) -> DataFrame:
+    """The newest parsed copy per display id (``max_by``, a partial
+    aggregate), then the ``limit`` most recently updated (≤ 25)."""
+    limit = max(1, min(int(limit), 25))
+    cols = sessions.columns
+    best = (sessions.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(updated, *[c for c in cols if c != updated]))
+                                      .alias("_r")).select("_r.*"))
+    return best.orderBy(F.col(updated).desc(), F.col(key).asc()).limit(limit)
+
+
+def session_tool_rows(sessions: DataFrame, tools_col: str = "tools") -> DataFrame:
+    """A session's ``tools`` map (name → count) as one tool-call row per
+    call (explode of the map, then of ``sequence(1, count)``)."""
+    x = sessions.select("session_id", F.explode(tools_col).alias("tool_name", "_n"))
+    return x.select("session_id", "tool_name",
+                    F.explode(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(0)).cast("int")))
+                    .alias("call_no"))

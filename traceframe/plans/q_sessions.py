@@ -400,3 +400,34 @@ def p10_cluster_tags(spark, sf):
 def w5_prompt_diffs(spark, sf):
     prompts = FX.session_log(spark, sf).where(F.col("kind") == "prompt").select("session_id", "position", "text")
     return S.prompt_diffs(prompts)
+
+
+# ---- A11 / S5 over transcript sessions -----------------------------------------
+
+def _tool_maps(spark, sf):
+    tools = _p1(spark, sf)[1]
+    counts = tools.groupBy("session_id", "tool_name").agg(F.count(F.lit(1)).alias("n"))
+    # one (name → count) map per session; bounded by the distinct tool names of a session
+    return counts.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("tool_name", "n"))).alias("tools"))
+
+
+@register("a11_session_tool_rows", W(["session_jsonl"], """
+    SELECT session_id, tool_name, unnest(range(1, n + 1)) AS call_no FROM (
+        SELECT session_id, tool_name, count(*) AS n FROM tools GROUP BY 1, 2)""", _P1_SQL))
+def a11_session_tool_rows(spark, sf):
+    return S.session_tool_rows(_tool_maps(spark, sf)).withColumn("call_no", F.col("call_no").cast("bigint"))
+
+
+@register("s5_latest_sessions", W(["session_log"], """
+    SELECT display_id, session_id, updated_ms, prompts FROM (
+        SELECT *, row_number() OVER (PARTITION BY display_id ORDER BY updated_ms DESC, session_id DESC, prompts DESC) AS r
+        FROM (SELECT 'd' || (conv_id % 40) AS display_id, session_id, max(timestamp_ms) AS updated_ms,
+                     count(*) FILTER (WHERE kind = 'prompt') AS prompts FROM session_log GROUP BY conv_id, session_id))
+    WHERE r = 1 ORDER BY updated_ms DESC, display_id LIMIT 25"""))
+def s5_latest_sessions(spark, sf):
+    log = FX.session_log(spark, sf)
+    sess = (log.groupBy("conv_id", "session_id")
+            .agg(F.max("timestamp_ms").alias("updated_ms"), F.count_if(F.col("kind") == "prompt").alias("prompts"))
+            .select(F.format_string("d%d", F.col("conv_id") % 40).alias("display_id"), "session_id",
+                    "updated_ms", "prompts"))
+    return S.latest_sessions(sess, "display_id", "updated_ms", 25)
