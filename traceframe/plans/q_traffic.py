@@ -422,3 +422,127 @@ def r2_sse_events(spark, sf):
     HAVING string_agg(txt, '' ORDER BY seq, block_no) <> '' OR max(i_tok) IS NOT NULL OR max(o_tok) IS NOT NULL""", _R3_SQL))
 def r3_reassemble_sse(spark, sf):
     return SSE.reassemble_sse(SSE.sse_events(FX.sse_bodies(spark, sf)))
+
+
+# ---- F1 / F2 / X1–X3: canonical events from raw envelopes --------------------------
+
+from ..operators import canonical as CN  # noqa: E402
+
+
+def _raw_envelopes(spark, sf):
+    """Raw events of three sources rebuilt from the driver tables: HTTP
+    parser events from ``pages`` (some on LLM API paths with JSON bodies),
+    process events and system samples from ``events``."""
+    pages = FX.read_table(spark, sf, "pages")
+    pid = F.col("page_id")
+    m6 = pid % 6
+    host = F.regexp_extract("url", FX.URL_HOST, 1)
+    path = (F.when(m6 == 0, F.lit("/v1/messages"))
+            .when(m6 == 1, F.format_string("/v1beta/models/gemini-%d:generateContent", pid % 3))
+            .otherwise(F.regexp_extract("url", FX.URL_PATH, 1)))
+    req = pages.select(
+        (pid * 1000).alias("timestamp"), F.lit("http_parser").alias("source"), (pid % 7).alias("pid"),
+        F.lit("agent").alias("comm"),
+        F.to_json(F.struct(F.lit("request").alias("message_type"),
+                           F.when(pid % 4 == 0, "POST").otherwise("GET").alias("method"), path.alias("path"),
+                           (pid % 16).alias("tid"),
+                           F.struct(host.alias("host"), F.when(pid % 4 == 0, F.format_string("r-%d", pid))
+                                    .alias("X-Request-Id")).alias("headers"),
+                           F.when(m6 == 0, F.format_string('{"model":"m-%d"}', pid % 3))
+                            .when(m6 == 1, F.lit('{"contents":[]}')).otherwise(F.lit("")).alias("body")))
+        .alias("data"))
+    status = F.when(pid % 10 == 1, 500).when(pid % 10 == 0, 404).otherwise(200)
+    resp = pages.select(
+        (pid * 1000 + 500).alias("timestamp"), F.lit("http_parser").alias("source"), (pid % 7).alias("pid"),
+        F.lit("agent").alias("comm"),
+        F.to_json(F.struct(F.lit("response").alias("message_type"), status.alias("status_code"),
+                           (pid % 16).alias("tid"), F.struct(host.alias("host")).alias("headers"),
+                           F.when(m6 == 0, F.lit('{"usage":{"input_tokens":5}}')).otherwise(F.lit("")).alias("body")))
+        .alias("data"))
+    c = FX.canonical_events(spark, sf)
+    proc = c.where(F.col("event").isin("EXEC", "EXIT")).select(
+        "timestamp_ms", F.lit("process").alias("source"), "pid", "comm",
+        F.to_json(F.struct(F.col("event").alias("event"), F.col("ppid").alias("ppid"),
+                           F.col("filename").alias("filename"))).alias("data")).withColumnRenamed("timestamp_ms", "timestamp")
+    sysr = c.where(F.col("event") == "FILE_OPEN").select(
+        "timestamp_ms", F.lit("system").alias("source"), "pid", "comm",
+        F.to_json(F.struct(F.struct(F.format_string("%.2f", "value").alias("percent")).alias("cpu"),
+                           (F.col("value") > 100).alias("alert"))).alias("data")).withColumnRenamed("timestamp_ms", "timestamp")
+    raw = req.unionByName(resp).unionByName(proc).unionByName(sysr)
+    return raw.withColumn("data", F.expr("parse_json(data)"))
+
+
+def _hdr_sql(name):
+    return (f"json_extract_string(data, '$.headers.\"' || list_filter(coalesce(json_keys(data, '$.headers'), []), "
+            f"lambda k: lower(k) = '{name}')[1] || '\"')")
+
+
+_F1_SQL = [
+    ("raw_env", f"""
+        SELECT page_id * 1000 AS timestamp, 'http_parser' AS source, page_id % 7 AS pid, 'agent' AS comm,
+            json_object('message_type', 'request', 'method', CASE WHEN page_id % 4 = 0 THEN 'POST' ELSE 'GET' END,
+                'path', CASE page_id % 6 WHEN 0 THEN '/v1/messages'
+                             WHEN 1 THEN '/v1beta/models/gemini-' || (page_id % 3) || ':generateContent'
+                             ELSE regexp_extract(url, '{FX.URL_PATH}', 1) END,
+                'tid', page_id % 16,
+                'headers', CASE WHEN page_id % 4 = 0 THEN json_object('host', regexp_extract(url, '{FX.URL_HOST}', 1), 'X-Request-Id', 'r-' || page_id)
+                                ELSE json_object('host', regexp_extract(url, '{FX.URL_HOST}', 1)) END,
+                'body', CASE page_id % 6 WHEN 0 THEN '{{"model":"m-' || (page_id % 3) || '"}}' WHEN 1 THEN '{{"contents":[]}}' ELSE '' END)::VARCHAR AS data
+        FROM pages
+        UNION ALL
+        SELECT page_id * 1000 + 500, 'http_parser', page_id % 7, 'agent',
+            json_object('message_type', 'response',
+                'status_code', CASE WHEN page_id % 10 = 1 THEN 500 WHEN page_id % 10 = 0 THEN 404 ELSE 200 END,
+                'tid', page_id % 16, 'headers', json_object('host', regexp_extract(url, '{FX.URL_HOST}', 1)),
+                'body', CASE WHEN page_id % 6 = 0 THEN '{{"usage":{{"input_tokens":5}}}}' ELSE '' END)::VARCHAR
+        FROM pages
+        UNION ALL
+        SELECT timestamp_ms, 'process', pid, comm, json_object('event', event, 'ppid', ppid, 'filename', filename)::VARCHAR
+        FROM canon WHERE event IN ('EXEC', 'EXIT')
+        UNION ALL
+        SELECT timestamp_ms, 'system', pid, comm,
+            json_object('cpu', json_object('percent', printf('%.2f', value)), 'alert', value > 100)::VARCHAR
+        FROM canon WHERE event = 'FILE_OPEN'"""),
+    ("env", """SELECT *, CASE WHEN json_valid(data ->> '$.body') THEN data ->> '$.body' END AS body,
+            data ->> '$.message_type' AS mt, TRY_CAST(data ->> '$.status_code' AS INTEGER) AS status,
+            data ->> '$.path' AS path0,
+            coalesce(data ->> '$.host', data ->> '$.headers.host', data ->> '$.headers.":authority"') AS host0,
+            coalesce(data ->> '$.event', '') AS ev FROM raw_env"""),
+    ("env2", f"""SELECT *, coalesce(body ->> '$.model', body ->> '$.response.model') AS body_model,
+            (body IS NOT NULL AND (json_exists(body, '$.usage') OR json_exists(body, '$.usageMetadata'))) AS has_usage,
+            coalesce(ends_with(coalesce(path0, ''), '{CN.LLM_PATH_SUFFIX}')
+                {''.join(f" OR contains(coalesce(path0, ''), '{p}')" for p in CN.LLM_PATH_PARTS)}, false) AS llm_path,
+            coalesce(status >= 400, false) AS err FROM env"""),
+]
+
+
+@register("f1_normalize_events", W(["canon"], f"""
+    SELECT timestamp, source,
+        CASE WHEN source = 'http_parser' AND mt = 'request' THEN CASE WHEN llm_path THEN 'LlmRequest' ELSE 'HttpRequest' END
+             WHEN source = 'http_parser' AND mt = 'response' THEN
+                CASE WHEN llm_path OR coalesce(body_model IS NOT NULL OR has_usage, false)
+                     THEN CASE WHEN err THEN 'LlmError' ELSE 'LlmResponse' END ELSE 'HttpResponse' END
+             WHEN source = 'process' THEN CASE WHEN ev = 'EXEC' THEN 'ProcessExec' WHEN ev = 'EXIT' THEN 'ProcessExit'
+                  WHEN contains(ev, 'FILE_OPEN') THEN 'FsOpen' WHEN contains(ev, 'FILE_WRITE') THEN 'FsWrite'
+                  WHEN contains(ev, 'FILE_') THEN 'FsMutation' ELSE 'Unknown' END
+             WHEN source = 'system' THEN 'ResourceSample' ELSE 'Unknown' END AS kind,
+        CASE WHEN source = 'http_parser' AND mt = 'response' AND err THEN 'Error'
+             WHEN source = 'system' AND coalesce(TRY_CAST(data ->> '$.alert' AS BOOLEAN), false) THEN 'Warning'
+             ELSE 'Info' END AS severity,
+        pid, TRY_CAST(data ->> '$.tid' AS BIGINT) AS tid, TRY_CAST(data ->> '$.ppid' AS BIGINT) AS ppid, comm,
+        host0 AS host, data ->> '$.method' AS method, path0 AS path, status AS status_code,
+        CASE WHEN host0 IS NULL THEN NULL
+             WHEN contains(lower(host0), 'openai.azure.com') THEN 'azure.ai.openai' WHEN contains(lower(host0), 'openai') THEN 'openai'
+             WHEN contains(lower(host0), 'anthropic') THEN 'anthropic'
+             WHEN contains(lower(host0), 'generativelanguage') OR contains(lower(host0), 'googleapis') THEN 'gcp.gen_ai'
+             WHEN contains(lower(host0), 'bedrock') THEN 'aws.bedrock' ELSE host0 END AS provider,
+        coalesce(body_model, CASE WHEN contains(coalesce(path0, ''), '/models/') THEN nullif(
+            CASE WHEN contains(regexp_extract(path0, '/models/(.*)$', 1), ':') THEN split_part(regexp_extract(path0, '/models/(.*)$', 1), ':', 1)
+                 WHEN contains(regexp_extract(path0, '/models/(.*)$', 1), '/') THEN split_part(regexp_extract(path0, '/models/(.*)$', 1), '/', 1)
+                 ELSE regexp_extract(path0, '/models/(.*)$', 1) END, '') END) AS model,
+        coalesce(data ->> '$.request_id', data ->> '$.requestId', data ->> '$.requestID',
+                 {', '.join(_hdr_sql(h) for h in CN.REQUEST_ID_HEADERS)}) AS request_id,
+        0.75 AS confidence
+    FROM env2""", _F1_SQL))
+def f1_normalize_events(spark, sf):
+    return CN.normalize_events(_raw_envelopes(spark, sf))
