@@ -65,3 +65,32 @@ def monitor_windows(samples: DataFrame, window_ms: int = 2_000) -> DataFrame:
                  F.count_distinct("pid").alias("processes"),
                  F.min("sample_ts").alias("first_seen_ms"),
                  F.max("sample_ts").alias("last_seen_ms")))
+
+
+def monitor_top(windows: DataFrame, tracked: DataFrame, window_ms: int = 2_000) -> DataFrame:
+    """The latest window of every tracked session (``max_by`` per
+    session, a partial aggregate) with cpu% = cpu_ms / window_ms · 100."""
+    cols = [c for c in windows.columns if c != "session_id"]
+    latest = (windows.groupBy("session_id").agg(F.max_by(F.struct(*cols), "window_start").alias("_w"))
+              .select("session_id", "_w.*"))
+    return (tracked.select("session_id").distinct().join(latest, "session_id")
+            .withColumn("cpu_percent", F.round(F.col("cpu_ms") / window_ms * 100, 4)))
+
+
+SORT_KEYS = {"rss": "rss", "mem": "rss", "memory": "rss", "tokens": "tokens", "token": "tokens",
+             "exec": "execs", "execs": "execs", "fail": "fail", "fails": "fail", "failure": "fail",
+             "failures": "fail", "file": "files", "files": "files", "net": "net", "network": "net",
+             "agent": "agent", "name": "agent", "command": "agent"}
+
+
+def sort_agent_rows(rows: DataFrame, key: str = "cpu", n: int | None = None) -> DataFrame:
+    """T5: order by the chosen key (cpu, rss, tokens, execs, fail, files,
+    net: descending; agent: ascending), then cpu desc, rss desc, agent, pid.
+    With ``n`` the first n rows (a top-k)."""
+    k = SORT_KEYS.get(key.lower(), "cpu")
+    col = {"rss": "rss_mb", "tokens": "tokens", "execs": "execs", "fail": "failures", "files": "files",
+           "net": "network", "cpu": "cpu_percent"}
+    primary = [F.col("agent").asc()] if k == "agent" else [F.coalesce(F.col(col[k]), F.lit(0)).desc()]
+    out = rows.orderBy(*primary, F.col("cpu_percent").desc(), F.col("rss_mb").desc(), F.col("agent").asc(),
+                       F.col("pid").asc())
+    return out.limit(n) if n else out

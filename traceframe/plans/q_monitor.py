@@ -295,3 +295,90 @@ def u3_process_timeline(spark, sf):
     nodes = P.process_nodes(canon)
     att = P.attach_process(P.audit_from_events(canon), nodes)
     return P.process_timeline(att, P.process_parents(nodes), nodes)
+
+
+# ---- T3 / T5 agent rows, J17 monitor top, J12 latest session path --------------
+
+def _agent_rows(spark, sf):
+    """One row per pid: agent (comm), peak cpu and rss, effective tokens,
+    execs, failed exits, file and network events."""
+    canon = FX.canonical_events(spark, sf)
+    counters = A.audit_counters(P.audit_from_events(canon), by_pid=True)
+    res = FX.resource_samples(spark, sf).groupBy("pid").agg(
+        F.max("cpu_percent").alias("cpu_percent"), F.max("rss_mb").alias("rss_mb"), F.max("comm").alias("agent"))
+    tok = (T.effective_tokens(FX.token_usage(spark, sf)).groupBy("pid")
+           .agg(F.sum("total_tokens").cast("bigint").alias("tokens")))
+    return (res.join(counters, "pid", "left").join(tok, "pid", "left")
+            .select("pid", "agent", "cpu_percent", "rss_mb", "tokens",
+                    F.coalesce("process_execs", F.lit(0)).alias("execs"),
+                    F.coalesce("process_exit_failure", F.lit(0)).alias("failures"),
+                    F.coalesce("file_events", F.lit(0)).alias("files"),
+                    F.coalesce("network_events", F.lit(0)).alias("network")))
+
+
+_AGENT_SQL = [("audit", AUDIT), ("eff", "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY "
+               "coalesce(nullif(llm_call_id, ''), id) ORDER BY CASE source WHEN 'response_usage' THEN 0 "
+               "WHEN 'orphan_response_usage' THEN 1 WHEN 'gemini_cli_stdout_stats' THEN 2 WHEN 'claude_telemetry' THEN 3 "
+               "WHEN 'agent_native_session' THEN 4 ELSE 5 END, coalesce(confidence, 0) DESC, id) AS rn FROM token_usage) "
+               "WHERE rn = 1"),
+              ("agent_rows", """SELECT r.pid, r.agent, r.cpu_percent, r.rss_mb, t.tokens,
+                    coalesce(c.execs, 0) AS execs, coalesce(c.failures, 0) AS failures,
+                    coalesce(c.files, 0) AS files, coalesce(c.network, 0) AS network
+                FROM (SELECT pid, max(cpu_percent) AS cpu_percent, max(rss_mb) AS rss_mb, max(comm) AS agent
+                      FROM resource_samples GROUP BY pid) r
+                LEFT JOIN (SELECT pid, count(*) FILTER (WHERE audit_type = 'process' AND action = 'exec') AS execs,
+                      count(*) FILTER (WHERE audit_type = 'process' AND action = 'exit' AND status = 'failure') AS failures,
+                      count(*) FILTER (WHERE audit_type = 'file') AS files,
+                      count(*) FILTER (WHERE audit_type = 'network') AS network FROM audit GROUP BY pid) c ON r.pid = c.pid
+                LEFT JOIN (SELECT pid, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM eff GROUP BY pid) t ON r.pid = t.pid""")]
+
+
+@register("t3_agent_rows", W(["canon", "resource_samples", "token_usage"], "SELECT * FROM agent_rows", _AGENT_SQL))
+def t3_agent_rows(spark, sf):
+    return _agent_rows(spark, sf)
+
+
+@register("t5_sort_agent_rows", W(["canon", "resource_samples", "token_usage"], """
+    SELECT * FROM agent_rows ORDER BY coalesce(failures, 0) DESC, cpu_percent DESC, rss_mb DESC, agent, pid LIMIT 20""",
+    _AGENT_SQL))
+def t5_sort_agent_rows(spark, sf):
+    return M.sort_agent_rows(_agent_rows(spark, sf), "fail", 20)
+
+
+@register("j17_monitor_top", W(["proc_samples"], """
+    SELECT w.session_id, w.window_start, w.cpu_ms, w.max_rss_kb, w.read_bytes, w.write_bytes, w.processes,
+        w.first_seen_ms, w.last_seen_ms, round(w.cpu_ms / 2000 * 100, 4) AS cpu_percent
+    FROM (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY window_start DESC) = 1) w
+    WHERE w.session_id IN (SELECT 's-' || (pid % 10) FROM proc_samples WHERE pid % 3 <> 0)""",
+    [("w6", _W6), ("win", """SELECT 's-' || (pid % 10) AS session_id, sample_ts // 2000 * 2000 AS window_start,
+        CAST(sum(cpu_ms) AS BIGINT) AS cpu_ms, max(rss_kb) AS max_rss_kb,
+        CAST(sum(read_delta) AS BIGINT) AS read_bytes, CAST(sum(write_delta) AS BIGINT) AS write_bytes,
+        count(DISTINCT pid) AS processes, min(sample_ts) AS first_seen_ms, max(sample_ts) AS last_seen_ms
+        FROM w6 GROUP BY 1, 2""")]))
+def j17_monitor_top(spark, sf):
+    d = R.cpu_io_delta(FX.proc_samples(spark, sf)).withColumn(
+        "session_id", F.format_string("s-%d", F.col("pid") % 10))
+    windows = M.monitor_windows(d, 2000)
+    tracked = FX.proc_samples(spark, sf).where(F.col("pid") % 3 != 0).select(
+        F.format_string("s-%d", F.col("pid") % 10).alias("session_id"))
+    return M.monitor_top(windows, tracked, 2000)
+
+
+@register("j12_latest_session_path", W(["canon"], """
+    SELECT b.process_id, arg_max(a.target, (a.timestamp_ms, a.id)) AS latest_path, max(a.timestamp_ms) AS latest_ms
+    FROM audit a JOIN (SELECT id, process_id FROM cand
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, hs DESC, process_id DESC) = 1) b ON a.id = b.id
+    WHERE a.audit_type = 'file' GROUP BY b.process_id""", [("audit", AUDIT)] + PROCESS_CTES + [
+    ("cand", "SELECT a.id, n.id AS process_id, coalesce(n.start_timestamp_ms, 0) AS s, "
+             "n.start_timestamp_ms IS NOT NULL AS hs FROM audit a JOIN nodes n ON a.pid = n.pid "
+             "AND coalesce(n.start_timestamp_ms, 0) <= a.timestamp_ms "
+             "AND (n.end_timestamp_ms IS NULL OR a.timestamp_ms <= n.end_timestamp_ms)")]))
+def j12_latest_session_path(spark, sf):
+    """The latest file observed for each process instance after it
+    started (file audit rows attached by the J5 interval join)."""
+    canon = FX.canonical_events(spark, sf)
+    att = P.attach_process(P.audit_from_events(canon), P.process_nodes(canon))
+    return (att.where((F.col("audit_type") == "file") & F.col("process_id").isNotNull())
+            .groupBy("process_id")
+            .agg(F.max_by("target", F.struct("timestamp_ms", "id")).alias("latest_path"),
+                 F.max("timestamp_ms").alias("latest_ms")))

@@ -300,7 +300,9 @@ _P1_SQL = [
                 coalesce(TRY_CAST(line->>'$.toolUseResult.is_error' AS BOOLEAN), TRY_CAST(b->>'$.is_error' AS BOOLEAN), false) AS is_error
             FROM blocks WHERE type = 'user' AND b->>'$.type' = 'tool_result') GROUP BY session_id, call_id"""),
     ("tools0", """SELECT session_id, line_no AS position, timestamp_ms, b->>'$.name' AS tool_name, b->>'$.id' AS call_id,
-            coalesce(b->>'$.input.command', b->>'$.input.file_path', b->>'$.input.url', '') AS command
+            coalesce(nullif(b->>'$.input.cmd', ''), nullif(b->>'$.input.command', ''), 'search ' || nullif(b->>'$.input.pattern', ''),
+                     nullif(b->>'$.input.file_path', ''), nullif(b->>'$.input.path', ''), nullif(b->>'$.input.text', ''),
+                     (b->'$.input')::VARCHAR, '') AS command
             FROM blocks WHERE type = 'assistant' AND b->>'$.type' = 'tool_use'"""),
     ("tools1", f"""SELECT t.*, CASE WHEN r.is_error IS NULL THEN 'observed' WHEN r.is_error THEN 'fail' ELSE 'ok' END AS status,
             translate(coalesce(tool_name, ''), '{S.UPPER}', '{S.LOWER}') AS n,
@@ -315,9 +317,20 @@ _P1_SQL = [
                  WHEN contains(n, 'plan') OR contains(n, 'todo') THEN 'plan'
                  WHEN contains(n, 'task') OR contains(n, 'agent') THEN 'subagent' ELSE 'tool' END AS category
             FROM tools2"""),
+    ("tools3b", f"""SELECT *, list_sort(list_distinct(list_concat(
+            list_filter(list_transform(list_filter(string_split_regex(command, '[\\s"''()]+'),
+                lambda p: starts_with(p, 'https://') OR starts_with(p, 'http://')),
+                lambda p: translate(split_part(regexp_replace(p, '^https?://', ''), '/', 1), '{S.UPPER}', '{S.LOWER}')),
+                lambda h: h <> ''),
+            list_filter(['github.com', 'crates.io', 'huggingface.co', 'hf.co', 'openai.com', 'anthropic.com'], lambda k: len(list_filter(string_split_regex(command, '[\\s"''()]+'),
+                lambda p: contains(p, k))) > 0)))) AS domains FROM tools3"""),
     ("tools", f"""SELECT session_id, position, timestamp_ms, tool_name, call_id, command, status, category,
-            CASE WHEN category = 'shell' THEN cmd_name ELSE '' END AS command_name,
-            CASE WHEN category <> 'shell' THEN category
+            array_to_string(domains, ',') AS domains,
+            CASE WHEN category = 'shell' THEN cmd_name
+                 WHEN category = 'network' AND len(domains) > 0 THEN split_part(domains[1], ':', 1)
+                 ELSE coalesce(nullif(regexp_extract(translate(coalesce(tool_name, ''), '{S.UPPER}', '{S.LOWER}'), '[a-z0-9]{{2,}}', 0), ''), 'tool') END
+                 AS command_name,
+            CASE WHEN tool_name = 'apply_patch' OR contains(command, '*** ') THEN 'write'
                  WHEN cmd_name IN {tuple(SL.TEST_CMDS)} AND list_has_any(string_split_regex(lt, '[^a-z0-9_]+'), {_words(SL.TEST_WORDS)}) THEN 'test'
                  WHEN cmd_name = 'git' AND list_has_any(string_split_regex(lt, '[^a-z0-9_]+'), {_words(SL.REPO_WORDS)}) THEN 'repo'
                  WHEN cmd_name IN {tuple(SL.NET_CMDS)} AND (list_has_any(string_split_regex(lt, '[^a-z0-9_]+'), {_words(SL.NET_WORDS)})
@@ -325,7 +338,7 @@ _P1_SQL = [
                  WHEN cmd_name IN {tuple(SL.WRITE_CMDS)} AND ({' OR '.join(f"contains(lt, '{m}')" for m in SL.WRITE_MARKS)}) THEN 'write'
                  WHEN cmd_name IN {tuple(SL.READ_CMDS)} THEN 'read'
                  WHEN contains(lt, 'http://') OR contains(lt, 'https://') OR contains(lt, 'crates.io') OR contains(lt, 'github.com') THEN 'network'
-                 ELSE 'process' END AS effect FROM tools3"""),
+                 ELSE 'process' END AS effect FROM tools3b"""),
     ("atext", """SELECT session_id, line_no, string_agg(b->>'$.text', chr(10) ORDER BY block_no) AS text
             FROM blocks WHERE type = 'assistant' AND b->>'$.type' = 'text' GROUP BY session_id, line_no"""),
     ("a", """SELECT p.session_id, coalesce(line->>'$.message.id', line->>'$.requestId', p.session_id || ':' || p.line_no) AS message_id,
@@ -352,7 +365,8 @@ def p1_prompts(spark, sf):
 @register("p1_tools", W(["session_jsonl"], "SELECT * FROM tools", _P1_SQL))
 def p1_tools(spark, sf):
     return _p1(spark, sf)[1].select("session_id", "position", "timestamp_ms", "tool_name", "call_id", "command",
-                                    "status", "category", "command_name", "effect")
+                                    "status", "category", "command_name", "effect",
+                                    F.array_join("domains", ",").alias("domains"))
 
 
 @register("p1_llm_responses", W(["session_jsonl"], "SELECT * FROM llm", _P1_SQL))
