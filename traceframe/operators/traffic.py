@@ -308,3 +308,36 @@ def content_length_stats(parsed: DataFrame) -> DataFrame:
     r = parsed.where(F.col("message_type") == "response").select(cl.alias("cl")).where(F.col("cl").isNotNull())
     return r.agg(F.count(F.lit(1)).alias("count"), F.min("cl").alias("min"), F.max("cl").alias("max"),
                  F.round(F.avg("cl"), 4).alias("mean"), F.sum("cl").alias("total"))
+
+
+# Request paths that count as data transfer (case-insensitive).
+DATA_ENDPOINTS = ["/api/", "/v1/", "/v2/", "/chat", "/completion", "/generate", "/query", "/search",
+                  "/upload", "/download"]
+
+
+def data_timeline(http: DataFrame) -> DataFrame:
+    """data-transfer messages only (requests with a body or on a data
+    endpoint, responses with a body or an event stream), without headers,
+    in time order."""
+    body = F.coalesce(F.col("body"), F.lit(""))
+    pat = "(?i)(" + "|".join(DATA_ENDPOINTS) + ")"
+    keep = (((F.col("message_type") == "request") & ((body != "") | F.coalesce(F.col("path"), F.lit("")).rlike(pat)))
+            | ((F.col("message_type") == "response")
+               & ((body != "") | F.coalesce(F.col("content_type"), F.lit("")).contains("text/event-stream"))))
+    return (http.where(keep)
+            .select("seq", "timestamp_ms", "message_type", "method", "path", "status_code", "content_type",
+                    F.length(body).cast("bigint").alias("body_size"))
+            .orderBy("timestamp_ms", "seq"))
+
+
+def traffic_report(http: DataFrame) -> DataFrame:
+    """One row combining request/response counts, latency metrics
+    and content statistics (A21) — one-row frames folded without joins."""
+    counts = http.agg(F.count_if(F.col("message_type") == "request").alias("total_requests"),
+                      F.count_if(F.col("message_type") == "response").alias("total_responses"),
+                      F.count_distinct("host").alias("hosts"))
+    parts = [counts, response_metrics(http), content_stats(http)]
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.unionByName(p, allowMissingColumns=True)
+    return row.agg(*[F.max(c).alias(c) for c in row.columns])

@@ -546,3 +546,37 @@ _F1_SQL = [
     FROM env2""", _F1_SQL))
 def f1_normalize_events(spark, sf):
     return CN.normalize_events(_raw_envelopes(spark, sf))
+
+
+# ---- F21 data timeline, A23 traffic report ----------------------------------------
+
+@register("f21_data_timeline", W(["http"], f"""
+    SELECT seq, timestamp_ms, message_type, method, path, status_code, content_type,
+        CAST(length(coalesce(body, '')) AS BIGINT) AS body_size FROM http
+    WHERE (message_type = 'request' AND (coalesce(body, '') <> ''
+            OR regexp_matches(coalesce(path, ''), '(?i)({"|".join(H.DATA_ENDPOINTS)})')))
+       OR (message_type = 'response' AND (coalesce(body, '') <> '' OR contains(coalesce(content_type, ''), 'text/event-stream')))
+    ORDER BY timestamp_ms, seq"""))
+def f21_data_timeline(spark, sf):
+    return H.data_timeline(FX.http_messages(spark, sf))
+
+
+def _a23_sql():
+    a19 = ORACLES["a19_response_metrics"]
+    a21 = ORACLES["a21_content_stats"]
+    s19 = a19[a19.index("SELECT count(lat)"):]
+    s21 = a21[a21.index("SELECT count(*) FILTER"):]
+    return W(["http"], f"""SELECT c.*, m.*, s.* FROM
+        (SELECT count(*) FILTER (WHERE message_type = 'request') AS total_requests,
+                count(*) FILTER (WHERE message_type = 'response') AS total_responses, count(DISTINCT host) AS hosts FROM http) c,
+        ({s19}) m, ({s21}) s""", _LASTM)
+
+
+@register("a23_traffic_report")
+def a23_traffic_report(spark, sf):
+    return H.traffic_report(FX.http_messages(spark, sf))
+
+
+from .registry import ORACLES  # noqa: E402
+
+ORACLES["a23_traffic_report"] = _a23_sql()
