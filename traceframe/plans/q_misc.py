@@ -259,3 +259,47 @@ def f16_filter_display_events(spark, sf):
         UNION ALL SELECT 'comm', comm FROM display) WHERE value IS NOT NULL ORDER BY facet, value""", _DISPLAY_SQL))
 def f18_filter_options(spark, sf):
     return TL.filter_options(_display(spark, sf), ("kind", "source", "comm"))
+
+
+@register("a30_span_summary", W(["llm_calls"], f"""
+    SELECT count(*) AS total_spans, count(*) FILTER (WHERE kind = 3) AS request_spans,
+        count(*) FILTER (WHERE kind = 2) AS response_spans,
+        coalesce(round(avg(CASE WHEN kind = 3 AND (end_unix_nano - start_unix_nano) / 1000000 > 0
+                                THEN (end_unix_nano - start_unix_nano) / 1000000 END), 4), 0.0) AS average_latency_ms,
+        count(DISTINCT CASE WHEN kind = 3 THEN nullif(regexp_extract(name, '^chat (.*)$', 1), '') END) AS models,
+        count(DISTINCT trace_id) AS traces
+    FROM ({_SPANS_SQL})""", [("calls_latest", "SELECT * FROM llm_calls QUALIFY "
+                              "row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")]))
+def a30_span_summary(spark, sf):
+    return SK.span_summary(SK.genai_spans(T.latest_calls(FX.llm_calls(spark, sf)), trace_col="session_id"))
+
+
+def _session_versions(spark, sf):
+    s = FX.sessions(spark, sf)
+    base = s.select("id", "start_timestamp_ms", "end_timestamp_ms", F.lit("model-a").alias("model"),
+                    F.lit(10).cast("bigint").alias("input_tokens"), F.lit(5).cast("bigint").alias("output_tokens"),
+                    F.lit(15).cast("bigint").alias("total_tokens"), F.lit(0.5).alias("confidence"),
+                    F.lit(0).cast("bigint").alias("seq"))
+    upd = s.select("id", (F.col("start_timestamp_ms") + 500).alias("start_timestamp_ms"),
+                   (F.col("end_timestamp_ms") + 1000).alias("end_timestamp_ms"),
+                   F.when(F.length("id") % 2 == 0, F.lit("unknown")).otherwise(F.lit("model-b")).alias("model"),
+                   F.lit(20).cast("bigint").alias("input_tokens"), F.lit(2).cast("bigint").alias("output_tokens"),
+                   F.lit(22).cast("bigint").alias("total_tokens"), F.lit(0.7).alias("confidence"),
+                   F.lit(1).cast("bigint").alias("seq"))
+    return base, upd
+
+
+@register("u5_combine_sessions", W(["sessions"], """
+    SELECT id, min(start_timestamp_ms) AS start_timestamp_ms, max(end_timestamp_ms) AS end_timestamp_ms,
+        coalesce(arg_max(model, seq) FILTER (WHERE model IS NOT NULL AND model <> 'unknown'), arg_max(model, seq)) AS model,
+        max(input_tokens) AS input_tokens, max(output_tokens) AS output_tokens, max(total_tokens) AS total_tokens,
+        max(confidence) AS confidence
+    FROM (SELECT id, start_timestamp_ms, end_timestamp_ms, 'model-a' AS model, CAST(10 AS BIGINT) AS input_tokens,
+                 CAST(5 AS BIGINT) AS output_tokens, CAST(15 AS BIGINT) AS total_tokens, 0.5 AS confidence, 0 AS seq FROM sessions
+          UNION ALL
+          SELECT id, start_timestamp_ms + 500, end_timestamp_ms + 1000,
+                 CASE WHEN length(id) % 2 = 0 THEN 'unknown' ELSE 'model-b' END, 20, 2, 22, 0.7, 1 FROM sessions)
+    GROUP BY id"""))
+def u5_combine_sessions(spark, sf):
+    base, upd = _session_versions(spark, sf)
+    return SK.upsert_sessions(base, upd)

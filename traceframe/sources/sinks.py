@@ -97,3 +97,17 @@ def export_snapshot(tables: dict[str, DataFrame], path: str, audit_limit: int =
         if name == "audit_events":
             df = A.audit_tail(df, audit_limit)
         df.write.mode("overwrite").parquet(os.path.join(path, name))
+
+
+def span_summary(spans: DataFrame) -> DataFrame:
+    """Span counts by kind, mean latency of client spans (ms), distinct
+    models and trace ids (counts; the id lists are an export concern)."""
+    dur = (F.col("end_unix_nano") - F.col("start_unix_nano")) / 1_000_000
+    model = F.regexp_extract("name", r"^chat (.*)$", 1)
+    return spans.agg(
+        F.count(F.lit(1)).alias("total_spans"),
+        F.count_if(F.col("kind") == 3).alias("request_spans"),
+        F.count_if(F.col("kind") == 2).alias("response_spans"),
+        F.coalesce(F.round(F.avg(F.when((F.col("kind") == 3) & (dur > 0), dur)), 4), F.lit(0.0)).alias("average_latency_ms"),
+        F.count_distinct(F.when(F.col("kind") == 3, F.nullif(model, F.lit("")))).alias("models"),
+        F.count_distinct("trace_id").alias("traces"))
