@@ -300,3 +300,50 @@ def session_tool_rows(sessions: DataFrame, tools_col: str = "tools") -> DataFram
     return x.select("session_id", "tool_name",
                     F.explode(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(0)).cast("int")))
                     .alias("call_no"))
+
+
+def join_prompt(events: DataFrame, prompts: DataFrame, index_col: str = "prompt_index") -> DataFrame:
+    """The prompt row of each event by its ordinal, else the session's
+    last prompt. ``prompts``: session_id, prompt_index, tag (+ any columns,
+    returned with a ``prompt_`` prefix). Both lookups are equi joins; the
+    fallback is a per-session ``max_by`` (partial aggregate)."""
+    pcols = [c for c in prompts.columns if c not in ("session_id", "prompt_index")]
+    exact = prompts.select("session_id", F.col("prompt_index").alias("_pi"),
+                           *[F.col(c).alias(f"_e_{c}") for c in pcols])
+    last = (prompts.groupBy("session_id")
+            .agg(F.max_by(F.struct(*pcols), "prompt_index").alias("_last")))
+    x = (events.join(exact, (events["session_id"] == exact["session_id"]) & (events[index_col] == exact["_pi"]), "left")
+         .drop(exact["session_id"]).drop("_pi")
+         .join(last, "session_id", "left"))
+    for c in pcols:
+        x = x.withColumn(f"prompt_{c}", F.when(F.col(f"_e_{c}").isNotNull() | F.col("_last").isNull(), F.col(f"_e_{c}"))
+                         .otherwise(F.col(f"_last.{c}")))
+    return x.drop(*[f"_e_{c}" for c in pcols], "_last")
+
+
+def filter_by_prompt_tag(prompts: DataFrame, children: DataFrame, tag: str, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """F24 (prompt tag): keep the prompts carrying ``tag``, renumber them
+    0..n-1 per session in their old order, keep child rows (tools, LLM
+    calls) of kept prompts with the new ordinal, drop the rest. The new
+    ordinal is a two-level running count per session."""
+    kept = prompts.where(F.col("tag") == tag)
+    kept = running_sum(kept, ["session_id"], F.expr(f"prompt_index div {block}"), ["prompt_index"],
+                       F.lit(1).cast("bigint"), "new_index", inclusive=False)
+    remap = kept.select("session_id", F.col("prompt_index").alias("_old"), "new_index")
+    ch = (children.join(remap, (children["session_id"] == remap["session_id"]) & (children["prompt_index"] == remap["_old"]))
+          .drop(remap["session_id"]).drop("_old"))
+    return kept, ch
+
+
+def filter_sessions(sessions: DataFrame, agent_prefix: str | None = None, id_contains: str | None = None,
+                    session_tag: str | None = None) -> DataFrame:
+    """agent prefix and session-id substring (before tagging), session
+    tag equality (after tagging)."""
+    c = F.lit(True)
+    if agent_prefix:
+        c = c & F.col("agent").startswith(agent_prefix)
+    if id_contains:
+        c = c & F.col("session_id").contains(id_contains)
+    if session_tag:
+        c = c & (F.col("session_tag") == session_tag)
+    return sessions.where(c)

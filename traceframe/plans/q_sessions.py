@@ -445,3 +445,34 @@ def s5_latest_sessions(spark, sf):
             .select(F.format_string("d%d", F.col("conv_id") % 40).alias("display_id"), "session_id",
                     "updated_ms", "prompts"))
     return S.latest_sessions(sess, "display_id", "updated_ms", 25)
+
+
+# ---- P3 / F24 --------------------------------------------------------------------
+
+@register("f24_filter_by_prompt_tag", W(["session_log"], """
+    SELECT 'llm' AS kind, l.session_id, l.position, l.prompt_index AS old_index, k.new_index
+    FROM llm l JOIN (SELECT session_id, prompt_index,
+            CAST(row_number() OVER (PARTITION BY session_id ORDER BY prompt_index) - 1 AS BIGINT) AS new_index
+         FROM ptag WHERE tag = 'unmatched') k ON l.session_id = k.session_id AND l.prompt_index = k.prompt_index
+    UNION ALL
+    SELECT 'prompt', session_id, position, prompt_index, CAST(row_number() OVER (PARTITION BY session_id ORDER BY prompt_index) - 1 AS BIGINT)
+    FROM ptag WHERE tag = 'unmatched'""", TAG_CTES))
+def f24_filter_by_prompt_tag(spark, sf):
+    _, _, ptag, llm = _tagged(spark, sf)
+    kept, ch = S.filter_by_prompt_tag(ptag, llm, "unmatched")
+    a = ch.select(F.lit("llm").alias("kind"), "session_id", "position", F.col("prompt_index").alias("old_index"),
+                  "new_index")
+    b = kept.select(F.lit("prompt").alias("kind"), "session_id", "position", F.col("prompt_index").alias("old_index"),
+                    "new_index")
+    return a.unionByName(b)
+
+
+@register("p3_join_prompt", W(["session_log"], """
+    SELECT l.session_id, l.position, l.prompt_index, coalesce(p.tag, lastp.tag) AS prompt_tag
+    FROM llm l LEFT JOIN ptag p ON l.session_id = p.session_id AND l.prompt_index = p.prompt_index
+    LEFT JOIN (SELECT session_id, arg_max(tag, prompt_index) AS tag FROM ptag GROUP BY session_id) lastp
+      ON l.session_id = lastp.session_id""", TAG_CTES))
+def p3_join_prompt(spark, sf):
+    _, _, ptag, llm = _tagged(spark, sf)
+    j = S.join_prompt(llm.select("session_id", "position", "prompt_index"), ptag.select("session_id", "prompt_index", "tag"))
+    return j.select("session_id", "position", "prompt_index", "prompt_tag")
