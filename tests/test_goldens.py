@@ -247,3 +247,24 @@ def test_prompt_line_diff(spark):
                                "session_id string, position bigint, text string")
     got = sorted((r["position"], r["added_lines"], r["removed_lines"]) for r in prompt_diffs(df, block=2).collect())
     assert got == [(1, 1, 0), (2, 0, 2)]
+
+
+def test_usage_shapes(spark):
+    from traceframe.operators import canonical as CN
+    bodies = ['{"usage":{"prompt_tokens": 3, "completion_tokens": 4}}',
+              '{"usage":{"input_tokens": 5, "output_tokens": 6, "cache_read_input_tokens": 2}}',
+              '{"usageMetadata":{"promptTokenCount": 11, "candidatesTokenCount": 4, "totalTokenCount": 15}}',
+              '{"usageMetadata":{"promptTokenCount": 11, "candidatesTokenCount": 4, "thoughtsTokenCount": 5}}',
+              '{"usage":{"input_tokens": "12"}}', 'not json']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    r = {x["i"]: x for x in CN.token_usage(df).collect()}
+    assert r[0]["total_tokens"] == 7
+    assert (r[1]["usage"]["input_tokens"], r[1]["usage"]["output_tokens"], r[1]["usage"]["cache_read_tokens"]) == (5, 6, 2)
+    assert (r[2]["usage"]["input_tokens"], r[2]["usage"]["output_tokens"], r[2]["total_tokens"]) == (11, 4, 15)
+    assert (r[3]["usage"]["output_tokens"], r[3]["total_tokens"]) == (9, 20)
+    assert r[4]["usage"]["input_tokens"] == 0  # numeric strings are not token counts
+    assert r[5]["total_tokens"] == 0
+    sse = spark.createDataFrame([("m", '{"usageMetadata":{"promptTokenCount":11,"candidatesTokenCount":4,"totalTokenCount":15}}'),
+                                 ("m", '{"type":"ping"}')], "k string, data string")
+    u = CN.sse_usage(sse, ["k"]).first()
+    assert (u["input_tokens"], u["output_tokens"], u["total_tokens"]) == (11, 4, 15)

@@ -580,3 +580,32 @@ def a23_traffic_report(spark, sf):
 from .registry import ORACLES  # noqa: E402
 
 ORACLES["a23_traffic_report"] = _a23_sql()
+
+
+def _int_sql(u, names):
+    picks = ", ".join(f"CASE WHEN json_type({u}, '$.{n}') IN ('BIGINT', 'UBIGINT') THEN CAST({u} ->> '$.{n}' AS BIGINT) END"
+                      for n in names)
+    return f"coalesce({picks}, 0)"
+
+
+def _usage_sql(u):
+    return (f"{_int_sql(u, ['input_tokens', 'prompt_tokens', 'promptTokenCount'])} AS i, "
+            f"greatest({_int_sql(u, ['output_tokens', 'completion_tokens'])}, "
+            f"{_int_sql(u, ['candidatesTokenCount'])} + {_int_sql(u, ['thoughtsTokenCount'])}) AS o, "
+            f"{_int_sql(u, ['cache_creation_input_tokens', 'cache_creation_tokens'])} AS cc, "
+            f"{_int_sql(u, ['cache_read_input_tokens', 'cache_read_tokens', 'cachedContentTokenCount'])} AS cr, "
+            f"CASE WHEN {_int_sql(u, ['totalTokenCount'])} > 0 THEN {_int_sql(u, ['totalTokenCount'])} END AS tot")
+
+
+@register("x5_sse_usage", W(["sse_bodies"], f"""
+    SELECT pid, tid, seq, max(i) AS input_tokens, max(o) AS output_tokens, max(cc) AS cache_creation_tokens,
+        max(cr) AS cache_read_tokens, max(tot) AS total_override,
+        coalesce(max(tot), max(i) + max(o) + max(cc) + max(cr)) AS total_tokens
+    FROM (SELECT pid, tid, seq, {_usage_sql('u')} FROM (
+            SELECT pid, tid, seq, json_extract(data, '$.message.usage') AS u FROM sse2 WHERE is_json
+            UNION ALL SELECT pid, tid, seq, json_extract(data, '$.usage') FROM sse2 WHERE is_json
+            UNION ALL SELECT pid, tid, seq, json_extract(data, '$.usageMetadata') FROM sse2 WHERE is_json)
+          WHERE u IS NOT NULL AND json_type(u) = 'OBJECT')
+    GROUP BY pid, tid, seq""", _SSE_SQL))
+def x5_sse_usage(spark, sf):
+    return CN.sse_usage(SSE.sse_events(FX.sse_bodies(spark, sf)), ["pid", "tid", "seq"])
