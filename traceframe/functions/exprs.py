@@ -71,3 +71,34 @@ def safe_frame(text: Column) -> Column:
 def last_model_segment(model: Column) -> Column:
     """Text after the last '/'."""
     return F.element_at(F.split(model, "/"), -1)
+
+
+# Unicode control characters other than \n, \r and \t make a payload binary.
+_BINARY_CHARS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
+
+
+def detect_data_type(text: Column) -> Column:
+    """X8: 'text' unless the string holds control characters, then 'binary'."""
+    return F.when(F.coalesce(text, F.lit("")).rlike(_BINARY_CHARS), F.lit("binary")).otherwise(F.lit("text"))
+
+
+def data_to_string(text: Column) -> Column:
+    """Text as is; binary as 'HEX:' + lower-case hex of its UTF-8 bytes."""
+    return F.when(detect_data_type(text) == "text", text).otherwise(
+        F.concat(F.lit("HEX:"), F.lower(F.hex(F.encode(text, "UTF-8")))))
+
+
+def short_session_id(sid: Column) -> Column:
+    """Last path component without '.jsonl'; longer than 12 characters →
+    first 6 + '.' + last 5; empty → 'session'."""
+    t = F.trim(F.coalesce(sid, F.lit("")))
+    comp = F.element_at(F.split(t, r"[/\\]"), -1)
+    comp = F.regexp_replace(comp, r"(\.jsonl)+$", "")
+    short = F.when(F.char_length(comp) <= 12, comp).otherwise(
+        F.concat(F.substring(comp, 1, 6), F.lit("."), F.substring(comp, -5, 5)))
+    return F.when(t == "", F.lit("session")).otherwise(short)
+
+
+def sanitize_identifier(value: Column) -> Column:
+    """Every character outside ASCII letters and digits becomes '-'."""
+    return F.regexp_replace(value, "[^A-Za-z0-9]", "-")

@@ -303,3 +303,35 @@ def _session_versions(spark, sf):
 def u5_combine_sessions(spark, sf):
     base, upd = _session_versions(spark, sf)
     return SK.upsert_sessions(base, upd)
+
+
+# ---- X8 / X9 column builders over whole texts ------------------------------------
+
+from ..functions import exprs as X  # noqa: E402
+
+
+@register("x8_data_types", W([], r"""
+    SELECT doc_id AS id, CASE WHEN regexp_matches(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]')
+                              THEN 'binary' ELSE 'text' END AS data_type,
+        CAST(length(CASE WHEN regexp_matches(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]')
+                         THEN 'HEX:' || lower(hex(encode(text))) ELSE text END) AS BIGINT) AS display_length
+    FROM documents"""))
+def x8_data_types(spark, sf):
+    d = FX.read_table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("id"), X.detect_data_type(F.col("text")).alias("data_type"),
+                    F.length(X.data_to_string(F.col("text"))).cast("bigint").alias("display_length"))
+
+
+@register("x9_short_session_ids", W([], r"""
+    SELECT conv_id, turn, CASE WHEN trim(s) = '' THEN 'session'
+            WHEN length(regexp_replace(string_split_regex(trim(s), '[/\\]')[-1], '(\.jsonl)+$', '')) <= 12
+            THEN regexp_replace(string_split_regex(trim(s), '[/\\]')[-1], '(\.jsonl)+$', '')
+            ELSE left(regexp_replace(string_split_regex(trim(s), '[/\\]')[-1], '(\.jsonl)+$', ''), 6) || '.' ||
+                 right(regexp_replace(string_split_regex(trim(s), '[/\\]')[-1], '(\.jsonl)+$', ''), 5) END AS short_id,
+        regexp_replace(role || ':' || s, '[^A-Za-z0-9]', '-', 'g') AS sanitized
+    FROM (SELECT conv_id, turn, role, '/sessions/' || role || '/' || sha256(text) || '.jsonl' AS s FROM conversations)"""))
+def x9_short_session_ids(spark, sf):
+    c = FX.read_table(spark, sf, "conversations")
+    s = F.concat(F.lit("/sessions/"), F.col("role"), F.lit("/"), F.sha2("text", 256), F.lit(".jsonl"))
+    return c.select("conv_id", "turn", X.short_session_id(s).alias("short_id"),
+                    X.sanitize_identifier(F.concat(F.col("role"), F.lit(":"), s)).alias("sanitized"))
