@@ -268,3 +268,13 @@ def test_usage_shapes(spark):
                                  ("m", '{"type":"ping"}')], "k string, data string")
     u = CN.sse_usage(sse, ["k"]).first()
     assert (u["input_tokens"], u["output_tokens"], u["total_tokens"]) == (11, 4, 15)
+
+
+def test_agent_labels_and_short_ids(spark):
+    rows = [("node", "node /opt/npm/@anthropic-ai/claude-code/cli.js"), ("unknown", "\"/usr/bin/codex-cli\" exec"),
+            ("bash", "bash -c ls"), ("", ""), ("openclaw-x", "")]
+    df = spark.createDataFrame(rows, "comm string, command string")
+    got = [r[0] for r in df.select(X.agent_label(F.col("comm"), F.col("command"))).collect()]
+    assert got == ["claude", "codex", "bash", "agent", "openclaw"]
+    ids = spark.createDataFrame([("/a/b/0123456789abcdef.jsonl",), ("short.jsonl",), ("  ",)], "s string")
+    assert [r[0] for r in ids.select(X.short_session_id(F.col("s"))).collect()] == ["012345.bcdef", "short", "session"]

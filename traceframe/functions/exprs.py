@@ -102,3 +102,46 @@ def short_session_id(sid: Column) -> Column:
 def sanitize_identifier(value: Column) -> Column:
     """Every character outside ASCII letters and digits becomes '-'."""
     return F.regexp_replace(value, "[^A-Za-z0-9]", "-")
+
+
+# Agent executable names and package paths that identify an agent.
+AGENT_EXEC_NAMES = [("claude", "claude"), ("claude-code", "claude"), ("codex", "codex"), ("codex-cli", "codex"),
+                    ("gemini", "gemini"), ("gemini-cli", "gemini"), ("opencode", "opencode"), ("aider", "aider"),
+                    ("goose", "goose"), ("openclaw", "openclaw")]
+AGENT_PACKAGE_PATHS = [(["@anthropic-ai/claude-code", "/claude-code/"], "claude"),
+                       (["@openai/codex", "/codex-linux-"], "codex"),
+                       (["@google/gemini-cli", "/gemini-cli/"], "gemini")]
+_UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LO = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _exec_token_label(token: Column) -> Column:
+    t = F.regexp_replace(token, "^['\"]+|['\"]+$", "")
+    low = F.translate(t, _UP, _LO)
+    base = F.try_element_at(F.split(low, "/"), F.lit(-1))
+    e = None
+    for name, label in AGENT_EXEC_NAMES:
+        e = F.when(base == name, label) if e is None else e.when(base == name, label)
+    e = e.when(base.startswith("openclaw-"), "openclaw")
+    for needles, label in AGENT_PACKAGE_PATHS:
+        cond = None
+        for n in needles:
+            c = low.contains(n)
+            cond = c if cond is None else cond | c
+        e = e.when(cond, label)
+    return F.when(t != "", e)
+
+
+def agent_label(comm: Column, command: Column) -> Column:
+    """A known agent from the comm or the command line (argv0, else the
+    first path-like argument), else the comm (unless empty/'unknown'), else
+    the first word of the command, else 'agent'."""
+    toks = F.filter(F.split(F.trim(F.coalesce(command, F.lit(""))), r"\s+"), lambda x: x != "")
+    argv0 = _exec_token_label(F.try_element_at(toks, F.lit(1)))
+    rest = F.filter(F.slice(toks, 2, 1 << 20),
+                    lambda x: F.regexp_replace(x, "^['\"]+|['\"]+$", "").contains("/"))
+    rest_label = F.try_element_at(F.filter(F.transform(rest, _exec_token_label), lambda x: x.isNotNull()), F.lit(1))
+    known = F.coalesce(_exec_token_label(F.coalesce(comm, F.lit(""))), F.when(F.size(toks) > 0, F.coalesce(argv0, rest_label)))
+    c = F.coalesce(comm, F.lit(""))
+    return F.coalesce(known, F.when((c != "") & (c != "unknown"), c),
+                      F.when(F.size(toks) > 0, F.try_element_at(toks, F.lit(1))), F.lit("agent"))

@@ -335,3 +335,43 @@ def x9_short_session_ids(spark, sf):
     s = F.concat(F.lit("/sessions/"), F.col("role"), F.lit("/"), F.sha2("text", 256), F.lit(".jsonl"))
     return c.select("conv_id", "turn", X.short_session_id(s).alias("short_id"),
                     X.sanitize_identifier(F.concat(F.col("role"), F.lit(":"), s)).alias("sanitized"))
+
+
+def _label_rows(spark, sf):
+    p = FX.proc_samples(spark, sf).select("pid", "comm").distinct()
+    comm = F.when(F.col("pid") % 6 == 0, F.lit("unknown")).otherwise(F.col("comm"))
+    m = F.col("pid") % 4
+    command = (F.when(m == 0, F.format_string("/usr/bin/%s run", "comm"))
+               .when(m == 1, F.lit("node /opt/npm/@anthropic-ai/claude-code/cli.js"))
+               .when(m == 2, F.lit("\"/usr/local/bin/codex-cli\" exec"))
+               .otherwise(F.lit("python -m app")))
+    return p.select("pid", comm.alias("comm"), command.alias("command"))
+
+
+def _label_sql(tok):
+    t = f"regexp_replace({tok}, '^[''\"]+|[''\"]+$', '', 'g')"
+    low = f"translate({t}, '{X._UP}', '{X._LO}')"
+    base = f"string_split({low}, '/')[-1]"
+    parts = " ".join(f"WHEN {base} = '{n}' THEN '{lab}'" for n, lab in X.AGENT_EXEC_NAMES)
+    parts += f" WHEN starts_with({base}, 'openclaw-') THEN 'openclaw'"
+    for needles, lab in X.AGENT_PACKAGE_PATHS:
+        parts += " WHEN " + " OR ".join(f"contains({low}, '{n}')" for n in needles) + f" THEN '{lab}'"
+    return f"(CASE WHEN {t} <> '' THEN CASE {parts} END END)"
+
+
+@register("x25_agent_labels", W(["proc_samples"], f"""
+    SELECT pid, comm, command, coalesce(
+        {_label_sql('comm')},
+        CASE WHEN len(toks) > 0 THEN coalesce({_label_sql('toks[1]')},
+            list_filter(list_transform(list_filter(toks[2:], lambda x: contains(regexp_replace(x, '^[''"]+|[''"]+$', '', 'g'), '/')),
+                lambda x: {_label_sql('x')}), lambda y: y IS NOT NULL)[1]) END,
+        CASE WHEN comm <> '' AND comm <> 'unknown' THEN comm END,
+        CASE WHEN len(toks) > 0 THEN toks[1] END, 'agent') AS agent
+    FROM (SELECT *, list_filter(string_split_regex(trim(command), '\\s+'), lambda x: x <> '') AS toks FROM (
+        SELECT pid, CASE WHEN pid % 6 = 0 THEN 'unknown' ELSE comm END AS comm,
+            CASE pid % 4 WHEN 0 THEN '/usr/bin/' || comm || ' run' WHEN 1 THEN 'node /opt/npm/@anthropic-ai/claude-code/cli.js'
+                 WHEN 2 THEN '"/usr/local/bin/codex-cli" exec' ELSE 'python -m app' END AS command
+        FROM (SELECT DISTINCT pid, comm FROM proc_samples)))"""))
+def x25_agent_labels(spark, sf):
+    r = _label_rows(spark, sf)
+    return r.select("pid", "comm", "command", X.agent_label(F.col("comm"), F.col("command")).alias("agent"))
