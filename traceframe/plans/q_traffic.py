@@ -609,3 +609,78 @@ def _usage_sql(u):
     GROUP BY pid, tid, seq""", _SSE_SQL))
 def x5_sse_usage(spark, sf):
     return CN.sse_usage(SSE.sse_events(FX.sse_bodies(spark, sf)), ["pid", "tid", "seq"])
+
+
+# ---- X2 / X6 / X7 / X12: LLM request and response bodies ----------------------------
+
+def _llm_bodies(spark, sf):
+    """One LLM exchange per user turn in one of three vendor body shapes."""
+    conv = FX.read_table(spark, sf, "conversations").where(F.col("role") == "user")
+    c, t, shape = F.col("conv_id"), F.col("turn"), F.col("conv_id") % 3
+    openai = F.to_json(F.struct(F.lit("gpt-4o").alias("model"),
+                                F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"),
+                                F.struct(F.format_string("user_abc_session_%d", c).alias("user_id")).alias("metadata")))
+    anthropic = F.to_json(F.struct(F.lit("claude-x").alias("model"), F.array(F.struct(
+        F.lit("user").alias("role"),
+        F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))).alias("messages"),
+        F.struct(F.format_string("s-%d", c).alias("session_id")).alias("metadata")))
+    gemini = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.array(
+        F.struct(F.col("text").alias("text"))).alias("parts"))).alias("contents")))
+    resp = (F.when(shape == 0, F.to_json(F.struct(F.format_string("chatcmpl-%d-%d", c, t).alias("id"),
+                                                  F.array(F.struct(F.lit("stop").alias("finish_reason"))).alias("choices"))))
+            .when(shape == 1, F.to_json(F.struct(F.format_string("msg_%d_%d", c, t).alias("id"),
+                                                 F.lit("end_turn").alias("stop_reason"))))
+            .otherwise(F.to_json(F.struct(F.array(F.struct(F.lit("STOP").alias("finishReason"))).alias("candidates")))))
+    path = (F.when(shape == 0, "/v1/chat/completions").when(shape == 1, "/v1/messages")
+            .otherwise("/v1beta/models/gemini:generateContent"))
+    return conv.select("conv_id", "turn", path.alias("path"),
+                       F.when(shape == 0, openai).when(shape == 1, anthropic).otherwise(gemini).alias("request"),
+                       resp.alias("response"),
+                       F.when(t % 5 == 4, 500).otherwise(200).alias("status_code"),
+                       F.when(t % 7 == 6, F.lit(None).cast("bigint")).otherwise(t * 1000).alias("end_ms"))
+
+
+@register("x12_llm_body_fields", W([], r"""
+    SELECT conv_id, turn,
+        CASE WHEN contains(path, '/v1/responses') THEN 'responses' WHEN contains(path, '/v1/messages') THEN 'messages'
+             WHEN contains(path, '/chat/completions') THEN 'chat' WHEN contains(path, ':streamGenerateContent') THEN 'stream_generate_content'
+             WHEN contains(path, ':generateContent') THEN 'generate_content' END AS call_kind,
+        CASE WHEN end_ms IS NULL THEN 'pending' WHEN status_code >= 400 THEN 'error' ELSE 'complete' END AS status,
+        nullif(regexp_replace(trim(array_to_string(list_filter(list_concat(
+            flatten(list_transform(coalesce(json_extract(request, '$.messages[*]'), []), lambda m:
+                CASE WHEN json_type(m, '$.content') = 'VARCHAR' THEN [m ->> '$.content']
+                     WHEN json_type(m, '$.content') = 'ARRAY' THEN list_transform(json_extract(m, '$.content[*]'), lambda p: p ->> '$.text')
+                     ELSE [] END)),
+            flatten(list_transform(coalesce(json_extract(request, '$.contents[*]'), []), lambda q:
+                list_transform(coalesce(json_extract(q, '$.parts[*]'), []), lambda p: p ->> '$.text')))),
+            lambda x: x IS NOT NULL), ' ')), '\s+', ' ', 'g'), '') AS prompt_text,
+        coalesce(request ->> '$.session_id', request ->> '$.sessionId', request ->> '$.metadata.session_id',
+                 request ->> '$.metadata.sessionId',
+                 CASE WHEN contains(request ->> '$.metadata.user_id', '_session_')
+                      THEN nullif(split_part(request ->> '$.metadata.user_id', '_session_', 2), '') END) AS session_id,
+        coalesce(response ->> '$.conversation_id', response ->> '$.id') AS conversation_id,
+        coalesce(response ->> '$.finish_reason', response ->> '$.stop_reason', response ->> '$.choices[0].finish_reason',
+                 response ->> '$.candidates[0].finishReason') AS finish_reason
+    FROM (SELECT conv_id, turn, conv_id % 3 AS shape,
+            CASE conv_id % 3 WHEN 0 THEN '/v1/chat/completions' WHEN 1 THEN '/v1/messages'
+                 ELSE '/v1beta/models/gemini:generateContent' END AS path,
+            CASE conv_id % 3 WHEN 0 THEN json_object('model', 'gpt-4o', 'messages', [json_object('role', 'user', 'content', text)],
+                                                     'metadata', json_object('user_id', 'user_abc_session_' || conv_id))
+                 WHEN 1 THEN json_object('model', 'claude-x', 'messages', [json_object('role', 'user', 'content',
+                                 [json_object('type', 'text', 'text', text)])], 'metadata', json_object('session_id', 's-' || conv_id))
+                 ELSE json_object('contents', [json_object('role', 'user', 'parts', [json_object('text', text)])]) END AS request,
+            CASE conv_id % 3 WHEN 0 THEN json_object('id', 'chatcmpl-' || conv_id || '-' || turn, 'choices', [json_object('finish_reason', 'stop')])
+                 WHEN 1 THEN json_object('id', 'msg_' || conv_id || '_' || turn, 'stop_reason', 'end_turn')
+                 ELSE json_object('candidates', [json_object('finishReason', 'STOP')]) END AS response,
+            CASE WHEN turn % 5 = 4 THEN 500 ELSE 200 END AS status_code,
+            CASE WHEN turn % 7 = 6 THEN NULL ELSE turn * 1000 END AS end_ms
+          FROM conversations WHERE role = 'user')"""))
+def x12_llm_body_fields(spark, sf):
+    b = _llm_bodies(spark, sf).withColumn("_req", F.expr("try_parse_json(request)")) \
+        .withColumn("_resp", F.expr("try_parse_json(response)"))
+    return b.select("conv_id", "turn", CN.call_kind(F.col("path")).alias("call_kind"),
+                    CN.call_status(F.col("end_ms"), F.col("status_code")).alias("status"),
+                    CN.extract_prompt_text(F.col("request")).alias("prompt_text"),
+                    CN.session_id_from_body("_req").alias("session_id"),
+                    CN.conversation_id_from_body("_resp").alias("conversation_id"),
+                    CN.finish_reason("_resp").alias("finish_reason"))
