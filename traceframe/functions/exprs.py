@@ -145,3 +145,23 @@ def agent_label(comm: Column, command: Column) -> Column:
     c = F.coalesce(comm, F.lit(""))
     return F.coalesce(known, F.when((c != "") & (c != "unknown"), c),
                       F.when(F.size(toks) > 0, F.try_element_at(toks, F.lit(1))), F.lit("agent"))
+
+
+def tree_event_type(audit_type: Column, action: Column) -> Column:
+    """prompt/response (llm), file, process, stdio, system, else ssl."""
+    return (F.when(audit_type == "llm", F.when(action == "request", "prompt").otherwise("response"))
+            .when(audit_type.isin("file", "process", "stdio", "system"), audit_type).otherwise("ssl"))
+
+
+def event_name(audit_type: Column, action: Column) -> Column:
+    """EXEC / EXIT / upper-cased process action, FILE_WRITE, LLM_CALL,
+    else the upper-cased audit type."""
+    return (F.when(audit_type == "process", F.when(action == "exec", "EXEC").when(action == "exit", "EXIT")
+                   .otherwise(F.upper(F.coalesce(action, F.lit("PROCESS")))))
+            .when(audit_type == "file", "FILE_WRITE").when(audit_type == "llm", "LLM_CALL")
+            .otherwise(F.upper(audit_type)))
+
+
+def event_search_text(*cols: Column) -> Column:
+    """The non-empty fields joined by spaces, lower-cased."""
+    return F.lower(F.concat_ws(" ", *[F.nullif(c.cast("string"), F.lit("")) for c in cols]))

@@ -204,3 +204,26 @@ def process_timeline(attached_audit: DataFrame, parents: DataFrame, nodes: DataF
           .select(F.col("parent_id").alias("process_id"), "timestamp_ms", F.lit("process").alias("item_type"),
                   F.col("child_id").alias("item_id")))
     return ev.unionByName(ch).orderBy("process_id", "timestamp_ms", "item_type", "item_id")
+
+
+def filter_process_tree(attached: DataFrame, parents: DataFrame, predicate, max_depth: int = 64) -> DataFrame:
+    """processes that hold events matching ``predicate`` plus all their
+    ancestors (so the tree stays connected), with the number of matching
+    events of each. Ancestors come from a recursive CTE over the stored
+    (checkpointed) parent edges of the hit processes."""
+    from ..session import cut_lineage
+    spark = attached.sparkSession
+    hits = (attached.where(predicate & F.col("process_id").isNotNull())
+            .groupBy("process_id").agg(F.count(F.lit(1)).alias("matching_events")))
+    hits = cut_lineage(hits)  # stored once: feeds the recursion and the final join
+    h = _tmp(hits.select("process_id"), "hits")
+    e = _tmp(cut_lineage(parents.where(F.col("parent_id").isNotNull()).select("child_id", "parent_id")), "pedges")
+    kept = spark.sql(f"""
+        WITH RECURSIVE up(process_id, depth) AS (
+          SELECT process_id, 0 FROM {h}
+          UNION ALL
+          SELECT e.parent_id, up.depth + 1 FROM up JOIN {e} e ON e.child_id = up.process_id
+          WHERE up.depth < {int(max_depth)}
+        ) SELECT DISTINCT process_id FROM up""")
+    return (kept.join(hits, "process_id", "left")
+            .withColumn("matching_events", F.coalesce("matching_events", F.lit(0)).cast("bigint")))

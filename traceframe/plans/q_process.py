@@ -143,3 +143,40 @@ def j16_attribute_counters(spark, sf):
         .where((F.col("pid") % 3 != 0) | (F.col("pid") > 40))
     fam = FM.process_family(_procs(spark, sf), _roots(spark, sf))
     return FM.attribute_counters(fam, counters, ["process_execs", "file_events", "network_events"])
+
+
+# ---- F17: tree filter keeping ancestors of hits ------------------------------------
+
+from ..functions import exprs as X  # noqa: E402
+from .sql_common import AUDIT as _AUDIT  # noqa: E402
+
+
+@register("f17_filter_process_tree", W(["canon"], """
+    SELECT k.process_id, CAST(coalesce(h.n, 0) AS BIGINT) AS matching_events FROM (SELECT DISTINCT process_id FROM up) k
+    LEFT JOIN hits h ON k.process_id = h.process_id""", [("audit", _AUDIT)] + PROCESS_CTES + [
+    ("cand", "SELECT a.id, n.id AS process_id, coalesce(n.start_timestamp_ms, 0) AS s, "
+             "n.start_timestamp_ms IS NOT NULL AS hs FROM audit a JOIN nodes n ON a.pid = n.pid "
+             "AND coalesce(n.start_timestamp_ms, 0) <= a.timestamp_ms "
+             "AND (n.end_timestamp_ms IS NULL OR a.timestamp_ms <= n.end_timestamp_ms)"),
+    ("att", "SELECT a.*, b.process_id FROM audit a JOIN (SELECT id, process_id FROM cand QUALIFY row_number() OVER "
+            "(PARTITION BY id ORDER BY s DESC, hs DESC, process_id DESC) = 1) b ON a.id = b.id"),
+    ("hits", "SELECT process_id, count(*) AS n FROM att WHERE audit_type = 'file' "
+             "AND contains(lower(concat_ws(' ', id, audit_type, action, status, comm, target)), '/repo/d3') GROUP BY process_id"),
+    ("child", "SELECT id AS child_id, ppid AS pid, coalesce(start_timestamp_ms, 0) AS ts FROM nodes WHERE ppid IS NOT NULL"),
+    ("pc", "SELECT c.child_id, n.id AS parent_id, coalesce(n.start_timestamp_ms, 0) AS s, "
+           "n.start_timestamp_ms IS NOT NULL AS hs FROM child c JOIN nodes n ON n.pid = c.pid "
+           "AND n.id <> c.child_id AND coalesce(n.start_timestamp_ms, 0) <= c.ts "
+           "AND (n.end_timestamp_ms IS NULL OR c.ts <= n.end_timestamp_ms)"),
+    ("pedges", "SELECT child_id, parent_id FROM pc QUALIFY row_number() OVER "
+               "(PARTITION BY child_id ORDER BY s DESC, hs DESC, parent_id DESC) = 1"),
+    ("up", "SELECT process_id, 0 AS depth FROM hits UNION ALL "
+           "SELECT e.parent_id, up.depth + 1 FROM up JOIN pedges e ON e.child_id = up.process_id WHERE up.depth < 64")],
+    recursive=True))
+def f17_filter_process_tree(spark, sf):
+    canon = FX.canonical_events(spark, sf)
+    nodes = P.process_nodes(canon)
+    att = P.attach_process(P.audit_from_events(canon), nodes)
+    pred = (X.tree_event_type(F.col("audit_type"), F.col("action")) == "file") & X.event_search_text(
+        F.col("id"), F.col("audit_type"), F.col("action"), F.col("status"), F.col("comm"), F.col("target")
+    ).contains("/repo/d3")
+    return P.filter_process_tree(att, P.process_parents(nodes), pred)
