@@ -375,3 +375,42 @@ def _label_sql(tok):
 def x25_agent_labels(spark, sf):
     r = _label_rows(spark, sf)
     return r.select("pid", "comm", "command", X.agent_label(F.col("comm"), F.col("command")).alias("agent"))
+
+
+# ---- X27: stdio JSON-RPC decoding -------------------------------------------------
+
+from ..operators import canonical as CN  # noqa: E402
+
+
+def _stdio(spark, sf):
+    c = FX.read_table(spark, sf, "conversations")
+    conv, t = F.col("conv_id"), F.col("turn")
+    msg = (F.when(t % 7 == 6, F.col("text"))
+           .when(F.col("role") == "user", F.format_string(
+               '{"jsonrpc":"2.0","id":%d,"method":"tools/call","params":{"name":"tool-%d"}}', t, conv % 3))
+           .when(F.col("role") == "assistant", F.format_string('{"jsonrpc":"2.0","id":%d,"result":{"ok":true}}', t))
+           .otherwise(F.lit('{"jsonrpc":"2.0","method":"notifications/progress"}')))
+    return c.select("conv_id", "turn", msg.alias("data"),
+                    F.when(F.col("role") == "user", "write").otherwise("read").alias("direction"))
+
+
+@register("x27_decode_stdio", W([], r"""
+    SELECT conv_id, turn, upper(direction) AS direction,
+        CASE WHEN is_obj AND method IS NOT NULL THEN CASE WHEN rpc_id IS NOT NULL THEN 'request' ELSE 'notification' END
+             WHEN is_obj AND json_exists(data, '$.result') THEN 'response'
+             WHEN is_obj AND json_exists(data, '$.error') THEN 'error'
+             WHEN is_obj THEN 'unknown'
+             WHEN trim(coalesce(data, '')) <> '' THEN 'text' ELSE 'unknown' END AS kind,
+        method, rpc_id, tool_name FROM (
+        SELECT *, CASE WHEN is_obj THEN data ->> '$.method' END AS method,
+            CASE WHEN is_obj THEN data ->> '$.id' END AS rpc_id,
+            CASE WHEN is_obj THEN nullif(data ->> '$.params.name', '') END AS tool_name FROM (
+        SELECT *, coalesce(CASE WHEN json_valid(data) THEN json_type(CASE WHEN json_valid(data) THEN data END) = 'OBJECT' END, false) AS is_obj
+        FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'write' ELSE 'read' END AS direction,
+            CASE WHEN turn % 7 = 6 THEN text
+                 WHEN role = 'user' THEN '{"jsonrpc":"2.0","id":' || turn || ',"method":"tools/call","params":{"name":"tool-' || (conv_id % 3) || '"}}'
+                 WHEN role = 'assistant' THEN '{"jsonrpc":"2.0","id":' || turn || ',"result":{"ok":true}}'
+                 ELSE '{"jsonrpc":"2.0","method":"notifications/progress"}' END AS data FROM conversations)))"""))
+def x27_decode_stdio(spark, sf):
+    d = CN.decode_stdio(_stdio(spark, sf))
+    return d.select("conv_id", "turn", F.upper("direction").alias("direction"), "kind", "method", "rpc_id", "tool_name")
