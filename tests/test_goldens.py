@@ -278,3 +278,19 @@ def test_agent_labels_and_short_ids(spark):
     assert got == ["claude", "codex", "bash", "agent", "openclaw"]
     ids = spark.createDataFrame([("/a/b/0123456789abcdef.jsonl",), ("short.jsonl",), ("  ",)], "s string")
     assert [r[0] for r in ids.select(X.short_session_id(F.col("s"))).collect()] == ["012345.bcdef", "short", "session"]
+
+
+def test_ssl_filter_grammar(spark):
+    from traceframe.functions.filters import compile_ssl_filter
+    df = spark.createDataFrame([("SSL_read", 10, 1.5, True, "GET /\r\n"), ("SSL_write", 99, 9.0, False, "\x01\x02")],
+                               "function string, len bigint, latency_ms double, is_handshake boolean, data string")
+
+    def hits(e):
+        return [r[0] for r in df.select(compile_ssl_filter(e, df.columns)).collect()]
+    assert hits("len>=99") == [False, True]
+    assert hits("function!=SSL_read & (len<50 | latency_ms>8.5)") == [False, True]
+    assert hits("data~GET /\\r\\n") == [True, False]
+    assert hits("data.type=binary") == [False, True]
+    assert hits("function>SSL") == [False, False]  # ordering on strings never matches
+    assert hits("is_handshake=true") == [True, False]
+    assert hits("") == [False, False]

@@ -684,3 +684,31 @@ def x12_llm_body_fields(spark, sf):
                     CN.session_id_from_body("_req").alias("session_id"),
                     CN.conversation_id_from_body("_resp").alias("conversation_id"),
                     CN.finish_reason("_resp").alias("finish_reason"))
+
+
+# ---- F6: TLS event filter ----------------------------------------------------------
+
+SSL_FILTERS = ["function=SSL_read & len>5000", "(pid=3 | pid=4) & data.type=text & latency_ms>=5.5",
+               "comm~gent & is_handshake=true", "function<SSL_write"]
+
+
+def _tls_events(spark, sf):
+    p = FX.read_table(spark, sf, "pages")
+    pid = F.col("page_id")
+    return p.select(pid.alias("seq"), (pid % 7).alias("pid"), (pid % 16).alias("tid"),
+                    F.when(pid % 2 == 0, "SSL_read").otherwise("SSL_write").alias("function"),
+                    F.lit("agent").alias("comm"), F.length("html").cast("bigint").alias("len"),
+                    ((pid % 100) / 10).alias("latency_ms"), (pid % 9 == 0).alias("is_handshake"),
+                    F.col("html").alias("data"))
+
+
+@register("f6_ssl_filter", W([], r"""
+    SELECT seq, pid, function FROM (
+        SELECT page_id AS seq, page_id % 7 AS pid, CASE WHEN page_id % 2 = 0 THEN 'SSL_read' ELSE 'SSL_write' END AS function,
+            length(html) AS len, (page_id % 100) / 10 AS latency_ms, page_id % 9 = 0 AS is_handshake, html AS data
+        FROM pages)
+    WHERE NOT ((function = 'SSL_read' AND len > 5000)
+            OR ((pid = 3 OR pid = 4) AND NOT regexp_matches(data, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]') AND latency_ms >= 5.5)
+            OR (contains('agent', 'gent') AND is_handshake))"""))
+def f6_ssl_filter(spark, sf):
+    return FL.ssl_filter(_tls_events(spark, sf), SSL_FILTERS).select("seq", "pid", "function")
