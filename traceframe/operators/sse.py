@@ -116,3 +116,21 @@ def reassemble_sse(events: DataFrame, block_ms: int = 3_600_000) -> DataFrame:
         F.max("_model").alias("model"))
     return (out.withColumn("text_len", F.length("text").cast("bigint"))
             .where((F.col("text") != "") | F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()))
+
+
+def tools_from_sse(events: DataFrame, call_col: str = "seq") -> DataFrame:
+    """One tool-call row per SSE event whose ``content_block`` is a
+    ``tool_use`` (name, id, input as JSON text); the id defaults to
+    ``tool-{block_no}`` and the row id is ``tool-{call}-{tool id}``."""
+    v = F.expr("try_parse_json(data)")
+    x = events.withColumn("_v", v).where(
+        F.expr("try_variant_get(_v, '$.content_block.type', 'string')") == "tool_use")
+    tool_id = F.coalesce(F.expr("try_variant_get(_v, '$.content_block.id', 'string')"),
+                         F.format_string("tool-%d", "block_no"))
+    return x.select(
+        F.format_string("tool-%s-%s", F.col(call_col).cast("string"), tool_id).alias("id"),
+        F.col(call_col).alias("llm_call"), "timestamp_ms", "pid",
+        F.coalesce(F.expr("try_variant_get(_v, '$.content_block.name', 'string')"), F.lit("?")).alias("tool_name"),
+        F.expr("try_variant_get(_v, '$.content_block.id', 'string')").alias("tool_call_id"),
+        F.expr("to_json(try_variant_get(_v, '$.content_block.input'))").alias("input"),
+        F.lit("observed").alias("status"))

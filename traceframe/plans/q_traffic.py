@@ -712,3 +712,43 @@ def _tls_events(spark, sf):
             OR (contains('agent', 'gent') AND is_handshake))"""))
 def f6_ssl_filter(spark, sf):
     return FL.ssl_filter(_tls_events(spark, sf), SSL_FILTERS).select("seq", "pid", "function")
+
+
+# ---- R10: tool calls announced in SSE streams --------------------------------------
+
+_TOOLS_LIST = "[" + ", ".join(f"'{x}'" for x in FX.TOOLS) + "]"
+
+def _tool_sse_bodies(spark, sf):
+    conv = FX.read_table(spark, sf, "conversations").where((F.col("role") == "assistant") & (F.col("turn") % 3 == 1))
+    c, t = F.col("conv_id"), F.col("turn")
+    block = F.to_json(F.struct(F.lit("content_block_start").alias("type"), F.lit(1).alias("index"), F.struct(
+        F.lit("tool_use").alias("type"),
+        F.when(c % 4 != 0, F.format_string("toolu_%d_%d", c, t)).alias("id"),
+        F.element_at(F.array(*[F.lit(x) for x in FX.TOOLS]), ((c + t) % 4 + 1).cast("int")).alias("name"),
+        F.struct(F.format_string("ls /repo/d%d", t % 3).alias("command")).alias("input")).alias("content_block")))
+    body = F.concat(F.lit("event: content_block_start\ndata: "), block, F.lit("\n\nevent: ping\ndata: {}\n"))
+    return conv.select((c % 7).alias("pid"), (c % 3 + 1).alias("tid"), (c * 1000 + t).alias("seq"),
+                       (F.lit(FX.EPOCH_2024_MS) + c * 3600000 + t * 60000).alias("timestamp_ms"), body.alias("body"))
+
+
+@register("r10_tools_from_sse", W([], f"""
+    SELECT 'tool-' || seq || '-' || coalesce(data ->> '$.content_block.id', 'tool-' || block_no) AS id, seq AS llm_call,
+        timestamp_ms, pid, coalesce(data ->> '$.content_block.name', '?') AS tool_name,
+        data ->> '$.content_block.id' AS tool_call_id, (data -> '$.content_block.input')::VARCHAR AS input,
+        'observed' AS status
+    FROM (SELECT pid, seq, timestamp_ms, i - 1 AS block_no,
+            regexp_replace(string_split(body, chr(10) || chr(10))[i], '^event: [^\\n]*\\ndata: ', '') AS data
+          FROM (SELECT *, unnest(range(1, len(string_split(body, chr(10) || chr(10))) + 1)) AS i FROM (
+            SELECT conv_id % 7 AS pid, conv_id * 1000 + turn AS seq,
+                {FX.EPOCH_2024_MS} + conv_id * 3600000 + turn * 60000 AS timestamp_ms,
+                'event: content_block_start' || chr(10) || 'data: ' || json_object('type', 'content_block_start', 'index', 1,
+                    'content_block', CASE WHEN conv_id % 4 <> 0
+                        THEN json_object('type', 'tool_use', 'id', 'toolu_' || conv_id || '_' || turn,
+                                         'name', {_TOOLS_LIST}[(conv_id + turn) % 4 + 1], 'input', json_object('command', 'ls /repo/d' || (turn % 3)))
+                        ELSE json_object('type', 'tool_use', 'name', {_TOOLS_LIST}[(conv_id + turn) % 4 + 1],
+                                         'input', json_object('command', 'ls /repo/d' || (turn % 3))) END)::VARCHAR
+                || chr(10) || chr(10) || 'event: ping' || chr(10) || 'data: {{}}' || chr(10) AS body
+            FROM conversations WHERE role = 'assistant' AND turn % 3 = 1)))
+    WHERE json_valid(data) AND data ->> '$.content_block.type' = 'tool_use'"""))
+def r10_tools_from_sse(spark, sf):
+    return SSE.tools_from_sse(SSE.sse_events(_tool_sse_bodies(spark, sf)))
