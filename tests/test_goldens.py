@@ -294,3 +294,24 @@ def test_ssl_filter_grammar(spark):
     assert hits("function>SSL") == [False, False]  # ordering on strings never matches
     assert hits("is_handshake=true") == [True, False]
     assert hits("") == [False, False]
+
+
+def test_session_process_matching(spark):
+    from traceframe.operators import matching as MT
+    sess = spark.createDataFrame([
+        ("s1", "claude", "/p/s1.jsonl", 10_000, "/w", 0), ("s2", "claude", "/p/s2.jsonl", 20_000, "/w", 1),
+        ("s3", "claude", "/p/s3.jsonl", 30_000, "/w", 2), ("s4", "codex", "/p/s4.jsonl", 5_000, "/x", 3)],
+        "session_id string, agent string, path string, end_ms bigint, cwd string, ord int")
+    procs = spark.createDataFrame([
+        (101, 1, "claude", 0, "/w", 0), (102, 2, "claude", 19_000, "/w", 1), (103, 3, "claude", 29_500, "/w", 2),
+        (104, 4, "codex", 100_000, "/x", 0)],
+        "root_pid bigint, starttime_ticks bigint, agent string, start_ms bigint, cwd string, ord int")
+    ev = spark.createDataFrame([(101, "/p/s2.jsonl", "proc_fd"), (101, "/p/s2.jsonl", "ebpf_file")],
+                               "root_pid bigint, path string, trace string")
+    got = {r["session_id"]: (r["root_pid"], r["evidence"], r["confidence"]) for r in MT.match_sessions(sess, procs, ev).collect()}
+    # s2 has eBPF evidence on 101; s1 and s3 fall back to the nearest same-cwd process;
+    # s4's only candidate started more than 30 s after the session ended
+    assert got["s2"] == (101, "ebpf_file", 0.95)
+    assert got["s3"] == (103, "recent_cwd", 0.55)
+    assert got["s1"] == (102, "recent_cwd", 0.55)
+    assert "s4" not in got

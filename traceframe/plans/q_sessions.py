@@ -476,3 +476,52 @@ def p3_join_prompt(spark, sf):
     _, _, ptag, llm = _tagged(spark, sf)
     j = S.join_prompt(llm.select("session_id", "position", "prompt_index"), ptag.select("session_id", "prompt_index", "tag"))
     return j.select("session_id", "position", "prompt_index", "prompt_tag")
+
+
+# ---- J10 / J11: session ↔ process matching -------------------------------------------
+
+from ..operators import matching as MT  # noqa: E402
+
+
+def _match_inputs(spark, sf):
+    log = FX.session_log(spark, sf)
+    c = F.col("conv_id")
+    agent = F.when(c % 2 == 0, "claude").otherwise("codex")
+    sess = (log.groupBy("conv_id").agg(F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"))
+            .select(F.format_string("c-%d", c).alias("session_id"), agent.alias("agent"),
+                    F.format_string("/sessions/c-%d.jsonl", c).alias("path"), "end_ms", "start_ms",
+                    F.format_string("/work/c%d", c % 5).alias("cwd"), c.alias("ord"), "conv_id"))
+    procs = sess.where(F.col("conv_id") % 5 != 4).select(
+        (F.col("conv_id") + 1000).alias("root_pid"), (F.col("conv_id") * 10).alias("starttime_ticks"),
+        F.when(F.col("conv_id") % 7 == 3, F.when(F.col("agent") == "claude", "codex").otherwise("claude"))
+         .otherwise(F.col("agent")).alias("agent"),
+        (F.col("start_ms") - 1000).alias("start_ms"), F.col("cwd").alias("cwd"),
+        ((F.col("conv_id") * 37) % 101).alias("ord"))
+    ev = sess.where(F.col("conv_id") % 3 != 2).select(
+        (F.col("conv_id") + 1000).alias("root_pid"),
+        F.when((F.col("conv_id") % 3 == 1) & (F.col("conv_id") % 2 == 1),
+               F.format_string("/sessions/c-%d.jsonl", F.col("conv_id") + 1)).otherwise(F.col("path")).alias("path"),
+        F.when(F.col("conv_id") % 3 == 0, "ebpf_file").otherwise("proc_fd").alias("trace"))
+    return sess, procs, ev
+
+
+@register("j10_match_sessions")
+def j10_match_sessions(spark, sf):
+    sess, procs, ev = _match_inputs(spark, sf)
+    return MT.match_sessions(sess, procs, ev)
+
+
+@register("j11_sticky_bindings", W(["session_log"], """
+    SELECT pid, starttime_ticks, sample_ts, evidence_path,
+        last_value(evidence_path IGNORE NULLS) OVER (PARTITION BY pid, starttime_ticks ORDER BY sample_ts
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bound_path
+    FROM (SELECT conv_id % 9 AS pid, (conv_id % 9) * 10 AS starttime_ticks, timestamp_ms AS sample_ts,
+            CASE WHEN position % 4 = 0 THEN '/sessions/c-' || conv_id || '.jsonl' END AS evidence_path
+          FROM session_log)"""))
+def j11_sticky_bindings(spark, sf):
+    log = FX.session_log(spark, sf)
+    samples = log.select((F.col("conv_id") % 9).alias("pid"), ((F.col("conv_id") % 9) * 10).alias("starttime_ticks"),
+                         F.col("timestamp_ms").alias("sample_ts"),
+                         F.when(F.col("position") % 4 == 0, F.format_string("/sessions/c-%d.jsonl", "conv_id"))
+                         .alias("evidence_path"))
+    return MT.sticky_bindings(samples).select("pid", "starttime_ticks", "sample_ts", "evidence_path", "bound_path")
