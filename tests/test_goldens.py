@@ -315,3 +315,18 @@ def test_session_process_matching(spark):
     assert got["s3"] == (103, "recent_cwd", 0.55)
     assert got["s1"] == (102, "recent_cwd", 0.55)
     assert "s4" not in got
+
+
+def test_path_groups(spark):
+    from traceframe.operators import sessionlog as SL
+    rows = [("/repo/src/main.rs", "/repo"), ("/repo/collector/src/view/mod.rs", "/repo"), ("/tmp/x.log", "/repo"),
+            ("/home/u/.ssh/id", "/repo"), ("/etc/hosts", "/repo"), ("src/lib.rs", "/repo"),
+            ("/repo/~/.codex/config", "/x"), ("", "/repo"), ("/repo", "/repo")]
+    df = spark.createDataFrame(rows, "p string, r string")
+    got = [r[0] for r in df.select(SL.path_group(F.col("p"), F.col("r"))).collect()]
+    assert got == ["src/main.rs", "collector/src/view", "external/tmp", "external/home", "external/path",
+                   "src/lib.rs", "external/codex", "none", "repo"]
+    cmd = spark.createDataFrame([("Bash", None, "cat src/a.py -n http://x /tmp/q", "/repo")],
+                                "n string, ip string, c string, r string")
+    g = cmd.select(SL.path_groups(F.col("n"), F.col("ip"), F.col("c"), F.col("r"))).first()[0]
+    assert g == ["external/tmp", "src/a.py"]

@@ -124,3 +124,31 @@ def token_profile_samples(sessions: DataFrame, prompts: DataFrame, llm: DataFram
                      frame("model", last_model_segment(F.col("model"))),
                      frame("kind", F.col("_c.kind")))
     return x.select(frames.alias("frames"), F.col("_c.value").alias("weight"))
+
+
+def profile_files(base: DataFrame, project: str = "demo") -> DataFrame:
+    """P5: one sample (weight 1) per path group of each tool event: prompt
+    frames + path group + effect + status. ``base``: agent, session_tag,
+    prompt_tag, path_groups (array), effect, status."""
+    x = base.where(F.size("path_groups") > 0).select("*", F.explode("path_groups").alias("_g"))
+    frames = F.array(frame("project", F.lit(project)), frame("agent", F.col("agent")),
+                     frame("session", F.col("session_tag")), frame("prompt", F.col("prompt_tag")),
+                     frame("path", F.col("_g")), frame("effect", F.col("effect")), frame("status", F.col("status")))
+    return x.select(frames.alias("frames"), F.lit(1).cast("bigint").alias("weight"))
+
+
+def profile_network(base: DataFrame, project: str = "demo") -> DataFrame:
+    """Tool events with a network effect or domains: one sample per
+    domain ('unknown' when none) with the process chain frames and status.
+    ``base``: agent, session_tag, prompt_tag, domains, effect, status,
+    process_chain (array)."""
+    x = base.where((F.col("effect") == "network") | (F.size("domains") > 0))
+    doms = F.when(F.size("domains") > 0, F.col("domains")).otherwise(F.array(F.lit("unknown")))
+    x = x.select("*", F.explode(doms).alias("_d"))
+    frames = F.concat(
+        F.array(frame("project", F.lit(project)), frame("agent", F.col("agent")),
+                frame("session", F.col("session_tag")), frame("prompt", F.col("prompt_tag")),
+                frame("domain", F.col("_d"))),
+        F.transform(F.coalesce(F.col("process_chain"), F.array().cast("array<string>")), lambda p: frame("process", p)),
+        F.array(frame("status", F.col("status"))))
+    return x.select(frames.alias("frames"), F.lit(1).cast("bigint").alias("weight"))

@@ -525,3 +525,33 @@ def j11_sticky_bindings(spark, sf):
                          F.when(F.col("position") % 4 == 0, F.format_string("/sessions/c-%d.jsonl", "conv_id"))
                          .alias("evidence_path"))
     return MT.sticky_bindings(samples).select("pid", "starttime_ticks", "sample_ts", "evidence_path", "bound_path")
+
+
+# ---- P5 / P6: file and network profiles of transcript tool events -------------------
+
+def _tool_profile_base(spark, sf, root="/repo"):
+    prompts, tools, _ = _p1(spark, sf)
+    log = (prompts.select("session_id", "position", F.lit("prompt").alias("kind"), "text", "text_hash", "timestamp_ms")
+           .unionByName(tools.select("session_id", "position", F.lit("tool").alias("kind"),
+                                     F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("text_hash"),
+                                     "timestamp_ms")))
+    idx = S.assign_prompt_index(log)
+    sess, ptag, _ = S.tag_log(idx.where(F.col("kind") != "tool"), RULES, True)
+    t = tools.join(idx.where(F.col("kind") == "tool").select("session_id", "position", "prompt_index"),
+                   ["session_id", "position"])
+    t = S.join_prompt(t, ptag.select("session_id", "prompt_index", "tag")).join(sess, "session_id", "left")
+    chain = F.when(F.col("category") == "shell", F.array(SL.command_basename(F.col("command"))))
+    return t.select(F.lit("claude").alias("agent"), F.coalesce("session_tag", F.lit("unmatched")).alias("session_tag"),
+                    F.col("prompt_tag"), SL.path_groups(F.col("tool_name"), F.col("input_path"), F.col("command"),
+                                                        F.lit(root)).alias("path_groups"),
+                    "domains", "effect", "status", chain.alias("process_chain"))
+
+
+@register("p5_file_profile_stacks")
+def p5_file_profile_stacks(spark, sf):
+    return PR.fold_stacks(PR.profile_files(_tool_profile_base(spark, sf)))
+
+
+@register("p6_network_profile_stacks")
+def p6_network_profile_stacks(spark, sf):
+    return PR.fold_stacks(PR.profile_network(_tool_profile_base(spark, sf)))
