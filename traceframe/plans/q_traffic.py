@@ -752,3 +752,41 @@ def _tool_sse_bodies(spark, sf):
     WHERE json_valid(data) AND data ->> '$.content_block.type' = 'tool_use'"""))
 def r10_tools_from_sse(spark, sf):
     return SSE.tools_from_sse(SSE.sse_events(_tool_sse_bodies(spark, sf)))
+
+
+# ---- F23 flat event fields, F12 prompt rows -------------------------------------------
+
+@register("f23_flatten_events", W(["canon"], """
+    SELECT timestamp, coalesce(source, 'unknown') AS source, coalesce(data ->> '$.comm', '') AS data_comm,
+        coalesce(TRY_CAST(data ->> '$.pid' AS BIGINT), 0) AS data_pid, coalesce(TRY_CAST(data ->> '$.tid' AS BIGINT), 0) AS data_tid,
+        CASE WHEN source = 'http_parser' THEN coalesce(data ->> '$.method', '') END AS method,
+        CASE WHEN source = 'http_parser' THEN coalesce(data ->> '$.path', '') END AS path,
+        CASE WHEN source = 'http_parser' THEN coalesce(data ->> '$.headers.host', '') END AS host,
+        CASE WHEN source = 'http_parser' THEN coalesce(data ->> '$.status_code', '') END AS status_code,
+        CASE WHEN source = 'http_parser' THEN coalesce(data ->> '$.message_type', '') END AS message_type,
+        CASE WHEN source IN ('ssl', 'sse_processor') THEN coalesce(data ->> '$.function', '') END AS function,
+        CASE WHEN source = 'ssl' THEN coalesce(TRY_CAST(data ->> '$.len' AS BIGINT), 0) END AS data_len,
+        CASE WHEN source = 'ssl' THEN coalesce(TRY_CAST(data ->> '$.is_handshake' AS BOOLEAN), false) END AS is_handshake,
+        CASE WHEN source = 'sse_processor' THEN coalesce(data ->> '$.connection_id', '') END AS connection_id
+    FROM raw_env""", _F1_SQL[:1]))
+def f23_flatten_events(spark, sf):
+    return CN.flatten_events(_raw_envelopes(spark, sf))
+
+
+@register("f12_prompt_rows")
+def f12_prompt_rows(spark, sf):
+    """one prompt row per LLM call whose request carries prompt text."""
+    b = _llm_bodies(spark, sf)
+    return (b.withColumn("prompt_text", CN.extract_prompt_text(F.col("request")))
+            .where(F.col("prompt_text").isNotNull())
+            .select(F.format_string("prompt-%d-%d", "conv_id", "turn").alias("id"), "conv_id", "turn",
+                    "prompt_text", F.char_length("prompt_text").cast("bigint").alias("prompt_chars")))
+
+
+def _f12_sql():
+    x12 = ORACLES["x12_llm_body_fields"]
+    return ("SELECT 'prompt-' || conv_id || '-' || turn AS id, conv_id, turn, prompt_text, "
+            "CAST(length(prompt_text) AS BIGINT) AS prompt_chars FROM (" + x12 + ") WHERE prompt_text IS NOT NULL")
+
+
+ORACLES["f12_prompt_rows"] = _f12_sql()
