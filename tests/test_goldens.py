@@ -330,3 +330,18 @@ def test_path_groups(spark):
                                 "n string, ip string, c string, r string")
     g = cmd.select(SL.path_groups(F.col("n"), F.col("ip"), F.col("c"), F.col("r"))).first()[0]
     assert g == ["external/tmp", "src/a.py"]
+
+
+def test_prompt_keys_with_repeated_index(spark):
+    df = spark.createDataFrame([("s", 0, "h0"), ("s", 0, "h1"), ("s", 1, "h2")],
+                               "session_id string, prompt_index bigint, text_hash string")
+    got = sorted((r["prompt_key"], r["key_kind"]) for r in PR.prompt_keys(df).collect())
+    assert got == [("0:h0", "duplicate_non_keyed"), ("0:h1", "duplicate_non_keyed"), ("1:h2", "unique")]
+
+
+def test_pipeline_and_views(spark):
+    from traceframe.plans.api import Pipeline, register_tables
+    df = spark.range(10)
+    p = Pipeline(lambda d: d.where("id % 2 = 0")).then(lambda d: d.selectExpr("id * 10 AS x"))
+    register_tables(spark, {"evens": p(df)})
+    assert spark.sql("SELECT sum(x) FROM evens").first()[0] == 200

@@ -152,3 +152,28 @@ def profile_network(base: DataFrame, project: str = "demo") -> DataFrame:
         F.transform(F.coalesce(F.col("process_chain"), F.array().cast("array<string>")), lambda p: frame("process", p)),
         F.array(frame("status", F.col("status"))))
     return x.select(frames.alias("frames"), F.lit(1).cast("bigint").alias("weight"))
+
+
+def profile_report(stacks: DataFrame, view: str, unit: str, n: int = 10) -> DataFrame:
+    """One JSON document: view, unit, stack summary (A13) and the top
+    ``n`` stacks (bounded by n, ordered by weight desc, stack asc)."""
+    summ = stack_summary(stacks)
+    top = (top_stacks(stacks, n)
+           .agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("o"), "stack", "weight"))).alias("_t"))
+           .select(F.transform("_t", lambda s: F.struct(s["stack"].alias("stack"), s["weight"].alias("weight")))
+                   .alias("top")))
+    row = summ.unionByName(top, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in summ.columns], F.max("top").alias("top"))
+    return row.select(F.to_json(F.struct(F.lit(view).alias("view"), F.lit(unit).alias("unit"),
+                                         F.struct(*summ.columns).alias("summary"), F.col("top"))).alias("report"))
+
+
+def prompt_keys(prompts: DataFrame) -> DataFrame:
+    """``{index}:{hash}`` prompt keys and whether the index repeats in
+    its session ('duplicate_non_keyed') or not ('unique'); the repeat count
+    is a grouped count joined back (no window over a session)."""
+    counts = prompts.groupBy("session_id", "prompt_index").agg(F.count(F.lit(1)).alias("_n"))
+    return (prompts.join(counts, ["session_id", "prompt_index"])
+            .select("session_id", "prompt_index", "text_hash",
+                    F.format_string("%d:%s", "prompt_index", "text_hash").alias("prompt_key"),
+                    F.when(F.col("_n") > 1, "duplicate_non_keyed").otherwise("unique").alias("key_kind")))

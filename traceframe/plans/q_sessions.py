@@ -555,3 +555,17 @@ def p5_file_profile_stacks(spark, sf):
 @register("p6_network_profile_stacks")
 def p6_network_profile_stacks(spark, sf):
     return PR.fold_stacks(PR.profile_network(_tool_profile_base(spark, sf)))
+
+
+# ---- S15: profile report --------------------------------------------------------------
+
+@register("s15_profile_report", W(["session_log"], """
+    SELECT json_object('view', 'time', 'unit', 'seconds',
+        'summary', json_object('total_weight', (SELECT CAST(coalesce(sum(weight), 0) AS BIGINT) FROM tstacks),
+                               'unique_stacks', (SELECT count(*) FROM tstacks),
+                               'compression_ratio', (SELECT coalesce(round(sum(weight) / count(*), 3), 0.0) FROM tstacks),
+                               'max_stack_reuse', (SELECT CAST(coalesce(max(weight), 0) AS BIGINT) FROM tstacks)),
+        'top', (SELECT list(json_object('stack', stack, 'weight', weight) ORDER BY weight DESC, stack)
+                FROM (SELECT * FROM tstacks ORDER BY weight DESC, stack LIMIT 10)))::VARCHAR AS report""", _TIME_STACKS))
+def s15_profile_report(spark, sf):
+    return PR.profile_report(_time_stacks(spark, sf), "time", "seconds", 10)
