@@ -94,3 +94,20 @@ def sort_agent_rows(rows: DataFrame, key: str = "cpu", n: int | None = None) ->
     out = rows.orderBy(*primary, F.col("cpu_percent").desc(), F.col("rss_mb").desc(), F.col("agent").asc(),
                        F.col("pid").asc())
     return out.limit(n) if n else out
+
+
+# Evidence tokens of a row's trace that imply a live process link.
+PROC_TOKENS = ["proc", "proc_fd", "sticky", "cwd_recent"]
+HISTORY_TOKENS = ["local", "agent-native"]
+PATH_LINK_TOKENS = ["ebpf_file", "proc_fd", "sticky"]
+
+
+def label_rows(rows: DataFrame, trace_col: str = "trace") -> DataFrame:
+    """State label from the '+'-joined evidence trace and failures
+    (live / failed / history / saved / '-') and whether the row is linked to
+    a session log path."""
+    toks = F.split(F.coalesce(F.col(trace_col), F.lit("")), r"\+")
+    has = lambda words: F.arrays_overlap(toks, F.array(*[F.lit(w) for w in words]))
+    state = (F.when(has(PROC_TOKENS), "live").when(F.coalesce(F.col("failures"), F.lit(0)) > 0, "failed")
+             .when(has(HISTORY_TOKENS), "history").when(F.array_contains(toks, "db"), "saved").otherwise("-"))
+    return rows.withColumn("state", state).withColumn("session_path_link", has(PATH_LINK_TOKENS))

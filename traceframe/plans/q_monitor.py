@@ -382,3 +382,22 @@ def j12_latest_session_path(spark, sf):
             .groupBy("process_id")
             .agg(F.max_by("target", F.struct("timestamp_ms", "id")).alias("latest_path"),
                  F.max("timestamp_ms").alias("latest_ms")))
+
+
+TRACES = ["db", "local+db", "proc_fd", "sticky+db", "ebpf_file", ""]
+
+
+@register("t10_label_rows", W(["canon", "resource_samples", "token_usage"], f"""
+    SELECT pid, agent, failures, trace,
+        CASE WHEN list_has_any(toks, ['proc', 'proc_fd', 'sticky', 'cwd_recent']) THEN 'live'
+             WHEN coalesce(failures, 0) > 0 THEN 'failed'
+             WHEN list_has_any(toks, ['local', 'agent-native']) THEN 'history'
+             WHEN list_contains(toks, 'db') THEN 'saved' ELSE '-' END AS state,
+        list_has_any(toks, ['ebpf_file', 'proc_fd', 'sticky']) AS session_path_link
+    FROM (SELECT *, string_split(trace, '+') AS toks FROM (
+        SELECT pid, agent, failures, {"[" + ", ".join("'" + t + "'" for t in TRACES) + "]"}[pid % 6 + 1] AS trace FROM agent_rows))""",
+    _AGENT_SQL))
+def t10_label_rows(spark, sf):
+    rows = _agent_rows(spark, sf).withColumn(
+        "trace", F.element_at(F.array(*[F.lit(t) for t in TRACES]), (F.col("pid") % 6 + 1).cast("int")))
+    return M.label_rows(rows).select("pid", "agent", "failures", "trace", "state", "session_path_link")
