@@ -161,3 +161,59 @@ def a3_run_summary(spark, sf):
     audit = P.audit_from_events(canon)
     summary = T.snapshot_summary(FX.token_usage(spark, sf), FX.llm_calls(spark, sf), audit, FX.sessions(spark, sf))
     return T.run_summary(summary, FX.llm_calls(spark, sf), audit, A.network_targets(A.network_rows(canon)))
+
+
+# ---- R11: usage and tool rows from agent telemetry posts ---------------------------
+
+from ..operators import canonical as CN  # noqa: E402
+
+
+def _telemetry(spark, sf):
+    raw = FX.raw_events(spark, sf).where(F.col("event_type") == "click")
+    k = F.col("k")
+    api = F.to_json(F.struct(F.lit("tengu_api_success").alias("message"), F.format_string("claude-%d", k % 3).alias("model"),
+                             F.floor(F.col("value") * 10).cast("bigint").alias("input_tokens"),
+                             (k % 50).alias("output_tokens"), (k % 7).alias("cached_input_tokens")))
+    tool = F.to_json(F.struct(F.lit("tengu_tool_use_success").alias("message"),
+                              F.element_at(F.array(*[F.lit(t) for t in FX.TOOLS]), (k % 4 + 1).cast("int")).alias("tool_name"),
+                              (k * 3).alias("duration_ms"), F.format_string("req-%d", "seq").alias("request_id")))
+    body = F.when(k % 5 == 0, F.lit("[]")).otherwise(F.concat(F.lit("["), api, F.lit(","), tool, F.lit("]")))
+    return raw.select(F.col("seq").alias("event_id"), "timestamp_ms", "pid", "comm", body.alias("body"))
+
+
+_TEL_SQL = [("tel", """SELECT seq AS event_id, timestamp_ms, pid, comm,
+        CASE WHEN k % 5 = 0 THEN '[]' ELSE '[' || json_object('message', 'tengu_api_success', 'model', 'claude-' || (k % 3),
+            'input_tokens', CAST(floor(value * 10) AS BIGINT), 'output_tokens', k % 50, 'cached_input_tokens', k % 7)::VARCHAR
+            || ',' || json_object('message', 'tengu_tool_use_success', 'tool_name', ['Bash', 'Read', 'Edit', 'WebFetch'][k % 4 + 1],
+            'duration_ms', k * 3, 'request_id', 'req-' || seq)::VARCHAR || ']' END AS body
+        FROM raw WHERE event_type = 'click'"""),
+            ("items", """SELECT event_id, timestamp_ms, pid, comm, i - 1 AS idx, json_extract(body, '$[' || (i - 1) || ']') AS it
+        FROM (SELECT *, unnest(range(1, CAST(json_array_length(body) AS BIGINT) + 1)) AS i FROM tel)""")]
+
+
+def _ji(key):
+    return f"coalesce(CASE WHEN json_type(it, '$.{key}') IN ('BIGINT', 'UBIGINT') THEN CAST(it ->> '$.{key}' AS BIGINT) END, 0)"
+
+
+@register("r11_telemetry_tokens", W(["raw"], f"""
+    SELECT 'token-claude-telemetry-' || event_id || '-' || idx AS id, 'claude-telemetry-' || event_id || '-' || idx AS llm_call_id,
+        timestamp_ms, pid, comm, 'anthropic' AS provider, coalesce(it ->> '$.model', 'unknown') AS model,
+        {_ji('input_tokens')} AS input_tokens, {_ji('output_tokens')} AS output_tokens, {_ji('cached_input_tokens')} AS cache_read_tokens,
+        {_ji('input_tokens')} + {_ji('output_tokens')} + {_ji('cached_input_tokens')} AS total_tokens,
+        'claude_telemetry' AS source, 0.8 AS confidence
+    FROM items WHERE it ->> '$.message' = 'tengu_api_success'
+      AND {_ji('input_tokens')} + {_ji('output_tokens')} + {_ji('cached_input_tokens')} > 0""", _TEL_SQL))
+def r11_telemetry_tokens(spark, sf):
+    return CN.usage_from_telemetry(_telemetry(spark, sf))[0]
+
+
+@register("r11_telemetry_tools", W(["raw"], f"""
+    SELECT 'claude-tool-telemetry-' || event_id || '-' || idx AS id, timestamp_ms, pid,
+        coalesce(it ->> '$.tool_name', '?') AS tool_name, it ->> '$.request_id' AS tool_call_id,
+        CASE WHEN json_type(it, '$.duration_ms') IN ('BIGINT', 'UBIGINT') AND timestamp_ms >= CAST(it ->> '$.duration_ms' AS BIGINT)
+             THEN timestamp_ms - CAST(it ->> '$.duration_ms' AS BIGINT) END AS start_timestamp_ms,
+        CASE WHEN json_type(it, '$.duration_ms') IN ('BIGINT', 'UBIGINT') THEN CAST(it ->> '$.duration_ms' AS BIGINT) END AS duration_ms,
+        'completed' AS status
+    FROM items WHERE it ->> '$.message' = 'tengu_tool_use_success'""", _TEL_SQL))
+def r11_telemetry_tools(spark, sf):
+    return CN.usage_from_telemetry(_telemetry(spark, sf))[1]
