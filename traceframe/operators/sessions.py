@@ -347,3 +347,33 @@ def filter_sessions(sessions: DataFrame, agent_prefix: str | None = None, id_con
     if session_tag:
         c = c & (F.col("session_tag") == session_tag)
     return sessions.where(c)
+
+
+def attach_token_reports(log: DataFrame, block: int = 1024) -> DataFrame:
+    """Late token reports. In each session's order, a report with a
+    positive total fills the latest response when that response has no
+    tokens yet; otherwise (a second report, or no response before it) it is
+    added as a response row of its own.
+
+    ``log``: session_id, position, kind ('response' | 'report'),
+    input_tokens, output_tokens, cache_tokens, total_tokens. The island of a
+    row is the running count of responses (two-level scan); the first
+    positive report of an island fills its response."""
+    x = log.where((F.col("kind") == "response") | (F.col("total_tokens") > 0))
+    x = running_sum(x, ["session_id"], F.expr(f"position div {block}"), ["position"],
+                    (F.col("kind") == "response").cast("bigint"), "island")
+    reports = x.where(F.col("kind") == "report")
+    firsts = (reports.where(F.col("island") > 0).groupBy("session_id", "island")
+              .agg(F.min_by(F.struct("position", "input_tokens", "output_tokens", "cache_tokens", "total_tokens"),
+                            "position").alias("_f")))
+    resp = x.where(F.col("kind") == "response").join(firsts, ["session_id", "island"], "left")
+    filled = F.coalesce(F.col("total_tokens"), F.lit(0)) == 0
+    resp = resp.select("session_id", "position", F.lit("response").alias("source"),
+                       *[F.when(filled & F.col("_f").isNotNull(), F.col(f"_f.{c}")).otherwise(F.col(c)).alias(c)
+                         for c in ("input_tokens", "output_tokens", "cache_tokens", "total_tokens")])
+    used = firsts.select("session_id", "island", F.col("_f.position").alias("_used"))
+    extra = (reports.join(used, ["session_id", "island"], "left")
+             .where(F.col("_used").isNull() | (F.col("position") != F.col("_used")))
+             .select("session_id", "position", F.lit("token_report").alias("source"),
+                     "input_tokens", "output_tokens", "cache_tokens", "total_tokens"))
+    return resp.unionByName(extra)

@@ -569,3 +569,49 @@ def p6_network_profile_stacks(spark, sf):
                 FROM (SELECT * FROM tstacks ORDER BY weight DESC, stack LIMIT 10)))::VARCHAR AS report""", _TIME_STACKS))
 def s15_profile_report(spark, sf):
     return PR.profile_report(_time_stacks(spark, sf), "time", "seconds", 10)
+
+
+# ---- W13: late token reports --------------------------------------------------------
+
+def _codex_log(spark, sf):
+    c = FX.read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    t, conv = F.col("turn"), F.col("conv_id")
+    resp = c.select(F.format_string("c-%d", conv).alias("session_id"), (t * 10).alias("position"),
+                    F.lit("response").alias("kind"), *[F.lit(0).cast("bigint").alias(x) for x in
+                                                       ("input_tokens", "output_tokens", "cache_tokens", "total_tokens")])
+    rep = c.select(F.format_string("c-%d", conv).alias("session_id"), F.explode(F.sequence(F.lit(1), (t % 3) + 1)).alias("j"),
+                   t, conv)
+    rep = rep.select("session_id", (F.col("turn") * 10 + F.col("j")).alias("position"), F.lit("report").alias("kind"),
+                     (F.col("turn") * 10).cast("bigint").alias("input_tokens"), F.col("j").cast("bigint").alias("output_tokens"),
+                     (F.col("conv_id") % 3).cast("bigint").alias("cache_tokens"),
+                     F.when((F.col("conv_id") + F.col("j")) % 4 == 0, F.lit(0))
+                      .otherwise(F.col("turn") * 10 + F.col("j") + F.col("conv_id") % 3).cast("bigint").alias("total_tokens"))
+    return resp.unionByName(rep)
+
+
+@register("w13_attach_token_reports", W([], """
+    WITH log AS (
+        SELECT 'c-' || conv_id AS session_id, turn * 10 AS position, 'response' AS kind,
+            CAST(0 AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_tokens,
+            CAST(0 AS BIGINT) AS total_tokens FROM conversations WHERE role = 'assistant'
+        UNION ALL
+        SELECT 'c-' || conv_id, turn * 10 + j, 'report', CAST(turn * 10 AS BIGINT), CAST(j AS BIGINT), CAST(conv_id % 3 AS BIGINT),
+            CAST(CASE WHEN (conv_id + j) % 4 = 0 THEN 0 ELSE turn * 10 + j + conv_id % 3 END AS BIGINT)
+        FROM (SELECT *, unnest(range(1, turn % 3 + 2)) AS j FROM conversations WHERE role = 'assistant')),
+    x AS (SELECT *, sum(CASE WHEN kind = 'response' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY position
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+          FROM log WHERE kind = 'response' OR total_tokens > 0),
+    firsts AS (SELECT * FROM x WHERE kind = 'report' AND island > 0
+               QUALIFY row_number() OVER (PARTITION BY session_id, island ORDER BY position) = 1)
+    SELECT r.session_id, r.position, 'response' AS source,
+        CASE WHEN r.total_tokens = 0 AND f.position IS NOT NULL THEN f.input_tokens ELSE r.input_tokens END AS input_tokens,
+        CASE WHEN r.total_tokens = 0 AND f.position IS NOT NULL THEN f.output_tokens ELSE r.output_tokens END AS output_tokens,
+        CASE WHEN r.total_tokens = 0 AND f.position IS NOT NULL THEN f.cache_tokens ELSE r.cache_tokens END AS cache_tokens,
+        CASE WHEN r.total_tokens = 0 AND f.position IS NOT NULL THEN f.total_tokens ELSE r.total_tokens END AS total_tokens
+    FROM x r LEFT JOIN firsts f ON r.session_id = f.session_id AND r.island = f.island WHERE r.kind = 'response'
+    UNION ALL
+    SELECT x.session_id, x.position, 'token_report', x.input_tokens, x.output_tokens, x.cache_tokens, x.total_tokens
+    FROM x LEFT JOIN firsts f ON x.session_id = f.session_id AND x.island = f.island
+    WHERE x.kind = 'report' AND (f.position IS NULL OR x.position <> f.position)"""))
+def w13_attach_token_reports(spark, sf):
+    return S.attach_token_reports(_codex_log(spark, sf))
