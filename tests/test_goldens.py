@@ -345,3 +345,20 @@ def test_pipeline_and_views(spark):
     p = Pipeline(lambda d: d.where("id % 2 = 0")).then(lambda d: d.selectExpr("id * 10 AS x"))
     register_tables(spark, {"evens": p(df)})
     assert spark.sql("SELECT sum(x) FROM evens").first()[0] == 200
+
+
+def test_process_chain_and_response_text(spark):
+    from traceframe.operators.correlate import response_text, response_text_of
+    from traceframe.operators.sessionlog import process_chain, process_chain_of
+    assert process_chain_of("sudo -E bash -lc 'cd /x && \"/usr/bin/python3\" run.py'") == ["bash", "cd"]
+    # a wrapper skips one following option only: "timeout 5" names the program "5"
+    assert process_chain_of("timeout 5 sh -c \"curl https://h\"") == ["5"]
+    assert process_chain_of("nohup sh -c \"curl https://h\"") == ["sh", "curl"]
+    assert process_chain_of("") == []
+    df = spark.createDataFrame([("bash -c 'git status'",)], "c string")
+    assert df.select(process_chain(F.col("c"))).first()[0] == ["bash", "git"]
+    assert response_text_of('{"content":[{"type":"text","text":"a"},{"type":"tool_use"},{"type":"text","text":"b"}]}') == "a b"
+    assert response_text_of('{"choices":[{"message":{"content":"hi"}}]}') == "hi"
+    assert response_text_of("plain") == "plain"
+    b = spark.createDataFrame([('{"content":"x"}',)], "b string")
+    assert b.select(response_text(F.col("b"))).first()[0] == "x"

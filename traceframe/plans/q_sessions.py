@@ -540,7 +540,7 @@ def _tool_profile_base(spark, sf, root="/repo"):
     t = tools.join(idx.where(F.col("kind") == "tool").select("session_id", "position", "prompt_index"),
                    ["session_id", "position"])
     t = S.join_prompt(t, ptag.select("session_id", "prompt_index", "tag")).join(sess, "session_id", "left")
-    chain = F.when(F.col("category") == "shell", F.array(SL.command_basename(F.col("command"))))
+    chain = F.when(F.col("category") == "shell", SL.process_chain(F.col("command")))
     return t.select(F.lit("claude").alias("agent"), F.coalesce("session_tag", F.lit("unmatched")).alias("session_tag"),
                     F.col("prompt_tag"), SL.path_groups(F.col("tool_name"), F.col("input_path"), F.col("command"),
                                                         F.lit(root)).alias("path_groups"),
