@@ -51,7 +51,7 @@ def flame_tree(stacks: DataFrame) -> DataFrame:
     """Inclusive value of every stack prefix (node), with its depth.
     Node values at depth 1 sum to the total weight."""
     frames = F.filter(F.split("stack", ";"), lambda f: f != "")
-    x = stacks.where(F.col("weight") != 0).select(frames.alias("_f"), "weight")
+    x = stacks.where(F.col("weight") != 0).select(frames.alias("_f"), "weight").where(F.size("_f") > 0)
     x = x.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_f")),
                                           lambda i: F.array_join(F.slice("_f", 1, i), ";"))).alias("_p", "node"),
                  "weight")

@@ -296,7 +296,7 @@ def latest_sessions(sessions: DataFrame, key: str = "display_id", updated: str =
 def session_tool_rows(sessions: DataFrame, tools_col: str = "tools") -> DataFrame:
     """A session's ``tools`` map (name → count) as one tool-call row per
     call (explode of the map, then of ``sequence(1, count)``)."""
-    x = sessions.select("session_id", F.explode(tools_col).alias("tool_name", "_n"))
+    x = sessions.select("session_id", F.explode(tools_col).alias("tool_name", "_n")).where(F.col("_n") > 0)
     return x.select("session_id", "tool_name",
                     F.explode(F.sequence(F.lit(1), F.greatest(F.col("_n"), F.lit(0)).cast("int")))
                     .alias("call_no"))

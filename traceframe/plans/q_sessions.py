@@ -615,3 +615,34 @@ def _codex_log(spark, sf):
     WHERE x.kind = 'report' AND (f.position IS NULL OR x.position <> f.position)"""))
 def w13_attach_token_reports(spark, sf):
     return S.attach_token_reports(_codex_log(spark, sf))
+
+
+# ---- P2: fallback child rows -------------------------------------------------------------
+
+def _fallback_sessions(spark, sf):
+    conv = FX.read_table(spark, sf, "conversations")
+    c = F.col("conv_id")
+    g = conv.groupBy("conv_id").agg(F.min("turn").alias("t0"))
+    return g.select(F.format_string("c-%d", c).alias("session_id"),
+                    (F.lit(FX.EPOCH_2024_MS) + c * 3600000).alias("start_ms"),
+                    F.format_string("resume session %d", c).alias("prompt_preview"),
+                    F.create_map(F.lit("Bash"), (c % 3).cast("bigint"), F.lit("Read"), F.lit(1).cast("bigint")).alias("tools"),
+                    F.create_map(F.format_string("claude-%d", c % 2), F.struct(
+                        (c * 10).cast("bigint").alias("input_tokens"), (c % 5).cast("bigint").alias("output_tokens"),
+                        (c * 10 + c % 5).cast("bigint").alias("total_tokens"))).alias("model_usage"))
+
+
+@register("p2_fallback_tools", W(["session_jsonl"], f"""
+    SELECT 'c-' || conv_id AS session_id, {FX.EPOCH_2024_MS} + conv_id * 3600000 AS timestamp_ms, CAST(0 AS BIGINT) AS prompt_index,
+        tool_name, call_no, CASE WHEN tool_name = 'Bash' THEN 'shell' ELSE 'read' END AS category, '' AS command,
+        'none' AS command_name, 'process' AS effect, 'observed' AS status
+    FROM (SELECT conv_id, 'Bash' AS tool_name, unnest(range(1, conv_id % 3 + 1)) AS call_no
+          FROM (SELECT DISTINCT conv_id FROM conversations)
+          UNION ALL SELECT DISTINCT conv_id, 'Read', 1 FROM conversations)
+    WHERE 'c-' || conv_id NOT IN (SELECT DISTINCT session_id FROM tools)""", _P1_SQL))
+def p2_fallback_tools(spark, sf):
+    _, tools, _ = _p1(spark, sf)
+    prompts = _p1(spark, sf)[0]
+    llm = _p1(spark, sf)[2]
+    return SL.apply_fallbacks(_fallback_sessions(spark, sf), prompts, tools, llm)[1].withColumn(
+        "call_no", F.col("call_no").cast("bigint"))
