@@ -107,3 +107,27 @@ def sticky_bindings(samples: DataFrame, block_ms: int = 3_600_000) -> DataFrame:
     x = running_last(samples, ["pid", "starttime_ticks"], F.expr(f"sample_ts div {block_ms}"),
                      ["sample_ts"], F.col("evidence_path"), "bound_path")
     return x
+
+
+def live_agent_rows(matches: DataFrame, sessions: DataFrame, processes: DataFrame,
+                    tool_counts: DataFrame, n_tools: int = 10) -> DataFrame:
+    """T4: one row per session with its matched process (J10) and its top
+    ``n_tools`` tools (count desc, name asc, as 'name(count)' text), then one
+    row per live process no session matched. ``processes`` carry cpu and rss
+    metrics; ``tool_counts``: session_id, tool_name, count."""
+    w = Window.partitionBy("session_id").orderBy(F.col("count").desc(), F.col("tool_name").asc())
+    top = (tool_counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_tools)
+           .groupBy("session_id")
+           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "tool_name", "count"))),
+                                         lambda s: F.format_string("%s(%d)", s["tool_name"], s["count"])), ", ")
+                .alias("tools")))
+    m = matches.select("session_id", "root_pid", "evidence", "confidence")
+    p = processes.select("root_pid", "cpu_percent", "rss_mb")
+    rows = (sessions.select("session_id", "agent").join(m, "session_id", "left").join(p, "root_pid", "left")
+            .join(top, "session_id", "left").withColumn("row_kind", F.lit("session")))
+    unmatched = (processes.join(m.select("root_pid"), "root_pid", "left_anti")
+                 .select(F.lit(None).cast("string").alias("session_id"), "agent", "root_pid",
+                         F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("double").alias("confidence"),
+                         "cpu_percent", "rss_mb", F.lit(None).cast("string").alias("tools"),
+                         F.lit("process").alias("row_kind")))
+    return rows.unionByName(unmatched)

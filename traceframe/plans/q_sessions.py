@@ -646,3 +646,14 @@ def p2_fallback_tools(spark, sf):
     llm = _p1(spark, sf)[2]
     return SL.apply_fallbacks(_fallback_sessions(spark, sf), prompts, tools, llm)[1].withColumn(
         "call_no", F.col("call_no").cast("bigint"))
+
+
+@register("t4_live_agent_rows")
+def t4_live_agent_rows(spark, sf):
+    sess, procs, ev = _match_inputs(spark, sf)
+    matches = MT.match_sessions(sess, procs, ev)
+    _, tools, _ = _p1(spark, sf)
+    counts = tools.groupBy("session_id", "tool_name").agg(F.count(F.lit(1)).alias("count"))
+    metrics = procs.select("root_pid", "agent", (F.col("root_pid") % 97 / 10).alias("cpu_percent"),
+                           (F.col("root_pid") % 13 * 64).alias("rss_mb"))
+    return MT.live_agent_rows(matches, sess, metrics, counts)
