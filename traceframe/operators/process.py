@@ -227,3 +227,15 @@ def filter_process_tree(attached: DataFrame, parents: DataFrame, predicate, max_
         ) SELECT DISTINCT process_id FROM up""")
     return (kept.join(hits, "process_id", "left")
             .withColumn("matching_events", F.coalesce("matching_events", F.lit(0)).cast("bigint")))
+
+
+def observed_processes(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a process row for every pid that made LLM calls but has no
+    process node (left anti join on pid): first call time, latest comm,
+    status 'observed', source 'llm_call'."""
+    c = (calls.where(F.col("pid").isNotNull()).groupBy("pid")
+         .agg(F.min("start_timestamp_ms").alias("start_timestamp_ms"),
+              F.max_by("comm", "start_timestamp_ms").alias("comm"), F.count(F.lit(1)).alias("calls")))
+    return (c.join(nodes.select("pid").distinct(), "pid", "left_anti")
+            .select(F.format_string("observed-%d", "pid").alias("id"), "pid", "comm", "start_timestamp_ms", "calls",
+                    F.lit("observed").alias("status"), F.lit("llm_call").alias("view_source")))

@@ -180,3 +180,20 @@ def f17_filter_process_tree(spark, sf):
         F.col("id"), F.col("audit_type"), F.col("action"), F.col("status"), F.col("comm"), F.col("target")
     ).contains("/repo/d3")
     return P.filter_process_tree(att, P.process_parents(nodes), pred)
+
+
+@register("f13_observed_processes", W(["canon", "http"], """
+    SELECT 'observed-' || pid AS id, pid, arg_max(comm, start_timestamp_ms) AS comm, min(start_timestamp_ms) AS start_timestamp_ms,
+        count(*) AS calls, 'observed' AS status, 'llm_call' AS view_source
+    FROM (SELECT 200 + page_id % 23 AS pid, 'agent-' || (page_id % 3) AS comm, timestamp_ms AS start_timestamp_ms
+          FROM http WHERE message_type = 'request')
+    WHERE pid NOT IN (SELECT DISTINCT pid FROM nodes)
+    GROUP BY pid""", PROCESS_CTES))
+def f13_observed_processes(spark, sf):
+    """Calls seen on the HTTP side (pids 200..222) against process nodes from
+    the process events (pids of the event users)."""
+    h = FX.http_messages(spark, sf).where(F.col("message_type") == "request")
+    calls = h.select((F.col("page_id") % 23 + 200).alias("pid"),
+                     F.format_string("agent-%d", F.col("page_id") % 3).alias("comm"),
+                     F.col("timestamp_ms").alias("start_timestamp_ms"))
+    return P.observed_processes(calls, P.process_nodes(FX.canonical_events(spark, sf)))
