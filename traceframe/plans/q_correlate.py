@@ -269,3 +269,36 @@ def j14_correlate(spark, sf):
     FROM pairs GROUP BY interaction_id""", _J14_SQL, recursive=True))
 def a27_score_correlations(spark, sf):
     return C.score_correlations(_correlate(spark, sf))
+
+
+# ---- F14: prompts from codex exec command lines ---------------------------------------
+
+def _exec_audit(spark, sf):
+    c = FX.read_table(spark, sf, "conversations").where(F.col("role") == "user")
+    conv, t = F.col("conv_id"), F.col("turn")
+    target = F.when(conv % 9 == 0, F.lit("/opt/node_modules/codex")).when(conv % 3 == 0, F.lit("/usr/local/bin/codex")) \
+        .otherwise(F.lit("/usr/bin/claude"))
+    opts = F.when(t % 4 == 0, F.lit("--json -m gpt-5 ")).when(t % 4 == 1, F.lit("--skip-git-repo-check ")) \
+        .when(t % 4 == 2, F.lit("-C /repo --ephemeral ")).otherwise(F.lit("--unknown "))
+    full = F.concat(F.lit("codex exec "), opts, F.lit("\""), F.col("text"), F.lit("\""))
+    return c.select((F.lit(FX.EPOCH_2024_MS) + conv * 3600000 + t * 60000).alias("timestamp_ms"),
+                    F.lit("process").alias("audit_type"), F.lit("exec").alias("action"), (conv % 7).alias("pid"),
+                    F.lit("codex").alias("comm"), target.alias("target"), full.alias("full_command"))
+
+
+@register("f14_exec_prompts", W([], f"""
+    SELECT 'audit-codex-exec-prompt-' || timestamp_ms || '-' || pid AS id, timestamp_ms, 'llm' AS audit_type, pid, comm,
+        'request' AS action, target, 'observed' AS status, text_content, 'local' AS prompt_source FROM (
+        SELECT *, CASE WHEN NOT starts_with(args, '-') THEN {_clean_sql("regexp_replace(args, '^[''\\\"]+|[''\\\"]+$', '', 'g')")} END AS text_content
+        FROM (SELECT *, regexp_replace(ltrim(regexp_replace(trim(after), '{C._OPTS_RE}', '')), '^\\s+', '') AS args
+              FROM (SELECT *, CASE WHEN strpos(full_command, ' exec ') > 0 THEN substr(full_command, strpos(full_command, ' exec ') + 6) END AS after
+                    FROM (SELECT {FX.EPOCH_2024_MS} + conv_id * 3600000 + turn * 60000 AS timestamp_ms, conv_id % 7 AS pid, 'codex' AS comm,
+                            CASE WHEN conv_id % 9 = 0 THEN '/opt/node_modules/codex' WHEN conv_id % 3 = 0 THEN '/usr/local/bin/codex'
+                                 ELSE '/usr/bin/claude' END AS target,
+                            'codex exec ' || CASE turn % 4 WHEN 0 THEN '--json -m gpt-5 ' WHEN 1 THEN '--skip-git-repo-check '
+                                 WHEN 2 THEN '-C /repo --ephemeral ' ELSE '--unknown ' END || '"' || text || '"' AS full_command
+                          FROM conversations WHERE role = 'user')
+                    WHERE string_split(target, '/')[-1] = 'codex' AND NOT contains(target, '/node_modules/'))))
+    WHERE text_content IS NOT NULL"""))
+def f14_exec_prompts(spark, sf):
+    return C.exec_prompts(_exec_audit(spark, sf))
