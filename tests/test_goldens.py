@@ -362,3 +362,17 @@ def test_process_chain_and_response_text(spark):
     assert response_text_of("plain") == "plain"
     b = spark.createDataFrame([('{"content":"x"}',)], "b string")
     assert b.select(response_text(F.col("b"))).first()[0] == "x"
+
+
+def test_codex_exec_prompts(spark):
+    from traceframe.operators.correlate import exec_prompts
+    rows = [("/usr/bin/codex", 'codex exec --json -m gpt-5 "fix  the\ntests"'),
+            ("/usr/bin/codex", "codex exec --unknown hi"),
+            ("/a/node_modules/codex", 'codex exec "x"'),
+            ("/usr/bin/codex", "codex run"),
+            ("/usr/bin/codex", "codex exec -C /repo --ephemeral 'ship it'")]
+    df = spark.createDataFrame([(i, 1000 + i, 7, "codex", t, c) for i, (t, c) in enumerate(rows)],
+                               "i int, timestamp_ms bigint, pid bigint, comm string, target string, full_command string") \
+        .withColumn("audit_type", F.lit("process")).withColumn("action", F.lit("exec"))
+    got = sorted((r["timestamp_ms"], r["text_content"]) for r in exec_prompts(df).collect())
+    assert got == [(1000, "fix the tests"), (1004, "ship it")]
