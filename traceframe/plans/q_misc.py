@@ -414,3 +414,27 @@ def _stdio(spark, sf):
 def x27_decode_stdio(spark, sf):
     d = CN.decode_stdio(_stdio(spark, sf))
     return d.select("conv_id", "turn", F.upper("direction").alias("direction"), "kind", "method", "rpc_id", "tool_name")
+
+
+@register("u1_merge_sources", W(["canon", "http"], """
+    SELECT source, count(*) AS events, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms,
+        count(path) AS with_path, count(status_code) AS with_status
+    FROM (SELECT 'process' AS source, timestamp_ms, pid, path, CAST(NULL AS INTEGER) AS status_code FROM canon
+              WHERE kind IN ('process', 'file')
+          UNION ALL SELECT 'network', timestamp_ms, pid, path, status_code FROM canon WHERE kind = 'network'
+          UNION ALL SELECT 'http_parser', timestamp_ms, pid, path, status_code FROM http)
+    GROUP BY source"""))
+def u1_merge_sources(spark, sf):
+    """Three sources with different columns merged into one stream
+    (columns aligned by name, missing ones null), then counted per source."""
+    c = FX.canonical_events(spark, sf)
+    proc = c.where(F.col("kind").isin("process", "file")).select(F.lit("process").alias("source"), "timestamp_ms", "pid",
+                                                                  "path")
+    net = c.where(F.col("kind") == "network").select(F.lit("network").alias("source"), "timestamp_ms", "pid", "path",
+                                                      "status_code")
+    http = FX.http_messages(spark, sf).select(F.lit("http_parser").alias("source"), "timestamp_ms", "pid", "path",
+                                              "status_code")
+    merged = A.merge_sources(proc, net, http)
+    return merged.groupBy("source").agg(F.count(F.lit(1)).alias("events"), F.min("timestamp_ms").alias("first_ms"),
+                                        F.max("timestamp_ms").alias("last_ms"), F.count("path").alias("with_path"),
+                                        F.count("status_code").alias("with_status"))
