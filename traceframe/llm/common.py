@@ -9,23 +9,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceframe.session import cut_lineage, ensure_checkpoint_dir
+from traceframe.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; for small intermediate tables."""
-    return cut_lineage(df)
-
-
 def written(df: DataFrame) -> DataFrame:
-    """Compressed table in the shared folder; for intermediates that grow with the texts."""
+    """The table written to the shared folder and read again: cuts the lineage,
+    survives lost executors, and lets Spark see its true size."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

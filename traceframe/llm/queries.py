@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, token_count
+from . import decontaminate, jaccard_join, langid, packing, paragraph_dedup, token_count
 from .common import table, written
 
 QUERIES: dict = {}
@@ -24,11 +24,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign_windows(written(digests))
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), [F.col("doc_id")])
+    return found.select("doc_id", "contaminated", F.size("matches").alias("n_items"), F.col("matches.item_id").alias("item_ids"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.paragraph_repeats(table(spark, sf_dir, "documents")).drop("th", "removed")
+
+
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
