@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, packing, paragraph_dedup, token_count
+from . import decontaminate, fingerprint, jaccard_join, langid, packing, paragraph_dedup, token_count
 from .common import table, written
 
 QUERIES: dict = {}
@@ -35,6 +35,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.with_edits(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                        "near_edited", "near_next")
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
