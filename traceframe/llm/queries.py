@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, langid, packing, paragraph_dedup, token_count
+from . import decontaminate, fingerprint, jaccard_join, langid, packing, paragraph_dedup, pii, token_count
 from .common import table, written
 
 QUERIES: dict = {}
@@ -42,6 +42,15 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "near_edited", "near_next")
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.spans(docs, pii.train(docs), [F.col("doc_id")])
+    base = F.filter("spans", lambda s: s["base"])
+    count = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["k"] == k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *count, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
