@@ -42,11 +42,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Broader patterns: spelled-out addresses, eight-group addresses, national numbers.
+#: Broader patterns: spelled-out addresses, eight-group addresses, one of several adjoining numbers, national numbers.
 BROAD = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?[\[(]\x20?(?i:at)\x20?[\])]\x20?[A-Za-z0-9-]{1,63}"
              r"(?:\x20?(?:[\[(]\x20?(?i:dot)\x20?[\])]|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
 }
 #: What a text must contain for a kind to be looked for.

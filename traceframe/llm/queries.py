@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, langid, packing, paragraph_dedup, pii, token_count
+from . import chat, decontaminate, fingerprint, jaccard_join, langid, packing, paragraph_dedup, pii, token_count, url_filter
 from .common import table, written
 
 QUERIES: dict = {}
@@ -56,6 +56,19 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_calls(chat.from_conversations(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op7_chat_formatting"] = chat.CONVERSATIONS_SQL
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("spam_mass")
+
+
 @query
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.paragraph_repeats(table(spark, sf_dir, "documents")).drop("th", "removed")
