@@ -97,6 +97,7 @@ def link_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     with kind call, result or a role; to (conv_id, turn, kind, call_id, depth,
     status, json). Depth is 0 for plain messages, odd for calls and even for results."""
     key = ["conv_id", "call_id"]
+    messages = messages.select(*key, "turn", "kind", "after", "name", "arguments", "content")
     calls = messages.where("kind = 'call' and call_id is not null")
     first = calls.groupBy(*key).agg(F.min(F.struct("turn", "arguments", "name", "after")).alias("f"))
     first = written(first.select(*key, "f.turn", "f.arguments", "f.after"))

@@ -40,6 +40,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df`` but for those named like an operator's own output, which replaces them."""
+    gone = {n.lower() for n in without}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]
+
+
 def vocabulary_path(name: str) -> str:
     """A vocabulary file by path, or by its name among the public tokenizers of the executor."""
     if os.path.isabs(name):

@@ -17,7 +17,8 @@ size; every pass sees all documents.
 Defined cases: null and empty texts are clean; a null item text is ignored and
 equal items are found together; an item with a null id contaminates without
 being listed; an empty benchmark leaves everything clean; repeated rows and
-null document ids are kept; other columns are kept as they are.
+null document ids are kept; other columns are kept
+as they are, but for any named contaminated or matches.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns, written
 
 Q = 10
 MAX_EDIT_RATE = 0.08
@@ -192,7 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[Column] | No
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // block_chars))
-    out = docs.select(F.struct(*(keep or [F.col(c) for c in docs.columns])).alias("row"), F.col(text_col).alias("text"),
+    out = docs.select(F.struct(*(keep or columns(docs, ("contaminated", "matches")))).alias("row"), F.col(text_col).alias("text"),
                       F.lit(False).alias("contaminated"),
                       F.array().cast("array<struct<item_id:bigint,edits:bigint>>").alias("matches"))
     for b in range(blocks):

@@ -3,8 +3,9 @@
 The five-word shingles of a text are hashed once; the top bits of a hash name
 its bin and each bin keeps its least hash. Empty bins are filled by optimal
 densification: each borrows from the filled bin that comes first in a random
-order of bins of its own, the same order for all texts. Of every bin the
-``BITS`` low-order bits are packed into a hex string. Chance agreement of the
+order of bins of its own, the same order for all texts. Of every bin's value,
+hashed with the bin's number so that borrowers of one value stay independent,
+the ``BITS`` low-order bits are packed into a hex string. Chance agreement of the
 packed bits is corrected: with a fraction m of equal bins, the likeness is
 (m - 2^-BITS) / (1 - 2^-BITS), at least 0.
 
@@ -56,7 +57,7 @@ def densified(least: Column) -> Column:
             return F.when(place > 0, F.get(m, (place - 1).cast("int"))).otherwise(borrowed["x"])
 
         return bind(bins, lambda at: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)),
-                                                 lambda b: F.pmod(F.xxhash64(bin_value(b, at)), F.lit(1 << BITS)).cast("int")))
+                                                 lambda b: F.pmod(F.xxhash64(bin_value(b, at), b), F.lit(1 << BITS)).cast("int")))
 
     return bind(least, lambda m: F.when(F.size(m) > 0, fill(m)).otherwise(F.array().cast("array<int>")))
 

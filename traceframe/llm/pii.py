@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind
+from .common import bind, columns
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.8
@@ -249,7 +249,7 @@ def spans(docs: DataFrame, weights: dict[int, list[float]], keep: list[Column] |
             return F.array_sort(F.transform(F.concat(b, free), lambda c: F.struct(*[c[f].alias(f) for f in ("k", "start", "end", "base")])))
         return bind(base, added)
 
-    return docs.select(*(keep or [F.col(c) for c in docs.columns]), bind(_candidates(text), choose).alias("spans"))
+    return docs.select(*(keep or columns(docs, ("spans",))), bind(_candidates(text), choose).alias("spans"))
 
 
 def span_text(found: Column) -> Column:
