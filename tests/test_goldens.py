@@ -348,20 +348,42 @@ def test_pipeline_and_views(spark):
 
 
 def test_process_chain_and_response_text(spark):
-    from traceframe.operators.correlate import response_text, response_text_of
-    from traceframe.operators.sessionlog import process_chain, process_chain_of
-    assert process_chain_of("sudo -E bash -lc 'cd /x && \"/usr/bin/python3\" run.py'") == ["bash", "cd"]
-    # a wrapper skips one following option only: "timeout 5" names the program "5"
-    assert process_chain_of("timeout 5 sh -c \"curl https://h\"") == ["5"]
-    assert process_chain_of("nohup sh -c \"curl https://h\"") == ["sh", "curl"]
-    assert process_chain_of("") == []
-    df = spark.createDataFrame([("bash -c 'git status'",)], "c string")
-    assert df.select(process_chain(F.col("c"))).first()[0] == ["bash", "git"]
-    assert response_text_of('{"content":[{"type":"text","text":"a"},{"type":"tool_use"},{"type":"text","text":"b"}]}') == "a b"
-    assert response_text_of('{"choices":[{"message":{"content":"hi"}}]}') == "hi"
-    assert response_text_of("plain") == "plain"
-    b = spark.createDataFrame([('{"content":"x"}',)], "b string")
-    assert b.select(response_text(F.col("b"))).first()[0] == "x"
+    from traceframe.operators.correlate import response_text
+    from traceframe.operators.sessionlog import command_basename, process_chain, shell_words
+    nested = "git log"
+    for _ in range(5):
+        nested = "sh -c '" + nested.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cases = [("sudo -E bash -lc 'cd /x && \"/usr/bin/python3\" run.py'", ["bash", "cd"]),
+             # a wrapper skips one following option only: "timeout 5" names the program "5"
+             ("timeout 5 sh -c \"curl https://h\"", ["5"]), ("nohup sh -c \"curl https://h\"", ["sh", "curl"]), ("", []), (None, []),
+             ("bash -c 'git status'", ["bash", "git"]), ("'/usr/bin/my tool' x", ["my tool"]), ("/home/me", ["external"]), ("bash -c", ["bash"]),
+             ("sudo", []), ("a\\ b c", ["a b"]), (nested, ["sh"] * 5 + ["git"])]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string")
+    got = {r.i: r.p for r in df.select("i", process_chain(F.col("c")).alias("p")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+    words = spark.createDataFrame([("env \"a b\"'c d' '' e\\ f 'open",)], "c string").select(shell_words(F.col("c"))).first()[0]
+    assert words == ["env", "a bc d", "e f", "open"]
+    assert df.where("i = 6").select(command_basename(F.col("c"))).first()[0] == "my tool"
+    bodies = [('{"content":[{"type":"text","text":"a"},{"type":"tool_use"},{"type":"text","text":"b"}]}', "a b"),
+              ('{"choices":[{"message":{"content":"hi"}}]}', "hi"), ("plain", "plain"), ('{"content":"x"}', "x"), (None, ""), ("", ""),
+              ('{"choices":[]}', '{"choices":[]}')]
+    b = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(bodies)], "i int, b string")
+    got = {r.i: r.t for r in b.select("i", response_text(F.col("b")).alias("t")).collect()}
+    assert [got[i] for i in range(len(bodies))] == [want for _, want in bodies]
+
+
+def test_prompt_text_at_any_depth(spark):
+    import json
+    from traceframe.operators.canonical import extract_prompt_text
+    deep = "core"
+    for i in range(40):
+        deep = [deep] if i % 2 else {"parts": [{"text": f"t{i}"}, {"content": deep}]}
+    bodies = [({"prompt": " a  b "}, "a b"), ({"messages": [{"content": "x"}, {"content": [{"text": "y [ {"}, {"type": "z"}, "w"]}, "v"]}, "x y [ { w v"),
+              ({"contents": [{"parts": [{"text": "p"}]}], "messages": [{"content": "m"}]}, "m p"), ({"prompt": "<session> q </session>"}, "q"),
+              ({"messages": []}, None), ([1], None), ({"messages": [deep]}, " ".join(f"t{i}" for i in range(38, -1, -2)) + " core")]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, (b, _) in enumerate(bodies)] + [(99, None), (98, "no json")], "i int, b string")
+    got = {r.i: r.t for r in df.select("i", extract_prompt_text(F.col("b")).alias("t")).collect()}
+    assert [got[i] for i in range(len(bodies))] == [want for _, want in bodies] and got[99] is None and got[98] is None
 
 
 def test_codex_exec_prompts(spark):
