@@ -64,7 +64,9 @@ def test_pairing_request_id_ttl_and_ambiguity(spark):
                         (4, 30, 1, 1, "request", None, "m", True, None),
                         (5, 40, 1, 1, "response", None, None, True, 200),  # two pending → orphan
                         (6, 400_000, 1, 1, "response", None, None, True, 200),  # all expired → orphan
-                        (7, 400_010, 1, 1, "request", None, None, False, None)])  # rejected
+                        (7, 400_010, 1, 1, "request", None, None, False, None),  # rejected
+                        (8, 400_020, 1, None, "response", None, None, True, 500)])  # no thread → orphan
+    assert (out["llm-orphan-8"]["status"], out["llm-orphan-8"]["error_type"], out["llm-orphan-8"]["tid"]) == ("error", "http_500", None)
     assert out["llm-2"]["confidence"] == 0.95 and out["llm-2"]["response_seq"] == 3
     assert out["llm-orphan-5"]["confidence"] == 0.35
     assert out["llm-orphan-6"]["confidence"] == 0.35

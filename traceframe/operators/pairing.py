@@ -28,78 +28,39 @@ CALL_SCHEMA = ("id string, pid bigint, tid bigint, request_seq bigint, response_
 EVENT_COLS = ["seq", "timestamp_ms", "pid", "tid", "kind", "request_id", "model", "has_body", "status_code"]
 
 
-def _call_status(code):
-    if code is not None and code >= 400:
-        return "error", f"http_{int(code)}"
-    return "complete", None
-
-
-class PairingQueue:
-    """Pending requests of one (pid, tid) thread; the exact reference rules."""
-
-    def __init__(self, pending=None, ttl_ms=PENDING_TTL_MS, cap=MAX_PENDING):
-        self.pending = list(pending or [])
-        self.ttl_ms, self.cap = ttl_ms, cap
-
-    def prune(self, now_ms):
-        cutoff = now_ms - self.ttl_ms
-        while self.pending and self.pending[0]["ts"] < cutoff:
-            self.pending.pop(0)
-
-    def on_request(self, ev, out):
-        if not ev["has_body"] and ev["model"] is None:
-            return
-        out.append(dict(id=f"llm-{ev['seq']}", pid=ev["pid"], tid=ev["tid"], request_seq=ev["seq"],
-                        response_seq=None, start_timestamp_ms=ev["ts"], end_timestamp_ms=None,
-                        model=ev["model"], status="pending", status_code=None, error_type=None,
-                        confidence=None))
-        self.pending.append({"seq": ev["seq"], "ts": ev["ts"], "request_id": ev["request_id"],
-                             "model": ev["model"], "has_body": ev["has_body"]})
-        while len(self.pending) > self.cap:
-            self.pending.pop(0)
-
-    def take(self, ev):
-        if not self.pending:
-            return None
-        rid = ev["request_id"]
-        if rid is not None:
-            for i, r in enumerate(self.pending):
-                if r["request_id"] == rid:
-                    return self.pending.pop(i), 0.95
-            return None
-        if len(self.pending) == 1:
-            return self.pending.pop(0), 0.75
-        cands = [i for i, r in enumerate(self.pending) if r["has_body"] or r["model"] is not None]
-        if len(cands) != 1:
-            return None
-        return self.pending.pop(cands[0]), 0.7
-
-    def on_response(self, ev, out):
-        if ev["kind"] == "http_response" and not self.pending:
-            return  # a plain HTTP response only counts while a request is pending
-        hit = self.take(ev)
-        status, err = _call_status(ev["status_code"])
-        if hit is None:
-            out.append(dict(id=f"llm-orphan-{ev['seq']}", pid=ev["pid"], tid=ev["tid"], request_seq=None,
-                            response_seq=ev["seq"], start_timestamp_ms=ev["ts"], end_timestamp_ms=ev["ts"],
-                            model=ev["model"] or "unknown", status=status, status_code=ev["status_code"],
-                            error_type=err, confidence=0.35))
-            return
-        req, conf = hit
-        out.append(dict(id=f"llm-{req['seq']}", pid=ev["pid"], tid=ev["tid"], request_seq=req["seq"],
-                        response_seq=ev["seq"], start_timestamp_ms=req["ts"], end_timestamp_ms=ev["ts"],
-                        model=req["model"] or ev["model"] or "unknown", status=status,
-                        status_code=ev["status_code"], error_type=err, confidence=conf))
-
-    def feed(self, ev, out):
-        self.prune(ev["ts"])
-        if ev["kind"] == "request":
-            self.on_request(ev, out)
-        elif ev["kind"] in ("response", "http_response"):
-            self.on_response(ev, out)
-
-    def to_json(self):
-        return json.dumps(self.pending)
+def _call(request: dict | None, response: dict | None, confidence: float | None) -> dict:
+    """The call row of a request, of a response nobody asked for, or of both."""
+    first, code = request or response, response["status_code"] if response else None
+    failed = code is not None and code >= 400
+    models = [e["model"] for e in (request, response) if e and e["model"] is not None]
+    return {"id": f"llm-{request['seq']}" if request else f"llm-orphan-{response['seq']}",
+            "pid": first["pid"], "tid": first["tid"],
+            "request_seq": request["seq"] if request else None, "response_seq": response["seq"] if response else None,
+            "start_timestamp_ms": first["ts"], "end_timestamp_ms": response["ts"] if response else None,
+            "model": next(iter(models), "unknown" if response else None),
+            "status": "pending" if response is None else "error" if failed else "complete",
+            "status_code": code, "error_type": f"http_{int(code)}" if failed else None, "confidence": confidence}
+
+
+def settle(waiting: list[dict], events, ttl_ms: int = PENDING_TTL_MS, cap: int = MAX_PENDING) -> tuple[list[dict], list[dict]]:
+    """Rows of the calls that ``events`` of one thread begin or end, and the
+    requests that still wait. A request waits ``ttl_ms``, and only the latest
+    ``cap`` do (an older one stays a pending call). A response with an id takes
+    the first waiting request of that id; one without takes the only waiting
+    request, if there is just one."""
+    rows: list[dict] = []
+    for ev in events:
+        waiting = [r for r in waiting if r["ts"] >= ev["ts"] - ttl_ms]
+        if ev["kind"] == "request" and (ev["has_body"] or ev["model"] is not None):
+            rows.append(_call(ev, None, None))
+            waiting = [*waiting, ev][-cap:]
+        elif ev["kind"] == "response" or (ev["kind"] == "http_response" and waiting):
+            asked = ev["request_id"]
+            fits = waiting if asked is None else [r for r in waiting if r["request_id"] == asked][:1]
+            request = fits[0] if len(fits) == 1 else None
+            rows.append(_call(request, ev, 0.35 if request is None else 0.75 if asked is None else 0.95))
+            waiting = [r for r in waiting if r is not request]
+    return rows, waiting
 
 
 def _rows(pdf: pd.DataFrame):
@@ -110,26 +71,30 @@ def _rows(pdf: pd.DataFrame):
                "status_code": None if pd.isna(r.status_code) else int(r.status_code)}
 
 
-def _finalise(out: list[dict]) -> pd.DataFrame:
-    # the pending row of a request is replaced by its pair row (same id, later)
-    final = {}
-    for row in out:
-        final[row["id"]] = row
-    cols = [c.split()[0] for c in CALL_SCHEMA.split(", ")]
-    pdf = pd.DataFrame(list(final.values()), columns=cols)
+def _table(rows: list[dict]) -> pd.DataFrame:
+    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in CALL_SCHEMA.split(", ")])
     for c in ("pid", "tid", "request_seq", "response_seq", "start_timestamp_ms", "end_timestamp_ms"):
         pdf[c] = pdf[c].astype("Int64")
-    pdf["status_code"] = pdf["status_code"].astype("Int32")
-    pdf["confidence"] = pdf["confidence"].astype("float64")
-    return pdf
+    return pdf.astype({"status_code": "Int32", "confidence": "float64"})
 
 
 def _pair_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["timestamp_ms", "seq"], kind="stable")
-    q, out = PairingQueue(), []
-    for ev in _rows(pdf):
-        q.feed(ev, out)
-    return _finalise(out)
+    rows, _ = settle([], _rows(pdf.sort_values(["timestamp_ms", "seq"], kind="stable")))
+    # the pending row of a request is replaced by its pair row (same id, later)
+    return _table(list({r["id"]: r for r in rows}.values()))
+
+
+def _without_thread(events: DataFrame) -> DataFrame:
+    """Responses without a thread id can be paired with nothing: orphan calls."""
+    code = F.col("status_code")
+    none = lambda kind: F.lit(None).cast(kind)
+    return events.where("pid is not null and tid is null and kind = 'response'").select(
+        F.format_string("llm-orphan-%d", "seq").alias("id"), F.col("pid").cast("bigint"), none("bigint").alias("tid"),
+        none("bigint").alias("request_seq"), F.col("seq").cast("bigint").alias("response_seq"),
+        F.col("timestamp_ms").alias("start_timestamp_ms"), F.col("timestamp_ms").alias("end_timestamp_ms"),
+        F.coalesce("model", F.lit("unknown")).alias("model"), F.when(code >= 400, "error").otherwise("complete").alias("status"),
+        code.cast("int").alias("status_code"), F.when(code >= 400, F.format_string("http_%d", code)).alias("error_type"),
+        F.lit(0.35).cast("double").alias("confidence"))
 
 
 def pair_llm_calls(events: DataFrame, ttl_ms: int = PENDING_TTL_MS, block_ms: int = 3_600_000) -> DataFrame:
@@ -138,7 +103,7 @@ def pair_llm_calls(events: DataFrame, ttl_ms: int = PENDING_TTL_MS, block_ms: in
     ``events``: seq, timestamp_ms, pid, tid, kind ('request' | 'response' |
     'http_response'), request_id, model, has_body, status_code.
     Output: one row per accepted request (paired or 'pending') and one per
-    orphan response.
+    orphan response (those without a thread id included).
     """
     e = events.select(*EVENT_COLS).where(F.col("pid").isNotNull() & F.col("tid").isNotNull())
     e = e.withColumn("_b", F.expr(f"timestamp_ms div {block_ms}"))
@@ -156,7 +121,7 @@ def pair_llm_calls(events: DataFrame, ttl_ms: int = PENDING_TTL_MS, block_ms: in
          .drop("_prev_local", "_prev_bucket_last", "_prev", "_b"))
     e = running_sum(e, ["pid", "tid"], F.expr(f"timestamp_ms div {block_ms}"), ["timestamp_ms", "seq"],
                     F.col("_gap"), "segment").drop("_gap")
-    return e.groupBy("pid", "tid", "segment").applyInPandas(_pair_group, CALL_SCHEMA)
+    return e.groupBy("pid", "tid", "segment").applyInPandas(_pair_group, CALL_SCHEMA).unionByName(_without_thread(events))
 
 
 def pair_llm_calls_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -170,30 +135,23 @@ def pair_llm_calls_stream(events: DataFrame, watermark: str = "10 minutes") -> D
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, pdfs, state):
-        pending = json.loads(state.get[0]) if state.exists else []
-        q, out = PairingQueue(pending), []
-        last_ts = None
-        chunks = list(pdfs)
-        if chunks:
+        waiting = json.loads(state.get[0]) if state.exists else []
+        rows, last = [], 0
+        if chunks := [c for c in pdfs if len(c)]:
             pdf = pd.concat(chunks).sort_values(["timestamp_ms", "seq"], kind="stable")
-            for ev in _rows(pdf):
-                q.feed(ev, out)
-                last_ts = ev["ts"]
-        if state.hasTimedOut:
+            rows, waiting = settle(waiting, _rows(pdf))
+            last = int(pdf["timestamp_ms"].iloc[-1])
+        if waiting and not state.hasTimedOut:
+            state.update((json.dumps(waiting),))
+            state.setTimeoutTimestamp(max(last + PENDING_TTL_MS, int(state.getCurrentWatermarkMs()) + 1))
+        elif state.exists:
             state.remove()
-        else:
-            if q.pending:
-                state.update((q.to_json(),))
-                wm = state.getCurrentWatermarkMs()
-                state.setTimeoutTimestamp(max(int((last_ts or 0) + PENDING_TTL_MS), int(wm) + 1))
-            elif state.exists:
-                state.remove()
-        if out:
-            yield pd.DataFrame(out)[[c.split()[0] for c in CALL_SCHEMA.split(", ")]].astype(
-                {"status_code": "Int32", "response_seq": "Int64", "request_seq": "Int64",
-                 "end_timestamp_ms": "Int64", "confidence": "float64"})
-
-    e = (events.select(*EVENT_COLS).withColumn("event_time", F.timestamp_millis("timestamp_ms"))
+        if rows:
+            yield _table(rows)
+
+    e = (events.select(*EVENT_COLS).where("pid is not null and tid is not null")
+         .withColumn("event_time", F.timestamp_millis("timestamp_ms"))
          .withWatermark("event_time", watermark))
-    return e.groupBy("pid", "tid").applyInPandasWithState(
+    paired = e.groupBy("pid", "tid").applyInPandasWithState(
         step, CALL_SCHEMA, "pending string", "append", GroupStateTimeout.EventTimeTimeout)
+    return paired.unionByName(_without_thread(events.select(*EVENT_COLS)))
