@@ -46,9 +46,18 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
-
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        one = self.tokenizer.encode("Ab ab. ab, ab", add_special_tokens=False).ids
+        self.cache |= self._encode_odd([".", ","]) if self.ends_word.any() else {}
+        parts = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in ("ab", ".", ",")]
+        ab, stop, comma = parts
+        self.lower = self.ends_word.any() and np.array(one, dtype="<u4").tobytes() == ab + ab + stop + ab + comma + ab
+
+    def _encode_odd(self, words: list[str]) -> dict[str, bytes]:
+        """Any words, by the word numbers that the tokenizer returns."""
         out = {}
         for i in range(0, len(words), 2000):
             part = words[i:i + 2000]
@@ -61,6 +70,39 @@ class WordEncoder:
                 start = end
         return out
 
+    def _encode_plain(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters only: one text, cut after each id that ends a word."""
+        out = {}
+        parts = [words[i:i + 256] for i in range(0, len(words), 256)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(part):
+                out |= self._encode_odd(part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist()):
+                out[w] = raw[start:end]
+                start = end
+        return out
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Letters with at most one comma or full stop behind them are looked up and encoded without it, in lower case."""
+        cache = self.cache
+        cores: dict[str, tuple[str, str]] = {}
+        odd = []
+        for w in words:
+            core, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
+            if self.lower and core.isalpha() and "Σ" not in core and "İ" not in core:
+                cores[w] = core.lower(), tail
+            else:
+                odd.append(w)
+        new = self._encode_plain([c for c in dict.fromkeys(c for c, _ in cores.values()) if c not in cache])
+        out = self._encode_odd(odd) if odd else {}
+        for w, (core, tail) in cores.items():
+            out[w] = (new[core] if core in new else cache[core]) + cache[tail]
+        return new | out
+
     def _slices(self, text: str) -> Iterator[str]:
         start = 0
         while len(text) - start > SLICE_CHARS:
