@@ -4,20 +4,22 @@ Texts become sets of word shingles; equal sets are one point. The join then
 works by regions, each small enough for a task, and never lists the pairs
 within a group.
 
-1. Region keys. A set is cut into B ranges of its hash space. Two linked sets
-   of a size class differ in at most D elements, so with B > D ranges they
-   agree on a whole range; the digest of a range is a key, and only points that
-   share a key can be linked. (Small sets use pairs of ranges, to be as
-   selective.) Points that share keys form families.
+1. Region keys. The hash space is cut into ranges, as many for all sets of a
+   size class. A set that differs from its partners in at most d elements
+   gives the digests of its first d + 1 filled ranges as keys: the partner
+   must agree on one of them and, reaching as far, give it too. (Small sets
+   use pairs of d + 2 ranges, to be as selective.) Only points that share a
+   key can be linked; points that share keys form families.
 2. Regions. A family of bounded size is one region. A larger family is dealt
    into cells; pivots, drawn from the family, go to each of its cells, and a
    cell measures each point's distance to the pivots and joins its own points.
 3. Contraction. Links found so far merge points into groups. Points outside
-   the largest group of their family are still open. Each open point belongs
-   to the Voronoi region of its nearest pivot; by the triangle inequality, a
-   point can be linked to something in a region only if its distance to every
-   pivot lies within the region's range widened by the radius. Points inside
-   that window are replicated to the region, and the region is joined exactly.
+   the largest group of their family are still open. The points are dealt into
+   blocks of the Voronoi regions of the pivots, by distance to the nearest. By
+   the triangle inequality, blocks can only hold linked points if their ranges
+   of distances to every pivot, widened by the radius, meet. A block with open
+   points is replicated to those blocks, and each pair of blocks is joined
+   exactly. What is in one group already needs no comparison.
 4. Links of all steps are closed to components.
 
 In a region all pairs are decided at once by products of 0/1 matrices over
@@ -40,18 +42,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import columns, written
 from .components import components
 from .shingles import digests, list_array, mix, shingle_sets
 
 K = 4
 PERCENT = 85
 PIVOTS = 6
+RING = 0.02
 CELL_POINTS = 64
 CELL_SHINGLES = 1 << 20
 #: Size classes grow by this factor; classes up to SMALL use pairs of ranges.
-CLASS_STEP = 1.6
+CLASS_STEP = 2
 SMALL = 64
+SLOTS = 1 << 20
 COLUMN_BLOCK = 1 << 13
 
 
@@ -87,6 +91,7 @@ class SizeClasses:
 def region_keys(h: np.ndarray, classes: SizeClasses) -> np.ndarray:
     """Keys of one ascending set."""
     n, p = len(h), classes.percent
+    d = most_differences(n, n * 100 // p, p)
     keys = []
     for level in classes.levels(n):
         b = classes.ranges(level)
@@ -95,21 +100,21 @@ def region_keys(h: np.ndarray, classes: SizeClasses) -> np.ndarray:
         np.cumsum(mix(h ^ np.uint64(0xA24BAED4963EE407)), out=sums[1:])
         cuts = np.searchsorted(at, np.arange(b + 1))
         digest = mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.arange(b, dtype=np.uint64) + np.uint64(level << 32))
-        filled = cuts[1:] > cuts[:-1]
-        # Sets that may differ in all their filled ranges agree on empty ones.
-        sparse = filled.sum() <= most_differences(n, n * 100 // p, p)
-        if classes.lows[level + 1] - 1 <= SMALL:
-            i, j = np.triu_indices(b, 1)
-            use = filled[i] | filled[j] | sparse
-            keys.append(mix(digest[i[use]] * np.uint64(3) + digest[j[use]]))
+        pairs = classes.lows[level + 1] - 1 <= SMALL
+        use = np.flatnonzero(cuts[1:] > cuts[:-1])[:d + 1 + pairs]
+        if len(use) < d + 1 + pairs:
+            use = np.arange(b)  # so few filled ranges that agreement may be on empty ones
+        if pairs:
+            i, j = np.triu_indices(len(use), 1)
+            keys.append(mix(digest[use[i]] * np.uint64(3) + digest[use[j]]))
         else:
-            keys.append(digest if sparse else digest[filled])
+            keys.append(digest[use])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One row for each text: id, size, digests and region keys. Within a task equal sets give keys once."""
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"
+    """One row for each text (doc_id, text, th): id, text hash, size, digests and region keys. Within a task equal sets give keys once."""
+    schema = "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>"
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(1 << 12, percent)
@@ -126,9 +131,10 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     seen.add(s)
                 koff = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(size)), pa.array(size, pa.int64()), pa.array(s1.view(np.int64)),
-                     pa.array(s2.view(np.int64)), list_array(koff, np.concatenate([np.zeros(0, np.uint64), *keys]))],
-                    names=["doc_id", "n_shingles", "s1", "s2", "keys"])
+                    [batch.column(0).slice(row, len(size)), batch.column(2).slice(row, len(size)), pa.array(size, pa.int64()),
+                     pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                     list_array(koff, np.concatenate([np.zeros(0, np.uint64), *keys]))],
+                    names=["doc_id", "th", "n_shingles", "s1", "s2", "keys"])
                 if len(seen) > 1 << 20:
                     seen.clear()
 
@@ -226,35 +232,46 @@ def _join_cell(percent: int):
     return join
 
 
-def _join_region(percent: int):
-    """Links between the open points of a region and the points replicated to it."""
+def _join_blocks(percent: int):
+    """Links between the points of two blocks, one pair of blocks a row."""
 
-    def join(cell: pa.Table) -> pa.Table:
-        point = np.array(cell.column("point").to_pylist(), np.int64)
-        is_open = np.array(cell.column("is_open").to_pylist(), bool)
-        sets = _unpack(cell.column("hashes"))
-        left = [int(i) for i in np.flatnonzero(~is_open)]
-        right = [int(i) for i in np.flatnonzero(is_open)]
-        a, b = [], []
-        if left and right:
-            ls, rs = [sets[i] for i in left], [sets[i] for i in right]
-            mask = linked(overlaps(ls, rs), np.array([len(s) for s in ls]), np.array([len(s) for s in rs]), percent)
-            both = np.zeros((len(sets),) * 2, bool)
-            both[:len(left), len(left):] = mask
-            order = left + right
-            pairs = [(point[order[i]], point[order[j]]) for i, j in spanning(both)]
-            a, b = [int(x) for x, y in pairs if x != y], [int(y) for x, y in pairs if x != y]
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                pa_, ha, pb, hb = (batch.column(i)[row].values for i in range(4))
+                left, right = _unpack(pa.chunked_array([ha])), _unpack(pa.chunked_array([hb]))
+                a, b = pa_.to_numpy(), pb.to_numpy()
+                mask = linked(overlaps(left, right), np.array([len(s) for s in left]), np.array([len(s) for s in right]), percent)
+                both = np.zeros((len(a) + len(b),) * 2, bool)
+                both[:len(a), len(a):] = mask
+                point = np.concatenate([a, b])
+                found = [(int(point[i]), int(point[j])) for i, j in spanning(both) if point[i] != point[j]]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())],
+                                                 names=["a", "b"])
 
     return join
 
 
-def _families(sets: DataFrame) -> DataFrame:
-    """(s1, family): points that share a region key, transitively; points that share none are left out."""
-    keyed = sets.select(F.explode("keys").alias("key"), "s1")
-    first = F.min("s1").over(Window.partitionBy("key").orderBy("s1"))
-    edges = keyed.withColumn("a", first).where("a != s1").select("a", F.col("s1").alias("b")).distinct()
-    return components(edges).select(F.col("node").alias("s1"), F.col("component").alias("family"))
+def families(rows: DataFrame, keys: str) -> DataFrame:
+    """(s1, s2, family) of stored rows (rid, s1, s2 and an array of keys):
+    points that share a key, transitively; families of one point are left out."""
+    keyed = rows.select(F.explode(keys).alias("key"), "rid")
+    first = F.min("rid").over(Window.partitionBy("key").orderBy("rid"))
+    edges = keyed.withColumn("a", first).where("a != rid").select("a", F.col("rid").alias("b")).distinct()
+    of_row = components(edges).select(F.col("node").alias("rid"), F.col("component").alias("family"))
+    light = rows.select("rid", "s1", "s2")
+    points = written(light.join(of_row, "rid").groupBy("s1", "s2").agg(F.min("family").alias("family")))
+    sizes = points.groupBy("family").count().where("count > 1").select("family")
+    return points.join(sizes, "family").select("s1", "s2", "family")
+
+
+def near_slots(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id falls in the hash slot of one of ``ids``
+    (``_id``): a filter of bounded size before an exact join, so that texts
+    that are not asked for need not be shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = ids.select(slot("_id").alias("_slot")).distinct()  # at most SLOTS small rows
+    return docs.withColumn("_slot", slot(id_col)).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
 
 
 def join_points(points: DataFrame, percent: int, cell_points: int = CELL_POINTS,
@@ -282,65 +299,81 @@ def join_points(points: DataFrame, percent: int, cell_points: int = CELL_POINTS,
     # Open points: those outside the largest group of their (large) family.
     group = components(links)
     far = found.where("far is not null").select(F.col("a").alias("point"), "far")
-    labelled = written(light.join(far, "point")
-                      .join(group.withColumnRenamed("node", "point"), "point", "left")
-                      .withColumn("grp", F.coalesce("component", "point")).drop("component"))
+    labelled = written(light.join(far, "point").join(group.withColumnRenamed("node", "point"), "point", "left")
+                       .withColumn("grp", F.coalesce("component", "point")).drop("component"))
     groups = labelled.groupBy("family", "grp").agg(F.count("*").alias("c"))
-    main = written(groups.groupBy("family").agg(F.max_by("grp", F.struct("c", "grp")).alias("main")))
-    nearest = F.array_position("far", F.array_min("far"))
-    opened = (labelled.join(main, "family").where("grp != main")
-              .withColumn("home", nearest).select("family", "point", "far", "home"))
-    per_home = written(opened.join(large.select("family", "per_cell"), "family").groupBy("family", "home")
-                       .agg(F.ceil(F.count("*") / (2 * F.first("per_cell"))).alias("parts")))
-    opened = written(opened.join(per_home, ["family", "home"])
-                    .withColumn("part", F.pmod(F.xxhash64("point", F.lit(2)), F.col("parts")))
-                    .select("family", "point", "far", "home", "part"))
-    if opened.isEmpty():
-        more = links
-    else:
-        radius = 1 - percent / 100 + 1e-9
-        regions = written(opened.select("family", "home", "part", F.posexplode("far").alias("i", "d"))
-                         .groupBy("family", "home", "part", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-                         .groupBy("family", "home", "part")
-                         .agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("span")))
-        inside = F.forall(F.zip_with("far", "span", lambda d, s: (d >= s["lo"] - radius) & (d <= s["hi"] + radius)), lambda x: x)
-        # A point of an open group meets the other open points too; within its own region it is on the open side only.
-        reach = (labelled.join(regions, "family").where(inside)
-                 .select("family", "home", "part", "point", F.pmod(F.xxhash64("point", F.lit(3)), F.col("cells")).alias("cell")))
-        members = points.join(reach, ["family", "point"]).select("family", "home", "part", "cell", "point", "hashes", F.lit(False).alias("is_open"))
-        spread = opened.join(large, "family").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-        askers = points.join(spread, ["family", "point"]).select("family", "home", "part", "cell", "point", "hashes", F.lit(True).alias("is_open"))
-        region_links = members.unionByName(askers).groupBy("family", "home", "part", "cell").applyInArrow(_join_region(percent), "a long, b long")
-        more = links.unionByName(written(region_links))
-    return components(more)
-
-
-def jaccard_join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
-                 cell_points: int = CELL_POINTS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row; sets are linked when
-    100 * intersection >= percent * union."""
+    main = written(groups.groupBy("family").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.count("*").alias("groups")))
+    if main.where("groups > 1").isEmpty():
+        return components(links)
+
+    # Blocks of Voronoi regions: points of one nearest pivot and about one distance to it.
+    nearest = F.array_min("far")
+    at = ["family", "home", "ring"]
+    placed = (labelled.join(main.where("groups > 1"), "family")
+              .select("family", "point", "far", "per_cell", (F.col("grp") != F.col("main")).alias("is_open"),
+                      F.array_position("far", nearest).alias("home"), F.floor(nearest / RING).alias("ring")))
+    parts = written(placed.groupBy(*at).agg(F.ceil(F.count("*") / F.first("per_cell")).alias("parts")))
+    placed = written(placed.join(parts, at).withColumn("block", F.xxhash64(*at, F.pmod(F.xxhash64("point", F.lit(2)), F.col("parts"))))
+                     .select("family", "block", "point", "far", "is_open"))
+    span = (placed.select("family", "block", "is_open", F.posexplode("far").alias("i", "d"))
+            .groupBy("family", "block", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("is_open").alias("open"))
+            .groupBy("family", "block").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("span"), F.max("open").alias("open")))
+    span = written(span)
+    # Every block with open points meets the blocks in its triangle-inequality window.
+    radius = 1 - percent / 100 + 1e-9
+    asking = span.where("open").select("family", F.col("block").alias("asker"), F.col("span").alias("asked"))
+    near = F.forall(F.zip_with("asked", "span", lambda x, y: (x["lo"] - radius <= y["hi"]) & (y["lo"] - radius <= x["hi"])), lambda x: x)
+    meets = written(asking.join(span, "family").where(near).select("asker", "block"))
+    filled = written(points.join(placed.select("family", "block", "point", "is_open"), ["family", "point"])
+                     .groupBy("block").agg(F.collect_list(F.struct("point", "is_open", "hashes")).alias("members")))
+    pairs = (meets.join(filled.select(F.col("block").alias("asker"), F.filter("members", lambda m: m["is_open"]).alias("a")), "asker")
+             .join(filled.select("block", F.col("members").alias("b")), "block"))
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("point", "hashes")]
+    more = written(pairs.select(*sides).mapInArrow(_join_blocks(percent), "a long, b long"))
+    return components(links.unionByName(more))
+
+
+def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
+                cell_points: int = CELL_POINTS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """(doc_id, th, n_shingles, component) of each row: th is the hash of the
+    text, component is null for the empty set."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = written(_sets(texts, k, percent))
-    family = _families(sets)
+    sets = _sets(texts.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))), k, percent)
+    sets = written(sets.withColumn("rid", F.monotonically_increasing_id()))
 
     # One document for each point of a family; its set is made again from its text.
-    point_key = F.xxhash64("s1", "s2")
-    distinct = (sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
-    wanted = written(distinct.join(family, "s1"))
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    fetched = _fetch(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), k)
     same = ["s1", "s2"]
-    points = (fetched.drop("doc_id").join(wanted, same).dropDuplicates(same)
-              .select(F.struct("s1", "s2").alias("digest"), "family", "n", "hashes"))
-    # Points are numbered by digest; the number of rows is far below a collision of 64 bits within a family.
-    points = written(points.select("family", F.xxhash64("digest.s1", "digest.s2").alias("point"), "n", "hashes"))
-
-    merged = join_points(points, percent, cell_points, cell_shingles)
-
-    # From points to documents.
-    rows = sets.select("doc_id", "n_shingles", "s1", "s2").withColumn("point", point_key)
-    grouped = merged.withColumnRenamed("node", "point")
-    rows = rows.join(grouped, "point", "left").withColumn("component", F.coalesce("component", "point"))
-    named = written(rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    distinct = sets.groupBy(*same).agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("n"))
+    wanted = written(distinct.join(families(sets, "keys"), same))
+    fetched = _fetch(near_slots(texts, wanted), k)
+    points = written(fetched.drop("doc_id").join(wanted, same).dropDuplicates(same)
+                     .select("family", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
+    merged = join_points(points, percent, cell_points, cell_shingles).withColumnRenamed("node", "point")
+    rows = sets.select("doc_id", "th", "n_shingles", F.xxhash64("s1", "s2").alias("point")).join(merged, "point", "left")
+    return rows.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "point")).alias("component"))
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row; sets are linked when
+    100 * intersection >= percent * union."""
+    rows = linked_rows(docs, **options)
+    named = written(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return (rows.join(named, "component", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without near copies: of each component the one with the
+    least id (null ids last) stays with all its columns; rows that agree in id
+    and text are one document. Documents of the empty set stay."""
+    rows = written(linked_rows(docs, id_col=id_col, text_col=text_col, **options))
+    keeper = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
+    kept = (rows.where("component is not null").groupBy("component").agg(keeper.alias("k")).select("k._id", "k._th")
+            .unionByName(rows.where("component is null").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()))
+    kept = written(kept)
+    whole = docs.select(F.struct(*columns(docs)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"),
+                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    out = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
+    if not rows.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "th"])
+    return out.select("doc.*")

@@ -23,12 +23,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .components import components
-from .jaccard_join import join_points
+from .common import columns, written
+from .jaccard_join import families, join_points, near_slots
 from .shingles import digests, list_array, mix, shingle_sets
 
 K = 5
@@ -133,18 +132,14 @@ def paragraph_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, min_w
     """(all paragraph rows with their class, classes with size and first occurrence)."""
     texts = _texts(docs, id_col, text_col)
     bands = bands_for(percent / 100, rows, recall)
-    lines = written(_sketch(texts, k, min_words, rows, bands))
+    lines = written(_sketch(texts, k, min_words, rows, bands).withColumn("rid", F.monotonically_increasing_id()))
     own = lines.where("pos >= 0")
-    keyed = own.select(F.explode("bands").alias("key"), "s1")
-    first = F.min("s1").over(Window.partitionBy("key").orderBy("s1"))
-    edges = keyed.withColumn("a", first).where("a != s1").select("a", F.col("s1").alias("b")).distinct()
-    family = components(edges).select(F.col("node").alias("s1"), F.col("component").alias("family"))
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "pos")
     distinct = own.groupBy("s1", "s2").agg(F.min(place).alias("at"), F.first("n").alias("n"))
-    wanted = written(distinct.join(family, "s1"))
+    wanted = written(distinct.join(families(own, "bands"), ["s1", "s2"]))
     asked = wanted.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th")).agg(F.collect_set("at.pos").alias("wanted"))
     asked = written(asked)
-    sets = _fetch(texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted"), k)
+    sets = _fetch(near_slots(texts, asked).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted"), k)
     points = written(sets.dropDuplicates(["s1", "s2"]).join(wanted.select("s1", "s2", "family", "n"), ["s1", "s2"])
                      .select("family", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
     merged = join_points(points, percent).withColumnRenamed("node", "point")
@@ -181,8 +176,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = (paragraph_repeats(docs, id_col=id_col, text_col=text_col, **options).where("n_removed > 0")
             .select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
             .dropDuplicates(["_id", "_th"]))
-    hit = (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-           & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_th")))
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    return (docs.join(gone, hit, "left")
-            .withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns))
+    whole = docs.select(F.struct(*columns(docs)).alias("doc"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"),
+                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    hit = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
+    return whole.join(gone, hit, "left").select(F.col("doc").withField(text_col, text).alias("doc")).select("doc.*")
