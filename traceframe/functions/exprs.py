@@ -45,16 +45,10 @@ def is_writable_open(flags: Column) -> Column:
 
 
 def file_directory(path: Column) -> Column:
-    """Parent directory of a path ('' when none)."""
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-
-
-def normalize_path(path: Column) -> Column:
-    """Replace UUIDs, numeric ids and long hex hashes by placeholders, in that order."""
-    p = F.regexp_replace(path, r"/[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "/{uuid}")
-    p = F.regexp_replace(p, r"/\d+", "/{id}")
-    p = F.regexp_replace(p, r"/[a-fA-F0-9]{32,}", "/{hash}")
-    return p
+    """Parent directory of a path: ``/`` for a name at the root, ``.`` for a bare name."""
+    bare = F.regexp_replace(path, r"(?<=.)/+$", "")
+    up = F.regexp_replace(F.regexp_extract(bare, r"^(.*?)/+[^/]*$", 1), r"(?<=.)/+$", "")
+    return (F.when(~bare.contains("/") | (bare == "/"), F.lit(".")).when(up == "", F.lit("/")).otherwise(up))
 
 
 def short_hash(text: Column, n: int = 12) -> Column:
@@ -62,17 +56,6 @@ def short_hash(text: Column, n: int = 12) -> Column:
     return F.substring(F.sha2(text, 256), 1, n)
 
 
-def safe_frame(text: Column) -> Column:
-    """Lower-case, non-frame characters to '_', trimmed of '_'."""
-    t = F.regexp_replace(F.lower(text), r"[^a-z0-9._:/+-]+", "_")
-    return F.regexp_replace(t, r"^_+|_+$", "")
-
-
-def last_model_segment(model: Column) -> Column:
-    """Text after the last '/'."""
-    return F.element_at(F.split(model, "/"), -1)
-
-
 # Unicode control characters other than \n, \r and \t make a payload binary.
 _BINARY_CHARS = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
 
@@ -138,7 +121,7 @@ def agent_label(comm: Column, command: Column) -> Column:
     the first word of the command, else 'agent'."""
     toks = F.filter(F.split(F.trim(F.coalesce(command, F.lit(""))), r"\s+"), lambda x: x != "")
     argv0 = _exec_token_label(F.try_element_at(toks, F.lit(1)))
-    rest = F.filter(F.slice(toks, 2, 1 << 20),
+    rest = F.filter(F.slice(toks, F.lit(2), F.size(toks)),
                     lambda x: F.regexp_replace(x, "^['\"]+|['\"]+$", "").contains("/"))
     rest_label = F.try_element_at(F.filter(F.transform(rest, _exec_token_label), lambda x: x.isNotNull()), F.lit(1))
     known = F.coalesce(_exec_token_label(F.coalesce(comm, F.lit(""))), F.when(F.size(toks) > 0, F.coalesce(argv0, rest_label)))

@@ -25,8 +25,7 @@ def audit_counters(audit: DataFrame, by_pid: bool = False) -> DataFrame:
 
 
 def audit_rows(audit: DataFrame, audit_type: str | None = None, limit: int = 100) -> DataFrame:
-    """optional type filter, newest first (ties: id asc), limit 1..10000."""
-    limit = max(1, min(int(limit), 10_000))
+    """optional type filter, newest first (ties: id asc), the ``limit`` first rows."""
     df = audit if audit_type is None else audit.where(F.col("audit_type") == audit_type)
     return df.orderBy(F.col("timestamp_ms").desc(), F.col("id").asc()).limit(limit)
 
@@ -46,8 +45,7 @@ def retain_recent(df: DataFrame, n: int, order_cols=("seq",)) -> DataFrame:
 
 
 def audit_tail(audit: DataFrame, n: int = 20_000) -> DataFrame:
-    """The last ``n`` audit rows (cap 100000) by (time, id), ascending."""
-    n = min(int(n), 100_000)
+    """The last ``n`` audit rows by (time, id), ascending."""
     tail = audit.orderBy(F.col("timestamp_ms").desc(), F.col("id").desc()).limit(n)
     return tail.orderBy("timestamp_ms", "id")
 

@@ -1,66 +1,39 @@
 """Process families over parent edges: ancestors, roots, families, related
-pids and counter attribution. Closures are recursive CTEs (depth-bounded);
-pid cycles (a pid that is its own parent) are cut at the edge level."""
+pids and counter attribution. Closures have no depth limit
+(``functions/closure.py``); a pid that is its own parent is cut at the edge level."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-
-def _view(df: DataFrame, prefix: str) -> str:
-    name = f"_{prefix}_{uuid.uuid4().hex[:12]}"
-    df.createOrReplaceTempView(name)
-    return name
+from ..functions.closure import ancestor_closure
 
 
-def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """All (pid, ancestor, depth >= 1) pairs of the parent closure.
+def ancestors(edges: DataFrame) -> DataFrame:
+    """All (pid, ancestor, depth >= 1) pairs of the parent closure."""
+    return ancestor_closure(edges, "pid", "ppid").select(F.col("node").alias("pid"), F.col("ancestor").alias("anc"), "depth")
 
-    The edge table is written to the checkpoint folder first: a recursive
-    CTE re-runs its inputs at every level, so they must be a stored table,
-    not a plan (this also cuts the lineage for executor-loss recovery)."""
-    e = _view(cut_lineage(edges.select("pid", "ppid").where("ppid IS NOT NULL AND ppid <> pid").distinct()),
-              "edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(pid, anc, depth) AS (
-          SELECT pid, ppid, 1 FROM {e}
-          UNION ALL
-          SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN {e} e ON up.anc = e.pid WHERE up.depth < {int(max_depth)}
-        ) SELECT pid, anc, depth FROM up""")
 
-
-def root_processes(procs: DataFrame, matches: F.Column, max_depth: int = 64) -> DataFrame:
+def root_processes(procs: DataFrame, matches: F.Column) -> DataFrame:
     """Processes matching ``matches`` with no matching ancestor."""
     m = procs.where(matches).select("pid").distinct()
-    up = ancestors(procs, max_depth)
-    has_matching_ancestor = (up.join(m.withColumnRenamed("pid", "anc"), "anc")
+    has_matching_ancestor = (ancestors(procs).join(m.withColumnRenamed("pid", "anc"), "anc")
                              .select("pid").distinct())
     return m.join(has_matching_ancestor, "pid", "left_anti")
 
 
-def process_family(procs: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def process_family(procs: DataFrame, roots: DataFrame) -> DataFrame:
     """J8 + W11: every descendant of each root, not descending into other
     roots; (root_pid, pid, depth). Root rows have depth 0."""
-    spark = procs.sparkSession
-    roots = cut_lineage(roots.select("pid").distinct())
-    r = _view(roots, "roots")
-    edges = procs.select("pid", "ppid").where("ppid IS NOT NULL AND ppid <> pid").distinct()
-    e = _view(cut_lineage(edges.join(roots, "pid", "left_anti")), "edges_nr")
-    return spark.sql(f"""
-        WITH RECURSIVE fam(root_pid, pid, depth) AS (
-          SELECT pid, pid, 0 FROM {r}
-          UNION ALL
-          SELECT fam.root_pid, e.pid, fam.depth + 1 FROM fam JOIN {e} e ON e.ppid = fam.pid
-          WHERE fam.depth < {int(max_depth)}
-        ) SELECT root_pid, pid, min(depth) AS depth FROM fam GROUP BY root_pid, pid""")
+    roots = roots.select("pid").distinct()
+    below = ancestors(procs.select("pid", "ppid").distinct().join(roots, "pid", "left_anti"))
+    members = (below.join(roots.withColumnRenamed("pid", "anc"), "anc")
+               .select(F.col("anc").alias("root_pid"), "pid", "depth"))
+    return roots.select(F.col("pid").alias("root_pid"), "pid", F.lit(0).alias("depth")).unionByName(members)
 
 
-def related_pids(procs: DataFrame, targets: DataFrame, max_depth: int = 64) -> DataFrame:
+def related_pids(procs: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target pid: itself, its parent, all descendants and its
     siblings, as (target, related_pid, relation); a pid related in several
     ways keeps the first of self, parent, descendant, sibling. Siblings are a
@@ -70,7 +43,7 @@ def related_pids(procs: DataFrame, targets: DataFrame, max_depth: int = 64) -> D
     self_ = t.select("target", F.col("target").alias("related_pid"), F.lit(0).alias("_o"))
     parent = (t.join(edges, t["target"] == edges["pid"])
               .select("target", F.col("ppid").alias("related_pid"), F.lit(1).alias("_o")))
-    up = ancestors(procs, max_depth)
+    up = ancestors(procs)
     desc = (t.join(up, t["target"] == up["anc"])
             .select("target", F.col("pid").alias("related_pid"), F.lit(2).alias("_o")))
     tp = t.join(edges, t["target"] == edges["pid"]).select("target", F.col("ppid").alias("_p"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_writable_open
+from ..functions.closure import ancestor_closure
 from ..functions.scan import running_sum
+from ..session import cut_lineage
 
 
 def process_instances(canon: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
@@ -148,34 +148,14 @@ def process_edges(canon: DataFrame) -> DataFrame:
     return canon.select("pid", "ppid").where(F.col("pid").isNotNull()).distinct()
 
 
-def _tmp(df: DataFrame, prefix: str) -> str:
-    name = f"_{prefix}_{uuid.uuid4().hex[:12]}"
-    df.createOrReplaceTempView(name)
-    return name
-
-
-def process_lineage(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """J6 closure + W11: root ancestor and depth of every pid.
-
-    A recursive CTE walks parent edges; a pid whose parent is itself or
-    unknown is a root. ``max_depth`` bounds the walk (cycles stop there).
-    Output: pid, root_pid, depth.
-    """
-    from ..session import cut_lineage
-    spark = edges.sparkSession
-    # stored input: the recursion re-runs its inputs at every level
-    e = _tmp(cut_lineage(edges.select("pid", "ppid")), "edges")
-    q = f"""
-    WITH RECURSIVE up(pid, anc, depth) AS (
-      SELECT pid, pid, 0 FROM {e}
-      UNION ALL
-      SELECT up.pid, e.ppid, up.depth + 1
-      FROM up JOIN {e} e ON up.anc = e.pid
-      WHERE e.ppid <> e.pid AND e.ppid IS NOT NULL AND up.depth < {int(max_depth)}
-    )
-    SELECT pid, max_by(anc, depth) AS root_pid, max(depth) AS depth FROM up GROUP BY pid
-    """
-    return spark.sql(q)
+def process_lineage(edges: DataFrame) -> DataFrame:
+    """J6 closure + W11: root ancestor and depth of every pid (pid, root_pid,
+    depth): the ancestor furthest up, or the pid itself if it has none."""
+    up = ancestor_closure(edges, "pid", "ppid")
+    far = up.groupBy(F.col("node").alias("pid")).agg(
+        F.max_by("ancestor", F.struct("depth", "ancestor")).alias("root_pid"), F.max("depth").alias("depth"))
+    return (edges.select("pid").where("pid is not null").distinct().join(far, "pid", "left")
+            .select("pid", F.coalesce("root_pid", "pid").alias("root_pid"), F.coalesce("depth", F.lit(0)).alias("depth")))
 
 
 def process_parents(nodes: DataFrame, bucket_ms: int = 3600 * 1000) -> DataFrame:
@@ -206,27 +186,17 @@ def process_timeline(attached_audit: DataFrame, parents: DataFrame, nodes: DataF
     return ev.unionByName(ch).orderBy("process_id", "timestamp_ms", "item_type", "item_id")
 
 
-def filter_process_tree(attached: DataFrame, parents: DataFrame, predicate, max_depth: int = 64) -> DataFrame:
+def filter_process_tree(attached: DataFrame, parents: DataFrame, predicate) -> DataFrame:
     """processes that hold events matching ``predicate`` plus all their
     ancestors (so the tree stays connected), with the number of matching
-    events of each. Ancestors come from a recursive CTE over the stored
-    (checkpointed) parent edges of the hit processes."""
-    from ..session import cut_lineage
-    spark = attached.sparkSession
+    events of each."""
     hits = (attached.where(predicate & F.col("process_id").isNotNull())
             .groupBy("process_id").agg(F.count(F.lit(1)).alias("matching_events")))
-    hits = cut_lineage(hits)  # stored once: feeds the recursion and the final join
-    h = _tmp(hits.select("process_id"), "hits")
-    e = _tmp(cut_lineage(parents.where(F.col("parent_id").isNotNull()).select("child_id", "parent_id")), "pedges")
-    kept = spark.sql(f"""
-        WITH RECURSIVE up(process_id, depth) AS (
-          SELECT process_id, 0 FROM {h}
-          UNION ALL
-          SELECT e.parent_id, up.depth + 1 FROM up JOIN {e} e ON e.child_id = up.process_id
-          WHERE up.depth < {int(max_depth)}
-        ) SELECT DISTINCT process_id FROM up""")
-    return (kept.join(hits, "process_id", "left")
-            .withColumn("matching_events", F.coalesce("matching_events", F.lit(0)).cast("bigint")))
+    hits = cut_lineage(hits)  # read twice
+    up = ancestor_closure(parents, "child_id", "parent_id")
+    above = (up.join(hits.select(F.col("process_id").alias("node")), "node")
+             .select(F.col("ancestor").alias("process_id"), F.lit(0).cast("bigint").alias("matching_events")))
+    return hits.unionByName(above).groupBy("process_id").agg(F.max("matching_events").alias("matching_events"))
 
 
 def observed_processes(calls: DataFrame, nodes: DataFrame) -> DataFrame:

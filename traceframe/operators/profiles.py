@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .sessions import event_durations
 
-MAX_REPORTED_TOKENS = 10_000_000
-MAX_ESTIMATED_TOKENS = 2_000_000
-
 
 def safe_frame_value(text: Column) -> Column:
     """Lower-case; characters outside ``[a-z0-9._:/+-]`` become '_' (runs
@@ -98,14 +95,14 @@ def time_profile_samples(sessions: DataFrame, prompts: DataFrame, llm: DataFrame
 
 
 def token_components(inp: Column, out: Column, cache: Column, total: Column) -> Column:
-    """Reported components within 1..10M; else an estimate within 1..2M;
-    else ``unknown`` = 1."""
+    """Reported components of at least 1; else the total as an estimate;
+    else ``unknown`` = 1. However large a count is, it is kept."""
     comps = F.filter(F.array(
         F.struct(F.lit("input").alias("kind"), inp.cast("bigint").alias("value")),
         F.struct(F.lit("output").alias("kind"), out.cast("bigint").alias("value")),
         F.struct(F.lit("cache").alias("kind"), cache.cast("bigint").alias("value"))),
-        lambda c: (c["value"] >= 1) & (c["value"] <= MAX_REPORTED_TOKENS))
-    est = F.when((total >= 1) & (total <= MAX_ESTIMATED_TOKENS),
+        lambda c: c["value"] >= 1)
+    est = F.when(total >= 1,
                  F.array(F.struct(F.lit("estimate").alias("kind"), total.cast("bigint").alias("value")))) \
         .otherwise(F.array(F.struct(F.lit("unknown").alias("kind"), F.lit(1).cast("bigint").alias("value"))))
     return F.when(F.size(comps) > 0, comps).otherwise(est)

@@ -285,8 +285,7 @@ def read_session_logs(spark, root: str, pattern: str = "*.jsonl", newest: int |
 def latest_sessions(sessions: DataFrame, key: str = "display_id", updated: str = "updated_ms",
                     limit: int = 25) -> DataFrame:
     """The newest parsed copy per display id (``max_by``, a partial
-    aggregate), then the ``limit`` most recently updated (≤ 25)."""
-    limit = max(1, min(int(limit), 25))
+    aggregate), then the ``limit`` most recently updated."""
     cols = sessions.columns
     best = (sessions.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(updated, *[c for c in cols if c != updated]))
                                       .alias("_r")).select("_r.*"))

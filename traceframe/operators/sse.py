@@ -5,9 +5,7 @@ R2 is stateless column work (runs on batch and stream rows alike). R3 keys
 events by (pid, tid, message id from ``message_start``) with the id carried
 forward by a two-level scan, stops a message at its first completing event
 (``[DONE]``, a top-level ``usage``/``usageMetadata``, ``message_stop``,
-``error``) or once its text passes 50 000 characters, and concatenates the
-deltas up to that point — so a message contributes at most ~50 000
-characters to one aggregate, whatever the input size.
+``error``), and concatenates all deltas up to that point.
 """
 
 from __future__ import annotations
@@ -15,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import running_last, running_sum
+from ..functions.scan import running_last
 
-MAX_ACCUMULATED = 50_000
 WINDOW_MS = 600_000  # key of events before any message_start: pid:tid:10-minute window
 
 
@@ -25,28 +22,20 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+# One step through a chunked body: a size line with its data line, the last
+# (zero) size with all that follows, or any other line.
+_LINE = r"(?:(?!\r\n)[\s\S])*+"
+_BLANK = r"(?:(?!\r\n)\s)*+"
+_SIZE = rf"{_BLANK}0*+[1-9a-fA-F][0-9a-fA-F]*+{_BLANK}"
+_STEP = rf"\G(?:{_SIZE}\r\n{_LINE}|{_BLANK}0++{_BLANK}(?=\r\n|$)[\s\S]*+|{_LINE})(?:\r\n|$)"
+
+
 def clean_chunked(body: Column) -> Column:
     """Chunked transfer framing removed: a line that is a non-zero hex size
-    is followed by one data line, which is kept; a zero size ends the body.
-    The scan over lines is an ``aggregate`` fold (state: expect-data flag,
-    stopped flag, kept lines)."""
-    lines = F.split(body, "\r\n")
-    init = F.struct(F.lit(False).alias("take"), F.lit(False).alias("stop"),
-                    F.array().cast("array<string>").alias("parts"))
-
-    def step(acc, line):
-        t = _strip(line)
-        is_hex = t.rlike("^[0-9a-fA-F]+$")
-        size = F.when(F.length(t) > 8, F.lit(0)).otherwise(F.conv(t, 16, 10).cast("bigint"))
-        return (F.when(acc["stop"], acc)
-                .when(acc["take"], F.struct(F.lit(False).alias("take"), F.lit(False).alias("stop"),
-                                            F.concat(acc["parts"], F.array(line)).alias("parts")))
-                .when(is_hex & (size == 0), F.struct(F.lit(False).alias("take"), F.lit(True).alias("stop"),
-                                                     acc["parts"].alias("parts")))
-                .when(is_hex, F.struct(F.lit(True).alias("take"), F.lit(False).alias("stop"),
-                                       acc["parts"].alias("parts")))
-                .otherwise(acc))
-    return F.array_join(F.aggregate(lines, init, step)["parts"], "\n")
+    is followed by one data line, which is kept; a zero size ends the body."""
+    steps = F.regexp_extract_all(body, F.lit(_STEP), F.lit(0))
+    data = F.filter(steps, lambda s: s.rlike(rf"^{_SIZE}\r\n"))
+    return F.array_join(F.transform(data, lambda s: F.regexp_extract(s, rf"^{_SIZE}\r\n({_LINE})", 1)), "\n")
 
 
 def sse_events(df: DataFrame, body_col: str = "body") -> DataFrame:
@@ -61,10 +50,10 @@ def sse_events(df: DataFrame, body_col: str = "body") -> DataFrame:
 
     def last_field(prefix):
         hits = F.filter(lines, lambda l: l.startswith(prefix))
-        return F.when(F.size(hits) > 0, _strip(F.substring(F.element_at(hits, -1), len(prefix) + 1, 1 << 30)))
+        return F.when(F.size(hits) > 0, _strip(F.element_at(hits, -1).substr(F.lit(len(prefix) + 1), F.length(F.element_at(hits, -1)))))
 
     data_lines = F.transform(F.filter(lines, lambda l: l.startswith("data:")),
-                             lambda l: _strip(F.substring(l, 6, 1 << 30)))
+                             lambda l: _strip(l.substr(F.lit(6), F.length(l))))
     x = x.select(*[c for c in df.columns if c != body_col], "block_no",
                  last_field("event:").alias("event"),
                  F.when(F.size(data_lines) > 0, F.array_join(data_lines, "\n")).alias("data"),
@@ -98,11 +87,8 @@ def reassemble_sse(events: DataFrame, block_ms: int = 3_600_000) -> DataFrame:
     e = running_last(e, ["pid", "tid"], bucket, ["seq", "block_no"], F.col("_mid"), "_carried")
     key = F.coalesce(F.col("_carried"), F.format_string("w%d", F.expr(f"timestamp_ms div {WINDOW_MS}")))
     e = e.withColumn("message_key", key)
-    e = running_sum(e, ["pid", "tid", "message_key"], bucket, ["seq", "block_no"],
-                    F.length("_text").cast("bigint"), "_chars")
-    stop = F.col("_done") | (F.col("_chars") > MAX_ACCUMULATED)
     pos = F.struct("seq", "block_no")
-    ends = (e.where(stop).groupBy("pid", "tid", "message_key").agg(F.min(pos).alias("_end")))
+    ends = (e.where("_done").groupBy("pid", "tid", "message_key").agg(F.min(pos).alias("_end")))
     e = e.join(ends, ["pid", "tid", "message_key"], "left")
     e = e.where(F.col("_end").isNull() | (pos <= F.col("_end")))
     out = e.groupBy("pid", "tid", "message_key").agg(

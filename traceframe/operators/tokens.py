@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import empty_to_unknown, token_source_priority
+from ..functions.exprs import empty_to_unknown, file_directory, token_source_priority
 
 TOKEN_COLS = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens",
               "total_tokens"]
@@ -151,8 +151,7 @@ def snapshot_summary(tokens: DataFrame, calls: DataFrame, audit: DataFrame,
 
 
 def llm_call_rows(calls: DataFrame, tokens: DataFrame, limit: int = 100) -> DataFrame:
-    """A4: calls with effective token totals, newest first, limit clamped 1..10000."""
-    limit = max(1, min(int(limit), 10_000))
+    """A4: calls with effective token totals, newest first, the ``limit`` first rows."""
     eff = (effective_tokens(tokens).where(F.col("llm_call_id") != "")
            .select(F.col("llm_call_id").alias("_cid"),
                    F.col("input_tokens").alias("_in"), F.col("output_tokens").alias("_out"),
@@ -202,7 +201,7 @@ def run_summary(summary: DataFrame, calls: DataFrame, audit: DataFrame, targets:
                   (F.min(F.when(F.col("audit_type") == "file", F.col("timestamp_ms"))) - start).alias("first_file_after_ms"),
                   (F.max(F.when(F.col("audit_type") == "file", F.col("timestamp_ms"))) - start).alias("last_file_after_ms")),
         _top_text(audit.where((F.col("audit_type") == "file") & F.col("target").isNotNull()),
-                  F.regexp_extract("target", r"^(.*)/[^/]*$", 1), F.lit(1), 8).withColumnRenamed("t", "top_directories"),
+                  file_directory(F.col("target")), F.lit(1), 8).withColumnRenamed("t", "top_directories"),
         targets.agg(F.sum(F.greatest("count", F.lit(0))).cast("bigint").alias("network_events")),
         _top_text(targets, F.when(F.coalesce("path", F.lit("")) != "", F.concat("host", "path")).otherwise(F.col("host")),
                   F.greatest("count", F.lit(0)), 8).withColumnRenamed("t", "top_endpoints"),

@@ -38,7 +38,7 @@ def parse_http(payloads: DataFrame, text_col: str = "payload") -> DataFrame:
     first = F.element_at(lines, 1)
     parts = F.split(first, " ", 3)
     is_resp = first.startswith("HTTP/")
-    hdr_lines = F.filter(F.slice(lines, 2, 1 << 20), lambda l: F.instr(l, ":") > 0)
+    hdr_lines = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda l: F.instr(l, ":") > 0)
     headers = F.map_from_entries(F.transform(hdr_lines, lambda l: F.struct(
         F.lower(F.trim(F.substring_index(l, ":", 1))).alias("k"),
         F.trim(F.regexp_extract(l, r"^[^:]*:(.*)$", 1)).alias("v"))))

@@ -207,7 +207,7 @@ _J14_SQL = [
     ("procs", "SELECT DISTINCT pid, ppid FROM proc_samples"),
     ("edges", "SELECT DISTINCT pid, ppid FROM procs WHERE ppid IS NOT NULL AND ppid <> pid"),
     ("up", "SELECT pid, ppid AS anc, 1 AS depth FROM edges UNION ALL "
-           "SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN edges e ON up.anc = e.pid WHERE up.depth < 64"),
+           "SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN edges e ON up.anc = e.pid"),
     ("inter", f"""SELECT seq AS interaction_id, pid, timestamp_ms + k * 10 AS response_ts,
         {_refs_sql("'I will run `cat /repo/d' || (k % 10) || '/f' || ((k * 7) % 100) || '.py` and check h' || (k % 20) || '.example.com/api'")} AS refs
         FROM canon WHERE event = 'LLM_REQUEST'"""),

@@ -159,7 +159,7 @@ _LINEAGE = [
     ("edges", "SELECT DISTINCT pid, ppid FROM proc_samples WHERE pid IS NOT NULL"),
     ("up", "SELECT pid, pid AS anc, 0 AS depth FROM edges UNION ALL "
            "SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN edges e ON up.anc = e.pid "
-           "WHERE e.ppid <> e.pid AND e.ppid IS NOT NULL AND up.depth < 64"),
+           "WHERE e.ppid <> e.pid AND e.ppid IS NOT NULL"),
     ("lineage", "SELECT pid, arg_max(anc, depth) AS root_pid, max(depth) AS depth FROM up GROUP BY pid"),
 ]
 

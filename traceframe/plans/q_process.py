@@ -63,7 +63,7 @@ def j6_process_parents(spark, sf):
     ("edges", "SELECT DISTINCT pid, ppid FROM canon WHERE pid IS NOT NULL"),
     ("up", "SELECT pid, pid AS anc, 0 AS depth FROM edges UNION ALL "
            "SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN edges e ON up.anc = e.pid "
-           "WHERE e.ppid <> e.pid AND e.ppid IS NOT NULL AND up.depth < 64")], recursive=True))
+           "WHERE e.ppid <> e.pid AND e.ppid IS NOT NULL")], recursive=True))
 def j6_process_lineage(spark, sf):
     return P.process_lineage(P.process_edges(FX.canonical_events(spark, sf)))
 
@@ -89,12 +89,12 @@ _FAM_SQL = [
     ("procs", "SELECT DISTINCT pid, ppid, comm FROM proc_samples"),
     ("edges", "SELECT DISTINCT pid, ppid FROM procs WHERE ppid IS NOT NULL AND ppid <> pid"),
     ("up", "SELECT pid, ppid AS anc, 1 AS depth FROM edges UNION ALL "
-           "SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN edges e ON up.anc = e.pid WHERE up.depth < 64"),
+           "SELECT up.pid, e.ppid, up.depth + 1 FROM up JOIN edges e ON up.anc = e.pid"),
     ("m", "SELECT DISTINCT pid FROM procs WHERE comm IN ('claude', 'codex')"),
     ("roots", "SELECT pid FROM m WHERE pid NOT IN (SELECT up.pid FROM up JOIN m ON up.anc = m.pid)"),
     ("edges_nr", "SELECT * FROM edges WHERE pid NOT IN (SELECT pid FROM roots)"),
     ("fam", "SELECT pid AS root_pid, pid, 0 AS depth FROM roots UNION ALL "
-            "SELECT fam.root_pid, e.pid, fam.depth + 1 FROM fam JOIN edges_nr e ON e.ppid = fam.pid WHERE fam.depth < 64"),
+            "SELECT fam.root_pid, e.pid, fam.depth + 1 FROM fam JOIN edges_nr e ON e.ppid = fam.pid"),
 ]
 
 
@@ -170,7 +170,7 @@ from .sql_common import AUDIT as _AUDIT  # noqa: E402
     ("pedges", "SELECT child_id, parent_id FROM pc QUALIFY row_number() OVER "
                "(PARTITION BY child_id ORDER BY s DESC, hs DESC, parent_id DESC) = 1"),
     ("up", "SELECT process_id, 0 AS depth FROM hits UNION ALL "
-           "SELECT e.parent_id, up.depth + 1 FROM up JOIN pedges e ON e.child_id = up.process_id WHERE up.depth < 64")],
+           "SELECT e.parent_id, up.depth + 1 FROM up JOIN pedges e ON e.child_id = up.process_id")],
     recursive=True))
 def f17_filter_process_tree(spark, sf):
     canon = FX.canonical_events(spark, sf)

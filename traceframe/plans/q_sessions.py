@@ -181,12 +181,12 @@ _TIME_STACKS = TAG_CTES + _EV + [
 
 _TOKEN_STACKS = TAG_CTES + [
     ("tc", """SELECT *, CASE WHEN len(comps) > 0 THEN comps
-                   WHEN total_tokens BETWEEN 1 AND 2000000 THEN [{'kind': 'estimate', 'value': total_tokens}]
+                   WHEN total_tokens >= 1 THEN [{'kind': 'estimate', 'value': total_tokens}]
                    ELSE [{'kind': 'unknown', 'value': CAST(1 AS BIGINT)}] END AS cs
               FROM (SELECT *, list_filter([{'kind': 'input', 'value': CAST(input_tokens AS BIGINT)},
                                            {'kind': 'output', 'value': CAST(output_tokens AS BIGINT)},
                                            {'kind': 'cache', 'value': CAST(cache_tokens AS BIGINT)}],
-                                          lambda c: c.value >= 1 AND c.value <= 10000000) AS comps FROM llm)"""),
+                                          lambda c: c.value >= 1) AS comps FROM llm)"""),
     ("kstacks", f"""SELECT stack, CAST(sum(greatest(w, 1)) AS BIGINT) AS weight FROM (
         SELECT {_stack_sql("';call:' || " + _sf("'llm/' || e.tag") + " || ';model:' || " + _sf("string_split(e.model, '/')[-1]") + " || ';kind:' || " + _sf("c.kind"))} AS stack,
                c.value AS w

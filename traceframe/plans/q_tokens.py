@@ -140,7 +140,8 @@ from ..operators import audit as A  # noqa: E402
         (SELECT min(timestamp_ms) FROM audit WHERE audit_type = 'file') - s.s AS first_file_after_ms,
         (SELECT max(timestamp_ms) FROM audit WHERE audit_type = 'file') - s.s AS last_file_after_ms,
         (SELECT string_agg(k || '(' || c || ')', ', ' ORDER BY c DESC, k) FROM (
-            SELECT regexp_extract(target, '^(.*)/[^/]*$', 1) AS k, count(*) AS c FROM audit
+            SELECT CASE WHEN NOT contains(target, '/') THEN '.' WHEN regexp_extract(target, '^(.*)/[^/]*$', 1) = '' THEN '/'
+                        ELSE regexp_extract(target, '^(.*)/[^/]*$', 1) END AS k, count(*) AS c FROM audit
             WHERE audit_type = 'file' AND target IS NOT NULL GROUP BY 1 ORDER BY c DESC, k LIMIT 8)) AS top_directories,
         (SELECT CAST(sum(greatest(count, 0)) AS BIGINT) FROM targets) AS network_events,
         (SELECT string_agg(k || '(' || c || ')', ', ' ORDER BY c DESC, k) FROM (

@@ -401,7 +401,7 @@ _R3_SQL = _SSE_SQL + [
     ("r2", """SELECT *, sum(length(txt)) OVER (PARTITION BY pid, tid, message_key ORDER BY seq, block_no
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chars FROM r1"""),
     ("r3", """SELECT r2.*, e.endpos FROM r2 LEFT JOIN (SELECT pid, tid, message_key, min(seq * 1000000 + block_no) AS endpos
-                FROM r2 WHERE done OR chars > 50000 GROUP BY 1, 2, 3) e
+                FROM r2 WHERE done GROUP BY 1, 2, 3) e
               ON r2.pid = e.pid AND r2.tid = e.tid AND r2.message_key = e.message_key"""),
 ]
 

@@ -7,8 +7,12 @@ the shared checkpoint folder that lineage cuts use.
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import re
+import shutil
+import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,19 +63,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """The shared folder for intermediate tables.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) do we pick a scratch
-    folder of our own.
+    On a cluster it is the one that ``spark.checkpoint.dir`` names; without
+    that setting a cluster job fails rather than write where executors cannot
+    read. Only a local session (tests) gets a folder of its own, in the
+    warehouse, that goes when the process ends.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
+    if current := sc.getCheckpointDir():
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="traceframe-ckpt-", dir="/tmp")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch_{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, urlsplit(configured).path, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -91,10 +91,11 @@ def write_event_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_snapshot(tables: dict[str, DataFrame], path: str, audit_limit: int = 20_000) -> None:
-    """Every table as parquet under ``path``; audit tail-limited."""
+def export_snapshot(tables: dict[str, DataFrame], path: str, audit_limit: int | None = None) -> None:
+    """Every table as parquet under ``path``; of the audit rows only the
+    last ``audit_limit``, if the caller sets it."""
     for name, df in tables.items():
-        if name == "audit_events":
+        if name == "audit_events" and audit_limit is not None:
             df = A.audit_tail(df, audit_limit)
         df.write.mode("overwrite").parquet(os.path.join(path, name))
 

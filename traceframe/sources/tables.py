@@ -17,15 +17,5 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan; column pruning and filters reach the scan through Catalyst.
-
-    A table stored as a few large row groups yields fewer scan tasks than
-    the cluster has cores, and then every per-row expression before the first
-    shuffle runs in that handful of tasks. Only in that case the scan is
-    spread round-robin over the default parallelism; a normal multi-file
-    table (the 100 TB case) keeps its scan partitioning untouched.
-    """
-    df = spark.read.parquet(table_path(sf_dir, name))
-    target = spark.sparkContext.defaultParallelism
-    if os.environ.get("TRACEFRAME_BALANCE_SCANS", "1") == "1" and df.rdd.getNumPartitions() < max(2, target // 2):
-        df = df.repartition(target)
-    return df
+    Its tasks follow the files' row groups and ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(table_path(sf_dir, name))
