@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from traceframe.session import ensure_checkpoint_dir
 
+#: Hash slots of ``near_slots``: its filter never has more rows.
+SLOTS = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,6 +43,15 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def near_slots(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id falls in the hash slot of one of ``ids``
+    (``_id``): a filter of bounded size before an exact join, so that texts
+    that are not asked for need not be shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = ids.select(slot("_id").alias("_slot")).distinct()  # at most SLOTS small rows
+    return docs.withColumn("_slot", slot(id_col)).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+
+
 def columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
     """The columns of ``df`` but for those named like an operator's own output, which replaces them."""
     gone = {n.lower() for n in without}

@@ -15,9 +15,10 @@ within a group.
    cell measures each point's distance to the pivots and joins its own points.
 3. Contraction. Links found so far merge points into groups. Points outside
    the largest group of their family are still open. The points are dealt into
-   blocks of the Voronoi regions of the pivots, by distance to the nearest. By
-   the triangle inequality, blocks can only hold linked points if their ranges
-   of distances to every pivot, widened by the radius, meet. A block with open
+   blocks of Voronoi regions: by the centre with which they share most keys,
+   the nearest pivot and the distance to it. Blocks can only hold linked points
+   if they share a key and, by the triangle inequality, if their ranges of
+   distances to every pivot, widened by the radius, meet. A block with open
    points is replicated to those blocks, and each pair of blocks is joined
    exactly. What is in one group already needs no comparison.
 4. Links of all steps are closed to components.
@@ -39,10 +40,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, written
+from .common import columns, near_slots, written
 from .components import components
 from .shingles import digests, list_array, mix, shingle_sets
 
@@ -53,9 +54,8 @@ RING = 0.02
 CELL_POINTS = 64
 CELL_SHINGLES = 1 << 20
 #: Size classes grow by this factor; classes up to SMALL use pairs of ranges.
-CLASS_STEP = 2
+CLASS_STEP = 1.25
 SMALL = 64
-SLOTS = 1 << 20
 COLUMN_BLOCK = 1 << 13
 
 
@@ -156,11 +156,12 @@ def _fetch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
-    """Intersection sizes of all sets of ``left`` with all of ``right`` (default: among themselves)."""
+    """Intersection sizes of all sets of ``left`` with all of ``right`` (default:
+    among themselves); never too small if values repeat in a set."""
     sets = left + (right or [])
     n, m = len(left), len(sets)
     out = np.zeros((n, n if right is None else len(right)), np.int64)
-    values = np.concatenate([np.zeros(0, np.uint64), *sets])
+    values = np.concatenate([np.zeros(0, sets[0].dtype if sets else np.uint64), *sets])
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
@@ -173,7 +174,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> n
     for c in range(0, total, COLUMN_BLOCK):
         lo, hi = np.searchsorted(column, [c, c + COLUMN_BLOCK])
         dense = np.zeros((m, min(COLUMN_BLOCK, total - c)), np.float32)
-        dense[owner[lo:hi], column[lo:hi] - c] = 1
+        np.add.at(dense, (owner[lo:hi], column[lo:hi] - c), 1)  # more than 1 only where cut hashes fall together
         out += np.rint(dense[:n] @ (dense[:n] if right is None else dense[n:]).T).astype(np.int64)
     return out
 
@@ -204,7 +205,8 @@ def spanning(mask: np.ndarray) -> list[tuple[int, int]]:
 def _unpack(column: pa.ChunkedArray) -> list[np.ndarray]:
     out = []
     for chunk in column.chunks:
-        values = chunk.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        values = chunk.values.to_numpy(zero_copy_only=False)
+        values = values.view(np.uint64) if values.dtype == np.int64 else values
         off = chunk.offsets.to_numpy()
         out.extend(values[a:b] for a, b in zip(off[:-1], off[1:]))
     return out
@@ -232,6 +234,28 @@ def _join_cell(percent: int):
     return join
 
 
+def _may_link(percent: int):
+    """Keeps the pairs of blocks that may hold linked points of two groups. Where
+    a quarter of the hashes already differs in more elements than linked sets
+    may, the sets are not linked; hashes that fall together by the cut only
+    make the difference look smaller."""
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = []
+            for row in range(batch.num_rows):
+                (ga, na, la), (gb, nb, lb) = ([batch.column(i)[row].values for i in side] for side in ((2, 3, 4), (5, 6, 7)))
+                left, right = _unpack(pa.chunked_array([la])), _unpack(pa.chunked_array([lb]))
+                o = overlaps(left, right)
+                known = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - 2 * o
+                total = na.to_numpy()[:, None] + nb.to_numpy()[None, :]
+                other = ga.to_numpy()[:, None] != gb.to_numpy()[None, :]
+                stays.append(bool((other & (known <= (100 - percent) * total // (100 + percent))).any()))
+            yield batch.select(["asker", "block"]).filter(pa.array(stays, pa.bool_()))
+
+    return keep
+
+
 def _join_blocks(percent: int):
     """Links between the points of two blocks, one pair of blocks a row."""
 
@@ -253,38 +277,55 @@ def _join_blocks(percent: int):
 
 
 def families(rows: DataFrame, keys: str) -> DataFrame:
-    """(s1, s2, family) of stored rows (rid, s1, s2 and an array of keys):
-    points that share a key, transitively; families of one point are left out."""
+    """(s1, s2, family, region) of stored rows (rid, s1, s2 and an array of
+    keys): points that share a key, transitively, are a family; families of one
+    point are left out. Of a key's rows the least is the centre; a row's region
+    is named by the centre with which it shares most keys."""
     keyed = rows.select(F.explode(keys).alias("key"), "rid")
     first = F.min("rid").over(Window.partitionBy("key").orderBy("rid"))
-    edges = keyed.withColumn("a", first).where("a != rid").select("a", F.col("rid").alias("b")).distinct()
+    edges = written(keyed.withColumn("a", first).where("a != rid").groupBy("a", F.col("rid").alias("b")).agg(F.count("*").alias("c")))
     of_row = components(edges).select(F.col("node").alias("rid"), F.col("component").alias("family"))
+    sides = edges.select(F.col("b").alias("rid"), "a", "c").unionByName(edges.groupBy("a").agg(F.max("c").alias("c")).select(F.col("a").alias("rid"), "a", "c"))
+    best = sides.groupBy("rid").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("region"))
     light = rows.select("rid", "s1", "s2")
-    points = written(light.join(of_row, "rid").groupBy("s1", "s2").agg(F.min("family").alias("family")))
+    points = written(light.join(of_row, "rid").join(best, "rid").groupBy("s1", "s2")
+                     .agg(F.min("family").alias("family"), F.min("region").alias("region")))
     sizes = points.groupBy("family").count().where("count > 1").select("family")
-    return points.join(sizes, "family").select("s1", "s2", "family")
-
-
-def near_slots(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id falls in the hash slot of one of ``ids``
-    (``_id``): a filter of bounded size before an exact join, so that texts
-    that are not asked for need not be shuffled."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = ids.select(slot("_id").alias("_slot")).distinct()  # at most SLOTS small rows
-    return docs.withColumn("_slot", slot(id_col)).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
-
-
-def join_points(points: DataFrame, percent: int, cell_points: int = CELL_POINTS,
-                cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """Steps 2 to 4 for stored points (family, point, n, hashes), each point
-    once: (node, component) of all points that are linked to another."""
+    return points.join(sizes, "family").select("s1", "s2", "family", "region")
+
+
+def _sharing(asking: DataFrame, span: DataFrame, near: Column, rows: DataFrame, keys: str, placed: DataFrame,
+             points: DataFrame, percent: int) -> DataFrame:
+    """(asker, block): blocks in the window that share a key with the asker's
+    open points, and that the lowest quarter of the hashes does not rule out."""
+    keyed = written(rows.select(F.xxhash64("s1", "s2").alias("point"), keys).join(placed.select("point", "block", "is_open"), "point")
+                    .select("block", "is_open", F.explode(keys).alias("key")).groupBy("key", "block").agg(F.max("is_open").alias("open")))
+    shared = written(keyed.where("open").select("key", F.col("block").alias("asker"))
+                     .join(keyed.select("key", "block"), "key").select("asker", "block").distinct())
+    window = written(shared.join(asking.drop("family"), "asker").join(span.select("block", "span"), "block").where(near).select("asker", "block"))
+    low = F.transform(F.filter("hashes", lambda h: (h >= 0) & (h < (1 << 62))), lambda h: F.shiftright(h, 31).cast("int"))
+    slim = written(points.select("family", "point", "n", low.alias("low")).join(placed.select("family", "block", "point", "is_open", "grp"), ["family", "point"])
+                   .groupBy("block").agg(F.collect_list(F.struct("is_open", "grp", "n", "low")).alias("members")))
+    pairs = (window.join(slim.select(F.col("block").alias("asker"), F.filter("members", lambda m: m["is_open"]).alias("a")), "asker")
+             .join(slim.select("block", F.col("members").alias("b")), "block"))
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("grp", "n", "low")]
+    return written(pairs.select("asker", "block", *sides).mapInArrow(_may_link(percent), "asker long, block long"))
+
+
+def join_points(points: DataFrame, percent: int, rows: DataFrame | None = None, keys: str = "keys",
+                cell_points: int = CELL_POINTS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """Steps 2 to 4 for stored points (family, region, point, n, hashes), each
+    point once: (node, component) of all points that are linked to another.
+    With the rows (s1, s2 and keys) that the points come from, blocks also keep
+    to one region and only meet where they share a key; without them the
+    triangle inequality alone decides."""
     sizes = points.groupBy("family").agg(F.count("*").alias("points"), F.max("n").alias("largest"))
     per_cell = F.greatest(F.lit(1), F.least(F.lit(cell_points), F.floor(F.lit(cell_shingles) / F.col("largest"))))
     sizes = written(sizes.select("family", F.ceil(F.col("points") / per_cell).alias("cells"), per_cell.alias("per_cell")))
     dealt = points.join(sizes, "family").withColumn(
         "cell", F.when(F.col("cells") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("point", F.lit(1)), F.col("cells"))))
     large = sizes.where("cells > 1").select("family", "cells", "per_cell")
-    light = points.select("family", "point").join(large, "family")
+    light = points.select("family", "region", "point").join(large, "family")
     drawn = light.groupBy("family", "cells").agg(*[
         F.min(F.struct(F.xxhash64(F.col("point"), F.lit(100 + i)), F.col("point").alias("id")))["id"].alias(f"p{i}")
         for i in range(PIVOTS)])
@@ -306,25 +347,28 @@ def join_points(points: DataFrame, percent: int, cell_points: int = CELL_POINTS,
     if main.where("groups > 1").isEmpty():
         return components(links)
 
-    # Blocks of Voronoi regions: points of one nearest pivot and about one distance to it.
+    # Blocks: points of one region, of one nearest pivot and of about one distance to it.
     nearest = F.array_min("far")
-    at = ["family", "home", "ring"]
+    at = ["family", "region", "home", "ring"] if rows is not None else ["family", "home", "ring"]
     placed = (labelled.join(main.where("groups > 1"), "family")
-              .select("family", "point", "far", "per_cell", (F.col("grp") != F.col("main")).alias("is_open"),
+              .select("family", "region", "point", "far", "per_cell", (F.col("grp") != F.col("main")).alias("is_open"), "grp",
                       F.array_position("far", nearest).alias("home"), F.floor(nearest / RING).alias("ring")))
     parts = written(placed.groupBy(*at).agg(F.ceil(F.count("*") / F.first("per_cell")).alias("parts")))
     placed = written(placed.join(parts, at).withColumn("block", F.xxhash64(*at, F.pmod(F.xxhash64("point", F.lit(2)), F.col("parts"))))
-                     .select("family", "block", "point", "far", "is_open"))
-    span = (placed.select("family", "block", "is_open", F.posexplode("far").alias("i", "d"))
-            .groupBy("family", "block", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("is_open").alias("open"))
-            .groupBy("family", "block").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("span"), F.max("open").alias("open")))
-    span = written(span)
+                     .select("family", "block", "point", "far", "is_open", "grp"))
+    span = written(placed.select("family", "block", "is_open", F.posexplode("far").alias("i", "d"))
+                   .groupBy("family", "block", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("is_open").alias("open"))
+                   .groupBy("family", "block").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("span"), F.max("open").alias("open")))
     # Every block with open points meets the blocks in its triangle-inequality window.
     radius = 1 - percent / 100 + 1e-9
     asking = span.where("open").select("family", F.col("block").alias("asker"), F.col("span").alias("asked"))
     near = F.forall(F.zip_with("asked", "span", lambda x, y: (x["lo"] - radius <= y["hi"]) & (y["lo"] - radius <= x["hi"])), lambda x: x)
-    meets = written(asking.join(span, "family").where(near).select("asker", "block"))
+    if rows is None:
+        meets = written(asking.join(span, "family").where(near).select("asker", "block"))
+    else:
+        meets = _sharing(asking, span, near, rows, keys, placed, points, percent)
     filled = written(points.join(placed.select("family", "block", "point", "is_open"), ["family", "point"])
+                     .join(meets.select("block").unionByName(meets.select(F.col("asker").alias("block"))).distinct(), "block")
                      .groupBy("block").agg(F.collect_list(F.struct("point", "is_open", "hashes")).alias("members")))
     pairs = (meets.join(filled.select(F.col("block").alias("asker"), F.filter("members", lambda m: m["is_open"]).alias("a")), "asker")
              .join(filled.select("block", F.col("members").alias("b")), "block"))
@@ -347,8 +391,8 @@ def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str
     wanted = written(distinct.join(families(sets, "keys"), same))
     fetched = _fetch(near_slots(texts, wanted), k)
     points = written(fetched.drop("doc_id").join(wanted, same).dropDuplicates(same)
-                     .select("family", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
-    merged = join_points(points, percent, cell_points, cell_shingles).withColumnRenamed("node", "point")
+                     .select("family", "region", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
+    merged = join_points(points, percent, sets, "keys", cell_points, cell_shingles).withColumnRenamed("node", "point")
     rows = sets.select("doc_id", "th", "n_shingles", F.xxhash64("s1", "s2").alias("point")).join(merged, "point", "left")
     return rows.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "point")).alias("component"))
 

@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, written
-from .jaccard_join import families, join_points, near_slots
+from .common import columns, near_slots, written
+from .jaccard_join import families, join_points
 from .shingles import digests, list_array, mix, shingle_sets
 
 K = 5
@@ -140,8 +140,8 @@ def paragraph_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, min_w
     asked = wanted.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th")).agg(F.collect_set("at.pos").alias("wanted"))
     asked = written(asked)
     sets = _fetch(near_slots(texts, asked).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted"), k)
-    points = written(sets.dropDuplicates(["s1", "s2"]).join(wanted.select("s1", "s2", "family", "n"), ["s1", "s2"])
-                     .select("family", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
+    points = written(sets.dropDuplicates(["s1", "s2"]).join(wanted.select("s1", "s2", "family", "region", "n"), ["s1", "s2"])
+                     .select("family", "region", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
     merged = join_points(points, percent).withColumnRenamed("node", "point")
     classed = (own.withColumn("point", F.xxhash64("s1", "s2")).join(merged, "point", "left")
                .select("doc_id", "th", "pos", "chars", F.coalesce("component", "point").alias("class")))
