@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import columns, near_slots
+
 UNKNOWN = "und"
 SAMPLE_PER_LABEL = 400
 WINDOW = 256
@@ -184,17 +186,22 @@ def predict_texts(net: ByteNet | None, texts: list[str | None], tables=None) ->
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
           per_label: int = SAMPLE_PER_LABEL) -> ByteNet | None:
-    """Fits a network on ``per_label`` texts of each non-null label. Ids are
-    ranked by hash without their texts; only windows of the chosen few travel."""
+    """Fits a network on ``per_label`` texts of each non-null label, those of
+    the least id hashes. Ids are ranked without their texts, after a cut by
+    count that leaves about twice as many; only windows of the chosen travel."""
     keyed = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("_h", "id"))
-    chosen = (keyed.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-              .withColumn("_h", F.xxhash64("id")).withColumn("_r", rank).where(F.col("_r") <= per_label)
-              .select("id").distinct())
+    ids = keyed.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    place = F.xxhash64("id") / F.lit(2.0 ** 64) + 0.5
+    share = ids.groupBy("label").agg((F.lit(2.0 * per_label) / F.count("*")).alias("share"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("place", "id"))
+    chosen = (ids.withColumn("place", place).join(share, "label").where("place < share")
+              .withColumn("_r", rank).where(F.col("_r") <= per_label).select("id").distinct())
     texts = keyed.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
     n = F.length("text")
     # Three places of a text: its start, middle and end.
-    sample = (texts.join(chosen, "id").select(
+    # Most texts are left out by a filter of bounded size, not shuffled to the exact join.
+    few = near_slots(texts, chosen.select(F.col("id").alias("_id")), "id")
+    sample = (few.join(chosen, "id").select(
         "label", F.explode(F.array(F.substring("text", 1, WINDOW),
                                    F.substring(F.col("text"), F.greatest(F.lit(1), n.bitwiseAND(-2) / 2).cast("int"), F.lit(WINDOW)),
                                    F.substring(F.col("text"), F.greatest(F.lit(1), n - WINDOW), F.lit(WINDOW)))).alias("part"))
@@ -216,8 +223,8 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
 def predict(docs: DataFrame, net: ByteNet | None, keep: list[Column] | None = None,
             text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns with lang_pred and score; the text itself goes only to the model."""
-    kept = docs.select(F.struct(*(keep or [F.col(c) for c in docs.columns])).alias("row"), F.col(text_col).alias("text"))
+    """The ``keep`` columns (default: all) with lang_pred and score."""
+    kept = docs.select(F.struct(*(keep or columns(docs, ("lang_pred", "score")))).alias("row"), F.col(text_col).alias("text"))
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else None
