@@ -3,7 +3,7 @@
 The five-word shingles of a text are hashed once; the top bits of a hash name
 its bin and each bin keeps its least hash. Empty bins are filled by optimal
 densification: each borrows from the filled bin that comes first in a random
-order of bins of its own, the same order for all texts. Of every bin's value,
+order of bins of its own, the same for all texts. Of every bin's value,
 hashed with the bin's number so that borrowers of one value stay independent,
 the ``BITS`` low-order bits are packed into a hex string. Chance agreement of the
 packed bits is corrected: with a fraction m of equal bins, the likeness is
@@ -26,45 +26,52 @@ K = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 BITS = 4
+PROBES = 4
 
 
 def minima(text: Column) -> Column:
     """The least shingle hash of each filled bin, ascending (bins are the top bits)."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    parts = F.split(F.lower(text), r"[\x20\x09-\x0D]+", -1)
 
-    def shingles(w: Column) -> Column:
-        n = F.size(w)
-        many = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]))
-        one = F.array(F.xxhash64(F.concat_ws(" ", w)))
-        none = F.array().cast("array<bigint>")
-        return F.when(n >= K, many).when(n > 0, one).otherwise(none)
+    def words(p: Column) -> Column:  # white space at either end leaves an empty part there
+        head = F.when(F.get(p, F.lit(0)) == "", 1).otherwise(0)
+        tail = F.when((F.size(p) > 1) & (F.element_at(p, -1) == ""), 1).otherwise(0)
+        return F.transform(F.slice(p, head + 1, F.size(p) - head - tail), lambda w: F.xxhash64(w))
+
+    def shingles(h: Column) -> Column:
+        n = F.size(h)
+        many = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)]))
+        return F.when(n >= K, many).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     def first_of_bin(h: Column) -> Column:
         shift = 64 - BIN_BITS
         return F.filter(h, lambda x, i: (i == 0) | (F.shiftright(F.get(h, i - 1), shift) != F.shiftright(x, shift)))
 
-    return bind(F.sort_array(bind(words, shingles)), first_of_bin)
-
+    return bind(F.sort_array(bind(bind(parts, words), shingles)), first_of_bin)
 
-def densified(least: Column) -> Column:
-    """Low-order bits of all bins as an array of BINS small integers; empty for no shingles."""
-    def fill(m: Column) -> Column:
-        bins = F.transform(m, lambda x: (F.shiftright(x, 64 - BIN_BITS) + BINS // 2).cast("int"))
 
-        def bin_value(b: Column, at: Column) -> Column:
-            place = F.array_position(at, b)
-            borrowed = F.array_min(F.transform(m, lambda x, i: F.struct(F.hash(b, F.get(at, i)).alias("o"), F.get(at, i).alias("b"), x.alias("x"))))
-            return F.when(place > 0, F.get(m, (place - 1).cast("int"))).otherwise(borrowed["x"])
+def packed(least: Column) -> Column:
+    """Low-order bits of all bins as a hex string, a digit for each bin (BITS
+    is 4); zeros for a text without words. An empty bin borrows from the first
+    filled one of its ``PROBES`` random bins, else from the first in a random order."""
+    digits = F.array(*[F.lit(c) for c in "0123456789abcdef"])
+    none = F.array().cast("array<string>")
 
-        return bind(bins, lambda at: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)),
-                                                 lambda b: F.pmod(F.xxhash64(bin_value(b, at), b), F.lit(1 << BITS)).cast("int")))
+    def fill(m: Column, at: Column) -> Column:
+        digit = lambda x, b: F.get(digits, F.pmod(F.xxhash64(x, b), F.lit(1 << BITS)).cast("int"))
 
-    return bind(least, lambda m: F.when(F.size(m) > 0, fill(m)).otherwise(F.array().cast("array<int>")))
+        def borrowed(b: Column) -> Column:
+            probe = lambda j: F.get(m, F.array_position(at, F.pmod(F.hash(b, F.lit(j)), F.lit(BINS))).cast("int") - 1)
+            order = F.transform(m, lambda x, i: F.struct(F.hash(b, F.get(at, i)).alias("o"), F.get(at, i).alias("b"), x.alias("x")))
+            return F.coalesce(*[probe(j) for j in range(PROBES)], F.array_min(order)["x"])
 
+        between = lambda lo, hi: F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda b: digit(borrowed(b), b))).otherwise(none)
+        runs = F.transform(m, lambda x, i: F.concat(F.array(digit(x, F.get(at, i))),
+                                                   between(F.get(at, i) + 1, F.coalesce(F.get(at, i + 1), F.lit(BINS)) - 1)))
+        return F.array_join(F.concat(between(F.lit(0), F.get(at, F.lit(0)) - 1), F.flatten(runs)), "")
 
-def packed(bits: Column) -> Column:
-    """Hex string, one digit for each bin (BITS is 4); zeros for a text without words."""
-    return F.when(F.size(bits) == 0, F.lit("0" * BINS)).otherwise(F.array_join(F.transform(bits, lambda b: F.lower(F.hex(b))), ""))
+    bins = lambda m: F.transform(m, lambda x: (F.shiftright(x, 64 - BIN_BITS) + BINS // 2).cast("int"))
+    return bind(least, lambda m: F.when(F.size(m) > 0, bind(bins(m), lambda at: fill(m, at))).otherwise(F.lit("0" * BINS)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -79,7 +86,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a whole text."""
-    return packed(densified(minima(text)))
+    return packed(minima(text))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
