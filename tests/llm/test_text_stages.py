@@ -213,6 +213,45 @@ def test_paragraph_dedup_equals_brute_force(spark):
     assert G.paragraph_repeats(frames.where("false")).collect() == []
 
 
+def test_paragraph_dedup_joins_short_lines(spark):
+    rng = random.Random(21)
+    verse = [prose(rng, rng.randint(4, 8)) for _ in range(12)]
+    docs = ["\n".join(verse), "\n".join([prose(rng, 3), "", *verse[2:9], prose(rng, 30), *verse[:1]]), "\n".join(verse),
+            "\n".join(["la la la"] * 30), "\n".join([prose(rng, 4), prose(rng, 5), prose(rng, 30), prose(rng, 9)]), "\n".join(verse[:2])]
+    places, sets, spans = [], [], []
+    for i, t in enumerate(docs):
+        lines = t.split("\n")
+        for pos in range(len(lines)):
+            for span in range(1, len(lines) - pos + 1):
+                unit = lines[pos:pos + span]
+                n = sum(len(x.split()) for x in unit)
+                if not unit[0].strip() or span > 1 and any(len(x.split()) >= G.MIN_WORDS for x in unit):
+                    break
+                if n >= G.MIN_WORDS:
+                    places.append((i, pos))
+                    sets.append(shingles("\n".join(unit), 5))
+                    spans.append(span)
+                    break
+    groups = Groups(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= 0.8:
+                groups.join(a, b)
+    size = Counter(groups.find(i) for i in range(len(sets)))
+    copied, kept = {}, {}
+    for i, (doc, pos) in enumerate(places):
+        if size[groups.find(i)] > 1:
+            (kept if groups.find(i) == i else copied).setdefault(doc, set()).update(range(pos, pos + spans[i]))
+    got = {r.doc_id: r for r in G.paragraph_repeats(frame(spark, docs)).collect()}
+    for i, t in enumerate(docs):
+        gone = copied.get(i, set()) - kept.get(i, set())
+        assert (got[i].removed, got[i].n_removed) == (sorted(gone), len(gone)), i
+        assert got[i].n_repeated == len(copied.get(i, set()) | kept.get(i, set()))
+        assert got[i].removed_chars == sum(len(t.split("\n")[p]) for p in gone)
+    assert got[2].n_removed == 12 and got[2].copies_of == [0] and got[3].n_removed > 20 and got[1].n_removed == 7
+    assert G.remove_repeats(frame(spark, docs)).where("doc_id = 2").first().text == ""
+
+
 def test_bands_reach_the_recall():
     b = G.bands_for(0.8, G.ROWS, G.RECALL)
     assert 1 - (1 - 0.8 ** G.ROWS) ** b >= G.RECALL > 1 - (1 - 0.8 ** G.ROWS) ** (b - 1)

@@ -1,15 +1,17 @@
 """Substring dedup: near-equal paragraphs found by MinHash banding.
 
-Paragraphs are lines of at least ``min_words`` words, as sets of five-word
-shingles. Bands are tuned so that a pair at the threshold collides with
+Paragraphs are lines of at least ``min_words`` words and, from each shorter
+line on, the fewest following shorter lines that reach ``min_words`` words with
+it (so they overlap); they are compared as sets of five-word shingles. Bands are tuned so that a pair at the threshold collides with
 probability ``recall`` or more. Colliding paragraphs form families, in which
 the exact Jaccard of the whole shingle sets decides (``join_points``, by
 bounded cells, so a passage may recur in any number of documents). Linked
 paragraphs are closed to components; each component keeps its first
-occurrence, by document id and position, and the others are removed.
+occurrence, by document id and position, and the others are removed. A line of
+several paragraphs is removed if one of them is, unless one is kept as the first.
 
-Defined cases: null and empty texts have no paragraphs; shorter lines are
-never removed; a paragraph repeated within one document counts like one of
+Defined cases: null and empty texts have no paragraphs; shorter lines that do
+not reach ``min_words`` words before the next long line are never removed; a paragraph repeated within one document counts like one of
 another document; rows that agree in id and text are treated alike, as one
 document; null ids come last; an empty table gives no rows; other columns are
 ignored by ``paragraph_repeats`` and kept by ``remove_repeats``.
@@ -63,58 +65,85 @@ def _paragraphs(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return off - off[0], lines.flatten()
 
 
+def _short_runs(off: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and number of lines of the paragraphs that begin at lines of
+    fewer than ``min_words`` words (but some), within the rows of ``off``."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    first = np.flatnonzero((words > 0) & (words < min_words))
+    last = np.searchsorted(total, total[first] + min_words, "left") - 1  # the line that reaches min_words
+    ends = np.union1d(off, np.flatnonzero(words >= min_words))  # a run goes to the next row or long line
+    bound = ends[np.searchsorted(ends, first, "right")] if len(first) else first
+    fits = last < bound
+    return first[fits], (last - first + 1)[fits]
+
+
+def _joined(lines: pa.Array, first: np.ndarray, span: np.ndarray) -> pa.Array:
+    return pa.array(["\n".join(lines.slice(a, n).to_pylist()) for a, n in zip(first.tolist(), span.tolist())], pa.large_string())
+
+
 def _sketch(docs: DataFrame, k: int, min_words: int, rows: int, bands: int) -> DataFrame:
-    """A row for each paragraph of enough words, and one with pos -1 and the
-    number of all paragraphs for each text. Within a task, equal sets give bands once."""
-    schema = "doc_id long, th long, pos int, chars long, n long, s1 long, s2 long, bands array<long>"
+    """A row for each paragraph, with the characters of its lines, and one with
+    pos -1 and the number of all lines for each text. Within a task, equal sets give bands once."""
+    schema = "doc_id long, th long, pos int, chars array<long>, n long, s1 long, s2 long, bands array<long>"
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+
+        def paragraphs(batch, off, first, span, chars, soff, h):
+            """Rows of the sets (soff, h) of the paragraphs at the lines ``first``."""
+            s1, s2 = digests(soff, h)
+            fresh = np.array([s not in seen and not seen.add(s) for s in s1.tolist()], bool)
+            if len(seen) > 1 << 20:
+                seen.clear()
+            keys = band_keys(soff, h, rows, bands)[fresh]
+            koff = np.concatenate([[0], np.cumsum(np.where(fresh, bands, 0))])
+            own = np.searchsorted(off, first, "right") - 1
+            coff = np.concatenate([[0], np.cumsum(span)])
+            at = np.repeat(first - coff[:-1], span) + np.arange(coff[-1])
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array((first - off[own]).astype(np.int32)),
+                 list_array(coff, chars[at]), pa.array(np.diff(soff), pa.int64()),
+                 pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), list_array(koff, keys.reshape(-1))], schema=_arrow)
+
         for batch in batches:
             off, lines = _paragraphs(batch.column(2))
-            doc, th = batch.column(0), batch.column(1)
-            n_rows = len(doc)
+            n_rows = len(batch)
             yield pa.RecordBatch.from_arrays(
-                [doc, th, pa.array(np.full(n_rows, -1, np.int32)), pc.utf8_length(batch.column(2).fill_null("")).cast(pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(np.full(n_rows, -1, np.int32)), pa.nulls(n_rows, pa.list_(pa.int64())),
                  pa.array(np.diff(off), pa.int64()), pa.nulls(n_rows, pa.int64()), pa.nulls(n_rows, pa.int64()),
                  pa.nulls(n_rows, pa.list_(pa.int64()))], schema=_arrow)
-            owner = np.repeat(np.arange(n_rows), np.diff(off))
+            chars = pc.utf8_length(lines).cast(pa.int64()).to_numpy()
+            counted = []
             for first, soff, h, words in shingle_sets(lines, k, with_words=True):
+                counted.append(words)
                 use = np.flatnonzero(words >= min_words)
                 if not len(use):
                     continue
-                s1, s2 = digests(soff, h)
                 size = np.diff(soff)[use]
-                at = np.repeat(soff[use] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                used_off, used = np.concatenate([[0], np.cumsum(size)]), h[at]
-                s1, s2, line = s1[use], s2[use], first + use
-                fresh = np.array([s not in seen and not seen.add(s) for s in s1.tolist()], bool)
-                if len(seen) > 1 << 20:
-                    seen.clear()
-                keys = band_keys(used_off, used, rows, bands)[fresh]
-                koff = np.concatenate([[0], np.cumsum(np.where(fresh, bands, 0))])
-                own = owner[line]
-                yield pa.RecordBatch.from_arrays(
-                    [doc.take(pa.array(own)), th.take(pa.array(own)), pa.array((line - off[own]).astype(np.int32)),
-                     pc.utf8_length(lines.take(pa.array(line))).cast(pa.int64()), pa.array(size, pa.int64()),
-                     pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), list_array(koff, keys.reshape(-1))], schema=_arrow)
+                used_off = np.concatenate([[0], np.cumsum(size)])
+                used = h[np.repeat(soff[use] - used_off[:-1], size) + np.arange(size.sum())]
+                yield paragraphs(batch, off, first + use, np.ones(len(use), np.int64), chars, used_off, used)
+            first, span = _short_runs(off, np.concatenate([np.zeros(0, np.int64), *counted]), min_words)
+            for row, soff, h in shingle_sets(_joined(lines, first, span), k):
+                part = slice(row, row + len(soff) - 1)
+                yield paragraphs(batch, off, first[part], span[part], chars, soff, h)
 
     return docs.mapInArrow(make, schema)
 
 
-_arrow = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("chars", pa.int64()), ("n", pa.int64()),
+_arrow = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("chars", pa.list_(pa.int64())), ("n", pa.int64()),
                     ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _fetch(docs: DataFrame, k: int) -> DataFrame:
-    """Sets of the wanted paragraphs (array ``wanted`` of positions) of each text."""
+    """Sets of the wanted paragraphs (array ``wanted`` of first lines and numbers of lines) of each text."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, lines = _paragraphs(batch.column(0))
-            wanted = batch.column(1).to_pylist()
-            at = pa.array([int(off[i]) + p for i, w in enumerate(wanted) for p in w], pa.int64())
-            for _, soff, h in shingle_sets(lines.take(at), k):
+            wanted = [(int(off[i]) + p["pos"], p["span"]) for i, w in enumerate(batch.column(1).to_pylist()) for p in w]
+            first, span = (np.array([w[i] for w in wanted], np.int64) for i in (0, 1))
+            for _, soff, h in shingle_sets(_joined(lines, first, span), k):
                 s1, s2 = digests(soff, h)
                 yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), list_array(soff, h)],
                                                  names=["s1", "s2", "hashes"])
@@ -135,9 +164,10 @@ def paragraph_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, min_w
     lines = written(_sketch(texts, k, min_words, rows, bands).withColumn("rid", F.monotonically_increasing_id()))
     own = lines.where("pos >= 0")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "pos")
-    distinct = own.groupBy("s1", "s2").agg(F.min(place).alias("at"), F.first("n").alias("n"))
+    spanned = F.struct(*(F.expr(c) for c in ("doc_id IS NULL AS late", "doc_id", "th", "pos", "size(chars) AS span")))
+    distinct = own.groupBy("s1", "s2").agg(F.min(spanned).alias("at"), F.first("n").alias("n"))
     wanted = written(distinct.join(families(own, "bands"), ["s1", "s2"]))
-    asked = wanted.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th")).agg(F.collect_set("at.pos").alias("wanted"))
+    asked = wanted.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th")).agg(F.collect_set(F.struct("at.pos", "at.span")).alias("wanted"))
     asked = written(asked)
     sets = _fetch(near_slots(texts, asked).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted"), k)
     points = written(sets.dropDuplicates(["s1", "s2"]).join(wanted.select("s1", "s2", "family", "region", "n"), ["s1", "s2"])
@@ -145,7 +175,7 @@ def paragraph_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, min_w
     merged = join_points(points, percent).withColumnRenamed("node", "point")
     classed = (own.withColumn("point", F.xxhash64("s1", "s2")).join(merged, "point", "left")
                .select("doc_id", "th", "pos", "chars", F.coalesce("component", "point").alias("class")))
-    whole = lines.where("pos < 0").select("doc_id", "th", "chars", F.col("n").alias("n_paragraphs"))
+    whole = lines.where("pos < 0").select("doc_id", "th", F.col("n").alias("n_paragraphs"))
     classes = written(classed.groupBy("class").agg(F.count("*").alias("copies"), F.min(place).alias("keeper")).where("copies > 1"))
     return whole, classed.join(classes, "class").select(
         "doc_id", "th", "pos", "chars", "copies", "keeper",
@@ -153,14 +183,17 @@ def paragraph_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, min_w
 
 
 def paragraph_repeats(docs: DataFrame, **options) -> DataFrame:
-    """For each document: n_paragraphs, n_repeated (with a near copy anywhere),
-    n_removed, removed_chars, removed (positions) and copies_of (documents that keep them)."""
+    """For each document: n_paragraphs (lines), n_repeated (lines of a paragraph with a near copy anywhere),
+    n_removed, removed_chars, removed (positions of lines) and copies_of (documents that keep them)."""
     whole, repeats = paragraph_classes(docs, **options)
-    found = repeats.groupBy("doc_id", "th").agg(
+    lines = repeats.select("doc_id", "th", "pos", "keeper", F.col("removed").alias("copy"), F.posexplode("chars").alias("i", "chars"))
+    lines = lines.groupBy("doc_id", "th", (F.col("pos") + F.col("i")).alias("pos")).agg(
+        F.first("chars").alias("chars"), F.min("copy").alias("removed"), F.collect_set(F.when(F.col("copy"), F.col("keeper.doc_id"))).alias("keepers"))
+    found = lines.groupBy("doc_id", "th").agg(
         F.count("*").alias("n_repeated"), F.count(F.when(F.col("removed"), 1)).alias("n_removed"),
         F.coalesce(F.sum(F.when(F.col("removed"), F.col("chars"))), F.lit(0)).alias("removed_chars"),
         F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("pos")))).alias("removed"),
-        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("keeper.doc_id")))).alias("copies_of"))
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("removed"), F.col("keepers")))))).alias("copies_of"))
     found = written(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_repeated", "n_removed",
                                  "removed_chars", "removed", "copies_of"))
     none = F.lit(0).cast("long")
