@@ -12,6 +12,7 @@ from util import CLASHING, Groups, frame, jaccard, prose, shingles
 from traceframe.llm import decontaminate as D
 from traceframe.llm import langid as L
 from traceframe.llm import packing as P
+from traceframe.llm import passages as N
 from traceframe.llm import paragraph_dedup as G
 from traceframe.llm import token_count as T
 
@@ -252,6 +253,41 @@ def test_paragraph_dedup_joins_short_lines(spark):
     assert G.remove_repeats(frame(spark, docs)).where("doc_id = 2").first().text == ""
 
 
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(31)
+    base = prose(rng, 130).split()
+    docs = [None, "", prose(rng, 49), prose(rng, 50)]
+    docs += [f"{prose(rng, rng.randint(0, 90))} {' '.join(base[a:a + n])} {prose(rng, rng.randint(0, 90))}"
+             for a, n in ((0, 130), (0, 49), (3, 50), (40, 51), (70, 60), (10, 90), (30, 20))]
+    docs += ["\n".join(base[:70:1]), " ".join(base[60:90]) + "\n" + " ".join(base[90:125]).upper(), "la " * 60, docs[5], docs[3]]
+    docs.append(" ".join(base[:55] + prose(rng, 7).split() + base[:55]))
+    ids = list(range(len(docs) - 1)) + [None]
+    at = {}
+    for i, t in zip(ids, docs):
+        w = (t or "").lower().split()
+        for p in range(len(w) - 49):
+            at.setdefault(tuple(w[p:p + 50]), []).append((i is None, i or 0, p))
+    starts, firsts = {}, {}
+    for places in at.values():
+        for late, i, p in places if len(places) > 1 else []:
+            starts.setdefault((late, i), []).append(p)
+            if min(places)[:2] != (late, i):
+                firsts.setdefault((late, i), set()).add(min(places)[1])
+    got = {(r.doc_id is None, r.doc_id or 0): r for r in N.passages(frame(spark, docs, ids=ids)).collect()}
+    assert set(got) == set(starts) and len(got) > 8
+    for place, own in starts.items():
+        words = sorted({p + k for p in own for k in range(50)})
+        first = [w for w in words if w - 1 not in words]
+        assert [p.word for p in got[place].passages] == first, place
+        assert sum(p.words for p in got[place].passages) == len(words)
+        assert got[place].passage_copies_of == sorted(firsts.get(place, []))
+    rows = G.with_passages(G.paragraph_repeats(frame(spark, docs, ids=ids)), frame(spark, docs, ids=ids)).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.passage_words == len({p + k for p in starts.get((r.doc_id is None, r.doc_id or 0), []) for k in range(50)})
+    assert N.passages(frame(spark, docs).where("false")).collect() == []
+
+
 def test_bands_reach_the_recall():
     b = G.bands_for(0.8, G.ROWS, G.RECALL)
     assert 1 - (1 - 0.8 ** G.ROWS) ** b >= G.RECALL > 1 - (1 - 0.8 ** G.ROWS) ** (b - 1)

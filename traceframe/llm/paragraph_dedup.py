@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import columns, near_slots, written
 from .jaccard_join import families, join_points
+from .passages import passages
 from .shingles import digests, list_array, mix, shingle_sets
 
 K = 5
@@ -204,6 +205,19 @@ def paragraph_repeats(docs: DataFrame, **options) -> DataFrame:
                     F.coalesce("copies_of", F.array().cast("array<bigint>")).alias("copies_of")))
 
 
+def with_passages(repeats: DataFrame, docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``paragraph_repeats`` with n_passages, passage_words and passage_copies_of
+    of the verbatim passages of each document (``passages``), which need not keep to lines."""
+    found = written(passages(docs, **options).select(
+        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("passage_words"), "passage_copies_of"))
+    hit = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    none = F.lit(0).cast("long")
+    return (repeats.join(found, hit, "left")
+            .select(*columns(repeats), F.coalesce("n_passages", none).alias("n_passages"), F.coalesce("passage_words", none).alias("passage_words"),
+                    F.coalesce("passage_copies_of", F.array().cast("array<bigint>")).alias("passage_copies_of")))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All documents and columns, the text without its removed paragraphs."""
     gone = (paragraph_repeats(docs, id_col=id_col, text_col=text_col, **options).where("n_removed > 0")

@@ -71,7 +71,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.paragraph_repeats(table(spark, sf_dir, "documents")).drop("th", "removed")
+    docs = table(spark, sf_dir, "documents")
+    return paragraph_dedup.with_passages(paragraph_dedup.paragraph_repeats(docs), docs).drop("th", "removed")
 
 
 @query
