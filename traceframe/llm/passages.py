@@ -8,8 +8,8 @@ that occurs, verbatim, at another place of the table (words as in
    least hash is its anchor. Equal windows have equal anchors, so that only a
    window with an anchor that occurs at two places can occur twice.
 2. Windows. Of the texts that hold such anchors, the windows around them are
-   compared as a whole by 64-bit hash. The first place of a window, by
-   document id and position, keeps it; the others are copies.
+   compared as a whole by 64-bit hash. The document of least id that has a
+   window is named by the others.
 
 Defined cases: null and empty texts and those of fewer words have no passage;
 a passage repeated within one document counts like one of another document;
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import near_slots, written
+from .common import discard, near_slots, written
 from .shingles import _BASE, _INVERSE, _power, mix, word_hashes
 
 WORDS = 50
@@ -95,14 +95,13 @@ def _window_rows(size: int):
     return make
 
 
-def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th", "pos")
-
-
 def _recurring(rows: DataFrame) -> DataFrame:
-    """(h, first) of the hashes that have two places."""
-    at = _place()
-    return rows.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select("h", "first")
+    """(h, first) of the hashes that have two places: the least document id, null if all are null.
+    Places are compared by 64-bit hash, so that the aggregation keeps flat numbers."""
+    place = F.xxhash64("doc_id", "th").bitwiseXOR(F.col("pos"))
+    return (rows.select("h", "doc_id", place.alias("place")).groupBy("h")
+            .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.min("doc_id").alias("first"))
+            .where("a != b").select("h", "first"))
 
 
 def _covered(starts: Column, size: int) -> Column:
@@ -129,9 +128,12 @@ def passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
     marked = written(texts.mapInArrow(_anchor_rows(words), schema))
     marks = written(marked.join(_recurring(marked).select("h"), "h").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("marks"))
                     .withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"))
+    discard(marked)
     asked = near_slots(texts, marks).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     windows = written(asked.select("doc_id", "th", "text", "marks").mapInArrow(_window_rows(words), schema))
-    own = (windows.join(_recurring(windows), "h").groupBy("doc_id", "th")
-           .agg(F.sort_array(F.collect_set("pos")).alias("starts"),
-                F.sort_array(F.collect_set(F.when(~F.col("first.late") & ~F.col("doc_id").eqNullSafe(F.col("first.id")), F.col("first.id")))).alias("passage_copies_of")))
-    return own.select("doc_id", "th", _covered(F.col("starts"), words).alias("passages"), "passage_copies_of")
+    other = F.when(~F.col("doc_id").eqNullSafe(F.col("first")), F.col("first"))
+    own = written(windows.join(_recurring(windows), "h").groupBy("doc_id", "th")
+                  .agg(F.sort_array(F.collect_set("pos")).alias("starts"), F.sort_array(F.collect_set(other)).alias("passage_copies_of"))
+                  .select("doc_id", "th", _covered(F.col("starts"), words).alias("passages"), "passage_copies_of"))
+    discard(marks, windows)
+    return own
