@@ -24,7 +24,7 @@ def whole(docs: DataFrame) -> Column:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null texts and texts without a letter."""
-    net = langid.train(docs.where(~langid.held_out()))
+    net = langid.train(docs.where(~langid.held_out())) or langid.ByteNet(["any"])  # without labels, letters alone decide
     return langid.predict(docs, net, [whole(docs)]).where(F.col("lang_pred") != langid.UNKNOWN).select("doc.*")
 
 

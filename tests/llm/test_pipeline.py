@@ -54,3 +54,8 @@ def test_run_equals_brute_force(spark, tmp_path):
         got[r.doc_id] = got.get(r.doc_id, b"") + r.ids
     want = dict(zip(stay, (b"".join(i.to_bytes(4, "little") for i in ids) for ids in ids_of([texts[i] for i in stay]))))
     assert got == want and len(want) == 4
+
+
+def test_language_id_without_labels_keeps_lettered_documents(spark):
+    docs = frame(spark, ["some text", None, "12 !?", "ß", ""], extra=False).drop("lang").selectExpr("*", "cast(null AS string) AS lang")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {0, 3}
