@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, jaccard_join, langid, packing, paragraph_dedup, pii, token_count, url_filter
+from . import (chat, decontaminate, fill_in_middle, fingerprint, jaccard_join, langid, lexical_search, packing, paragraph_dedup,
+               piece_codec, pii, token_count, url_filter)
 from .common import table, written
 
 QUERIES: dict = {}
@@ -47,8 +48,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.spans(docs, pii.train(docs), [F.col("doc_id")])
     base = F.filter("spans", lambda s: s["base"])
-    count = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["k"] == k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return found.select("doc_id", *count, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+    def count(k: int, kind: str):
+        return F.size(F.filter(base, lambda s: s["k"] == k)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, range(len(pii.KINDS)), pii.KINDS), F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
 @query
@@ -82,6 +86,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net, [F.col("doc_id"), F.col("held_out")])
 
 
+@query
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = piece_codec.encode(table(spark, sf_dir, "documents"), keep=[F.col("doc_id")])
+    ids = F.col("ids").cast("array<string>")
+    return piece_codec.decode(tokens).select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                                             F.sha2(F.array_join(ids, " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=[F.col("doc_id")])
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(back, 256).alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = fill_in_middle.QUERY_SQL
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_lexical_search"] = lexical_search.QUERY_SQL
+
+
 def queries() -> dict:
     import corpus_pipeline
     return QUERIES | {"pipeline": corpus_pipeline.run}
