@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,24 @@ class _Words(dict):
         return n
 
 
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.n, self._held = 0, np.zeros(1 << 10, kind)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._held[:self.n]
+
+    def add(self, more) -> None:
+        end = self.n + len(more)
+        if end > len(self._held):
+            self._held = np.concatenate([self.values, np.zeros(max(end, 2 * self.n) - self.n, self._held.dtype)])
+        self._held[self.n:end] = more
+        self.n = end
+
+
 class PieceCodec:
     """A sentencepiece model with its distinct-chunk table."""
 
@@ -76,7 +95,8 @@ class PieceCodec:
 
     def _new_table(self) -> None:
         self.words, self.held = _Words(), 0
-        self.offsets, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.offsets, self.flat = _Growing(np.int64), _Growing(np.int32)
+        self.offsets.add([0])
 
     def _segment_waiting(self) -> None:
         """The library segments the words that entered the table; its dummy prefix stands for their first marker."""
@@ -86,27 +106,47 @@ class PieceCodec:
         ids = self.model.encode([w[1:] for w in waiting], num_threads=1)
         ids = [self.lone_mark if w == " " else x for w, x in zip(waiting, ids)]
         self.held += sum(map(len, waiting))
-        ends = self.offsets[-1] + np.cumsum([len(x) for x in ids])
-        self.offsets = np.concatenate([self.offsets, ends])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int32)])
+        self.offsets.add(self.flat.n + np.cumsum(list(map(len, ids))))
+        self.flat.add(list(chain.from_iterable(ids)))
+
+    def _join(self, parts: list[str]) -> list[np.ndarray]:
+        """The ids of texts (or slices), gathered from the table by the positions of their words."""
+        if self.held > self.table_chars:
+            self._new_table()
+        found = [_MARKED.findall(p) for p in parts]
+        word = np.fromiter(map(self.words.__getitem__, chain.from_iterable(found)), np.int64)
+        self._segment_waiting()
+        first = self.offsets.values[word]
+        count = self.offsets.values[word + 1] - first
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat.values[np.repeat(first - ends[:-1], count) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.cumsum(list(map(len, found)))][:-1])
+
+    def encode_all(self, texts: Iterable[str | None], slice_chars: int = SLICE_CHARS) -> Iterator[np.ndarray]:
+        """The ids of each text in turn, without begin and end."""
+        if not self.separable:
+            for t in texts:
+                yield np.array(self.model.encode(t or "", num_threads=1), np.int32)
+            return
+        waiting, held = [], 0
+        for t in texts:
+            marked = " " + t.replace(MARK, " ") if t else ""
+            if len(marked) > slice_chars:
+                if waiting:
+                    yield from self._join(waiting)
+                    waiting, held = [], 0
+                yield np.concatenate([self._join([part])[0] for part in slices(marked, slice_chars)])
+                continue
+            waiting.append(marked)
+            held += len(marked)
+            if held >= slice_chars:
+                yield from self._join(waiting)
+                waiting, held = [], 0
+        if waiting:
+            yield from self._join(waiting)
 
     def encode(self, text: str | None, slice_chars: int = SLICE_CHARS) -> np.ndarray:
-        """The ids of a text, without begin and end."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if not self.separable:
-            return np.array(self.model.encode(text, num_threads=1), np.int32)
-        parts = []
-        for part in slices(" " + text.replace(MARK, " "), slice_chars):
-            if self.held > self.table_chars:
-                self._new_table()
-            word = np.fromiter(map(self.words.__getitem__, _MARKED.findall(part)), np.int64)
-            self._segment_waiting()
-            first = self.offsets[word]
-            count = self.offsets[word + 1] - first
-            ends = np.cumsum(count)
-            parts.append(self.flat[np.repeat(first - ends + count, count) + np.arange(ends[-1])])
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return next(self.encode_all([text], slice_chars))
 
     def decode(self, ids: np.ndarray, part_ids: int = PART_IDS) -> str:
         """The text that the library's decoder gives for the ids."""
@@ -146,16 +186,14 @@ def codec(name: str) -> PieceCodec:
     return _CODECS[name]
 
 
-def _rows(batch: pa.RecordBatch, column: int, make, weight, limit: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The batch with ``column`` replaced by ``make`` of its values, in parts of bounded weight."""
+def _rows(batch: pa.RecordBatch, values: Iterable, weight, limit: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The batch with ``values`` as its last column, in parts of bounded weight."""
     start, held, out = 0, 0, []
-    for row, value in enumerate(batch.column(column)):
-        out.append(make(value))
-        held += weight(out[-1])
+    for row, value in enumerate(values):
+        out.append(value)
+        held += weight(value)
         if held >= limit or row + 1 == batch.num_rows:
-            part = batch.slice(start, len(out))
-            yield pa.RecordBatch.from_arrays([pa.array(out, kind) if i == column else part.column(i) for i in range(part.num_columns)],
-                                             names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(out)), pa.array(out, kind)], names=batch.schema.names)
             start, held, out = row + 1, 0, []
 
 
@@ -167,7 +205,8 @@ def encode(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", end: bool =
         model = codec(tokenizer)
         tail = np.array([model.end] * end, np.int32)
         for batch in batches:
-            yield from _rows(batch, 1, lambda v: np.concatenate([model.encode(v.as_py()), tail]), len, BATCH_IDS, pa.list_(pa.int32()))
+            texts = (v.as_py() for v in batch.column(1))
+            yield from _rows(batch, (np.concatenate([x, tail]) for x in model.encode_all(texts)), len, BATCH_IDS, pa.list_(pa.int32()))
 
     row = F.struct(*(keep or columns(docs, ("ids",)))).alias("row")
     source = docs.select(row, F.col(text_col).alias("ids"))
@@ -183,7 +222,7 @@ def decode(tokens: DataFrame, tokenizer: str = "piece_bpe_32k.model", ids_col: s
             return model.decode(value.values.to_numpy(zero_copy_only=False)) if value.is_valid else None
 
         for batch in batches:
-            yield from _rows(batch, 1, text, lambda t: len(t or ""), 4 * BATCH_IDS, pa.string())
+            yield from _rows(batch, map(text, batch.column(1)), lambda t: len(t or ""), 4 * BATCH_IDS, pa.string())
 
     row = F.struct(*columns(tokens, ("decoded",))).alias("row")
     source = tokens.select(row, F.col(ids_col).cast("array<int>").alias("decoded"))
