@@ -12,11 +12,14 @@ import decimal
 import math
 import os
 import sys
+import threading
 import time
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+ORACLE_SECONDS = 60
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
@@ -79,6 +82,8 @@ def check(spark, sf_dir, names=None, verbose=True):
             if verbose:
                 print(f"{name}: {results[name]} ({ts:.1f}s)", flush=True)
             continue
+        limit = threading.Timer(ORACLE_SECONDS, con.interrupt)  # one endless oracle must not cost the others
+        limit.start()
         try:
             cur = con.execute(orc[name])
             dcols = [d[0] for d in cur.description]
@@ -88,6 +93,8 @@ def check(spark, sf_dir, names=None, verbose=True):
             if verbose:
                 print(name, results[name], flush=True)
             continue
+        finally:
+            limit.cancel()
         if sorted(cols) != sorted(dcols):
             results[name] = f"COLUMNS {sorted(cols)} vs {sorted(dcols)}"
         elif len(srows) != len(drows):

@@ -115,18 +115,23 @@ def _exec_token_label(token: Column) -> Column:
     return F.when(t != "", e)
 
 
-def agent_label(comm: Column, command: Column) -> Column:
-    """A known agent from the comm or the command line (argv0, else the
-    first path-like argument), else the comm (unless empty/'unknown'), else
-    the first word of the command, else 'agent'."""
+def known_agent_label(comm: Column, command: Column) -> Column:
+    """A known agent from the comm or the command line (argv0, else the first
+    path-like argument), else null."""
     toks = F.filter(F.split(F.trim(F.coalesce(command, F.lit(""))), r"\s+"), lambda x: x != "")
     argv0 = _exec_token_label(F.try_element_at(toks, F.lit(1)))
     rest = F.filter(F.slice(toks, F.lit(2), F.size(toks)),
                     lambda x: F.regexp_replace(x, "^['\"]+|['\"]+$", "").contains("/"))
     rest_label = F.try_element_at(F.filter(F.transform(rest, _exec_token_label), lambda x: x.isNotNull()), F.lit(1))
-    known = F.coalesce(_exec_token_label(F.coalesce(comm, F.lit(""))), F.when(F.size(toks) > 0, F.coalesce(argv0, rest_label)))
+    return F.coalesce(_exec_token_label(F.coalesce(comm, F.lit(""))), F.when(F.size(toks) > 0, F.coalesce(argv0, rest_label)))
+
+
+def agent_label(comm: Column, command: Column) -> Column:
+    """A known agent, else the comm (unless empty/'unknown'), else the
+    first word of the command, else 'agent'."""
+    toks = F.filter(F.split(F.trim(F.coalesce(command, F.lit(""))), r"\s+"), lambda x: x != "")
     c = F.coalesce(comm, F.lit(""))
-    return F.coalesce(known, F.when((c != "") & (c != "unknown"), c),
+    return F.coalesce(known_agent_label(comm, command), F.when((c != "") & (c != "unknown"), c),
                       F.when(F.size(toks) > 0, F.try_element_at(toks, F.lit(1))), F.lit("agent"))
 
 

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_writable_open
-from ..functions.closure import ancestor_closure
+from ..functions import forest
 from ..functions.scan import running_sum
-from ..session import cut_lineage
+from ..session import stored
 
+#: Columns that name a run and a machine; keys of every process table that holds several of them. (``host`` is a network peer.)
+SCOPE = ["run_id", "machine"]
 
-def process_instances(canon: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame:
-    """Instance id per EXEC/EXIT event, surviving pid reuse.
+
+def process_instances(canon: DataFrame, bucket_ms: int = 3_600_000, scope: list[str] = ()) -> DataFrame:
+    """Instance id per EXEC/EXIT event, surviving pid reuse. Ids are
+    unique within ``scope``.
 
     Gaps and islands per pid in arrival order (timestamp, seq): the island of
     a row is the number of EXITs before it. The first EXEC of an island opens
@@ -24,25 +28,25 @@ def process_instances(canon: DataFrame, bucket_ms: int = 3_600_000) -> DataFrame
     pid holding most events does not serialise the job into one task.
     """
     p = canon.where(F.col("event").isin("EXEC", "EXIT"))
-    p = running_sum(p, ["pid"], F.expr(f"timestamp_ms div {int(bucket_ms)}"), ["timestamp_ms", "seq"],
+    p = running_sum(p, [*scope, "pid"], F.expr(f"timestamp_ms div {int(bucket_ms)}"), ["timestamp_ms", "seq"],
                     (F.col("event") == "EXIT").cast("bigint"), "island", inclusive=False)
-    first = (p.groupBy("pid", "island")
+    first = (p.groupBy(*scope, "pid", "island")
              .agg(F.min(F.when(F.col("event") == "EXEC", F.col("timestamp_ms"))).alias("_first_exec")))
-    p = p.join(first, ["pid", "island"])
+    p = p.join(first, [*scope, "pid", "island"])
     return p.withColumn(
         "instance_id",
         F.format_string("process-%d-%d", F.col("pid"), F.coalesce("_first_exec", "timestamp_ms"))
     ).drop("_first_exec")
 
 
-def process_node_rows(instances: DataFrame) -> DataFrame:
+def process_node_rows(instances: DataFrame, scope: list[str] = ()) -> DataFrame:
     """One node row per EXEC/EXIT event (before the upsert merge)."""
     is_exec = F.col("event") == "EXEC"
     is_exit = F.col("event") == "EXIT"
     status = (F.when(~is_exit, "observed").when(F.col("exit_code") == 0, "success")
               .when(F.col("exit_code").isNotNull(), "failure").otherwise("observed"))
     return instances.select(
-        F.col("instance_id").alias("id"), "seq", "pid", "ppid",
+        *scope, F.col("instance_id").alias("id"), "seq", "pid", "ppid",
         F.when(is_exec, F.col("timestamp_ms")).alias("start_timestamp_ms"),
         F.when(is_exit, F.col("timestamp_ms")).alias("end_timestamp_ms"),
         "comm",
@@ -53,7 +57,7 @@ def process_node_rows(instances: DataFrame) -> DataFrame:
     )
 
 
-def upsert_processes(rows: DataFrame) -> DataFrame:
+def upsert_processes(rows: DataFrame, scope: list[str] = ()) -> DataFrame:
     """Merge node rows by id — min start, max end, latest non-null fields.
 
     All terms are aggregates (min/max/max_by), so the merge is a partial
@@ -62,7 +66,7 @@ def upsert_processes(rows: DataFrame) -> DataFrame:
     def latest(c):
         return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
 
-    return rows.groupBy("id").agg(
+    return rows.groupBy(*scope, "id").agg(
         F.first("pid").alias("pid"),
         latest("ppid"),
         F.min("start_timestamp_ms").alias("start_timestamp_ms"),
@@ -71,9 +75,9 @@ def upsert_processes(rows: DataFrame) -> DataFrame:
     )
 
 
-def process_nodes(canon: DataFrame) -> DataFrame:
+def process_nodes(canon: DataFrame, scope: list[str] = ()) -> DataFrame:
     """W2 + S8: the process_nodes table from canonical events."""
-    return upsert_processes(process_node_rows(process_instances(canon)))
+    return upsert_processes(process_node_rows(process_instances(canon, scope=scope), scope), scope)
 
 
 def audit_from_events(canon: DataFrame) -> DataFrame:
@@ -98,8 +102,8 @@ def audit_from_events(canon: DataFrame) -> DataFrame:
 
 
 def attach_process(audit: DataFrame, nodes: DataFrame, bucket_ms: int = 3600 * 1000,
-                   key: str = "id", exclude_col: str | None = None,
-                   max_buckets: int = 256) -> DataFrame:
+                   key: str = "id", before_col: str | None = None,
+                   max_buckets: int = 256, scope: list[str] = ()) -> DataFrame:
     """The process instance of each audit row.
 
     Candidates: same pid, ``coalesce(start,0) <= ts <= coalesce(end,+inf)``;
@@ -111,36 +115,43 @@ def attach_process(audit: DataFrame, nodes: DataFrame, bucket_ms: int = 3600 * 1
     ``max_buckets + 1`` rows, however open-ended it is. Each audit row meets a
     node in one bucket only, so no duplicates arise.
     """
-    rng = (audit.groupBy(F.col("pid").alias("_rpid"))
+    scope = list(scope)
+    by = [F.col(c).alias(f"_r_{c}") for c in scope]
+    rng = (audit.groupBy(*by, F.col("pid").alias("_rpid"))
            .agg(F.min("timestamp_ms").alias("_t0"), F.max("timestamp_ms").alias("_t1"))
            .withColumn("_bw", F.greatest(F.lit(int(bucket_ms)).cast("bigint"),
                                          F.ceil((F.col("_t1") - F.col("_t0") + 1) / max_buckets)
                                          .cast("bigint"))))
+    keys = [f"_r_{c}" for c in scope] + ["_rpid"]
 
     def bucket(ts):
         return F.floor((ts - F.col("_t0")) / F.col("_bw")).cast("bigint")
 
-    n = nodes.select(F.col("id").alias("process_id"), F.col("pid").alias("_rpid"),
+    n = nodes.select(F.col("id").alias("process_id"), *by, F.col("pid").alias("_rpid"),
                      F.coalesce("start_timestamp_ms", F.lit(0)).alias("_s"),
                      F.col("start_timestamp_ms").isNotNull().alias("_has_start"),
                      F.col("end_timestamp_ms").alias("_e"))
-    n = n.join(rng, "_rpid")
+    n = n.join(rng, keys)
     lo = F.greatest(F.col("_s"), F.col("_t0"))
     hi = F.least(F.coalesce(F.col("_e"), F.col("_t1")), F.col("_t1"))
     n = (n.where(lo <= hi)
-         .select(F.col("_rpid").alias("_npid"), "process_id", "_s", "_has_start", "_e",
+         .select(*keys, "process_id", "_s", "_has_start", "_e",
                  F.explode(F.sequence(bucket(lo), bucket(hi))).alias("_nb")))
-    a = (audit.join(rng, audit["pid"] == rng["_rpid"], "left")
-         .withColumn("_b", bucket(F.col("timestamp_ms"))).drop("_rpid", "_t0", "_t1", "_bw"))
-    j = a.join(n, (a["pid"] == n["_npid"]) & (a["_b"] == n["_nb"])
-               & (n["_s"] <= a["timestamp_ms"])
-               & (n["_e"].isNull() | (a["timestamp_ms"] <= n["_e"]))
-               & (F.lit(True) if exclude_col is None else (n["process_id"] != a[exclude_col])),
-               "left")
+    a = audit
+    for c in [*scope, "pid"]:
+        a = a.withColumn(f"_r_{c}" if c != "pid" else "_rpid", F.col(c))
+    a = a.join(rng, keys, "left").withColumn("_nb", bucket(F.col("timestamp_ms"))).drop("_t0", "_t1", "_bw")
+    inside = (n["_s"] <= a["timestamp_ms"]) & (n["_e"].isNull() | (a["timestamp_ms"] <= n["_e"]))
+    if before_col is not None:
+        inside &= F.struct(n["_s"], n["process_id"]) < F.struct(a["timestamp_ms"], a[before_col])
+    same = a["_nb"] == n["_nb"]
+    for c in keys:
+        same &= a[c] == n[c]
+    j = a.join(n, same & inside, "left")
     best = F.max_by(F.col("process_id"), F.struct("_s", "_has_start", "process_id"))
-    others = [c for c in audit.columns if c != key]
-    return (j.groupBy(a[key]).agg(*[F.first(a[c]).alias(c) for c in others],
-                                   best.alias("process_id")))
+    others = [c for c in audit.columns if c not in (key, *scope)]
+    return (j.groupBy(*[a[c] for c in scope], a[key]).agg(*[F.first(a[c]).alias(c) for c in others],
+                                                         best.alias("process_id")))
 
 
 def process_edges(canon: DataFrame) -> DataFrame:
@@ -148,28 +159,36 @@ def process_edges(canon: DataFrame) -> DataFrame:
     return canon.select("pid", "ppid").where(F.col("pid").isNotNull()).distinct()
 
 
-def process_lineage(edges: DataFrame) -> DataFrame:
-    """J6 closure + W11: root ancestor and depth of every pid (pid, root_pid,
-    depth): the ancestor furthest up, or the pid itself if it has none."""
-    up = ancestor_closure(edges, "pid", "ppid")
-    far = up.groupBy(F.col("node").alias("pid")).agg(
-        F.max_by("ancestor", F.struct("depth", "ancestor")).alias("root_pid"), F.max("depth").alias("depth"))
-    return (edges.select("pid").where("pid is not null").distinct().join(far, "pid", "left")
-            .select("pid", F.coalesce("root_pid", "pid").alias("root_pid"), F.coalesce("depth", F.lit(0)).alias("depth")))
+def process_lineage(edges: DataFrame, scope: list[str] = (), node: str = "pid", parent: str = "ppid") -> DataFrame:
+    """J6 closure + W11: root ancestor and depth of every process (pid,
+    root_pid, depth), by pointer jumping over one row a process
+    (``functions/forest.py``); a process without a parent is its own root."""
+    up = forest.nearest(edges, node, parent, scope=scope)
+    own = edges.select(*scope, F.col(node).alias("node")).where("node is not null").distinct()
+    return (up.join(own, [*scope, "node"], "left_semi")
+            .select(*scope, F.col("node").alias(node), F.col("root").alias(f"root_{node}"), "depth"))
 
 
-def process_parents(nodes: DataFrame, bucket_ms: int = 3600 * 1000) -> DataFrame:
+def process_parents(nodes: DataFrame, bucket_ms: int = 3600 * 1000, scope: list[str] = ()) -> DataFrame:
     """Parent instance of each process instance.
 
-    Parent candidates: pid = child's ppid, different id, child's start inside
-    the parent's life; the latest-starting one wins. Same bucketed interval
-    join as ``attach_process`` with the child start as the probe time.
+    Parent candidates: pid = child's ppid, child's start inside the parent's
+    life, and the parent before the child in the order (start, id), a missing
+    start being 0; the latest-starting one wins. The order makes the parents a
+    forest: two instances can never be each other's parent. Same bucketed
+    interval join as ``attach_process`` with the child start as the probe time.
     """
-    child = nodes.select(F.col("id").alias("child_id"), F.col("ppid").alias("pid"),
+    child = nodes.select(*scope, F.col("id").alias("child_id"), F.col("ppid").alias("pid"),
                          F.coalesce("start_timestamp_ms", F.lit(0)).alias("timestamp_ms"))
     child = child.where(F.col("pid").isNotNull())
-    j = attach_process(child, nodes, bucket_ms, key="child_id", exclude_col="child_id")
-    return j.select("child_id", F.col("process_id").alias("parent_id"))
+    j = attach_process(child, nodes, bucket_ms, key="child_id", before_col="child_id", scope=scope)
+    return j.select(*scope, "child_id", F.col("process_id").alias("parent_id"))
+
+
+def process_forest(nodes: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """All process nodes with ``parent_id``, null for roots."""
+    parents = process_parents(nodes, scope=scope).withColumnRenamed("child_id", "id")
+    return nodes.join(parents, [*scope, "id"], "left")
 
 
 def process_timeline(attached_audit: DataFrame, parents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -186,17 +205,16 @@ def process_timeline(attached_audit: DataFrame, parents: DataFrame, nodes: DataF
     return ev.unionByName(ch).orderBy("process_id", "timestamp_ms", "item_type", "item_id")
 
 
-def filter_process_tree(attached: DataFrame, parents: DataFrame, predicate) -> DataFrame:
+def filter_process_tree(attached: DataFrame, parents: DataFrame, predicate, scope: list[str] = ()) -> DataFrame:
     """processes that hold events matching ``predicate`` plus all their
     ancestors (so the tree stays connected), with the number of matching
     events of each."""
-    hits = (attached.where(predicate & F.col("process_id").isNotNull())
-            .groupBy("process_id").agg(F.count(F.lit(1)).alias("matching_events")))
-    hits = cut_lineage(hits)  # read twice
-    up = ancestor_closure(parents, "child_id", "parent_id")
-    above = (up.join(hits.select(F.col("process_id").alias("node")), "node")
-             .select(F.col("ancestor").alias("process_id"), F.lit(0).cast("bigint").alias("matching_events")))
-    return hits.unionByName(above).groupBy("process_id").agg(F.max("matching_events").alias("matching_events"))
+    hits = stored(attached.where(predicate & F.col("process_id").isNotNull())
+                  .groupBy(*scope, "process_id").agg(F.count(F.lit(1)).alias("matching_events")))
+    nodes = parents.select(*scope, F.col("child_id").alias("process_id"), "parent_id").join(hits, [*scope, "process_id"], "full")
+    kept = forest.with_ancestors(nodes, "process_id", "parent_id", F.col("matching_events").isNotNull(), scope)
+    return (kept.withColumnRenamed("node", "process_id").join(hits, [*scope, "process_id"], "left")
+            .select(*scope, "process_id", F.coalesce("matching_events", F.lit(0)).alias("matching_events")))
 
 
 def observed_processes(calls: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import process as P
 from ..operators import resources as R
 from ..sources import fixtures as FX
 from .registry import register
-from .sql_common import AUDIT, PROCESS_CTES
+from .sql_common import AUDIT, PROCESS_CTES, parent_ctes
 
 W = FX.with_fixtures
 AUD = [("audit", AUDIT)]
@@ -276,20 +276,13 @@ def _register_t2_sql():
         JOIN (SELECT id, process_id FROM cand QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, hs DESC, process_id DESC) = 1) b
           ON a.id = b.id
         UNION ALL
-        SELECT p.parent_id, coalesce(n.start_timestamp_ms, 0), 'process', p.child_id FROM (
-            SELECT child_id, parent_id FROM pc
-            QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY s DESC, hs DESC, parent_id DESC) = 1) p
+        SELECT p.parent_id, coalesce(n.start_timestamp_ms, 0), 'process', p.child_id FROM pedges p
         JOIN nodes n ON n.id = p.child_id)
     ORDER BY process_id, timestamp_ms, item_type, item_id""", [("audit", AUDIT)] + PROCESS_CTES + [
     ("cand", "SELECT a.id, n.id AS process_id, coalesce(n.start_timestamp_ms, 0) AS s, "
              "n.start_timestamp_ms IS NOT NULL AS hs FROM audit a JOIN nodes n ON a.pid = n.pid "
              "AND coalesce(n.start_timestamp_ms, 0) <= a.timestamp_ms "
-             "AND (n.end_timestamp_ms IS NULL OR a.timestamp_ms <= n.end_timestamp_ms)"),
-    ("child", "SELECT id AS child_id, ppid AS pid, coalesce(start_timestamp_ms, 0) AS ts FROM nodes WHERE ppid IS NOT NULL"),
-    ("pc", "SELECT c.child_id, n.id AS parent_id, coalesce(n.start_timestamp_ms, 0) AS s, "
-           "n.start_timestamp_ms IS NOT NULL AS hs FROM child c JOIN nodes n ON n.pid = c.pid "
-           "AND n.id <> c.child_id AND coalesce(n.start_timestamp_ms, 0) <= c.ts "
-           "AND (n.end_timestamp_ms IS NULL OR c.ts <= n.end_timestamp_ms)")]))
+             "AND (n.end_timestamp_ms IS NULL OR a.timestamp_ms <= n.end_timestamp_ms)")] + parent_ctes()))
 def u3_process_timeline(spark, sf):
     canon = FX.canonical_events(spark, sf)
     nodes = P.process_nodes(canon)
@@ -349,7 +342,7 @@ def t5_sort_agent_rows(spark, sf):
     SELECT w.session_id, w.window_start, w.cpu_ms, w.max_rss_kb, w.read_bytes, w.write_bytes, w.processes,
         w.first_seen_ms, w.last_seen_ms, round(w.cpu_ms / 2000 * 100, 4) AS cpu_percent
     FROM (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY window_start DESC) = 1) w
-    WHERE w.session_id IN (SELECT 's-' || (pid % 10) FROM proc_samples WHERE pid % 3 <> 0)""",
+    WHERE w.session_id IN (SELECT 's-' || (pid % 10) FROM proc_samples)""",
     [("w6", _W6), ("win", """SELECT 's-' || (pid % 10) AS session_id, sample_ts // 2000 * 2000 AS window_start,
         CAST(sum(cpu_ms) AS BIGINT) AS cpu_ms, max(rss_kb) AS max_rss_kb,
         CAST(sum(read_delta) AS BIGINT) AS read_bytes, CAST(sum(write_delta) AS BIGINT) AS write_bytes,
@@ -359,7 +352,7 @@ def j17_monitor_top(spark, sf):
     d = R.cpu_io_delta(FX.proc_samples(spark, sf)).withColumn(
         "session_id", F.format_string("s-%d", F.col("pid") % 10))
     windows = M.monitor_windows(d, 2000)
-    tracked = FX.proc_samples(spark, sf).where(F.col("pid") % 3 != 0).select(
+    tracked = FX.proc_samples(spark, sf).select(
         F.format_string("s-%d", F.col("pid") % 10).alias("session_id"))
     return M.monitor_top(windows, tracked, 2000)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import process as P
 from ..sources import fixtures as FX
 from .registry import register
-from .sql_common import AUDIT, PROCESS_CTES
+from .sql_common import AUDIT, PROCESS_CTES, parent_ctes, process_ctes
 
 W = FX.with_fixtures
 
@@ -44,16 +44,7 @@ def j5_attach_process(spark, sf):
 
 
 @register("j6_process_parents", W(["canon"], """
-    SELECT c.child_id, b.parent_id FROM child c LEFT JOIN (
-        SELECT child_id, parent_id FROM pc
-        QUALIFY row_number() OVER (PARTITION BY child_id ORDER BY s DESC, hs DESC, parent_id DESC) = 1) b
-    ON c.child_id = b.child_id""", PROCESS_CTES + [
-    ("child", "SELECT id AS child_id, ppid AS pid, coalesce(start_timestamp_ms, 0) AS ts FROM nodes "
-              "WHERE ppid IS NOT NULL"),
-    ("pc", "SELECT c.child_id, n.id AS parent_id, coalesce(n.start_timestamp_ms, 0) AS s, "
-           "n.start_timestamp_ms IS NOT NULL AS hs FROM child c JOIN nodes n ON n.pid = c.pid "
-           "AND n.id <> c.child_id AND coalesce(n.start_timestamp_ms, 0) <= c.ts "
-           "AND (n.end_timestamp_ms IS NULL OR c.ts <= n.end_timestamp_ms)")]))
+    SELECT c.child_id, b.parent_id FROM child c LEFT JOIN pedges b ON c.child_id = b.child_id""", PROCESS_CTES + parent_ctes()))
 def j6_process_parents(spark, sf):
     return P.process_parents(P.process_nodes(FX.canonical_events(spark, sf)))
 
@@ -117,11 +108,11 @@ def j8_process_family(spark, sf):
         UNION ALL SELECT t.pid, s.pid, 3 FROM targets t JOIN edges p ON t.pid = p.pid
             JOIN edges s ON s.ppid = p.ppid WHERE s.pid <> t.pid)
     GROUP BY target, related_pid""", _FAM_SQL + [
-    ("targets", "SELECT DISTINCT pid FROM canon WHERE event = 'EXIT' AND exit_code = 2 AND pid % 4 = 1")],
+    ("targets", "SELECT DISTINCT pid FROM canon WHERE event = 'EXIT' AND exit_code = 2")],
     recursive=True))
 def j7_related_pids(spark, sf):
     c = FX.canonical_events(spark, sf)
-    targets = c.where((F.col("event") == "EXIT") & (F.col("exit_code") == 2) & (F.col("pid") % 4 == 1)).select("pid")
+    targets = c.where((F.col("event") == "EXIT") & (F.col("exit_code") == 2)).select("pid")
     return FM.related_pids(_procs(spark, sf), targets)
 
 
@@ -137,10 +128,9 @@ def j7_related_pids(spark, sf):
     ("counters", "SELECT pid, count(*) FILTER (WHERE audit_type = 'process' AND action = 'exec') AS process_execs, "
                  "count(*) FILTER (WHERE audit_type = 'file') AS file_events, "
                  "count(*) FILTER (WHERE audit_type = 'network') AS network_events "
-                 "FROM audit WHERE pid % 3 <> 0 OR pid > 40 GROUP BY pid")], recursive=True))
+                 "FROM audit GROUP BY pid")], recursive=True))
 def j16_attribute_counters(spark, sf):
-    counters = A.audit_counters(P.audit_from_events(FX.canonical_events(spark, sf)), by_pid=True) \
-        .where((F.col("pid") % 3 != 0) | (F.col("pid") > 40))
+    counters = A.audit_counters(P.audit_from_events(FX.canonical_events(spark, sf)), by_pid=True)
     fam = FM.process_family(_procs(spark, sf), _roots(spark, sf))
     return FM.attribute_counters(fam, counters, ["process_execs", "file_events", "network_events"])
 
@@ -152,7 +142,7 @@ from .sql_common import AUDIT as _AUDIT  # noqa: E402
 
 
 @register("f17_filter_process_tree", W(["canon"], """
-    SELECT k.process_id, CAST(coalesce(h.n, 0) AS BIGINT) AS matching_events FROM (SELECT DISTINCT process_id FROM up) k
+    SELECT k.process_id, CAST(coalesce(h.n, 0) AS BIGINT) AS matching_events FROM up k
     LEFT JOIN hits h ON k.process_id = h.process_id""", [("audit", _AUDIT)] + PROCESS_CTES + [
     ("cand", "SELECT a.id, n.id AS process_id, coalesce(n.start_timestamp_ms, 0) AS s, "
              "n.start_timestamp_ms IS NOT NULL AS hs FROM audit a JOIN nodes n ON a.pid = n.pid "
@@ -161,16 +151,8 @@ from .sql_common import AUDIT as _AUDIT  # noqa: E402
     ("att", "SELECT a.*, b.process_id FROM audit a JOIN (SELECT id, process_id FROM cand QUALIFY row_number() OVER "
             "(PARTITION BY id ORDER BY s DESC, hs DESC, process_id DESC) = 1) b ON a.id = b.id"),
     ("hits", "SELECT process_id, count(*) AS n FROM att WHERE audit_type = 'file' "
-             "AND contains(lower(concat_ws(' ', id, audit_type, action, status, comm, target)), '/repo/d3') GROUP BY process_id"),
-    ("child", "SELECT id AS child_id, ppid AS pid, coalesce(start_timestamp_ms, 0) AS ts FROM nodes WHERE ppid IS NOT NULL"),
-    ("pc", "SELECT c.child_id, n.id AS parent_id, coalesce(n.start_timestamp_ms, 0) AS s, "
-           "n.start_timestamp_ms IS NOT NULL AS hs FROM child c JOIN nodes n ON n.pid = c.pid "
-           "AND n.id <> c.child_id AND coalesce(n.start_timestamp_ms, 0) <= c.ts "
-           "AND (n.end_timestamp_ms IS NULL OR c.ts <= n.end_timestamp_ms)"),
-    ("pedges", "SELECT child_id, parent_id FROM pc QUALIFY row_number() OVER "
-               "(PARTITION BY child_id ORDER BY s DESC, hs DESC, parent_id DESC) = 1"),
-    ("up", "SELECT process_id, 0 AS depth FROM hits UNION ALL "
-           "SELECT e.parent_id, up.depth + 1 FROM up JOIN pedges e ON e.child_id = up.process_id")],
+             "AND contains(lower(concat_ws(' ', id, audit_type, action, status, comm, target)), '/repo/d3') GROUP BY process_id")] + parent_ctes() + [
+    ("up", "SELECT process_id FROM hits UNION SELECT e.parent_id FROM up JOIN pedges e ON e.child_id = up.process_id")],
     recursive=True))
 def f17_filter_process_tree(spark, sf):
     canon = FX.canonical_events(spark, sf)
@@ -197,3 +179,61 @@ def f13_observed_processes(spark, sf):
                      F.format_string("agent-%d", F.col("page_id") % 3).alias("comm"),
                      F.col("timestamp_ms").alias("start_timestamp_ms"))
     return P.observed_processes(calls, P.process_nodes(FX.canonical_events(spark, sf)))
+
+
+# ---- Process instances of several runs and machines ---------------------------------
+
+_SC = "run_id, machine, "
+_FLEET = process_ctes("fleet", _SC) + parent_ctes(_SC) + [
+    ("forest", "SELECT n.run_id, n.machine, n.id, e.parent_id, n.pid, n.comm FROM nodes n LEFT JOIN pedges e "
+               "ON e.run_id = n.run_id AND e.machine = n.machine AND e.child_id = n.id"),
+    ("agents", f"SELECT {_SC}id, parent_id, CASE WHEN comm IN ('claude', 'codex', 'gemini') THEN comm END AS label, "
+               "comm = 'codex' AND pid % 3 = 0 AS nested FROM forest"),
+    ("up", f"SELECT {_SC}id, parent_id AS anc FROM forest WHERE parent_id IS NOT NULL UNION "
+           "SELECT u.run_id, u.machine, u.id, f.parent_id FROM up u JOIN forest f "
+           "ON f.run_id = u.run_id AND f.machine = u.machine AND f.id = u.anc WHERE f.parent_id IS NOT NULL"),
+    ("roots", f"SELECT {_SC}id, label FROM agents a WHERE label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM up JOIN agents b "
+              "ON b.run_id = up.run_id AND b.machine = up.machine AND b.id = up.anc "
+              "WHERE up.run_id = a.run_id AND up.machine = a.machine AND up.id = a.id AND b.label = a.label AND (NOT a.nested OR b.nested))"),
+    ("fam", f"SELECT {_SC}id AS root_id, id, 0 AS depth FROM roots UNION ALL "
+            "SELECT fam.run_id, fam.machine, fam.root_id, f.id, fam.depth + 1 FROM fam JOIN forest f "
+            "ON f.run_id = fam.run_id AND f.machine = fam.machine AND f.parent_id = fam.id "
+            "WHERE (f.run_id, f.machine, f.id) NOT IN (SELECT (run_id, machine, id) FROM roots)"),
+]
+
+
+def _fleet(spark, sf):
+    """Process instances with their parents; every third codex process is an ``exec`` invocation."""
+    nodes = P.process_forest(P.process_nodes(FX.fleet_events(spark, sf), P.SCOPE), P.SCOPE)
+    task = (F.col("comm") == "codex") & (F.col("pid") % 3 == 0)
+    command = F.concat(F.lit("/usr/bin/"), F.col("comm"))
+    return nodes.withColumn("command", F.when(task, F.concat(command, F.lit(" exec task"))).otherwise(command))
+
+
+def _fleet_roots(nodes):
+    return FM.agent_roots(nodes, X.known_agent_label(F.col("comm"), F.col("command")), FM.is_exec_invocation(F.col("command")),
+                          P.SCOPE, "id", "parent_id")
+
+
+@register("j6_instance_lineage", W(["fleet"], f"""
+    SELECT {_SC}id, parent_id, coalesce(root_id, id) AS root_id, CAST(coalesce(depth, 0) AS INTEGER) AS depth FROM forest LEFT JOIN
+        (SELECT {_SC}id, count(*) AS depth FROM up GROUP BY ALL) USING (run_id, machine, id) LEFT JOIN
+        (SELECT u.run_id, u.machine, u.id, u.anc AS root_id FROM up u JOIN forest f ON f.run_id = u.run_id AND f.machine = u.machine
+         AND f.id = u.anc WHERE f.parent_id IS NULL) USING (run_id, machine, id)""",
+    _FLEET[:11], recursive=True))
+def j6_instance_lineage(spark, sf):
+    """J6 over process instances: pids are reused, and two runs on two machines share them."""
+    nodes = _fleet(spark, sf)
+    up = P.process_lineage(nodes, P.SCOPE, "id", "parent_id")
+    return nodes.select(*P.SCOPE, "id", "parent_id").join(up, [*P.SCOPE, "id"])
+
+
+@register("j9_agent_roots", W(["fleet"], f"SELECT {_SC}id, label FROM roots", _FLEET[:12], recursive=True))
+def j9_agent_roots(spark, sf):
+    return _fleet_roots(_fleet(spark, sf))
+
+
+@register("j8_instance_family", W(["fleet"], f"SELECT {_SC}root_id, id, depth FROM fam", _FLEET, recursive=True))
+def j8_instance_family(spark, sf):
+    nodes = _fleet(spark, sf)
+    return FM.process_family(nodes, _fleet_roots(nodes), P.SCOPE, "id", "parent_id")

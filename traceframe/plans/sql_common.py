@@ -27,29 +27,34 @@ TOKEN_SESSION_CTES = [("eff", EFF), ("calls_latest", CALLS_LATEST), ("tk", TK),
                       ("tks", TKS)]
 
 # W2 + S8 over canonical events.
-PROCESS_CTES = [
-    ("pe", "SELECT * FROM canon WHERE event IN ('EXEC', 'EXIT')"),
-    ("isl", "SELECT *, CAST(coalesce(sum(CASE WHEN event = 'EXIT' THEN 1 ELSE 0 END) OVER "
-            "(PARTITION BY pid ORDER BY timestamp_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) "
-            "AS island FROM pe"),
-    ("inst", "SELECT *, 'process-' || pid || '-' || coalesce(min(CASE WHEN event = 'EXEC' THEN timestamp_ms END) "
-             "OVER (PARTITION BY pid, island), timestamp_ms) AS instance_id FROM isl"),
-    ("noderows", "SELECT instance_id AS id, seq, pid, ppid, "
-                 "CASE WHEN event = 'EXEC' THEN timestamp_ms END AS start_timestamp_ms, "
-                 "CASE WHEN event = 'EXIT' THEN timestamp_ms END AS end_timestamp_ms, comm, "
-                 "filename AS command, cwd, CAST(CASE WHEN event = 'EXIT' THEN exit_code END AS INTEGER) AS exit_code, "
-                 "CASE WHEN event <> 'EXIT' THEN 'observed' WHEN exit_code = 0 THEN 'success' "
-                 "WHEN exit_code IS NOT NULL THEN 'failure' ELSE 'observed' END AS status FROM inst"),
-    ("nodes", "SELECT id, any_value(pid) AS pid, "
-              "arg_max(ppid, seq) FILTER (WHERE ppid IS NOT NULL) AS ppid, "
-              "min(start_timestamp_ms) AS start_timestamp_ms, max(end_timestamp_ms) AS end_timestamp_ms, "
-              "arg_max(comm, seq) FILTER (WHERE comm IS NOT NULL) AS comm, "
-              "arg_max(command, seq) FILTER (WHERE command IS NOT NULL) AS command, "
-              "arg_max(cwd, seq) FILTER (WHERE cwd IS NOT NULL) AS cwd, "
-              "arg_max(exit_code, seq) FILTER (WHERE exit_code IS NOT NULL) AS exit_code, "
-              "arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status "
-              "FROM noderows GROUP BY id"),
-]
+def process_ctes(source: str = "canon", scope: str = "") -> list[tuple[str, str]]:
+    """``scope``: the columns of run and machine, each with a comma behind it."""
+    return [
+        ("pe", f"SELECT * FROM {source} WHERE event IN ('EXEC', 'EXIT')"),
+        ("isl", "SELECT *, CAST(coalesce(sum(CASE WHEN event = 'EXIT' THEN 1 ELSE 0 END) OVER "
+                f"(PARTITION BY {scope}pid ORDER BY timestamp_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) "
+                "AS island FROM pe"),
+        ("inst", "SELECT *, 'process-' || pid || '-' || coalesce(min(CASE WHEN event = 'EXEC' THEN timestamp_ms END) "
+                 f"OVER (PARTITION BY {scope}pid, island), timestamp_ms) AS instance_id FROM isl"),
+        ("noderows", f"SELECT {scope}instance_id AS id, seq, pid, ppid, "
+                     "CASE WHEN event = 'EXEC' THEN timestamp_ms END AS start_timestamp_ms, "
+                     "CASE WHEN event = 'EXIT' THEN timestamp_ms END AS end_timestamp_ms, comm, "
+                     "filename AS command, cwd, CAST(CASE WHEN event = 'EXIT' THEN exit_code END AS INTEGER) AS exit_code, "
+                     "CASE WHEN event <> 'EXIT' THEN 'observed' WHEN exit_code = 0 THEN 'success' "
+                     "WHEN exit_code IS NOT NULL THEN 'failure' ELSE 'observed' END AS status FROM inst"),
+        ("nodes", f"SELECT {scope}id, any_value(pid) AS pid, "
+                  "arg_max(ppid, seq) FILTER (WHERE ppid IS NOT NULL) AS ppid, "
+                  "min(start_timestamp_ms) AS start_timestamp_ms, max(end_timestamp_ms) AS end_timestamp_ms, "
+                  "arg_max(comm, seq) FILTER (WHERE comm IS NOT NULL) AS comm, "
+                  "arg_max(command, seq) FILTER (WHERE command IS NOT NULL) AS command, "
+                  "arg_max(cwd, seq) FILTER (WHERE cwd IS NOT NULL) AS cwd, "
+                  "arg_max(exit_code, seq) FILTER (WHERE exit_code IS NOT NULL) AS exit_code, "
+                  "arg_max(status, seq) FILTER (WHERE status IS NOT NULL) AS status "
+                  f"FROM noderows GROUP BY {scope}id"),
+    ]
+
+
+PROCESS_CTES = process_ctes()
 
 AUDIT = """SELECT 'audit-' || seq AS id, seq, timestamp_ms, 'process' AS audit_type, pid, comm,
         CASE WHEN event = 'EXEC' THEN 'exec' ELSE 'exit' END AS action, filename AS target,
@@ -63,3 +68,18 @@ AUDIT = """SELECT 'audit-' || seq AS id, seq, timestamp_ms, 'process' AS audit_t
     UNION ALL
     SELECT 'audit-' || seq, seq, timestamp_ms, 'network', pid, comm, event, host, 'observed'
     FROM canon WHERE starts_with(event, 'NET_')"""
+
+
+# J6 over process nodes: the latest-starting candidate that lies before the child in (start, id).
+def parent_ctes(scope: str = "") -> list[tuple[str, str]]:
+    same = "".join(f" AND n.{c.strip()} = c.{c.strip()}" for c in scope.split(",") if c.strip())
+    mine = "".join(f"c.{c.strip()}, " for c in scope.split(",") if c.strip())
+    return [
+        ("child", f"SELECT {scope}id AS child_id, ppid AS pid, coalesce(start_timestamp_ms, 0) AS ts FROM nodes WHERE ppid IS NOT NULL"),
+        ("pc", f"SELECT {mine}c.child_id, n.id AS parent_id, coalesce(n.start_timestamp_ms, 0) AS s, "
+               f"n.start_timestamp_ms IS NOT NULL AS hs FROM child c JOIN nodes n ON n.pid = c.pid{same} "
+               "AND (coalesce(n.start_timestamp_ms, 0), n.id) < (c.ts, c.child_id) "
+               "AND (n.end_timestamp_ms IS NULL OR c.ts <= n.end_timestamp_ms)"),
+        ("pedges", f"SELECT {scope}child_id, parent_id FROM pc QUALIFY row_number() OVER "
+                   f"(PARTITION BY {scope}child_id ORDER BY s DESC, hs DESC, parent_id DESC) = 1"),
+    ]

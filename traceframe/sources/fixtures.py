@@ -151,6 +151,13 @@ def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fleet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical events as those of two runs on two machines each, whose
+    pids overlap."""
+    return canonical_events(spark, sf_dir).select(
+        F.format_string("run-%d", F.col("seq") % 2).alias("run_id"), F.format_string("m-%d", F.col("k") % 2).alias("machine"), "*")
+
+
 def resource_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_events(spark, sf_dir)
     return raw.select("seq", "timestamp_ms", "pid", "comm",
@@ -515,10 +522,12 @@ SQL["sse_bodies"] = f"""SELECT conv_id % 7 AS pid, conv_id % 3 + 1 AS tid, conv_
                'event: message_stop' || chr(10) || 'data: {{"type":"message_stop"}}' || chr(10)]) AS evs
           FROM (SELECT *, string_split(text, ' ') AS ws FROM conversations WHERE role = 'assistant'))"""
 
+SQL["fleet"] = "SELECT 'run-' || (seq % 2) AS run_id, 'm-' || (k % 2) AS machine, * FROM canon"
+
 # CTE dependencies, in definition order.
 SQL_DEPS = {
     "raw": [], "token_usage": ["raw"], "llm_calls": ["raw"], "sessions": ["raw"],
-    "canon": ["raw"], "resource_samples": ["raw"], "proc_samples": ["raw"],
+    "canon": ["raw"], "fleet": ["canon"], "resource_samples": ["raw"], "proc_samples": ["raw"],
     "session_log": [], "http_base": [], "http": ["http_base"],
     "jsonl_base": [], "session_jsonl": ["jsonl_base"], "sse_bodies": [],
 }
