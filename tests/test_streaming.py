@@ -73,6 +73,36 @@ def test_pairing_request_id_ttl_and_ambiguity(spark):
     assert out["llm-1"]["status"] == "pending" and "llm-7" not in out
 
 
+def _queue(rows, ttl=PA.PENDING_TTL_MS, cap=PA.MAX_PENDING):
+    """The calls of one thread by one long queue."""
+    names = [c.split()[0] for c in EV_SCHEMA.split(", ")]
+    events = [dict(zip(names, r)) | {"ts": r[1]} for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    return {r["id"]: r for r in PA.settle([], events, ttl, cap)[0]}
+
+
+def test_pairing_of_a_busy_thread_by_blocks_equals_one_queue(spark):
+    import random
+    rng = random.Random(12)
+    rows, t = [], 0
+    for seq in range(1, 1201):  # never five minutes of rest, requests waiting over many blocks
+        t += rng.choice([0, 1_000, 20_000, 70_000])
+        name = rng.choice([None, None, f"r{rng.randint(seq // 8, seq // 8 + 4)}"])
+        if rng.random() < .55:
+            rows.append((seq, t, 1, 1, "request", name, rng.choice([None, "m"]), rng.random() < .8, None))
+        else:
+            rows.append((seq, t, 1, 1, rng.choice(["response", "response", "http_response"]), name, None, True, rng.choice([None, 200, 500])))
+    want = _queue(rows)
+    assert sum(r["status"] == "complete" for r in want.values()) > 100
+    for block in (30_000, 600_000):
+        out = PA.pair_llm_calls(spark.createDataFrame(rows, EV_SCHEMA), block_ms=block, scope=[]).collect()
+        assert {r.id: r.asDict() for r in out} == want and len(out) == len(want)
+    both = spark.createDataFrame([(m, *r) for m in ("m1", "m2") for r in rows[:300]], f"machine string, {EV_SCHEMA}")
+    got = PA.pair_llm_calls(both, scope=["machine"]).collect()
+    part = _queue(rows[:300])
+    assert all({r.id: r.status for r in got if r.machine == m} == {i: r["status"] for i, r in part.items()} for m in ("m1", "m2"))
+    assert PA.pair_llm_calls(both.where("pid > 5"), scope=["machine"]).collect() == []
+
+
 def test_pairing_stream_equals_batch(spark):
     ev = FX.llm_events(spark, SF)
     batch = {r["id"]: (r["request_seq"], r["response_seq"], r["status"]) for r in PA.pair_llm_calls(ev).collect()}

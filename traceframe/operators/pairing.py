@@ -1,11 +1,16 @@
-"""LLM request ↔ response pairing per (pid, tid).
-
-The pairing is a per-thread queue machine (arrival order, at most 16 pending
-requests, 5-minute TTL), so it is not a join: it runs as a grouped
-``applyInPandas`` over time-ordered events. Groups are (pid, tid, segment),
-where a new segment starts after a gap longer than the TTL — at such a gap
-every pending request has expired, so segments are independent and a
-long-lived busy thread is split into many bounded groups.
+"""LLM request ↔ response pairing per (pid, tid), and the call rows.
+
+The pairing is a queue per thread (arrival order, at most 16 pending requests,
+5-minute TTL): whether a response finds its request depends on what was taken
+before. A thread is cut into blocks of time, and all blocks are settled at
+once, each with the requests that wait when it begins. These are not known at
+first and taken as none; a block passes on what still waits at its end, and
+the blocks that got something else than assumed are settled again, until
+nothing changes. A request waits five minutes, so this takes two or three
+rounds (and never more than the thread has blocks); the result is that of one
+long queue, but no task holds more than a block. Only narrow columns go
+through the queue; hosts, paths, bodies and tokens are joined on afterwards by
+the numbers of request and response.
 """
 
 from __future__ import annotations
@@ -13,11 +18,16 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions.scan import running_sum
+from ..session import discard, stored
+from . import canonical as CN
 
+BLOCK_MS = 10 * 60 * 1000
 PENDING_TTL_MS = 5 * 60 * 1000
 MAX_PENDING = 16
 
@@ -78,18 +88,32 @@ def _table(rows: list[dict]) -> pd.DataFrame:
     return pdf.astype({"status_code": "Int32", "confidence": "float64"})
 
 
-def _pair_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows, _ = settle([], _rows(pdf.sort_values(["timestamp_ms", "seq"], kind="stable")))
-    # the pending row of a request is replaced by its pair row (same id, later)
-    return _table(list({r["id"]: r for r in rows}.values()))
+WAIT_SCHEMA = "place int, request_id string, has_body boolean"
 
 
-def _without_thread(events: DataFrame) -> DataFrame:
+def _settle_block(scope: list[str], ttl_ms: int, cap: int, schema: pa.Schema):
+    """Rows of the calls of one block, and with ``place`` the requests that still wait at its end."""
+
+    def settle_block(key: tuple, block: pa.Table) -> pa.Table:
+        events = [e | {"ts": e["timestamp_ms"]} for e in block.to_pylist()]
+        begun = sorted((e for e in events if e["place"] is not None), key=lambda e: e["place"])
+        rows, waiting = settle(begun, sorted((e for e in events if e["place"] is None), key=lambda e: (e["ts"], e["seq"])), ttl_ms, cap)
+        # the pending row of a request is replaced by its pair row (same id, later)
+        rows = list({r["id"]: r for r in rows}.values())
+        rows += [{"pid": w["pid"], "tid": w["tid"], "request_seq": w["seq"], "start_timestamp_ms": w["ts"], "model": w["model"],
+                  "request_id": w["request_id"], "has_body": w["has_body"], "place": i} for i, w in enumerate(waiting)]
+        own = dict(zip([*scope, "pid", "tid", "block"], (k.as_py() for k in key)))
+        return pa.Table.from_pylist([r | own for r in rows], schema)
+
+    return settle_block
+
+
+def _without_thread(events: DataFrame, scope: list[str] = ()) -> DataFrame:
     """Responses without a thread id can be paired with nothing: orphan calls."""
     code = F.col("status_code")
     none = lambda kind: F.lit(None).cast(kind)
     return events.where("pid is not null and tid is null and kind = 'response'").select(
-        F.format_string("llm-orphan-%d", "seq").alias("id"), F.col("pid").cast("bigint"), none("bigint").alias("tid"),
+        *scope, F.format_string("llm-orphan-%d", "seq").alias("id"), F.col("pid").cast("bigint"), none("bigint").alias("tid"),
         none("bigint").alias("request_seq"), F.col("seq").cast("bigint").alias("response_seq"),
         F.col("timestamp_ms").alias("start_timestamp_ms"), F.col("timestamp_ms").alias("end_timestamp_ms"),
         F.coalesce("model", F.lit("unknown")).alias("model"), F.when(code >= 400, "error").otherwise("complete").alias("status"),
@@ -97,31 +121,105 @@ def _without_thread(events: DataFrame) -> DataFrame:
         F.lit(0.35).cast("double").alias("confidence"))
 
 
-def pair_llm_calls(events: DataFrame, ttl_ms: int = PENDING_TTL_MS, block_ms: int = 3_600_000) -> DataFrame:
-    """llm_calls from request/response events.
+def pair_llm_calls(events: DataFrame, ttl_ms: int = PENDING_TTL_MS, block_ms: int = BLOCK_MS, cap: int = MAX_PENDING,
+                   scope: list[str] = ()) -> DataFrame:
+    """Which request and response make a call.
 
     ``events``: seq, timestamp_ms, pid, tid, kind ('request' | 'response' |
-    'http_response'), request_id, model, has_body, status_code.
-    Output: one row per accepted request (paired or 'pending') and one per
-    orphan response (those without a thread id included).
+    'http_response'), request_id, model, has_body, status_code, and the
+    ``scope`` columns; ``seq`` is unique in a scope. Output: one row per
+    accepted request (paired or 'pending') and one per orphan response (those
+    without a thread id included). Events without pid make no call.
     """
-    e = events.select(*EVENT_COLS).where(F.col("pid").isNotNull() & F.col("tid").isNotNull())
-    e = e.withColumn("_b", F.expr(f"timestamp_ms div {block_ms}"))
-    # Previous event time of the thread, two-level: a local lag inside the
-    # (pid, tid, bucket) window, else the last event time of the previous bucket.
-    e = e.withColumn("_prev_local", F.lag("timestamp_ms").over(
-        Window.partitionBy("pid", "tid", "_b").orderBy("timestamp_ms", "seq")))
-    last_of_bucket = e.groupBy("pid", "tid", "_b").agg(F.max("timestamp_ms").alias("_last"))
-    last_of_bucket = last_of_bucket.withColumn(
-        "_prev_bucket_last", F.lag("_last").over(Window.partitionBy("pid", "tid").orderBy("_b"))).drop("_last")
-    e = (e.join(last_of_bucket, ["pid", "tid", "_b"], "left")
-         .withColumn("_prev", F.coalesce("_prev_local", "_prev_bucket_last"))
-         .withColumn("_gap", (F.col("_prev").isNotNull() & (F.col("timestamp_ms") - F.col("_prev") > ttl_ms))
-                     .cast("bigint"))
-         .drop("_prev_local", "_prev_bucket_last", "_prev", "_b"))
-    e = running_sum(e, ["pid", "tid"], F.expr(f"timestamp_ms div {block_ms}"), ["timestamp_ms", "seq"],
-                    F.col("_gap"), "segment").drop("_gap")
-    return e.groupBy("pid", "tid", "segment").applyInPandas(_pair_group, CALL_SCHEMA).unionByName(_without_thread(events))
+    scope = list(scope)
+    keys = [*scope, "pid", "tid", "block"]
+    e = events.where("pid is not null and tid is not null").select(*scope, *EVENT_COLS).withColumn("block", F.expr(f"timestamp_ms div {int(block_ms)}"))
+    e = stored(e.withColumn("pid", F.col("pid").cast("bigint")).withColumn("tid", F.col("tid").cast("bigint")).withColumn("place", F.lit(None).cast("int")))
+    follow = Window.partitionBy(*keys[:-1]).orderBy("block")  # one row a block
+    blocks = stored(e.groupBy(*keys).agg(F.min("timestamp_ms").alias("first"))
+                    .select(*keys, F.lead("block").over(follow).alias("next"), F.lead("first").over(follow).alias("next_first")))
+    types = dict(e.dtypes)
+    schema = "".join(f"`{c}` {types[c]}, " for c in scope) + f"{CALL_SCHEMA}, {WAIT_SCHEMA}, block bigint"
+    step = _settle_block(scope, ttl_ms, cap, to_arrow_schema(StructType.fromDDL(schema)))
+    settled, carried, todo = None, None, None
+    while todo is None or not todo.isEmpty():
+        rows = e if todo is None else e.join(todo, keys, "left_semi").unionByName(carried.join(todo, keys, "left_semi"))
+        made = rows.groupBy(*keys).applyInArrow(step, schema)
+        after = stored(made if settled is None else settled.join(todo, keys, "left_anti").unionByName(made))
+        passed = stored(after.where("place is not null").join(blocks, keys)
+                        .where(F.col("start_timestamp_ms") >= F.col("next_first") - ttl_ms)
+                        .select(*scope, F.col("request_seq").alias("seq"), F.col("start_timestamp_ms").alias("timestamp_ms"), "pid", "tid",
+                                F.lit("request").alias("kind"), "request_id", "model", "has_body", F.lit(None).cast("int").alias("status_code"),
+                                F.col("next").alias("block"), "place"))
+        new = _digest(passed, keys).withColumnRenamed("digest", "_new")
+        old = (_digest(carried, keys) if carried is not None else new.limit(0).withColumnRenamed("_new", "digest"))
+        later = stored(new.join(old, keys, "full").where(~F.col("_new").eqNullSafe(F.col("digest"))).select(*keys))
+        discard(*[t for t in (settled, carried, todo) if t is not None])
+        settled, carried, todo = after, passed, later
+    calls = [c.split()[0] for c in CALL_SCHEMA.split(", ")]
+    # A request that still waited at the end of its block has its pair row in a later one.
+    best = F.max_by(F.struct(*calls[1:]), F.col("response_seq").isNotNull())
+    paired = settled.where("place is null").groupBy(*scope, "id").agg(best.alias("call")).select(*scope, "id", "call.*")
+    return paired.unionByName(_without_thread(events, scope))
+
+
+def _digest(waiting: DataFrame, keys: list[str]) -> DataFrame:
+    return waiting.groupBy(*keys).agg(F.sum(F.xxhash64("seq", "place").cast("decimal(38,0)")).alias("digest"))
+
+
+def call_rows(events: DataFrame, pairs: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """The llm_calls table: ``pairs`` with session, conversation, comm,
+    provider, model, kind, host, path, bodies, finish reason and tokens.
+
+    ``events`` also hold comm, provider, host, path and body (JSON text; other
+    text is no body). A field comes from the request, and of an orphan from the
+    response; the provider, failing that, from the host. Ids of session and
+    conversation are looked for in the request first; usage, finish reason and
+    a missing model in the response."""
+    scope = list(scope)
+
+    def side(name: str, **also: Column) -> DataFrame:
+        """What the events of one kind say, taken from their bodies before any row is shuffled."""
+        kind = F.col("kind") == "request"
+        body = events.where(kind if name == "request" else ~kind).withColumn("_v", F.expr("try_parse_json(body)"))
+        usage = F.expr("coalesce(try_variant_get(_v, '$.usage'), try_variant_get(_v, '$.usageMetadata'))")
+        fields = {c: F.col(c) for c in ("comm", "provider", "host", "path", "model")} | {
+            "session": CN.session_id_from_body("_v"), "conversation": CN.conversation_id_from_body("_v")} | also
+        return (body.withColumn("_u", usage).select(*scope, F.col("seq").cast("bigint").alias(f"{name}_seq"),
+                                                    F.when(F.col("_v").isNotNull(), F.col("body")).alias(name),
+                                                    *[c.alias(f"{name}_{n}") for n, c in fields.items()]))
+
+    asked = side("request")
+    told = side("response", inner=CN.extract_model("_v"), finish=CN.finish_reason("_v"), usage=F.when(F.col("_u").isNotNull(), CN.usage_struct("_u")))
+    x = pairs.join(asked, [*scope, "request_seq"], "left").join(told, [*scope, "response_seq"], "left")
+    orphan = F.col("request_seq").isNull()
+
+    def first(c: str) -> Column:
+        return F.when(orphan, F.col(f"response_{c}")).otherwise(F.col(f"request_{c}"))
+
+    model = F.coalesce("request_model", F.when(orphan, F.col("response_model")), "response_inner", "response_model",
+                       F.when(F.col("response_seq").isNotNull(), F.lit("unknown")))
+    counts = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"]
+    parts = [F.coalesce(F.col(f"response_usage.{c}"), F.lit(0).cast("bigint")) for c in counts]
+    total = F.coalesce(F.col("response_usage.total_override"), sum(parts[1:], parts[0]))
+    return x.select(
+        *scope, "id", F.coalesce("request_session", "response_session").alias("session_id"),
+        F.coalesce("request_conversation", "response_conversation").alias("conversation_id"),
+        "request_seq", "response_seq", "start_timestamp_ms", "end_timestamp_ms", "pid", "tid", F.coalesce(first("comm"), F.lit("")).alias("comm"),
+        F.coalesce(first("provider"), CN.provider_from_host(first("host"))).alias("provider"), model.alias("model"),
+        CN.call_kind(first("path")).alias("call_kind"), "status", "error_type", F.col("response_finish").alias("finish_reason"),
+        first("host").alias("host"), first("path").alias("path"), "status_code", *[p.alias(c) for p, c in zip(parts, counts)],
+        total.alias("total_tokens"), "request", "response", "confidence")
+
+
+def call_token_rows(calls: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """Token rows of the calls that have usage, one each (``token-{call id}``, source response_usage)."""
+    counts = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "total_tokens"]
+    used = " OR ".join(f"{c} > 0" for c in counts)
+    return calls.where(used).select(
+        *scope, F.concat(F.lit("token-"), F.col("id")).alias("id"), F.col("id").alias("llm_call_id"), F.col("response_seq").alias("seq"),
+        F.col("end_timestamp_ms").alias("timestamp_ms"), "pid", "comm", "provider", "model", *counts,
+        F.lit("response_usage").alias("source"), F.lit("view").alias("view_source"), "confidence")
 
 
 def pair_llm_calls_stream(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:

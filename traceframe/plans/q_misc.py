@@ -8,11 +8,96 @@ from ..sources import fixtures as FX
 from .registry import register
 
 
-@register("j1_pair_llm_calls")
+# The queue of a thread as a recursion over its events, one at a step: what waits, and what the event took.
+_QUEUE = [
+    ("ev", "SELECT *, row_number() OVER (PARTITION BY pid, tid ORDER BY timestamp_ms, seq) AS rn FROM llm_events "
+           "WHERE kind <> 'request' OR has_body OR model IS NOT NULL"),
+    ("queue", """SELECT pid, tid, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(seq BIGINT, ts BIGINT, rid VARCHAR, model VARCHAR)[]) AS waiting,
+            CAST(NULL AS STRUCT(seq BIGINT, ts BIGINT, rid VARCHAR, model VARCHAR)) AS took FROM ev WHERE rn = 1
+        UNION ALL
+        SELECT pid, tid, rn, CASE WHEN kind = 'request' THEN list_append(live, {'seq': seq, 'ts': timestamp_ms, 'rid': request_id, 'model': model})[-16:]
+            WHEN pos IS NULL THEN live ELSE list_concat(live[:pos - 1], live[pos + 1:]) END,
+            CASE WHEN kind <> 'request' THEN live[pos] END
+        FROM (SELECT *, CASE WHEN request_id IS NOT NULL THEN nullif(list_position(list_transform(live, lambda w: w.rid), request_id), 0)
+                             WHEN len(live) = 1 THEN 1 END AS pos
+              FROM (SELECT e.*, list_filter(q.waiting, lambda w: w.ts >= e.timestamp_ms - 300000) AS live
+                    FROM queue q JOIN ev e ON e.pid = q.pid AND e.tid = q.tid AND e.rn = q.rn + 1))"""),
+    ("took", "SELECT ev.*, queue.took FROM ev JOIN queue USING (pid, tid, rn) WHERE ev.kind <> 'request'"),
+    ("pairs", """SELECT 'llm-' || r.seq AS id, r.pid, r.tid, r.seq AS request_seq, t.seq AS response_seq, r.timestamp_ms AS start_timestamp_ms,
+            t.timestamp_ms AS end_timestamp_ms, CASE WHEN t.seq IS NULL THEN r.model ELSE coalesce(r.model, t.model, 'unknown') END AS model,
+            CASE WHEN t.seq IS NULL THEN 'pending' WHEN t.status_code >= 400 THEN 'error' ELSE 'complete' END AS status, t.status_code,
+            CASE WHEN t.status_code >= 400 THEN 'http_' || t.status_code END AS error_type,
+            CASE WHEN t.seq IS NULL THEN NULL WHEN t.request_id IS NULL THEN 0.75 ELSE 0.95 END::DOUBLE AS confidence
+        FROM ev r LEFT JOIN took t ON t.took.seq = r.seq WHERE r.kind = 'request'
+        UNION ALL
+        SELECT 'llm-orphan-' || seq, pid, tid, NULL, seq, timestamp_ms, timestamp_ms, coalesce(model, 'unknown'),
+            CASE WHEN status_code >= 400 THEN 'error' ELSE 'complete' END, status_code, CASE WHEN status_code >= 400 THEN 'http_' || status_code END, 0.35
+        FROM took WHERE took IS NULL"""),
+]
+
+
+@register("j1_pair_llm_calls", FX.with_fixtures(["llm_events"], "SELECT * FROM pairs", _QUEUE, recursive=True))
 def j1_pair_llm_calls(spark, sf):
     return PA.pair_llm_calls(FX.llm_events(spark, sf))
 
 
+def _first(*paths):
+    return "coalesce(" + ", ".join(f"json_extract_string({b}, '{p}')" for b, p in paths) + ")"
+
+
+_SESSION_PATHS = ["$.session_id", "$.sessionId", "$.metadata.session_id", "$.metadata.sessionId"]
+_CONVERSATION_PATHS = ["$.conversation_id", "$.conversationId", "$.metadata.conversation_id", "$.response.id", "$.id", "$.message_id", "$.message.id"]
+_USAGE = {"input_tokens": ["$.usage.input_tokens", "$.usage.prompt_tokens", "$.usageMetadata.promptTokenCount"],
+          "output_tokens": ["$.usage.output_tokens", "$.usage.completion_tokens"], "cache_creation_tokens": ["$.usage.cache_creation_input_tokens"],
+          "cache_read_tokens": ["$.usage.cache_read_input_tokens"]}
+_CALLS = _QUEUE + [
+    ("side", "SELECT seq, kind, comm, provider, host, path, model, CASE WHEN json_valid(body) THEN body END AS body FROM llm_traffic"),
+    ("joined", """SELECT p.*, r.body AS request, t.body AS response, coalesce(r.comm, t.comm) AS comm, coalesce(r.provider, CASE WHEN r.seq IS NULL THEN t.provider END) AS given,
+        coalesce(r.host, t.host) AS host, coalesce(r.path, t.path) AS path, r.model AS request_model
+        FROM pairs p LEFT JOIN side r ON r.seq = p.request_seq LEFT JOIN side t ON t.seq = p.response_seq"""),
+    ("parts", f"""SELECT * EXCLUDE (model, given, request_model),
+        {_first(*[(b, p) for b in ('request', 'response') for p in _SESSION_PATHS[:4]])} AS sid,
+        nullif(string_split(json_extract_string(request, '$.metadata.user_id'), '_session_')[2], '') AS user_sid,
+        {_first(*[(b, p) for b in ('request', 'response') for p in _CONVERSATION_PATHS])} AS conversation_id,
+        coalesce(given, CASE WHEN contains(host, 'openai') THEN 'openai' WHEN contains(host, 'anthropic') THEN 'anthropic'
+            WHEN contains(host, 'googleapis') THEN 'gcp.gen_ai' ELSE host END) AS provider,
+        coalesce(request_model, {_first(('response', '$.model'))}, CASE WHEN response_seq IS NOT NULL THEN 'unknown' END) AS model,
+        CASE WHEN contains(path, '/v1/responses') THEN 'responses' WHEN contains(path, '/v1/messages') THEN 'messages'
+            WHEN contains(path, '/chat/completions') THEN 'chat' WHEN contains(path, ':generateContent') THEN 'generate_content' END AS call_kind,
+        {_first(*[('response', p) for p in ('$.finish_reason', '$.stop_reason', '$.choices[0].finish_reason')])} AS finish_reason,
+        {", ".join(f"coalesce(CAST({_first(*[('response', p) for p in v])} AS BIGINT), 0) AS {c}_0" for c, v in _USAGE.items())},
+        coalesce(CAST(json_extract_string(response, '$.usageMetadata.candidatesTokenCount') AS BIGINT), 0)
+            + coalesce(CAST(json_extract_string(response, '$.usageMetadata.thoughtsTokenCount') AS BIGINT), 0) AS gemini,
+        nullif(coalesce(CAST(json_extract_string(response, '$.usageMetadata.totalTokenCount') AS BIGINT), 0), 0) AS override FROM joined"""),
+    ("calls", """SELECT id, coalesce(sid, user_sid) AS session_id, conversation_id, request_seq, response_seq, start_timestamp_ms, end_timestamp_ms,
+        pid, tid, comm, provider, model, call_kind, status, error_type, finish_reason, host, path, status_code, input_tokens_0 AS input_tokens,
+        greatest(output_tokens_0, gemini) AS output_tokens, cache_creation_tokens_0 AS cache_creation_tokens, cache_read_tokens_0 AS cache_read_tokens,
+        coalesce(override, input_tokens_0 + greatest(output_tokens_0, gemini) + cache_creation_tokens_0 + cache_read_tokens_0) AS total_tokens,
+        request, response, confidence FROM parts"""),
+]
+
+
+def _calls(spark, sf):
+    events = FX.llm_traffic(spark, sf)
+    return PA.call_rows(events, PA.pair_llm_calls(events))
+
+
+@register("j1_call_rows", FX.with_fixtures(["llm_traffic"], "SELECT * FROM calls", _CALLS, recursive=True))
+def j1_call_rows(spark, sf):
+    """Whole call rows, with bodies, session, provider and tokens."""
+    return _calls(spark, sf)
+
+
+@register("j1_call_tokens", FX.with_fixtures(["llm_traffic"], """
+    SELECT 'token-' || id AS id, id AS llm_call_id, response_seq AS seq, end_timestamp_ms AS timestamp_ms, pid, comm, provider, model, input_tokens,
+        output_tokens, cache_creation_tokens, cache_read_tokens, total_tokens, 'response_usage' AS source, 'view' AS view_source, confidence
+    FROM calls WHERE input_tokens > 0 OR output_tokens > 0 OR cache_creation_tokens > 0 OR cache_read_tokens > 0 OR total_tokens > 0""",
+                                             _CALLS, recursive=True))
+def j1_call_tokens(spark, sf):
+    """Token rows from the usage of the call rows."""
+    return PA.call_token_rows(_calls(spark, sf))
+
+
 # ---- sources and sinks -----------------------------------------------------
 
 from pyspark.sql import functions as F  # noqa: E402

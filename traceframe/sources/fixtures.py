@@ -233,6 +233,37 @@ def llm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.unionByName(resp)
 
 
+# Fixed values of the call fixture: API hosts and paths by seq.
+API_HOSTS = ["api.anthropic.com", "api.openai.com", "generativelanguage.googleapis.com", "h.example.com"]
+API_PATHS = ["/v1/messages", "/v1/responses", "/v1/chat/completions", "/v1beta/models/g:generateContent", "/other"]
+
+
+def llm_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The LLM events with comm, provider, host, path and body: session ids
+    at several places of request bodies, three shapes of usage in response
+    bodies, and bodies that are no JSON."""
+    q = F.expr("seq div 2")
+    sid = F.format_string("s-%d", F.col("pid"))
+    asked = (F.when(q % 4 == 0, F.concat(F.lit('{"session_id":"'), sid, F.lit('"}')))
+             .when(q % 4 == 1, F.concat(F.lit('{"metadata":{"sessionId":"'), sid, F.lit('"},"conversation_id":"c1"}')))
+             .when(q % 4 == 2, F.concat(F.lit('{"metadata":{"user_id":"u1_session_'), sid, F.lit('"}}')))
+             .otherwise(F.lit('{"messages":[]}')))
+    told = (F.when(q % 11 == 0, F.lit("no json {"))
+            .when(q % 3 == 0, F.format_string('{"model":"r-%d","usage":{"input_tokens":%d,"output_tokens":%d,"cache_read_input_tokens":3},"stop_reason":"end_turn"}',
+                                              q % 4, q % 100, q % 50))
+            .when(q % 3 == 1, F.format_string('{"usage":{"prompt_tokens":%d,"completion_tokens":%d},"choices":[{"finish_reason":"stop"}],"id":"x%d"}',
+                                              q % 90, q % 40, q % 5))
+            .otherwise(F.format_string('{"usageMetadata":{"promptTokenCount":%d,"candidatesTokenCount":%d,"thoughtsTokenCount":2,"totalTokenCount":%d}}',
+                                       q % 70, q % 30, q % 200)))
+    host = F.element_at(_arr(API_HOSTS), (q % 4 + 1).cast("int"))
+    request = F.col("kind") == "request"
+    return llm_events(spark, sf_dir).select(
+        "*", F.element_at(_arr(COMMS), (F.col("pid") % 5 + 1).cast("int")).alias("comm"),
+        F.when(q % 6 == 0, F.lit("given")).alias("provider"), host.alias("host"),
+        F.element_at(_arr(API_PATHS), (q % 5 + 1).cast("int")).alias("path"),
+        F.when(F.col("has_body"), F.when(request, asked).otherwise(told)).alias("body"))
+
+
 # Fixed values of the transcript fixture: tool names and shell commands.
 TOOLS = ["Bash", "Read", "Edit", "WebFetch"]
 COMMANDS = ["cargo test --all", "git commit -m fix", "curl https://h%d.example.com/x", "ls -la /repo",
@@ -522,12 +553,34 @@ SQL["sse_bodies"] = f"""SELECT conv_id % 7 AS pid, conv_id % 3 + 1 AS tid, conv_
                'event: message_stop' || chr(10) || 'data: {{"type":"message_stop"}}' || chr(10)]) AS evs
           FROM (SELECT *, string_split(text, ' ') AS ws FROM conversations WHERE role = 'assistant'))"""
 
+SQL["llm_base"] = """SELECT seq, timestamp_ms, pid // 15 AS pid, pid % 2 AS tid, k,
+        CASE WHEN k % 4 = 0 THEN 'req-' || seq END AS request_id, CASE WHEN k % 9 <> 0 THEN 'model-' || (k % 5) END AS model,
+        (k % 9 <> 0 OR k % 2 = 0) AS has_body FROM raw WHERE event_type = 'purchase'"""
+SQL["llm_events"] = """SELECT seq * 2 AS seq, timestamp_ms, pid, tid, 'request' AS kind, request_id, model, has_body,
+            CAST(NULL AS INTEGER) AS status_code FROM llm_base
+        UNION ALL SELECT seq * 2 + 1, timestamp_ms + k * 5000, pid, tid, 'response', request_id, NULL, true,
+            CASE WHEN k % 17 = 0 THEN 500 WHEN k % 13 = 0 THEN 429 ELSE 200 END FROM llm_base WHERE k % 7 <> 0"""
+SQL["llm_traffic"] = f"""SELECT seq, timestamp_ms, pid, tid, kind, request_id, model, has_body, status_code,
+        {_sql_list(COMMS)}[pid % 5 + 1] AS comm, CASE WHEN q % 6 = 0 THEN 'given' END AS provider,
+        {_sql_list(API_HOSTS)}[q % 4 + 1] AS host, {_sql_list(API_PATHS)}[q % 5 + 1] AS path,
+        CASE WHEN NOT has_body THEN NULL WHEN kind = 'request' THEN CASE q % 4
+            WHEN 0 THEN '{{"session_id":"s-' || pid || '"}}'
+            WHEN 1 THEN '{{"metadata":{{"sessionId":"s-' || pid || '"}},"conversation_id":"c1"}}'
+            WHEN 2 THEN '{{"metadata":{{"user_id":"u1_session_s-' || pid || '"}}}}' ELSE '{{"messages":[]}}' END
+        WHEN q % 11 = 0 THEN 'no json {{'
+        WHEN q % 3 = 0 THEN '{{"model":"r-' || (q % 4) || '","usage":{{"input_tokens":' || (q % 100) || ',"output_tokens":' || (q % 50)
+            || ',"cache_read_input_tokens":3}},"stop_reason":"end_turn"}}'
+        WHEN q % 3 = 1 THEN '{{"usage":{{"prompt_tokens":' || (q % 90) || ',"completion_tokens":' || (q % 40)
+            || '}},"choices":[{{"finish_reason":"stop"}}],"id":"x' || (q % 5) || '"}}'
+        ELSE '{{"usageMetadata":{{"promptTokenCount":' || (q % 70) || ',"candidatesTokenCount":' || (q % 30)
+            || ',"thoughtsTokenCount":2,"totalTokenCount":' || (q % 200) || '}}}}' END AS body
+        FROM (SELECT *, seq // 2 AS q FROM llm_events)"""
 SQL["fleet"] = "SELECT 'run-' || (seq % 2) AS run_id, 'm-' || (k % 2) AS machine, * FROM canon"
 
 # CTE dependencies, in definition order.
 SQL_DEPS = {
     "raw": [], "token_usage": ["raw"], "llm_calls": ["raw"], "sessions": ["raw"],
-    "canon": ["raw"], "fleet": ["canon"], "resource_samples": ["raw"], "proc_samples": ["raw"],
+    "canon": ["raw"], "fleet": ["canon"], "llm_base": ["raw"], "llm_events": ["llm_base"], "llm_traffic": ["llm_events"], "resource_samples": ["raw"], "proc_samples": ["raw"],
     "session_log": [], "http_base": [], "http": ["http_base"],
     "jsonl_base": [], "session_jsonl": ["jsonl_base"], "sse_bodies": [],
 }
