@@ -317,6 +317,55 @@ def test_session_process_matching(spark):
     assert "s4" not in got
 
 
+def test_session_process_matching_against_the_greedy_order(spark):
+    """Many sessions and processes of one directory, shared paths, bound and evidenced processes, on two machines."""
+    import random
+
+    from traceframe.operators import matching as MT
+    rng = random.Random(21)
+    sess, procs, ev, bound = [], [], [], []
+    for m in ("m1", "m2"):
+        n = 45
+        order = rng.sample(range(n), n)
+        sess += [(m, f"s{i}", rng.choice(["claude", "codex"]), f"/p/{i // 2}.jsonl", rng.randrange(0, 400) * 1000, rng.choice(["/w", "/w", "/v", "", None]), order[i]) for i in range(n)]
+        order = rng.sample(range(n), n)
+        procs += [(m, 100 + i, i, rng.choice(["claude", "codex"]), rng.choice([None] + [rng.randrange(0, 400) * 1000] * 9), rng.choice(["/w", "/w", "/v", None]), order[i]) for i in range(n)]
+        ev += [(m, 100 + rng.randrange(n), f"/p/{rng.randrange(n // 2)}.jsonl", rng.choice(["ebpf_file", "proc_fd"])) for _ in range(25)]
+        bound += [(m, 100 + i, i, f"/p/{rng.randrange(n // 2)}.jsonl") for i in rng.sample(range(n), 12)]
+    want = set()
+    for m in ("m1", "m2"):
+        by_pid, bind = {}, {p: path for mm, p, _, path in bound if mm == m}
+        for mm, p, path, trace in ev:
+            if mm == m:
+                have = by_pid.setdefault(p, {})
+                have[path] = "ebpf_file" if "ebpf_file" in (trace, have.get(path)) else "proc_fd"
+        ranked = []
+        for _, sid, agent, path, end, cwd, so in (s for s in sess if s[0] == m):
+            for _, pid, _, pagent, start, pcwd, po in (p for p in procs if p[0] == m):
+                if agent != pagent or (start is not None and end + 30_000 < start):
+                    continue
+                if pid in by_pid:
+                    trace = by_pid[pid].get(path)
+                else:
+                    trace = "sticky_binding" if bind.get(pid) == path else None
+                if trace:
+                    ranked.append((0, so, po, 0, 0, sid, pid, trace))
+                if pid not in by_pid and pid not in bind and cwd and cwd == pcwd and start is not None:
+                    ranked.append((1, abs(end - start), -end, so, po, sid, pid, "recent_cwd"))
+        used = set()
+        for *_, sid, pid, trace in sorted(ranked):
+            if sid not in used and pid not in used:
+                used |= {sid, pid}
+                want.add((m, sid, pid, trace))
+    got = MT.match_sessions(
+        spark.createDataFrame(sess, "machine string, session_id string, agent string, path string, end_ms bigint, cwd string, ord int"),
+        spark.createDataFrame(procs, "machine string, root_pid bigint, starttime_ticks bigint, agent string, start_ms bigint, cwd string, ord int"),
+        spark.createDataFrame(ev, "machine string, root_pid bigint, path string, trace string"),
+        spark.createDataFrame(bound, "machine string, root_pid bigint, starttime_ticks bigint, bound_path string"), ["machine"]).collect()
+    assert {(r.machine, r.session_id, r.root_pid, r.evidence) for r in got} == want and len(got) == len(want)
+    assert {t for *_, t in want} == set(MT.CONFIDENCE)
+
+
 def test_path_groups(spark):
     from traceframe.operators import sessionlog as SL
     rows = [("/repo/src/main.rs", "/repo"), ("/repo/collector/src/view/mod.rs", "/repo"), ("/tmp/x.log", "/repo"),

@@ -496,7 +496,7 @@ def _match_inputs(spark, sf):
         F.when(F.col("conv_id") % 7 == 3, F.when(F.col("agent") == "claude", "codex").otherwise("claude"))
          .otherwise(F.col("agent")).alias("agent"),
         (F.col("start_ms") - 1000).alias("start_ms"), F.col("cwd").alias("cwd"),
-        ((F.col("conv_id") * 37) % 101).alias("ord"))
+        ((F.col("conv_id") * 37) % 101 * 1000000 + F.col("conv_id")).alias("ord"))
     ev = sess.where(F.col("conv_id") % 3 != 2).select(
         (F.col("conv_id") + 1000).alias("root_pid"),
         F.when((F.col("conv_id") % 3 == 1) & (F.col("conv_id") % 2 == 1),
@@ -505,7 +505,38 @@ def _match_inputs(spark, sf):
     return sess, procs, ev
 
 
-@register("j10_match_sessions")
+# Greedy choice as a recursion over the ordered pairs of an agent, one at a step.
+_MATCH_SQL = [
+    ("sess", """SELECT conv_id, 'c-' || conv_id AS session_id, CASE WHEN conv_id % 2 = 0 THEN 'claude' ELSE 'codex' END AS agent,
+        '/sessions/c-' || conv_id || '.jsonl' AS path, max(timestamp_ms) AS end_ms, min(timestamp_ms) AS start_ms, '/work/c' || (conv_id % 5) AS cwd
+        FROM session_log GROUP BY conv_id"""),
+    ("procs", """SELECT conv_id + 1000 AS root_pid, conv_id * 10 AS starttime_ticks, CASE WHEN (conv_id % 7 = 3) = (agent = 'claude') THEN 'codex' ELSE 'claude' END AS agent,
+        start_ms - 1000 AS start_ms, cwd, (conv_id * 37) % 101 * 1000000 + conv_id AS p_ord FROM sess WHERE conv_id % 5 <> 4"""),
+    ("evidence", """SELECT conv_id + 1000 AS root_pid, CASE WHEN conv_id % 3 = 1 AND conv_id % 2 = 1 THEN '/sessions/c-' || (conv_id + 1) || '.jsonl' ELSE path END AS path,
+        CASE WHEN conv_id % 3 = 0 THEN 'ebpf_file' ELSE 'proc_fd' END AS trace FROM sess WHERE conv_id % 3 <> 2"""),
+    ("pairs1", """SELECT s.agent, s.session_id, p.root_pid, p.starttime_ticks, e.trace AS evidence,
+        row_number() OVER (PARTITION BY s.agent ORDER BY s.conv_id, p.p_ord) AS rn
+        FROM sess s JOIN evidence e ON e.path = s.path JOIN procs p ON p.root_pid = e.root_pid AND p.agent = s.agent AND s.end_ms + 30000 >= p.start_ms"""),
+    ("greedy1", """SELECT agent, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS used_s, CAST([] AS BIGINT[]) AS used_p, false AS taken FROM pairs1 WHERE rn = 1
+        UNION ALL SELECT agent, rn, CASE WHEN ok THEN list_append(used_s, session_id) ELSE used_s END, CASE WHEN ok THEN list_append(used_p, root_pid) ELSE used_p END, ok
+        FROM (SELECT p.*, g.used_s, g.used_p, NOT list_contains(g.used_s, p.session_id) AND NOT list_contains(g.used_p, p.root_pid) AS ok
+              FROM greedy1 g JOIN pairs1 p ON p.agent = g.agent AND p.rn = g.rn + 1)"""),
+    ("first", "SELECT p.* FROM pairs1 p JOIN greedy1 g ON g.agent = p.agent AND g.rn = p.rn WHERE g.taken"),
+    ("pairs2", """SELECT s.agent, s.session_id, p.root_pid, p.starttime_ticks, 'recent_cwd' AS evidence,
+        row_number() OVER (PARTITION BY s.agent ORDER BY abs(s.end_ms - p.start_ms), s.end_ms DESC, s.conv_id, p.p_ord) AS rn
+        FROM sess s JOIN procs p ON p.agent = s.agent AND p.cwd = s.cwd AND s.end_ms + 30000 >= p.start_ms
+        WHERE s.session_id NOT IN (SELECT session_id FROM first) AND p.root_pid NOT IN (SELECT root_pid FROM evidence)"""),
+    ("greedy2", """SELECT agent, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS used_s, CAST([] AS BIGINT[]) AS used_p, false AS taken FROM pairs2 WHERE rn = 1
+        UNION ALL SELECT agent, rn, CASE WHEN ok THEN list_append(used_s, session_id) ELSE used_s END, CASE WHEN ok THEN list_append(used_p, root_pid) ELSE used_p END, ok
+        FROM (SELECT p.*, g.used_s, g.used_p, NOT list_contains(g.used_s, p.session_id) AND NOT list_contains(g.used_p, p.root_pid) AS ok
+              FROM greedy2 g JOIN pairs2 p ON p.agent = g.agent AND p.rn = g.rn + 1)"""),
+    ("matches", """SELECT session_id, agent, root_pid, starttime_ticks, evidence,
+        CAST(CASE evidence WHEN 'ebpf_file' THEN 0.95 WHEN 'proc_fd' THEN 0.9 ELSE 0.55 END AS DOUBLE) AS confidence
+        FROM (SELECT * FROM first UNION ALL SELECT p.* FROM pairs2 p JOIN greedy2 g ON g.agent = p.agent AND g.rn = p.rn WHERE g.taken)"""),
+]
+
+
+@register("j10_match_sessions", W(["session_log"], "SELECT * FROM matches", _MATCH_SQL, recursive=True))
 def j10_match_sessions(spark, sf):
     sess, procs, ev = _match_inputs(spark, sf)
     return MT.match_sessions(sess, procs, ev)
@@ -648,12 +679,28 @@ def p2_fallback_tools(spark, sf):
         "call_no", F.col("call_no").cast("bigint"))
 
 
-@register("t4_live_agent_rows")
+def _top_sql(table, name):
+    return (f"SELECT session_id, string_agg(name || '(' || n || ')', ', ' ORDER BY n DESC, name) AS top FROM (SELECT *, row_number() OVER "
+            f"(PARTITION BY session_id ORDER BY n DESC, name) AS r FROM (SELECT session_id, {name} AS name, count(*) AS n "
+            f"FROM {table} WHERE {name} IS NOT NULL GROUP BY 1, 2)) WHERE r <= 10 GROUP BY session_id")
+
+
+@register("t4_live_agent_rows", W(["session_log", "session_jsonl"], """
+    SELECT s.session_id, s.agent, m.root_pid, m.evidence, m.confidence, m.root_pid % 97 / 10 AS cpu_percent, m.root_pid % 13 * 64 AS rss_mb,
+        t.top AS tools, f.top AS files, 'session' AS row_kind
+    FROM sess s LEFT JOIN matches m ON m.session_id = s.session_id LEFT JOIN top_tools t ON t.session_id = s.session_id
+        LEFT JOIN top_files f ON f.session_id = s.session_id
+    UNION ALL SELECT NULL, agent, root_pid, NULL, NULL, root_pid % 97 / 10, root_pid % 13 * 64, NULL, NULL, 'process'
+    FROM procs WHERE root_pid NOT IN (SELECT root_pid FROM matches)""", [*_P1_SQL, *_MATCH_SQL,
+    ("tool_paths", """SELECT session_id, coalesce(b->>'$.input.file_path', b->>'$.input.path') AS path
+        FROM blocks WHERE type = 'assistant' AND b->>'$.type' = 'tool_use'"""),
+    ("top_tools", _top_sql("tools", "tool_name")), ("top_files", _top_sql("tool_paths", "path"))], recursive=True))
 def t4_live_agent_rows(spark, sf):
     sess, procs, ev = _match_inputs(spark, sf)
     matches = MT.match_sessions(sess, procs, ev)
     _, tools, _ = _p1(spark, sf)
     counts = tools.groupBy("session_id", "tool_name").agg(F.count(F.lit(1)).alias("count"))
+    files = tools.where("input_path IS NOT NULL").groupBy("session_id", F.col("input_path").alias("path")).agg(F.count(F.lit(1)).alias("count"))
     metrics = procs.select("root_pid", "agent", (F.col("root_pid") % 97 / 10).alias("cpu_percent"),
                            (F.col("root_pid") % 13 * 64).alias("rss_mb"))
-    return MT.live_agent_rows(matches, sess, metrics, counts)
+    return MT.live_agent_rows(matches, sess, metrics, counts, files)
