@@ -249,6 +249,53 @@ def test_prompt_line_diff(spark):
     assert got == [(1, 1, 0), (2, 0, 2)]
 
 
+def test_line_diff_against_the_full_table_and_long_prompts():
+    import random
+    import time
+
+    from traceframe.operators.sessions import line_diff_counts
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = (["".join(rng.choice("abc") for _ in range(rng.randint(0, 2))) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        x, y = [t for t in a if t], [t for t in b if t]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, s in enumerate(x):
+            for j, t in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if s == t else max(best[i][j + 1], best[i + 1][j])
+        kept = best[-1][-1]
+        got = line_diff_counts("\n".join(a), "\n".join(b))
+        assert got == (None if not "\n".join(a) or not "\n".join(b) else (len(y) - kept, len(x) - kept))
+    lines = [f"line {i}" for i in range(100_000)]
+    other = list(lines)
+    for _ in range(2_000):
+        other[rng.randrange(len(other))] = "changed"
+    other = other[30_000:] + other[:30_000]
+    t0 = time.time()
+    added, removed = line_diff_counts("\n".join(lines), "\n".join(other))
+    assert added == removed and 30_000 <= added < 34_000 and time.time() - t0 < 60
+
+
+def test_sse_chunks_join_their_response(spark):
+    from traceframe.operators import sse as SSE
+
+    def delta(t):
+        return f'event: content_block_delta\ndata: {{"delta":{{"type":"text_delta","text":"{t}"}}}}\n\n'
+
+    stream, own = "text/event-stream", delta("own ")
+    rows = [("m", 1, 0, 1, "request", None, "q"), ("m", 2, 100, 1, "response", stream, f"{len(own):x}\r\n{own}\r\n0\r\n\r\n"),
+            ("m", 3, 5_100, 1, "sse_chunk", None, delta("a") + delta("b")), ("m", 4, 10_100, 1, "sse_chunk", None, delta("c")),
+            ("m", 5, 15_101, 1, "sse_chunk", None, delta("late")), ("m", 6, 15_200, 1, "sse_chunk", None, delta("none")),
+            ("m", 7, 16_000, 2, "response", stream, None), ("m", 8, 16_100, 1, "sse_chunk", None, delta("other thread")),
+            ("m", 9, 16_200, 2, "sse_chunk", None, delta("ended")), ("m", 10, 17_000, 1, "response", "text/html", "<p>"),
+            ("m", 11, 17_100, 1, "sse_chunk", None, delta("no stream")), ("n", 1, 16_050, 2, "response", stream, "x"),
+            ("n", 2, 16_060, 2, "sse_chunk", None, delta('{\\"k\\": 1}'))]
+    df = spark.createDataFrame(rows, "machine string, seq long, timestamp_ms long, tid long, type string, content_type string, body string")
+    for bucket in (50, 3_600_000):
+        out = {(r.machine, r.seq): (r.body, r.chunks, r.end_ms, r.is_json) for r in SSE.merge_sse_chunks(df, bucket_ms=bucket, scope=["machine"]).collect()}
+        assert out == {("m", 1): ("q", 0, 0, False), ("m", 2): ("own abc", 2, 10_100, False), ("m", 7): (None, 0, 16_000, False),
+                       ("m", 10): ("<p>", 0, 17_000, False), ("n", 1): ('{"k": 1}', 1, 16_060, True)}
+
+
 def test_usage_shapes(spark):
     from traceframe.operators import canonical as CN
     bodies = ['{"usage":{"prompt_tokens": 3, "completion_tokens": 4}}',

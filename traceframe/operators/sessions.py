@@ -205,47 +205,56 @@ def session_rollup(indexed: DataFrame) -> DataFrame:
 
 
 def line_diff_counts(old: str | None, new: str | None) -> tuple[int, int] | None:
-    """(added, removed) non-empty lines of a minimal line diff; None when a
-    side is missing (the prompts cannot be compared)."""
+    """(added, removed) lines of a minimal diff of the non-empty lines; None
+    when a side is missing (the prompts cannot be compared)."""
     if not old or not new:
         return None
-    a, b = old.split("\n"), new.split("\n")
-    # lines kept by the diff are an LCS; count the non-empty ones on each side
-    common = _lcs_pairs(a, b)
-    added = sum(1 for k, line in enumerate(b) if line and k not in common[1])
-    removed = sum(1 for k, line in enumerate(a) if line and k not in common[0])
-    return added, removed
-
-
-def _lcs_pairs(a: list, b: list) -> tuple[set, set]:
-    """Indices of a and b taking part in one longest common subsequence."""
-    n, m = len(a), len(b)
-    dp = [[0] * (m + 1) for _ in range(n + 1)]
-    for x in range(n - 1, -1, -1):
-        for y in range(m - 1, -1, -1):
-            dp[x][y] = dp[x + 1][y + 1] + 1 if a[x] == b[y] else max(dp[x + 1][y], dp[x][y + 1])
-    ia, ib, x, y = set(), set(), 0, 0
-    while x < n and y < m:
-        if a[x] == b[y]:
-            ia.add(x)
-            ib.add(y)
-            x += 1
-            y += 1
-        elif dp[x + 1][y] >= dp[x][y + 1]:
-            x += 1
-        else:
-            y += 1
-    return ia, ib
+    a, b = ([x for x in text.split("\n") if x] for text in (old, new))
+    kept = common_lines(a, b)
+    return len(b) - kept, len(a) - kept
+
+
+def common_lines(a: list[str], b: list[str]) -> int:
+    """Length of a longest common subsequence, in memory proportional to the
+    lines. Equal ends are cut and lines of one side only dropped; then one
+    bit of a number stands for each line of ``a``, and a line of ``b`` updates
+    all of them by an addition (the bit-parallel recurrence of the table's
+    row differences), so the cost is lines x lines / word size."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low:len(a) - high], b[low:len(b) - high]
+    shared = set(a) & set(b)
+    a, b = [x for x in a if x in shared], [x for x in b if x in shared]
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict[str, list[int]] = {}
+    for i, line in enumerate(a):
+        places.setdefault(line, []).append(i)
+    every = (1 << len(a)) - 1
+    row = every  # a zero bit: the common subsequence grows at this line of a
+    for line in b:
+        at = 0
+        for i in places[line]:
+            at |= 1 << i
+        hit = row & at
+        row = ((row + hit) | (row - hit)) & every
+    return low + high + len(a) - row.bit_count()
 
 
 def prompt_diffs(prompts: DataFrame, key: str = "session_id", order: str = "position",
                  text_col: str = "text", block: int = 1024) -> DataFrame:
     """Each prompt against the previous prompt of the same process or
-    session — added and removed line counts of a minimal line diff.
+    session — added and removed line counts of a minimal diff of the
+    non-empty lines.
 
     The previous prompt comes from a two-level lag (no single-partition
     window); only the paired rows reach the Arrow-batched pandas UDF that
-    runs the line diff (an LCS, not expressible in SQL)."""
+    counts common lines in memory proportional to the texts. Equal prompts
+    are settled without it."""
     from pyspark.sql.functions import pandas_udf
 
     from ..functions.scan import prev_value

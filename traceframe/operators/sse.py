@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scan import running_last
+from ..functions.scan import prev_value, running_last, running_sum
 
 WINDOW_MS = 600_000  # key of events before any message_start: pid:tid:10-minute window
 
@@ -62,6 +62,54 @@ def sse_events(df: DataFrame, body_col: str = "body") -> DataFrame:
     return x.withColumn("is_json", F.expr("try_parse_json(data)").isNotNull())
 
 
+def _delta_text(v: str) -> Column:
+    """The text of a content delta (text or thinking), else null."""
+    kind = F.expr(f"try_variant_get({v}, '$.delta.type', 'string')")
+    return F.when(F.col("event") == "content_block_delta",
+                  F.when(kind == "text_delta", F.expr(f"try_variant_get({v}, '$.delta.text', 'string')"))
+                  .when(kind == "thinking_delta", F.expr(f"try_variant_get({v}, '$.delta.thinking', 'string')")))
+
+
+def merge_sse_chunks(http: DataFrame, gap_ms: int = 5_000, bucket_ms: int = 3_600_000, scope: list[str] = ()) -> DataFrame:
+    """The offline timeline of requests and responses, streamed chunks
+    merged into the response they belong to.
+
+    ``http``: seq, timestamp_ms, tid, type ('request' | 'response' |
+    'sse_chunk'), content_type, body, and the ``scope`` columns; ``seq`` is
+    unique in a scope. In time order of a scope, a chunk belongs to an event
+    stream response while nothing but chunks of its thread lie between, each
+    at most ``gap_ms`` after the one before; the next message, a chunk of
+    another thread or a longer gap ends it, and chunks that follow belong to
+    nothing. A response's own chunked body comes first. Output: every request
+    and response with ``body`` (the merged text, unless empty), ``chunks``,
+    ``end_ms`` of the last chunk, and ``is_json`` for merged text that is a
+    JSON object.
+
+    Islands come from a two-level lag and running count, so a scope is never
+    one window; a message's deltas are one group."""
+    scope = list(scope)
+    order, bucket = ["timestamp_ms", "seq"], F.expr(f"timestamp_ms div {int(bucket_ms)}")
+    x = prev_value(http.withColumn("_at", F.struct("timestamp_ms", "tid")), scope, bucket, order, "_at", "_prev")
+    chunk = F.col("type") == "sse_chunk"
+    follows = chunk & F.col("_prev.tid").eqNullSafe(F.col("tid")) & (F.col("timestamp_ms") - F.col("_prev.timestamp_ms") <= gap_ms)
+    x = x.withColumn("_new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1).cast("bigint")).drop("_prev", "_at")
+    x = running_sum(x, scope, bucket, order, F.col("_new"), "_island").drop("_new")
+    key = [*scope, "_island"]
+    stream = (F.col("type") == "response") & F.coalesce(F.col("content_type").contains("text/event-stream"), F.lit(False))
+    # Of a response only chunked framing holds events; a chunk holds them as it is.
+    raw = x.select(*key, "type", *order, "content_type", F.when(chunk, F.col("body")).when(stream, clean_chunked(F.coalesce("body", F.lit("")))).alias("_raw"))
+    deltas = (sse_events(raw, "_raw").withColumn("_v", F.expr("try_parse_json(data)"))
+              .select(*key, F.struct("timestamp_ms", "seq", "block_no").alias("p"), _delta_text("_v").alias("t")).where("t is not null"))
+    texts = deltas.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda d: d["t"]), "").alias("_text"))
+    ends = x.groupBy(*key).agg(F.count_if(chunk).alias("_chunks"), F.max("timestamp_ms").alias("_end"))
+    y = (x.where(~chunk).join(ends, key, "left").join(texts, key, "left"))
+    mine = stream & (F.col("_text") != "")
+    return y.select(*scope, "seq", "timestamp_ms", "tid", "type", "content_type", F.when(mine, F.col("_text")).otherwise(F.col("body")).alias("body"),
+                    F.when(stream, F.col("_chunks")).otherwise(F.lit(0)).cast("bigint").alias("chunks"),
+                    F.when(stream, F.col("_end")).otherwise(F.col("timestamp_ms")).alias("end_ms"),
+                    F.coalesce(mine & F.ltrim("_text").startswith("{") & F.expr("try_parse_json(_text)").isNotNull(), F.lit(False)).alias("is_json"))
+
+
 def reassemble_sse(events: DataFrame, block_ms: int = 3_600_000) -> DataFrame:
     """Merged messages from SSE events (pid, tid, seq, timestamp_ms,
     block_no, event, data, is_json). One row per message with its text,

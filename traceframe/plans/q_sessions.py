@@ -412,8 +412,9 @@ def p10_cluster_tags(spark, sf):
 
 @register("w5_prompt_diffs")
 def w5_prompt_diffs(spark, sf):
-    prompts = FX.session_log(spark, sf).where(F.col("kind") == "prompt").select("session_id", "position", "text")
-    return S.prompt_diffs(prompts)
+    """Prompts with a word a line."""
+    prompts = FX.session_log(spark, sf).where(F.col("kind") == "prompt")
+    return S.prompt_diffs(prompts.select("session_id", "position", F.translate("text", " ", "\n").alias("text")))
 
 
 # ---- A11 / S5 over transcript sessions -----------------------------------------

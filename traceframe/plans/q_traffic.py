@@ -424,6 +424,28 @@ def r3_reassemble_sse(spark, sf):
     return SSE.reassemble_sse(SSE.sse_events(FX.sse_bodies(spark, sf)))
 
 
+_R4_SQL = _R3_SQL[:-3] + [
+    ("own", "SELECT seq, string_agg(txt, '' ORDER BY block_no) AS txt FROM r0 GROUP BY seq"),
+    ("chain", """SELECT t.*, CASE WHEN type = 'sse_chunk' AND tid = lag(tid) OVER w AND timestamp_ms - lag(timestamp_ms) OVER w <= 5000 THEN 0 ELSE 1 END AS new
+        FROM sse_timeline t WINDOW w AS (PARTITION BY run_id ORDER BY timestamp_ms, seq)"""),
+    ("isl4", "SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY timestamp_ms, seq) AS island FROM chain"),
+    ("said", """SELECT i.*, CASE WHEN i.seq % 4 = 3 THEN '!' WHEN i.seq % 4 = 2 OR i.seq % 4 = 1 AND i.body <> '' THEN o.txt ELSE '' END AS txt
+        FROM isl4 i LEFT JOIN own o ON o.seq = i.seq // 4"""),
+    ("merged", """SELECT run_id, island, string_agg(txt, '' ORDER BY timestamp_ms, seq) AS txt, count(*) FILTER (WHERE type = 'sse_chunk') AS chunks,
+        max(timestamp_ms) AS end_ms FROM said GROUP BY run_id, island"""),
+]
+
+
+@register("r4_merge_sse_chunks", W(["sse_timeline"], """
+    SELECT run_id, seq, timestamp_ms, tid, type, content_type, CASE WHEN s AND txt <> '' THEN txt ELSE body END AS body,
+        CASE WHEN s THEN chunks ELSE 0 END AS chunks, CASE WHEN s THEN end_ms ELSE timestamp_ms END AS end_ms,
+        coalesce(s AND starts_with(ltrim(txt), '{') AND json_valid(txt), false) AS is_json
+    FROM (SELECT i.*, m.txt, m.chunks, m.end_ms, coalesce(contains(content_type, 'event-stream'), false) AS s
+          FROM isl4 i JOIN merged m USING (run_id, island) WHERE type <> 'sse_chunk')""", _R4_SQL))
+def r4_merge_sse_chunks(spark, sf):
+    return SSE.merge_sse_chunks(FX.sse_timeline(spark, sf), scope=["run_id"])
+
+
 # ---- F1 / F2 / X1–X3: canonical events from raw envelopes --------------------------
 
 from ..operators import canonical as CN  # noqa: E402

@@ -415,6 +415,26 @@ def http_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # DuckDB twins of the derivations above (used by oracle SQL). Each entry is a
 # CTE body; ``with_fixtures(names, select)`` prefixes the needed ones.
 
+def sse_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, event stream responses and their chunks of two runs: some
+    chunks come too late, some from another thread."""
+    b = sse_bodies(spark, sf_dir)
+    run = F.format_string("run-%d", F.col("seq") % 2).alias("run_id")
+    none, t = F.lit(None).cast("string"), F.col("timestamp_ms")
+    whole = F.expr("seq div 1000") % 3 == 0
+
+    def rows(df, k, at, tid, kind, content_type, body):
+        return df.select(run, (F.col("seq") * 4 + k).alias("seq"), at.alias("timestamp_ms"), tid.alias("tid"), F.lit(kind).alias("type"),
+                         content_type.alias("content_type"), body.alias("body"))
+
+    html = F.when(F.col("seq") % 11 == 0, "text/html").otherwise("text/event-stream; charset=utf-8")
+    last = F.lit('event: content_block_delta\ndata: {"delta":{"type":"thinking_delta","thinking":"!"}}')
+    return (rows(b.where("seq % 2 = 0"), 0, t - 500, F.col("tid"), "request", none, F.lit("ask"))
+            .unionByName(rows(b, 1, t, F.col("tid"), "response", html, F.when(whole, F.col("body")).otherwise("")))
+            .unionByName(rows(b.where(~whole), 2, t + F.col("seq") % 7 * 1000, F.col("tid"), "sse_chunk", none, F.col("body")))
+            .unionByName(rows(b, 3, t + 8000, F.when(F.col("seq") % 5 == 0, F.col("tid") + 1).otherwise(F.col("tid")), "sse_chunk", none, last)))
+
+
 SQL: dict[str, str] = {
     "raw": f"""SELECT event_id AS seq, epoch_us(ts) // 1000 AS timestamp_ms, user_id AS pid,
         user_id AS tid, user_id // 2 AS ppid, {_sql_list(COMMS)}[user_id % 5 + 1] AS comm,
@@ -577,12 +597,21 @@ SQL["llm_traffic"] = f"""SELECT seq, timestamp_ms, pid, tid, kind, request_id, m
         FROM (SELECT *, seq // 2 AS q FROM llm_events)"""
 SQL["fleet"] = "SELECT 'run-' || (seq % 2) AS run_id, 'm-' || (k % 2) AS machine, * FROM canon"
 
+SQL["sse_timeline"] = """
+    SELECT 'run-' || (seq % 2) AS run_id, seq * 4 AS seq, timestamp_ms - 500 AS timestamp_ms, tid, 'request' AS type, NULL AS content_type, 'ask' AS body
+    FROM sse_bodies WHERE seq % 2 = 0
+    UNION ALL SELECT 'run-' || (seq % 2), seq * 4 + 1, timestamp_ms, tid, 'response', CASE WHEN seq % 11 = 0 THEN 'text/html' ELSE 'text/event-stream; charset=utf-8' END,
+        CASE WHEN seq // 1000 % 3 = 0 THEN body ELSE '' END FROM sse_bodies
+    UNION ALL SELECT 'run-' || (seq % 2), seq * 4 + 2, timestamp_ms + seq % 7 * 1000, tid, 'sse_chunk', NULL, body FROM sse_bodies WHERE seq // 1000 % 3 <> 0
+    UNION ALL SELECT 'run-' || (seq % 2), seq * 4 + 3, timestamp_ms + 8000, CASE WHEN seq % 5 = 0 THEN tid + 1 ELSE tid END, 'sse_chunk', NULL,
+        'event: content_block_delta' || chr(10) || 'data: {"delta":{"type":"thinking_delta","thinking":"!"}}' FROM sse_bodies"""
+
 # CTE dependencies, in definition order.
 SQL_DEPS = {
     "raw": [], "token_usage": ["raw"], "llm_calls": ["raw"], "sessions": ["raw"],
     "canon": ["raw"], "fleet": ["canon"], "llm_base": ["raw"], "llm_events": ["llm_base"], "llm_traffic": ["llm_events"], "resource_samples": ["raw"], "proc_samples": ["raw"],
     "session_log": [], "http_base": [], "http": ["http_base"],
-    "jsonl_base": [], "session_jsonl": ["jsonl_base"], "sse_bodies": [],
+    "jsonl_base": [], "session_jsonl": ["jsonl_base"], "sse_bodies": [], "sse_timeline": ["sse_bodies"],
 }
 
 
