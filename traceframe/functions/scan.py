@@ -92,3 +92,24 @@ def global_index(df: DataFrame, bucket: Column, order: list[str], out: str = "ro
     """0-based position of each row in a global order without a
     single-partition window: a running count over (bucket) blocks."""
     return running_sum(df, [], bucket, order, F.lit(1).cast("bigint"), out, inclusive=False)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], step: float) -> DataFrame:
+    """One row with the quantiles ``probs`` (name → probability) of a numeric
+    column, linearly interpolated between ranks as ``percentile`` does, null
+    without values. Values are counted first, so equal ones cost one row; ranks
+    come from a running sum over value buckets of width ``step``, so no task
+    and no aggregation buffer holds all values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sum(counts, [], F.floor(F.col("_q") / step), ["_q"], F.col("_n"), "_upto")
+    total = counts.agg(F.sum("_n")).scalar()
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > rank, F.col("_q")))
+
+    picks = []
+    for name, p in probs.items():
+        place = F.lit(p) * (total - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        picks.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    return ranked.agg(*picks)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import prev_value, running_sum
+
 
 def summarize_events(events: DataFrame, interval_ms: int = 5_000,
                      detail_col: str = "detail", bytes_col: str = "bytes") -> DataFrame:
@@ -22,26 +24,26 @@ def summarize_events(events: DataFrame, interval_ms: int = 5_000,
 
 
 def collapse_file_opens(opens: DataFrame, window_ms: int = 60_000,
-                        instance_col: str = "process_id") -> DataFrame:
+                        instance_col: str = "process_id", bucket_ms: int = 3_600_000) -> DataFrame:
     """Repeated opens of one (pid, path) within ``window_ms`` of the last
     one collapse into one row with a count; flags of the first open are kept;
     a process exit (a new instance) splits.
 
-    Built on ``session_window``: the gap is ``window_ms + 1`` ms so that opens
-    exactly ``window_ms`` apart merge (the expiry test is strictly greater).
-    Session merging runs partially before the shuffle, so a hot (pid, path)
-    is pre-merged per input partition.
+    Gaps and islands: the previous open of a (pid, path, instance) and the
+    number of islands before it come from two-level scans, so a path that is
+    opened all the time is no single window; an island is a partial aggregate.
+    (The stream form uses ``session_window``.)
     """
-    ts = F.timestamp_millis(F.col("timestamp_ms"))
-    gap = f"{int(window_ms) + 1} milliseconds"
     keys = ["pid", "path"] + ([instance_col] if instance_col in opens.columns else [])
-    g = (opens.withColumn("_ts", ts)
-         .groupBy(*keys, F.session_window("_ts", gap).alias("_sw"))
-         .agg(F.min_by("flags", F.struct("timestamp_ms", "seq")).alias("flags"),
-              F.count(F.lit(1)).alias("count"),
-              F.min("timestamp_ms").alias("first_timestamp_ms"),
-              F.max("timestamp_ms").alias("last_timestamp_ms")))
-    return g.drop("_sw")
+    bucket, order = F.expr(f"timestamp_ms div {int(bucket_ms)}"), ["timestamp_ms", "seq"]
+    x = opens.select(F.struct(*keys).alias("_k"), *order, "flags")
+    x = prev_value(x, ["_k"], bucket, order, "timestamp_ms", "_before")
+    gap = F.col("_before").isNull() | (F.col("timestamp_ms") - F.col("_before") > window_ms)
+    x = running_sum(x, ["_k"], bucket, order, gap.cast("bigint"), "_island")
+    return (x.groupBy("_k", "_island")
+            .agg(F.min_by("flags", F.struct(*order)).alias("flags"), F.count(F.lit(1)).alias("count"),
+                 F.min("timestamp_ms").alias("first_timestamp_ms"), F.max("timestamp_ms").alias("last_timestamp_ms"))
+            .select("_k.*", "flags", "count", "first_timestamp_ms", "last_timestamp_ms"))
 
 
 def rate_limit(events: DataFrame, per_second: int = 30) -> DataFrame:

@@ -102,7 +102,7 @@ def audit_from_events(canon: DataFrame) -> DataFrame:
 
 
 def attach_process(audit: DataFrame, nodes: DataFrame, bucket_ms: int = 3600 * 1000,
-                   key: str = "id", before_col: str | None = None,
+                   key: str = "id", before_key: bool = False,
                    max_buckets: int = 256, scope: list[str] = ()) -> DataFrame:
     """The process instance of each audit row.
 
@@ -137,21 +137,18 @@ def attach_process(audit: DataFrame, nodes: DataFrame, bucket_ms: int = 3600 * 1
     n = (n.where(lo <= hi)
          .select(*keys, "process_id", "_s", "_has_start", "_e",
                  F.explode(F.sequence(bucket(lo), bucket(hi))).alias("_nb")))
-    a = audit
-    for c in [*scope, "pid"]:
-        a = a.withColumn(f"_r_{c}" if c != "pid" else "_rpid", F.col(c))
-    a = a.join(rng, keys, "left").withColumn("_nb", bucket(F.col("timestamp_ms"))).drop("_t0", "_t1", "_bw")
-    inside = (n["_s"] <= a["timestamp_ms"]) & (n["_e"].isNull() | (a["timestamp_ms"] <= n["_e"]))
-    if before_col is not None:
-        inside &= F.struct(n["_s"], n["process_id"]) < F.struct(a["timestamp_ms"], a[before_col])
-    same = a["_nb"] == n["_nb"]
-    for c in keys:
-        same &= a[c] == n[c]
-    j = a.join(n, same & inside, "left")
-    best = F.max_by(F.col("process_id"), F.struct("_s", "_has_start", "process_id"))
-    others = [c for c in audit.columns if c not in (key, *scope)]
-    return (j.groupBy(*[a[c] for c in scope], a[key]).agg(*[F.first(a[c]).alias(c) for c in others],
-                                                         best.alias("process_id")))
+    # Only ids, pids and times meet the lives and are aggregated; the other columns are joined back by id.
+    own = {f"_r_{c}": F.col(c) for c in scope} | {"_rpid": F.col("pid")}
+    a = audit.select(*[c.alias(n) for n, c in own.items()], F.col(key).alias("_key"), F.col("timestamp_ms").alias("_ts"))
+    a = a.join(rng, keys).withColumn("_nb", bucket(F.col("_ts")))
+    inside = (F.col("_s") <= F.col("_ts")) & (F.col("_e").isNull() | (F.col("_ts") <= F.col("_e")))
+    if before_key:
+        inside &= F.struct("_s", "process_id") < F.struct("_ts", "_key")
+    best = F.max_by("process_id", F.struct("_s", "_has_start", "process_id")).alias("process_id")
+    by_key = [*keys[:-1], "_key"]
+    found = a.join(n, [*keys, "_nb"]).where(inside).groupBy(*by_key).agg(best)
+    found = found.select(*[F.col(f"_r_{c}").alias(c) for c in scope], F.col("_key").alias(key), "process_id")
+    return audit.join(found, [*scope, key], "left").select(*scope, key, *[c for c in audit.columns if c not in (key, *scope)], "process_id")
 
 
 def process_edges(canon: DataFrame) -> DataFrame:
@@ -181,7 +178,7 @@ def process_parents(nodes: DataFrame, bucket_ms: int = 3600 * 1000, scope: list[
     child = nodes.select(*scope, F.col("id").alias("child_id"), F.col("ppid").alias("pid"),
                          F.coalesce("start_timestamp_ms", F.lit(0)).alias("timestamp_ms"))
     child = child.where(F.col("pid").isNotNull())
-    j = attach_process(child, nodes, bucket_ms, key="child_id", before_col="child_id", scope=scope)
+    j = attach_process(child, nodes, bucket_ms, key="child_id", before_key=True, scope=scope)
     return j.select(*scope, "child_id", F.col("process_id").alias("parent_id"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scan import prev_value
+
 TICKS_PER_SECOND = 100
 
 
@@ -36,15 +38,18 @@ def resource_stats(samples: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("samples"))
 
 
-def cpu_io_delta(proc: DataFrame, tps: int = TICKS_PER_SECOND) -> DataFrame:
+def cpu_io_delta(proc: DataFrame, tps: int = TICKS_PER_SECOND, bucket_ms: int = 3_600_000) -> DataFrame:
     """CPU percent, CPU ms and IO deltas between consecutive samples of a
     process instance (pid, starttime). The first sample uses the lifetime
-    average ``ticks / tps / (uptime - start / tps)``; deltas never go negative.
+    average ``ticks / tps / (uptime - start / tps)``; deltas never go negative. The
+    previous sample comes from a two-level lag, so an instance is no single
+    window.
     """
-    w = Window.partitionBy("pid", "starttime_ticks").orderBy("sample_ts", "seq")
-    prev_ticks = F.lag("ticks").over(w)
-    prev_ts = F.lag("sample_ts").over(w)
-    d_ticks = F.greatest(F.col("ticks") - prev_ticks, F.lit(0))
+    last = ["ticks", "sample_ts", "read_bytes", "write_bytes"]
+    proc = prev_value(proc.withColumn("_now", F.struct(*last)), ["pid", "starttime_ticks"], F.expr(f"sample_ts div {int(bucket_ms)}"),
+                      ["sample_ts", "seq"], "_now", "_last")
+    prev_ts = F.col("_last.sample_ts")
+    d_ticks = F.greatest(F.col("ticks") - F.col("_last.ticks"), F.lit(0))
     d_wall_s = (F.col("sample_ts") - prev_ts) / 1000
     lifetime = (F.col("ticks") / tps) / F.greatest(
         F.col("uptime_s") - F.col("starttime_ticks") / tps, F.lit(0.001)) * 100
@@ -53,15 +58,15 @@ def cpu_io_delta(proc: DataFrame, tps: int = TICKS_PER_SECOND) -> DataFrame:
         "seq", "sample_ts", "pid", "starttime_ticks", "rss_kb",
         F.round(cpu, 4).alias("cpu_percent"),
         F.coalesce(d_ticks * (1000 // tps), F.lit(0)).cast("bigint").alias("cpu_ms"),
-        F.coalesce(F.greatest(F.col("read_bytes") - F.lag("read_bytes").over(w), F.lit(0)), F.lit(0))
+        F.coalesce(F.greatest(F.col("read_bytes") - F.col("_last.read_bytes"), F.lit(0)), F.lit(0))
          .cast("bigint").alias("read_delta"),
-        F.coalesce(F.greatest(F.col("write_bytes") - F.lag("write_bytes").over(w), F.lit(0)), F.lit(0))
+        F.coalesce(F.greatest(F.col("write_bytes") - F.col("_last.write_bytes"), F.lit(0)), F.lit(0))
          .cast("bigint").alias("write_delta"))
 
 
 def family_metrics(proc: DataFrame, lineage: DataFrame, snapshot_ms: int = 60_000,
                    cpu_threshold: float = 80.0, rss_threshold_mb: float = 1024.0) -> DataFrame:
-    """Per root process and snapshot the summed CPU% and RSS of its family.
+    """Per root process and snapshot the summed CPU%, RSS and VSZ of its family.
 
     Samples are aligned to ``snapshot_ms`` buckets (the latest sample of each
     pid per bucket stands for that snapshot), then summed over the family
@@ -69,11 +74,12 @@ def family_metrics(proc: DataFrame, lineage: DataFrame, snapshot_ms: int = 60_00
     """
     snap = (proc.withColumn("snapshot", F.expr(f"sample_ts div {int(snapshot_ms)}"))
             .groupBy("pid", "snapshot")
-            .agg(F.max_by(F.struct("cpu_percent", "rss_kb"), F.struct("sample_ts", "seq")).alias("_l")))
+            .agg(F.max_by(F.struct("cpu_percent", "rss_kb", "vsz_kb"), F.struct("sample_ts", "seq")).alias("_l")))
     fam = snap.join(lineage.select("pid", "root_pid"), "pid")
     out = fam.groupBy("root_pid", "snapshot").agg(
         F.round(F.sum("_l.cpu_percent"), 4).alias("cpu_percent"),
         (F.sum("_l.rss_kb") / 1024).alias("rss_mb"),
+        (F.sum("_l.vsz_kb") / 1024).alias("vsz_mb"),
         F.count(F.lit(1)).alias("processes"))
     return out.withColumn("alert", (F.col("cpu_percent") > cpu_threshold)
                           | (F.col("rss_mb") > rss_threshold_mb))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import exact_quantiles, prev_value
+
 CRLF = "\r\n"
 
 # handshake/protocol-overhead path patterns (case-insensitive),
@@ -89,13 +91,16 @@ def simple_timeline(http: DataFrame) -> DataFrame:
                        F.when(F.col("message_type") == "request", req).otherwise(resp).alias("line"))
 
 
-def pair_by_tid(http: DataFrame) -> DataFrame:
+def pair_by_tid(http: DataFrame, bucket_ms: int = 600_000) -> DataFrame:
     """A response pairs with the request right before it on the same tid
     (the last request wins; a response consumes it). Output one row per
-    paired response with request fields prefixed ``req_``."""
-    w = Window.partitionBy("tid").orderBy("timestamp_ms", "seq")
-    x = http.select("*", *[F.lag(c).over(w).alias(f"_p_{c}") for c in
-                           ("message_type", "seq", "timestamp_ms", "method", "path", "host")])
+    paired response with request fields prefixed ``req_``. The row before comes
+    from a two-level lag, so a busy thread is no single window; messages
+    without a thread pair with nothing."""
+    before = ["message_type", "seq", "timestamp_ms", "method", "path", "host"]
+    x = http.where("tid is not null").select("tid", "status_code", "content_type", *before, F.struct(*before).alias("_now"))
+    x = prev_value(x, ["tid"], F.expr(f"timestamp_ms div {int(bucket_ms)}"), ["timestamp_ms", "seq"], "_now", "_p")
+    x = x.select("*", *[F.col(f"_p.{c}").alias(f"_p_{c}") for c in before])
     paired = x.where((F.col("message_type") == "response") & (F.col("_p_message_type") == "request"))
     return paired.select(
         "tid", F.col("_p_seq").alias("req_seq"), F.col("seq").alias("resp_seq"),
@@ -150,17 +155,19 @@ def response_metrics(http: DataFrame) -> DataFrame:
     lat = F.when(F.col("resp.timestamp_ms") > F.col("req.timestamp_ms"),
                  F.col("resp.timestamp_ms") - F.col("req.timestamp_ms")).cast("double")
     p = p.withColumn("latency_ms", lat).withColumn("size", F.length("resp.body"))
-    return p.agg(
+    row = p.agg(
         F.count("latency_ms").alias("samples"),
         F.round(F.avg("latency_ms"), 4).alias("mean_ms"),
-        F.round(F.percentile("latency_ms", 0.5), 4).alias("median_ms"),
         F.min("latency_ms").alias("min_ms"),
         F.max("latency_ms").alias("max_ms"),
         F.round(F.stddev_samp("latency_ms"), 4).alias("stddev_ms"),
-        F.round(F.percentile("latency_ms", 0.95), 4).alias("p95_ms"),
-        F.round(F.percentile("latency_ms", 0.99), 4).alias("p99_ms"),
         F.round(F.avg("size"), 4).alias("avg_size"),
         F.count_if(F.col("resp.seq").isNotNull()).alias("responses"))
+    ranks = exact_quantiles(p, "latency_ms", {"median_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, 1_000)
+    both = row.unionByName(ranks, allowMissingColumns=True)  # two one-row frames folded
+    cols = ["samples", "mean_ms", "median_ms", "min_ms", "max_ms", "stddev_ms", "p95_ms", "p99_ms", "avg_size", "responses"]
+    return both.agg(*[F.max(c).alias(c) for c in cols]).select(
+        *[F.round(c, 4).alias(c) if c in ("median_ms", "p95_ms", "p99_ms") else F.col(c) for c in cols])
 
 
 def top_values(df: DataFrame, category: str, value: Column, n: int | None, order_col: str = "seq") -> DataFrame:
@@ -176,14 +183,32 @@ def top_values(df: DataFrame, category: str, value: Column, n: int | None, order
 
 def communication_patterns(http: DataFrame) -> DataFrame:
     """Request methods (top 10), protocols, normalised paths (top 20),
-    response content types (top 10)."""
+    response content types (top 10), the number of event-stream responses
+    (category ``sse_responses``) and the numbers of different methods, paths
+    and content types (category ``unique``)."""
     req = http.where(F.col("message_type") == "request")
     resp = http.where(F.col("message_type") == "response")
     return (top_values(req, "request_method", F.coalesce("method", F.lit("unknown")), 10)
             .unionByName(top_values(req, "protocol", F.coalesce("protocol", F.lit("unknown")), None))
             .unionByName(top_values(req, "path", normalize_path(F.coalesce("path", F.lit("unknown"))), 20))
             .unionByName(top_values(resp, "response_content_type",
-                                    F.coalesce("content_type", F.lit("unknown")), 10)))
+                                    F.coalesce("content_type", F.lit("unknown")), 10))
+            .unionByName(_pattern_counts(req, resp)))
+
+
+def _pattern_counts(req: DataFrame, resp: DataFrame) -> DataFrame:
+    """One-row counts of A20 in the columns of ``top_values``."""
+    asked = req.agg(F.count_distinct(F.coalesce("method", F.lit("unknown"))).alias("methods"),
+                    F.count_distinct(normalize_path(F.coalesce("path", F.lit("unknown")))).alias("paths"))
+    told = resp.agg(F.count_distinct(F.coalesce("content_type", F.lit("unknown"))).alias("content_types"),
+                    F.count_if(F.coalesce(F.col("content_type").contains("text/event-stream"), F.lit(False))).alias("sse"))
+    none = F.lit(None).cast("bigint").alias("first_seq")
+    out = None
+    for frame, category, name, column in ((asked, "unique", "methods", "methods"), (asked, "unique", "paths", "paths"),
+                                          (told, "unique", "content_types", "content_types"), (told, "sse_responses", "text/event-stream", "sse")):
+        part = frame.select(F.lit(name).alias("value"), F.col(column).alias("count"), none, F.lit(category).alias("category"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def content_stats(http: DataFrame) -> DataFrame:

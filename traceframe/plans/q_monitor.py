@@ -165,11 +165,11 @@ _LINEAGE = [
 
 
 @register("a32_family_metrics", W(["proc_samples"], """
-    SELECT root_pid, snapshot, round(sum(cpu_percent), 4) AS cpu_percent, sum(rss_kb) / 1024 AS rss_mb,
+    SELECT root_pid, snapshot, round(sum(cpu_percent), 4) AS cpu_percent, sum(rss_kb) / 1024 AS rss_mb, sum(vsz_kb) / 1024 AS vsz_mb,
         count(*) AS processes, (round(sum(cpu_percent), 4) > 80.0 OR sum(rss_kb) / 1024 > 1024.0) AS alert
     FROM (SELECT pid, sample_ts // 60000 AS snapshot,
                  last(cpu_percent ORDER BY sample_ts, seq) AS cpu_percent,
-                 last(rss_kb ORDER BY sample_ts, seq) AS rss_kb
+                 last(rss_kb ORDER BY sample_ts, seq) AS rss_kb, last(vsz_kb ORDER BY sample_ts, seq) AS vsz_kb
           FROM proc_samples GROUP BY pid, snapshot) s JOIN lineage USING (pid)
     GROUP BY root_pid, snapshot""", _LINEAGE, recursive=True))
 def a32_family_metrics(spark, sf):

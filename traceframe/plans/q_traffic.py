@@ -191,7 +191,12 @@ _NORM = ("regexp_replace(regexp_replace(regexp_replace(split_part(coalesce(path,
     _top_sql("request_method", "coalesce(method, 'unknown')", "message_type = 'request'", 10),
     _top_sql("protocol", "coalesce(protocol, 'unknown')", "message_type = 'request'", None),
     _top_sql("path", _NORM, "message_type = 'request'", 20),
-    _top_sql("response_content_type", "coalesce(content_type, 'unknown')", "message_type = 'response'", 10)])))
+    _top_sql("response_content_type", "coalesce(content_type, 'unknown')", "message_type = 'response'", 10),
+    "SELECT 'unique', 'methods', count(DISTINCT coalesce(method, 'unknown')), NULL FROM http WHERE message_type = 'request'",
+    f"SELECT 'unique', 'paths', count(DISTINCT {_NORM}), NULL FROM http WHERE message_type = 'request'",
+    "SELECT 'unique', 'content_types', count(DISTINCT coalesce(content_type, 'unknown')), NULL FROM http WHERE message_type = 'response'",
+    "SELECT 'sse_responses', 'text/event-stream', count(*) FILTER (WHERE contains(content_type, 'text/event-stream')), NULL FROM http "
+    "WHERE message_type = 'response'"])))
 def a20_communication_patterns(spark, sf):
     return H.communication_patterns(FX.http_messages(spark, sf))
 

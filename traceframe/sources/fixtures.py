@@ -185,6 +185,7 @@ def proc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("/repo/u%d", F.col("pid") % 7).alias("cwd"),
         F.sum("k").over(w).alias("ticks"),
         (F.col("k") * 1024).alias("rss_kb"),
+        (F.col("k") * 1024 * 5 + F.col("pid")).alias("vsz_kb"),
         F.sum(F.col("k") * 100).over(w).alias("read_bytes"),
         F.sum((F.col("k") % 7) * 1000).over(w).alias("write_bytes"),
         F.col("value").alias("cpu_percent"),
@@ -482,7 +483,7 @@ SQL: dict[str, str] = {
     "resource_samples": """SELECT seq, timestamp_ms, pid, comm, value AS cpu_percent, k * 10 AS rss_mb FROM raw""",
     "proc_samples": """SELECT seq, timestamp_ms AS sample_ts, pid, pid * 100 AS starttime_ticks, ppid, comm,
         '/usr/bin/' || comm AS command, '/repo/u' || (pid % 7) AS cwd,
-        CAST(sum(k) OVER w AS BIGINT) AS ticks, k * 1024 AS rss_kb,
+        CAST(sum(k) OVER w AS BIGINT) AS ticks, k * 1024 AS rss_kb, k * 1024 * 5 + pid AS vsz_kb,
         CAST(sum(k * 100) OVER w AS BIGINT) AS read_bytes, CAST(sum((k % 7) * 1000) OVER w AS BIGINT) AS write_bytes,
         value AS cpu_percent, (timestamp_ms - 1704067200000) / 1000 + 1000 AS uptime_s
         FROM raw WINDOW w AS (PARTITION BY pid ORDER BY timestamp_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
