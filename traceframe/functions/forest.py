@@ -34,21 +34,31 @@ def _nodes(nodes: DataFrame, scope: list[str], node: str, parent: str, **extra:
             .agg(F.max("parent").alias("parent"), *[F.max(n).alias(n) for n in extra]))
 
 
-def _arrive(table: DataFrame) -> DataFrame:
-    """Jumps the rows (node, at, depth, low, done) until all are done; the rest runs in cycles and keeps done = false."""
+LOOKUPS = 3  # jumps of a round, all through the same table: it reaches four times as far
+
+
+def _arrive(table: DataFrame) -> tuple[DataFrame, bool]:
+    """Jumps the rows (node, at, depth, low, stopped, done) until all are done;
+    rows that run in cycles keep done = false. Second: whether there are such."""
     table, reach, n = stored(table), 1, None
-    while not (active := table.where("not done")).isEmpty():
-        n = active.count() if n is None else n
-        if reach > 2 * n:
-            break  # as many steps as there are nodes: what is left never ends
-        ahead = table.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"),
-                             F.col("low").alias("_low"), F.col("done").alias("_done"))
-        moved = active.join(ahead, "at").select("node", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"),
-                                                F.least("low", "_low").alias("low"), F.col("_done").alias("done"))
+    while left := table.where("not done").count():
+        n = n or left
+        if reach > 4 * n:
+            return table, True  # as many steps as there are nodes: what is left never ends
+        ahead = table.select(F.col("node").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("at", "depth", "low", "stopped", "done")])
+        moved = table.where("not done")
+        for _ in range(LOOKUPS):
+            # Rows that have arrived meet their own row, not the one many share.
+            moved = (moved.withColumn("_key", F.when(F.col("done"), F.col("node")).otherwise(F.col("at"))).join(ahead, "_key")
+                     .select("node", F.when(F.col("done"), F.col("at")).otherwise(F.col("_at")).alias("at"),
+                             F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("_depth")).alias("depth"),
+                             F.when(F.col("done"), F.col("low")).otherwise(F.least("low", "_low")).alias("low"),
+                             F.when(F.col("done"), F.col("stopped")).otherwise(F.col("_stopped")).alias("stopped"),
+                             (F.col("done") | F.col("_done")).alias("done")))
         after = stored(table.where("done").unionByName(moved))
         discard(table)
-        table, reach = after, 2 * reach
-    return table
+        table, reach = after, reach * (LOOKUPS + 1)
+    return table, False
 
 
 def nearest(nodes: DataFrame, node: str, parent: str, stop: Column | None = None, scope: list[str] = ()) -> DataFrame:
@@ -56,24 +66,25 @@ def nearest(nodes: DataFrame, node: str, parent: str, stop: Column | None = None
     above it for which ``stop`` holds, else its root; ``depth`` is the number of
     edges there and ``stopped`` tells which of the two it is."""
     scope = list(scope)
-    rows = stored(_nodes(nodes, scope, node, parent, stop=F.coalesce(stop, F.lit(False)) if stop is not None else F.lit(False)))
+    rows = _nodes(nodes, scope, node, parent, stop=F.coalesce(stop, F.lit(False)) if stop is not None else F.lit(False))
 
     def start(cut: DataFrame | None) -> DataFrame:
         parents = rows if cut is None else rows.join(cut.withColumn("_cut", F.lit(True)), "node", "left")
-        end = F.coalesce("stop", F.lit(False)) | F.col("parent").isNull()
+        stopped = F.coalesce("stop", F.lit(False))
+        end = stopped | F.col("parent").isNull()
         end = end if cut is None else end | F.coalesce("_cut", F.lit(False))
         return parents.select("node", F.when(end, F.col("node")).otherwise(F.col("parent")).alias("at"),
-                              F.when(end, 0).otherwise(1).cast("long").alias("depth"), F.col("node").alias("low"), end.alias("done"))
+                              F.when(end, 0).otherwise(1).cast("long").alias("depth"), F.col("node").alias("low"), stopped.alias("stopped"), end.alias("done"))
 
-    table = _arrive(start(None))
-    if not (endless := table.where("not done")).isEmpty():
+    table, endless = _arrive(start(None))
+    if endless:
         # Far enough up, every pointer is on its cycle; the least node seen from there is the cycle's least.
-        cut = stored(endless.select(F.col("at").alias("node")).distinct().join(table, "node").select(F.col("low").alias("node")).distinct())
+        on_cycle = table.where("not done").select(F.col("at").alias("node")).distinct()
+        cut = stored(on_cycle.join(table, "node").select(F.col("low").alias("node")).distinct())
         discard(table)
-        table = _arrive(start(cut))
-    marks = rows.select(F.col("node").alias("at"), F.coalesce("stop", F.lit(False)).alias("stopped"))
-    return (table.join(marks, "at").select(*[F.col(f"node.{c}").alias(c) for c in scope], F.col("node._id").alias("node"),
-                                           F.col("at._id").alias("root"), F.col("depth").cast("int").alias("depth"), "stopped"))
+        table, _ = _arrive(start(cut))
+    return table.select(*[F.col(f"node.{c}").alias(c) for c in scope], F.col("node._id").alias("node"),
+                        F.col("at._id").alias("root"), F.col("depth").cast("int").alias("depth"), "stopped")
 
 
 def with_ancestors(nodes: DataFrame, node: str, parent: str, marked: Column, scope: list[str] = ()) -> DataFrame:
