@@ -58,7 +58,8 @@ def duck(sf_dir):
     return con
 
 
-def check(spark, sf_dir, names=None, verbose=True):
+def check(spark, sf_dir, names=None, verbose=True, plans=None):
+    """Results by query; ``plans``, if given, takes the executed plan of each."""
     import __spark_entry__ as E
     qs, orc = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
@@ -70,6 +71,8 @@ def check(spark, sf_dir, names=None, verbose=True):
         try:
             df = fn(spark, sf_dir)
             cols = df.columns
+            if plans is not None:
+                plans[name] = df._jdf.queryExecution().executedPlan().toString()
             srows = [tuple(r) for r in df.collect()]
         except Exception as exc:  # report and continue
             results[name] = f"SPARK ERROR {type(exc).__name__}: {str(exc)[:300]}"

@@ -1,11 +1,9 @@
 """Every registered query agrees with its DuckDB oracle on the smallest tables,
 and queries without an oracle at least run."""
 
-from oracle_check import check
 
-
-def test_queries_match_oracles(spark):
-    res = check(spark, "/root/testdata/sf0.001", verbose=False)
+def test_queries_match_oracles(checked):
+    res, _ = checked
     bad = {k: v for k, v in res.items() if not (v.startswith("OK") or v.startswith("rows-only"))}
     assert not bad, bad
     assert len(res) >= 60

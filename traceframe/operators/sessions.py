@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import sanitize_identifier, short_session_id
 from ..functions.scan import next_value, running_last, running_sum
 
 UNMATCHED = "unmatched"
@@ -133,7 +134,7 @@ def tag_counts(ptag: DataFrame, llm: DataFrame) -> DataFrame:
 
 
 def tag_totals(sess: DataFrame, ptag: DataFrame, llm: DataFrame) -> DataFrame:
-    """Totals and matched counts per kind (one row)."""
+    """Totals, matched counts and coverage per kind (one row)."""
     s = sess.agg(F.count(F.lit(1)).alias("total_sessions"),
                  F.count_if(F.col("session_tag") != UNMATCHED).alias("matched_sessions"))
     p = ptag.agg(F.count(F.lit(1)).alias("total_prompts"),
@@ -143,12 +144,27 @@ def tag_totals(sess: DataFrame, ptag: DataFrame, llm: DataFrame) -> DataFrame:
     parts = s.unionByName(p, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
     cols = ["total_sessions", "matched_sessions", "total_prompts", "matched_prompts",
             "total_llm_calls", "matched_llm_calls"]
-    return parts.agg(*[F.max(x).alias(x) for x in cols])
+    row = parts.agg(*[F.max(x).alias(x) for x in cols])
+    share = [F.round(F.try_divide(F.col(f"matched_{k}") * 100, F.col(f"total_{k}")), 4).alias(f"{k}_coverage_pct")
+             for k in ("sessions", "prompts", "llm_calls")]
+    return row.select("*", *share)
+
+
+def unmatched_samples(sess: DataFrame, ptag: DataFrame, llm: DataFrame, n: int = 30) -> DataFrame:
+    """The first ``n`` untagged sessions, prompts and responses, by
+    session, kind (session, prompt, llm) and position (a report's top-n)."""
+    rows = (sess.where(F.col("session_tag") == UNMATCHED).select("session_id", F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("position"))
+            .unionByName(ptag.where(F.col("tag") == UNMATCHED).select("session_id", F.lit(1).alias("rank"), F.col("position").cast("bigint").alias("position")))
+            .unionByName(llm.where(F.col("tag") == UNMATCHED).select("session_id", F.lit(2).alias("rank"), F.col("position").cast("bigint").alias("position"))))
+    kind = F.element_at(F.array(F.lit("session"), F.lit("prompt"), F.lit("llm")), F.col("rank") + 1)
+    return rows.orderBy("session_id", "rank", "position").limit(n).select("session_id", kind.alias("kind"), "position")
 
 
 def tag_distribution(counts: DataFrame) -> DataFrame:
     """Per kind, over matched tags: tag count, total, top1/3/5 share (%),
-    normalised entropy."""
+    normalised entropy, and the quality warnings that apply: dominant (top1
+    over 40 %), top3 (over 80 % of more than three tags), few (under 5 tags)
+    or fragmented (over 25), uneven (entropy under 0.5 of more than three)."""
     c = (counts.where(~F.col("tag").endswith(":" + UNMATCHED))
          .withColumn("kind", F.substring_index("tag", ":", 1)))
     w = Window.partitionBy("kind").orderBy(F.col("count").desc(), F.col("tag").asc())
@@ -163,13 +179,13 @@ def tag_distribution(counts: DataFrame) -> DataFrame:
     # entropy from the per-kind count list (bounded by the number of tags)
     ent = F.aggregate(F.col("_counts"), F.lit(0.0),
                       lambda acc, v: acc - (v / F.col("total")) * F.log(v / F.col("total")))
-    return g.select(
-        "kind", "num_tags", "total",
-        F.round(F.col("_t1") / F.col("total") * 100, 4).alias("top1_pct"),
-        F.round(F.col("_t3") / F.col("total") * 100, 4).alias("top3_pct"),
-        F.round(F.col("_t5") / F.col("total") * 100, 4).alias("top5_pct"),
-        F.round(F.when(F.col("num_tags") > 1, ent / F.log(F.col("num_tags").cast("double")))
-                .otherwise(F.lit(0.0)), 6).alias("normalized_entropy"))
+    top = [F.round(F.col(f"_t{k}") / F.col("total") * 100, 4).alias(f"top{k}_pct") for k in (1, 3, 5)]
+    even = F.when(F.col("num_tags") > 1, ent / F.log(F.col("num_tags").cast("double"))).otherwise(F.lit(0.0))
+    many = F.col("num_tags") > 3
+    rules = {"dominant": F.col("_t1") / F.col("total") > 0.4, "top3": (F.col("_t3") / F.col("total") > 0.8) & many, "few": F.col("num_tags") < 5,
+             "fragmented": F.col("num_tags") > 25, "uneven": (even < 0.5) & many}
+    warnings = F.concat_ws(",", *[F.when(c, name) for name, c in rules.items()])
+    return g.select("kind", "num_tags", "total", *top, F.round(even, 6).alias("normalized_entropy"), warnings.alias("warnings"))
 
 
 def event_durations(events: DataFrame, keys=("session_id",), block_ms: int = 3_600_000) -> DataFrame:
@@ -301,6 +317,57 @@ def latest_sessions(sessions: DataFrame, key: str = "display_id", updated: str =
     return best.orderBy(F.col(updated).desc(), F.col(key).asc()).limit(limit)
 
 
+def _counts_map(rows: DataFrame, name: str, out: str) -> DataFrame:
+    """session_id → map of name → count; the map has one entry a name, counted before it is built."""
+    counts = rows.where(F.col(name).isNotNull()).groupBy("session_id", name).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "_n")))).alias(out))
+
+
+def agent_sessions(prompts: DataFrame, tools: DataFrame, llm: DataFrame, agent: str) -> DataFrame:
+    """A9 over the child tables of a transcript (``sessionlog.session_events``):
+    one row a session with start, end, model of the last response, tokens,
+    ``model_usage`` (model → input, output, cache, total), ``tools`` and
+    ``files`` (name → count), first prompt and time of the last message.
+    Sessions without tokens, tools, prompt and model do not occur here."""
+    parts = ["input_tokens", "output_tokens", "cache_tokens"]
+    usage = (llm.groupBy("session_id", "model").agg(*[F.sum(c).cast("bigint").alias(c) for c in parts], F.max(F.struct("position", "timestamp_ms")).alias("_last"))
+             .withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens") + F.col("cache_tokens")))
+    sums = [F.sum(c).cast("bigint").alias(c) for c in [*parts, "total_tokens"]]
+    models = usage.groupBy("session_id").agg(
+        *sums, F.max_by("model", F.struct("_last", "model")).alias("model"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", F.struct(*parts, "total_tokens").alias("usage"))))).alias("model_usage"))
+    times = None
+    for child in (prompts, tools, llm):
+        rows = child.select("session_id", "timestamp_ms")
+        times = rows if times is None else times.unionByName(rows)
+    span = times.groupBy("session_id").agg(F.min("timestamp_ms").alias("start_timestamp_ms"), F.max("timestamp_ms").alias("end_timestamp_ms"))
+    said = prompts.groupBy("session_id").agg(F.min_by("text", "position").alias("first_prompt"))
+    out = span.join(models, "session_id", "left").join(_counts_map(tools, "tool_name", "tools"), "session_id", "left") \
+        .join(_counts_map(tools, "input_path", "files"), "session_id", "left").join(said, "session_id", "left")
+    display = F.concat(F.lit(f"{agent}:"), short_session_id(F.col("session_id")))
+    return out.select("session_id", F.lit(agent).alias("agent_type"), display.alias("display_id"), "start_timestamp_ms", "end_timestamp_ms", "model",
+                      *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in [*parts, "total_tokens"]], "model_usage", "tools", "files", "first_prompt")
+
+
+def session_tables(sessions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The session, token and tool rows of ``agent_sessions``: one token
+    row for each model with tokens, one tool row for each call."""
+    view = F.concat(F.lit("local:"), F.col("agent_type"), F.lit(":"), F.col("display_id"))
+    x = sessions.withColumn("view_id", view)
+    fixed = [F.lit("agent_native_session").alias("view_source"), F.lit(0.95).cast("double").alias("confidence")]
+    rows = x.select(F.col("view_id").alias("id"), "agent_type", "start_timestamp_ms", "end_timestamp_ms", F.lit("observed").alias("status"), "model",
+                    "input_tokens", "output_tokens", "total_tokens", "session_id", "first_prompt", *fixed)
+    u = x.select("view_id", "agent_type", F.col("end_timestamp_ms").alias("timestamp_ms"), F.explode("model_usage").alias("model", "u")).where("u.total_tokens > 0")
+    tokens = u.select(F.concat(F.lit("token-"), F.col("view_id"), F.lit("-"), sanitize_identifier(F.col("model"))).alias("id"),
+                      F.concat_ws("-", "view_id", "model").alias("llm_call_id"), "timestamp_ms", F.col("agent_type").alias("comm"), "model", "u.*",
+                      F.lit("agent_native_session").alias("source"), *fixed)
+    calls = session_tool_rows(x.select(F.col("view_id").alias("session_id"), "tools")).join(
+        x.select(F.col("view_id").alias("session_id"), F.col("end_timestamp_ms").alias("timestamp_ms")), "session_id")
+    tools = calls.select(F.format_string("tool-%s-%s-%d", "session_id", sanitize_identifier(F.col("tool_name")), F.col("call_no") - 1).alias("id"),
+                         "session_id", "timestamp_ms", "tool_name", F.lit("observed").alias("status"), *fixed)
+    return rows, tokens, tools
+
+
 def session_tool_rows(sessions: DataFrame, tools_col: str = "tools") -> DataFrame:
     """A session's ``tools`` map (name → count) as one tool-call row per
     call (explode of the map, then of ``sequence(1, count)``)."""

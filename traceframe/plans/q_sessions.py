@@ -117,24 +117,40 @@ def a15_tag_counts(spark, sf):
 
 
 @register("a15_tag_totals", W(["session_log"], """
+    SELECT *, round(matched_sessions * 100 / total_sessions, 4) AS sessions_coverage_pct, round(matched_prompts * 100 / total_prompts, 4) AS prompts_coverage_pct,
+        round(matched_llm_calls * 100 / total_llm_calls, 4) AS llm_calls_coverage_pct FROM (
     SELECT (SELECT count(*) FROM sess) AS total_sessions,
         (SELECT count(*) FROM sess WHERE session_tag <> 'unmatched') AS matched_sessions,
         (SELECT count(*) FROM ptag) AS total_prompts,
         (SELECT count(*) FROM ptag WHERE tag <> 'unmatched') AS matched_prompts,
         (SELECT count(*) FROM llm) AS total_llm_calls,
-        (SELECT count(*) FROM llm WHERE tag <> 'unmatched') AS matched_llm_calls""", TAG_CTES))
+        (SELECT count(*) FROM llm WHERE tag <> 'unmatched') AS matched_llm_calls)""", TAG_CTES))
 def a15_tag_totals(spark, sf):
     _, sess, ptag, llm = _tagged(spark, sf)
     return S.tag_totals(sess, ptag, llm)
 
 
+@register("a15_unmatched_samples", W(["session_log"], """
+    SELECT session_id, kind, position FROM (
+        SELECT session_id, 0 AS r, 'session' AS kind, NULL AS position FROM sess WHERE session_tag = 'unmatched'
+        UNION ALL SELECT session_id, 1, 'prompt', position FROM ptag WHERE tag = 'unmatched'
+        UNION ALL SELECT session_id, 2, 'llm', position FROM llm WHERE tag = 'unmatched')
+    ORDER BY session_id, r, position LIMIT 30""", TAG_CTES))
+def a15_unmatched_samples(spark, sf):
+    _, sess, ptag, llm = _tagged(spark, sf)
+    return S.unmatched_samples(sess, ptag, llm)
+
+
 @register("a16_tag_distribution", W(["session_log"], """
     SELECT kind, count(*) AS num_tags, CAST(sum(count) AS BIGINT) AS total,
         round(sum(count) FILTER (WHERE r <= 1) / sum(count) * 100, 4) AS top1_pct,
         round(sum(count) FILTER (WHERE r <= 3) / sum(count) * 100, 4) AS top3_pct,
         round(sum(count) FILTER (WHERE r <= 5) / sum(count) * 100, 4) AS top5_pct,
         round(CASE WHEN count(*) > 1 THEN sum(-(count / t) * ln(count / t)) / ln(count(*)) ELSE 0.0 END, 6)
-            AS normalized_entropy
+            AS normalized_entropy,
+        concat_ws(',', CASE WHEN top1_pct > 40 THEN 'dominant' END, CASE WHEN top3_pct > 80 AND num_tags > 3 THEN 'top3' END,
+            CASE WHEN num_tags < 5 THEN 'few' END, CASE WHEN num_tags > 25 THEN 'fragmented' END,
+            CASE WHEN normalized_entropy < 0.5 AND num_tags > 3 THEN 'uneven' END) AS warnings
     FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY count DESC, tag) AS r,
                  sum(count) OVER (PARTITION BY kind) AS t
           FROM (SELECT tag, count, split_part(tag, ':', 1) AS kind FROM counts WHERE NOT ends_with(tag, ':unmatched')))
@@ -680,6 +696,70 @@ def p2_fallback_tools(spark, sf):
         "call_no", F.col("call_no").cast("bigint"))
 
 
+# ---- A9 / A11 over transcript sessions: whole rows -----------------------------------
+
+def _sessions(spark, sf):
+    return S.agent_sessions(*_p1(spark, sf), "claude")
+
+
+def _map_text(col, value):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(col)), lambda e: F.concat_ws("=", e["key"], value(e["value"]))), ",")
+
+
+_SHORT = "CASE WHEN length(session_id) <= 12 THEN session_id ELSE left(session_id, 6) || '.' || right(session_id, 5) END"
+_A9_SQL = _P1_SQL + [
+    ("usage", """SELECT session_id, model, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(output_tokens) AS BIGINT) AS o, CAST(sum(cache_tokens) AS BIGINT) AS c,
+        max(position) AS last FROM llm GROUP BY 1, 2"""),
+    ("children", "SELECT session_id, timestamp_ms FROM prompts UNION ALL SELECT session_id, timestamp_ms FROM tools UNION ALL SELECT session_id, timestamp_ms FROM llm"),
+    ("names", """SELECT session_id, 'tools' AS kind, tool_name AS name, count(*) AS n FROM tools GROUP BY ALL
+        UNION ALL SELECT session_id, 'files', coalesce(b->>'$.input.file_path', b->>'$.input.path') AS name, count(*) FROM blocks
+            WHERE type = 'assistant' AND b->>'$.type' = 'tool_use' AND coalesce(b->>'$.input.file_path', b->>'$.input.path') IS NOT NULL GROUP BY ALL"""),
+    ("agent_sessions", f"""SELECT s.session_id, 'claude' AS agent_type, 'claude:' || {_SHORT.replace('session_id', 's.session_id')} AS display_id, start_timestamp_ms, end_timestamp_ms, model,
+            coalesce(i, 0) AS input_tokens, coalesce(o, 0) AS output_tokens, coalesce(c, 0) AS cache_tokens, coalesce(i + o + c, 0) AS total_tokens,
+            model_usage, t.text AS tools, f.text AS files, first_prompt
+        FROM (SELECT session_id, min(timestamp_ms) AS start_timestamp_ms, max(timestamp_ms) AS end_timestamp_ms FROM children GROUP BY 1) s
+        LEFT JOIN (SELECT session_id, arg_max(model, last) AS model, CAST(sum(i) AS BIGINT) AS i, CAST(sum(o) AS BIGINT) AS o, CAST(sum(c) AS BIGINT) AS c,
+                string_agg(model || '=' || i || '/' || o || '/' || c || '/' || (i + o + c), ',' ORDER BY model) AS model_usage FROM usage GROUP BY 1) u USING (session_id)
+        LEFT JOIN (SELECT session_id, string_agg(name || '=' || n, ',' ORDER BY name) AS text FROM names WHERE kind = 'tools' GROUP BY 1) t USING (session_id)
+        LEFT JOIN (SELECT session_id, string_agg(name || '=' || n, ',' ORDER BY name) AS text FROM names WHERE kind = 'files' GROUP BY 1) f USING (session_id)
+        LEFT JOIN (SELECT session_id, arg_min(text, position) AS first_prompt FROM prompts GROUP BY 1) p USING (session_id)"""),
+]
+_NATIVE_SQL = "'agent_native_session' AS view_source, CAST(0.95 AS DOUBLE) AS confidence"
+
+
+@register("a9_agent_sessions", W(["session_jsonl"], "SELECT * FROM agent_sessions", _A9_SQL))
+def a9_agent_sessions(spark, sf):
+    """Session rows of transcripts; maps as sorted text."""
+    count = lambda v: v.cast("string")
+    usage = lambda v: F.concat_ws("/", v["input_tokens"], v["output_tokens"], v["cache_tokens"], v["total_tokens"])
+    return (_sessions(spark, sf).withColumn("model_usage", _map_text(F.col("model_usage"), usage))
+            .withColumn("tools", _map_text(F.col("tools"), count)).withColumn("files", _map_text(F.col("files"), count)))
+
+
+@register("a11_session_rows", W(["session_jsonl"], f"""
+    SELECT 'local:claude:' || display_id AS id, agent_type, start_timestamp_ms, end_timestamp_ms, 'observed' AS status, model, input_tokens,
+        output_tokens, total_tokens, session_id, first_prompt, {_NATIVE_SQL} FROM agent_sessions""", _A9_SQL))
+def a11_session_rows(spark, sf):
+    return S.session_tables(_sessions(spark, sf))[0]
+
+
+@register("a11_token_rows", W(["session_jsonl"], f"""
+    SELECT 'token-local:claude:' || display_id || '-' || regexp_replace(u.model, '[^A-Za-z0-9]', '-', 'g') AS id,
+        'local:claude:' || display_id || '-' || u.model AS llm_call_id, end_timestamp_ms AS timestamp_ms, 'claude' AS comm, u.model, i AS input_tokens,
+        o AS output_tokens, c AS cache_tokens, i + o + c AS total_tokens, 'agent_native_session' AS source, {_NATIVE_SQL}
+    FROM agent_sessions s JOIN usage u USING (session_id) WHERE i + o + c > 0""", _A9_SQL))
+def a11_token_rows(spark, sf):
+    return S.session_tables(_sessions(spark, sf))[1]
+
+
+@register("a11_tool_call_rows", W(["session_jsonl"], f"""
+    SELECT 'tool-local:claude:' || display_id || '-' || regexp_replace(name, '[^A-Za-z0-9]', '-', 'g') || '-' || k AS id,
+        'local:claude:' || display_id AS session_id, end_timestamp_ms AS timestamp_ms, name AS tool_name, 'observed' AS status, {_NATIVE_SQL}
+    FROM (SELECT session_id, name, unnest(range(0, n)) AS k FROM names WHERE kind = 'tools') JOIN agent_sessions USING (session_id)""", _A9_SQL))
+def a11_tool_call_rows(spark, sf):
+    return S.session_tables(_sessions(spark, sf))[2]
+
+
 def _top_sql(table, name):
     return (f"SELECT session_id, string_agg(name || '(' || n || ')', ', ' ORDER BY n DESC, name) AS top FROM (SELECT *, row_number() OVER "
             f"(PARTITION BY session_id ORDER BY n DESC, name) AS r FROM (SELECT session_id, {name} AS name, count(*) AS n "
