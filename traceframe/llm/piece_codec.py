@@ -36,10 +36,10 @@ from .common import columns, vocabulary_path
 
 MARK = "▁"
 #: Characters that the table of a task holds before it starts anew.
-TABLE_CHARS = 1 << 22
-SLICE_CHARS = 1 << 20
+TABLE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 18
 #: Ids of one result batch, and of one call of the library's decoder.
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 PART_IDS = 1 << 16
 
 _MARKED = re.compile(" +[^ ]*")
