@@ -396,6 +396,107 @@ def w12_tool_status(spark, sf):
     return _p1(spark, sf)[1].groupBy("status").agg(F.count(F.lit(1)).alias("tools"))
 
 
+# ---- P1: rollout and document dialects; the oracles skip JSON and read the conversations -----
+
+from ..operators import dialects as DI  # noqa: E402
+
+_TOOL_SQL = [(n, q) for n, q in _P1_SQL if n in ("tools1", "tools2", "tools3", "tools3b", "tools")]
+_AT = f"{FX.EPOCH_2024_MS} + conv_id * 3600000 + turn * 60000"
+_RSID = ("CASE WHEN conv_id % 4 <> 3 AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'user') "
+         "THEN 'sess-' || conv_id ELSE 'r-' || conv_id END")
+_COUNTER = "CASE WHEN turn >= 5 THEN turn * 2 ELSE turn * (turn + 1) END"
+_RUSAGE = f"""'{{"input_tokens":' || ({_COUNTER}) || ',"output_tokens":' || turn || ',"total_tokens":' || (({_COUNTER}) + turn) || '}}'"""
+_RLAST = ("""'{"cached_input_tokens":' || (turn % 4) || ',"input_tokens":' || (turn * 3) || ',"output_tokens":' || (conv_id % 11) """
+          """|| ',"total_tokens":' || (turn * 3 + conv_id % 11) || '}'""")
+_ROLLOUT_SQL = [
+    ("context", "SELECT conv_id, turn * 10 AS position, 'model-' || ((conv_id + turn) % 4) AS model FROM conversations WHERE turn % 3 = 0"),
+    ("said", f"""SELECT conv_id, turn * 10 + 1 AS position, {_AT} AS timestamp_ms, {_clean_sql('text')} AS text FROM conversations
+            WHERE role = 'assistant' AND {_clean_sql('text')} IS NOT NULL"""),
+    ("reports", f"""SELECT conv_id, turn * 10 + 4 AS position, {_AT} AS timestamp_ms, left(sha256({_RLAST}), 12) AS text_hash,
+            turn * 3 AS input_tokens, conv_id % 11 AS output_tokens, turn % 4 AS cache_tokens, turn * 3 + conv_id % 11 AS total_tokens
+            FROM conversations WHERE role = 'assistant' AND turn % 5 <> 4
+            UNION ALL SELECT conv_id, turn * 10 + 5, {_AT}, left(sha256({_RUSAGE}), 12), {_COUNTER}, turn, 0, ({_COUNTER}) + turn
+            FROM conversations WHERE role = 'assistant' AND turn % 3 = 0"""),
+    ("counted", "SELECT * FROM reports WHERE total_tokens > 0"),
+    ("fills", """SELECT conv_id, position, (SELECT max(s.position) FROM said s WHERE s.conv_id = r.conv_id AND s.position < r.position) AS target,
+            r.* EXCLUDE (conv_id, position) FROM counted r"""),
+    ("filling", "SELECT * FROM fills WHERE target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, target ORDER BY position) = 1"),
+    ("answers", """SELECT s.conv_id, s.position, s.timestamp_ms, left(sha256(s.text), 12) AS text_hash,
+            coalesce(f.input_tokens, 0) AS input_tokens, coalesce(f.output_tokens, 0) AS output_tokens,
+            coalesce(f.cache_tokens, 0) AS cache_tokens, coalesce(f.total_tokens, 0) AS total_tokens
+            FROM said s LEFT JOIN filling f ON s.conv_id = f.conv_id AND s.position = f.target
+            UNION ALL SELECT conv_id, position, timestamp_ms, text_hash, input_tokens, output_tokens, cache_tokens, total_tokens FROM counted c
+            WHERE NOT EXISTS (SELECT 1 FROM filling f WHERE f.conv_id = c.conv_id AND f.position = c.position)"""),
+    ("ran", f"""SELECT {_RSID} AS session_id, turn * 10 + 2 AS position, {_AT} AS timestamp_ms, 'call-' || conv_id || '-' || turn AS call_id,
+            CASE WHEN conv_id % 5 = 0 THEN 'plain words ' || turn
+                 ELSE ['cargo test --all', 'ls -la /repo', 'git commit -m fix'][(conv_id + turn) % 3 + 1] END AS command, conv_id, turn
+            FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 3 = 1"""),
+    ("tools0", "SELECT session_id, position, timestamp_ms, 'exec_command' AS tool_name, call_id, command FROM ran"),
+    ("results", "SELECT session_id, call_id, conv_id % 3 = 1 AS is_error FROM ran WHERE (conv_id + turn) % 7 <> 0 AND conv_id % 3 <> 2"),
+    *_TOOL_SQL,
+]
+_TOOL_COLS = ["session_id", "position", "timestamp_ms", "tool_name", "call_id", "command", "status", "category", "command_name", "effect"]
+
+
+@register("p1_rollout_prompts", f"""SELECT {_RSID} AS session_id, turn * 10 + 1 AS position, {_AT} AS timestamp_ms, {_clean_sql('text')} AS text,
+    left(sha256({_clean_sql('text')}), 12) AS text_hash FROM conversations WHERE role = 'user' AND {_clean_sql('text')} IS NOT NULL""")
+def p1_rollout_prompts(spark, sf):
+    return DI.rollout_events(FX.rollout_jsonl(spark, sf))[0]
+
+
+@register("p1_rollout_tools", W([], "SELECT * FROM tools", _ROLLOUT_SQL))
+def p1_rollout_tools(spark, sf):
+    return DI.rollout_events(FX.rollout_jsonl(spark, sf))[1].select(*_TOOL_COLS, F.array_join("domains", ",").alias("domains"))
+
+
+@register("p1_rollout_responses", W([], f"""SELECT {_RSID} AS session_id, {_RSID} || ':' || position AS message_id, position, timestamp_ms,
+    coalesce((SELECT arg_max(x.model, x.position) FROM context x WHERE x.conv_id = a.conv_id AND x.position <= a.position), 'codex') AS model,
+    input_tokens, output_tokens, cache_tokens, total_tokens, text_hash FROM answers a""", _ROLLOUT_SQL))
+def p1_rollout_responses(spark, sf):
+    return DI.rollout_events(FX.rollout_jsonl(spark, sf))[2]
+
+
+@register("p1_rollout_usage", W([], f"""
+    SELECT {_RSID} AS session_id, model, arg_max(i, position) AS input_tokens, arg_max(o, position) AS output_tokens, arg_max(i + o, position) AS total_tokens,
+        CAST(sum(CASE WHEN i >= bi THEN i - bi ELSE i END) AS BIGINT) AS added_input_tokens,
+        CAST(sum(CASE WHEN o >= bo THEN o - bo ELSE o END) AS BIGINT) AS added_output_tokens,
+        CAST(sum(CASE WHEN i + o >= bi + bo THEN i + o - bi - bo ELSE i + o END) AS BIGINT) AS added_total_tokens
+    FROM (SELECT *, coalesce(lag(i) OVER w, 0) AS bi, coalesce(lag(o) OVER w, 0) AS bo FROM (
+        SELECT r.conv_id, r.position, turn AS o, {_COUNTER} AS i,
+            coalesce((SELECT arg_max(x.model, x.position) FROM context x WHERE x.conv_id = r.conv_id AND x.position <= r.position), 'unknown') AS model
+        FROM (SELECT *, position // 10 AS turn FROM reports) r) WINDOW w AS (PARTITION BY conv_id ORDER BY position))
+    GROUP BY conv_id, model""", _ROLLOUT_SQL))
+def p1_rollout_usage(spark, sf):
+    return DI.rollout_usage(FX.rollout_jsonl(spark, sf))
+
+
+_DOC = f"""SELECT *, CASE WHEN conv_id % 5 <> 0 THEN 'doc-' || conv_id ELSE 'session-' || conv_id END AS session_id, {_AT} AS timestamp_ms,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations"""
+
+
+@register("p1_document_prompts", W([], f"""SELECT session_id, position, timestamp_ms, {_clean_sql('text')} AS text,
+    left(sha256({_clean_sql('text')}), 12) AS text_hash FROM d WHERE role = 'user' AND {_clean_sql('text')} IS NOT NULL""", [("d", _DOC)]))
+def p1_document_prompts(spark, sf):
+    return DI.document_events(FX.session_documents(spark, sf))[0]
+
+
+@register("p1_document_tools", W([], "SELECT * FROM tools", [
+    ("d", _DOC), ("tools0", "SELECT session_id, position, timestamp_ms, 'Read' AS tool_name, 'tc-' || conv_id || '-' || turn AS call_id, "
+                  "'/repo/f' || turn || '.py' AS command FROM d WHERE role = 'assistant' AND (conv_id + turn) % 4 = 1"),
+    ("results", "SELECT '' AS session_id, '' AS call_id, false AS is_error WHERE false"), *_TOOL_SQL]))
+def p1_document_tools(spark, sf):
+    return DI.document_events(FX.session_documents(spark, sf))[1].select(*_TOOL_COLS, F.array_join("domains", ",").alias("domains"))
+
+
+@register("p1_document_responses", W([], """SELECT session_id, session_id || ':' || position AS message_id, position, timestamp_ms,
+    CASE WHEN turn % 4 <> 3 THEN 'flash-' || (conv_id % 3) ELSE 'gemini' END AS model,
+    CASE WHEN turn % 3 <> 2 THEN turn * 7 ELSE 0 END AS input_tokens, CASE WHEN turn % 3 <> 2 THEN conv_id % 9 ELSE 0 END AS output_tokens,
+    CASE WHEN turn % 3 <> 2 THEN turn % 2 ELSE 0 END AS cache_tokens, CASE WHEN turn % 3 <> 2 THEN turn * 7 + conv_id % 9 ELSE 0 END AS total_tokens,
+    left(sha256(text), 12) AS text_hash FROM d WHERE role = 'assistant' AND (trim(text) <> '' OR turn % 3 <> 2)""", [("d", _DOC)]))
+def p1_document_responses(spark, sf):
+    return DI.document_events(FX.session_documents(spark, sf))[2]
+
+
 # ---- P9 / P10: cached and clustered tags ---------------------------------------
 
 from ..operators import tagging as TG  # noqa: E402

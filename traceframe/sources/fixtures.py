@@ -332,6 +332,83 @@ def session_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(system)
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = F.col("conv_id"), F.col("turn")
+    iso = F.date_format(F.timestamp_millis(F.lit(EPOCH_2024_MS) + c * 3600000 + t * 60000), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", iso.alias("timestamp"))
+
+
+def rollout_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of the rollout dialect (file, line_no, line): model changes,
+    user and agent messages in both shapes, function calls and outputs, token
+    reports with running counters that begin anew at turn 5."""
+    c, t = F.col("conv_id"), F.col("turn")
+    base = _turns(spark, sf_dir).withColumn("file", F.format_string("/home/u/.codex/sessions/r-%d.jsonl", c))
+    user, asst = F.col("role") == "user", F.col("role") == "assistant"
+    sid = F.when(c % 4 != 3, F.format_string("sess-%d", c)).alias("session_id")
+
+    def lines(where, offset, typ, payload):
+        body = F.struct(F.lit(typ).alias("type"), "timestamp", payload.alias("payload"))
+        return base.where(where).select("file", (t * 10 + offset).alias("line_no"), F.to_json(body).alias("line"))
+
+    def typed(name, *fields):
+        return F.struct(F.lit(name).alias("type"), *fields)
+
+    turn = F.struct(F.lit("message").alias("type"), "timestamp", sid, F.array(
+        F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("string").alias("content")),
+        F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("left out").alias("content"))).alias("content"))
+    args = F.when(c % 5 == 0, F.format_string("plain words %d", t)).otherwise(
+        F.format_string('{"cmd":"%s"}', F.element_at(F.array(*[F.lit(x) for x in ("cargo test --all", "ls -la /repo", "git commit -m fix")]),
+                                                     ((c + t) % 3 + 1).cast("int"))))
+    call_id = F.format_string("call-%d-%d", c, t).alias("call_id")
+    has_call = asst & ((c + t) % 3 == 1)
+    output = F.when(c % 3 == 0, "Process exited with code 0").when(c % 3 == 1, "Process exited with code 2").otherwise("done")
+    counter = F.struct(F.when(t >= 5, t * 2).otherwise(t * (t + 1)).alias("input_tokens"), t.alias("output_tokens"),
+                       (F.when(t >= 5, t * 2).otherwise(t * (t + 1)) + t).alias("total_tokens"))
+    last = F.struct((t * 3).alias("input_tokens"), (c % 11).alias("output_tokens"), (t % 4).alias("cached_input_tokens"),
+                    (t * 3 + c % 11).alias("total_tokens"))
+    parts = [
+        lines(t % 3 == 0, 0, "turn_context", F.struct(F.format_string("model-%d", (c + t) % 4).alias("model"))),
+        lines(user & (c % 3 != 0), 1, "event_msg", typed("user_message", F.col("text").alias("message"), sid)),
+        base.where(user & (c % 3 == 0)).select("file", (t * 10 + 1).alias("line_no"), F.to_json(turn).alias("line")),
+        lines(asst & (t % 4 != 3), 1, "event_msg", typed("agent_message", F.col("text").alias("message"))),
+        lines(asst & (t % 4 == 3), 1, "response_item", typed("message", F.col("text").alias("content"))),
+        lines(has_call, 2, "response_item", typed("function_call", F.lit("exec_command").alias("name"), args.alias("arguments"), call_id)),
+        lines(has_call & ((c + t) % 7 != 0), 3, "response_item", typed("function_call_output", call_id, output.alias("output"))),
+        lines(asst & (t % 5 != 4), 4, "event_msg", typed("token_count", F.struct(last.alias("last_token_usage"), counter.alias("total_token_usage")).alias("info"))),
+        lines(asst & (t % 3 == 0), 5, "event_msg", typed("token_count", F.struct(counter.alias("total_token_usage")).alias("info"))),
+        base.where(t == 0).select("file", F.lit(9).cast("bigint").alias("line_no"), F.lit("{not json").alias("line")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def session_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of the document dialect (file, document): one JSON document
+    a conversation; texts plain or in blocks, tokens and models at times missing."""
+    c, t = F.col("conv_id"), F.col("turn")
+    text, none = F.col("text"), F.lit(None).cast("string")
+    blocks = F.array(F.struct(none.alias("type"), text), F.struct(F.lit("tool_use").alias("type"), F.lit("left out").alias("text")))
+    tokens = F.when(t % 3 != 2, F.struct((t * 7).alias("input"), (c % 9).alias("output"), (t % 2).alias("cached"), (t * 7 + c % 9).alias("total")))
+    call = F.struct(F.format_string("tc-%d-%d", c, t).alias("id"), F.lit("Read").alias("name"), F.format_string("/repo/f%d.py", t).alias("path"))
+
+    def message(content):
+        answer = F.col("role") == "assistant"
+        return F.to_json(F.struct(
+            F.when(answer, "gemini").otherwise(F.col("role")).alias("type"), "timestamp", content.alias("content"),
+            F.when(answer & (t % 4 != 3), F.format_string("flash-%d", c % 3)).alias("model"), F.when(answer, tokens).alias("tokens"),
+            F.when(answer & ((c + t) % 4 == 1), F.array(call)).alias("toolCalls")))
+
+    x = _turns(spark, sf_dir).select("conv_id", "turn", F.when(c % 2 == 0, message(text)).otherwise(message(blocks)).alias("m"))
+    messages = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda s: s["m"]), ",")
+    head = F.when(c % 5 != 0, F.format_string('"sessionId":"doc-%d",', c)).otherwise("")
+    return x.groupBy("conv_id").agg(messages.alias("all")).select(
+        F.format_string("/home/u/.gemini/tmp/p/chats/session-%d.json", c).alias("file"),
+        F.concat(F.lit("{"), head, F.lit('"messages":['), F.col("all"), F.lit("]}")).alias("document"))
+
+
 def sse_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streamed LLM responses: one SSE body per assistant turn (message_start,
     one text delta per word, message_delta with usage, message_stop); every
