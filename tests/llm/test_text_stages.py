@@ -169,6 +169,19 @@ def test_decontamination_equals_alignment_of_all(spark):
     assert D.contamination(frames.where("false"), bench).collect() == []
 
 
+def test_decontamination_of_repetitive_texts_stays_small(monkeypatch):
+    items = [(1, "la" * 700), (2, "the quick brown fox jumps over the lazy dog and runs away"), (3, "abc" * 30)]
+    index = D.BenchmarkIndex(items, D.Q, D.MAX_EDIT_RATE, D.MIN_CHARS)
+    posting, _ = index._postings(np.arange(len(index.code)))
+    assert len(posting) < 150  # 700 places of each of two grams become one for each edits + 1 places
+    text = "la" * 20_000 + " abcabcabcabxabcabc" + "abc" * 25 + " the quick brown fox jumpd over the lazy dog and runs away"
+    whole = index.matches(text)
+    assert whole == {0: 0, 1: 1, 2: 1}
+    monkeypatch.setattr(D, "STEP_POSTINGS", 50)
+    assert index.matches(text[38_000:]) == {0: 0, 1: 1, 2: 1}
+    assert index.matches("la" * 600) == {}
+
+
 def test_paragraph_dedup_equals_brute_force(spark):
     rng = random.Random(12)
     base = [prose(rng, n) for n in (8, 20, 26, 55, 80, 200)]

@@ -36,6 +36,9 @@ Q = 10
 MAX_EDIT_RATE = 0.08
 MIN_CHARS = 40
 BLOCK_CHARS = 8 << 20
+#: Postings looked at in one step, and how often an item may hold a gram before its places are taken together.
+STEP_POSTINGS = 1 << 19
+REPEATED = 16
 _BITS = 21
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,8 +87,19 @@ class BenchmarkIndex:
         item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(c)) for c in codes]])
         order = np.argsort(code, kind="stable")
-        self.item, self.at = item[order], at[order]
-        self.code, first = np.unique(code[order], return_index=True)
+        code, item, at = code[order], item[order], at[order]
+        # Of a gram that an item holds often, one place for each edits + 1 neighbouring ones: a text's gram then
+        # counts in every band it counted in, but not once for each repetition.
+        step = self.edits[item] + 1 if len(item) else at
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (item[1:] != item[:-1])
+        run = np.cumsum(new) - 1
+        wide = (np.bincount(run)[run] > REPEATED) if len(run) else new
+        block = np.where(wide, at // np.maximum(step, 1) * step, at)
+        keep = new.copy()
+        keep[1:] |= block[1:] != block[:-1]
+        code, self.item, self.at, self.wide = code[keep], item[keep], block[keep], wide[keep]
+        self.code, first = np.unique(code, return_index=True)
         self.first = np.append(first, len(code))
         self.present = np.zeros(1 << _BITS, bool)
         self.present[self.code >> np.uint64(64 - _BITS)] = True
@@ -102,22 +116,28 @@ class BenchmarkIndex:
         pos, where = pos[known], where[known]
         if len(pos) < self.bound.min():
             return []
-        count = self.first[where + 1] - self.first[where]
-        ends = np.cumsum(count)
-        posting = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(self.first[where], count)
-        item = self.item[posting]
-        diagonal = np.repeat(pos, count) - self.at[posting]
-        total = np.bincount(item, minlength=len(self.texts))
-        keep = (total >= self.bound)[item]
-        item, diagonal = item[keep], diagonal[keep]
-        if not len(item):
+        # Items whose grams occur often enough anywhere in the text.
+        seen, times = np.unique(where, return_counts=True)
+        posting, of = self._postings(seen)
+        likely = np.bincount(self.item[posting], weights=times[of], minlength=len(self.texts)) >= self.bound
+        if not likely.any():
             return []
-        step = self.edits[item] + 1
-        band = diagonal // step  # a band is [band*step, (band + 2)*step)
-        low = int(band.min()) - 1
-        width = int(band.max()) - low + 2
-        key = np.concatenate([item * width + band - low, item * width + band - 1 - low])
-        found, n = np.unique(key, return_counts=True)
+        low = -int(self.at.max()) - 3
+        width = int(pos[-1]) - low + 1
+        ends = np.cumsum(self.first[where + 1] - self.first[where])
+        cuts = [0, *(np.unique(np.searchsorted(ends, np.arange(STEP_POSTINGS, ends[-1], STEP_POSTINGS))) + 1).tolist(), len(pos)]
+        found, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            posting, of = self._postings(where[a:b])
+            keep = likely[self.item[posting]]
+            posting, of = posting[keep], of[keep]
+            item = self.item[posting]
+            band = (pos[a:b][of] - self.at[posting]) // (self.edits[item] + 1)  # a band is [band*step, (band + 2)*step)
+            key = item * width + band - low
+            key = np.concatenate([key, key - 1, key[self.wide[posting]] - 2])
+            here, times = np.unique(key, return_counts=True)
+            found, back = np.unique(np.concatenate([found, here]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([n, times]), minlength=len(found)).astype(np.int64)
         which = found // width
         out = []
         for i, b in zip(which[n >= self.bound[which]].tolist(), (found % width + low)[n >= self.bound[which]].tolist()):
@@ -125,6 +145,13 @@ class BenchmarkIndex:
             out.append((i, b * s, (b + 2) * s - 1))
         return out
 
+    def _postings(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of known grams, one after another, and whose each is."""
+        count = self.first[codes + 1] - self.first[codes]
+        ends = np.cumsum(count)
+        of = np.repeat(np.arange(len(codes)), count)
+        return np.arange(len(of)) - np.repeat(ends - count, count) + np.repeat(self.first[codes], count), of
+
     def matches(self, text: str) -> dict[int, int]:
         """Least edits found for each item that occurs in a normalised text."""
         out: dict[int, int] = {}
