@@ -138,3 +138,50 @@ def test_materialize_stream_equals_batch(spark):
     nt = tables["network_targets"].select("host", "path", "count").collect()
     nb = A.network_targets(A.network_rows(canon)).select("host", "path", "count").collect()
     assert sorted(map(tuple, nt)) == sorted(map(tuple, nb))
+
+
+def _rows(df, cols=None):
+    return sorted(tuple(map(str, r)) for r in df.select(*(cols or sorted(df.columns))).collect())
+
+
+def test_store_commits_replays_and_compacts(spark):
+    from traceframe.streaming import tables as TB
+    canon = FX.canonical_events(spark, SF).where("seq < 3000")
+    out = _scratch()
+    parts = [canon.where(F.col("seq") % 6 == i) for i in range(6)]
+    for i in (0, 1, 2):
+        TB.materialize_batch(parts[i], out, i)
+    store = TB.Store(spark, out)
+    before = store.folders("audit_events")
+    TB.materialize_batch(parts[5], out, 1)  # delivered again: skipped
+    store._write("audit_events", P.audit_from_events(parts[5]))  # failed before its commit: not seen
+    assert store.folders("audit_events") == before and len(before) == 3
+    store.compact(files=2)
+    assert len(store.folders("audit_events")) == 1 and store.committed(2) and not store.committed(3)
+    TB.materialize_batch(parts[0], out, 2)
+    for i in (3, 4, 5):
+        TB.materialize_batch(parts[i], out, i)
+    assert len(store.folders("audit_events")) == 4
+    store.compact()
+    store.compact()  # nothing new
+    assert len(store.folders("audit_events")) == 1 and len(store._entries()) == 5  # the state before stays readable
+    got = TB.read_materialized(spark, out)
+    assert _rows(got["audit_events"]) == _rows(P.audit_from_events(canon))
+    assert _rows(got["network_targets"]) == _rows(A.network_targets(A.network_rows(canon)))
+    assert _rows(got["process_nodes"]) == _rows(P.process_nodes(canon))
+    empty = _scratch()
+    TB.materialize_batch(canon.limit(0), empty, 0)
+    assert set(TB.read_materialized(spark, _scratch()).values()) == {None} and TB.Store(spark, empty).committed(0)
+
+
+def test_samples_and_calls_materialize(spark):
+    from traceframe.streaming import tables as TB
+    samples = FX.resource_samples(spark, SF).withColumnRenamed("cpu_percent", "cpu")
+    traffic = FX.llm_traffic(spark, SF).where("seq < 3000")
+    for rows, types, want in (
+            (samples, TB.SAMPLE_ROWS, {"resource_samples": R.resource_rows(samples), "resource_stats": R.resource_stats(R.resource_rows(samples))}),
+            (traffic, TB.CALL_ROWS, TB._call_tables(traffic))):
+        out = _scratch()
+        TB.materialize_stream(_as_stream(spark, rows), out, _scratch(), row_types=types, compact_every=2).awaitTermination()
+        got = TB.read_materialized(spark, out, types)
+        assert {n: _rows(t) for n, t in got.items()} == {n: _rows(t) for n, t in want.items()}

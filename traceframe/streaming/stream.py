@@ -3,8 +3,8 @@
 Stateless operators (canonicalisation, HTTP parsing, filters) run unchanged on
 streaming DataFrames. Stateful ones use event-time watermarks: tumbling
 monitor windows (R9), session windows for file-open collapse (R6), and
-per-thread pairing state (R5, in ``operators.pairing``). R8 materialises each
-micro-batch with the batch operators through ``foreachBatch``.
+per-thread pairing state (R5, in ``operators.pairing``). R8, the materialised
+tables, is in ``streaming.tables``.
 
 Late data: the reference processes in arrival order and never drops events;
 with a watermark, rows later than the watermark are dropped by Spark. The
@@ -13,14 +13,11 @@ default watermark (10 minutes) is longer than the 5-minute pairing TTL.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import audit as A
-from ..operators import process as P
+from .tables import materialize_batch, materialize_stream, read_materialized  # noqa: F401
 
 DEFAULT_WATERMARK = "10 minutes"
 
@@ -65,36 +62,3 @@ def collapse_file_opens_stream(opens: DataFrame, window_ms: int = 60_000,
                  F.min("timestamp_ms").alias("first_timestamp_ms"),
                  F.max("timestamp_ms").alias("last_timestamp_ms"))
             .drop("sw"))
-
-
-def materialize_batch(canon: DataFrame, out_dir: str, batch_id: int) -> None:
-    """R8 body: one micro-batch of canonical events → audit rows and network
-    target rows, appended under ``out_dir`` with the batch id.
-
-    The sink is append-only (an idempotent write per batch id: a re-run after
-    a failure overwrites the same batch folder); replace-by-id and merge
-    semantics (S7–S9) are applied on read (``read_materialized``), so no
-    micro-batch rewrites the whole table.
-    """
-    audit = P.audit_from_events(canon).withColumn("batch_id", F.lit(batch_id))
-    targets = A.network_rows(canon).withColumn("batch_id", F.lit(batch_id))
-    audit.write.mode("overwrite").parquet(os.path.join(out_dir, "audit_events", f"batch_id={batch_id}"))
-    targets.write.mode("overwrite").parquet(os.path.join(out_dir, "network_rows", f"batch_id={batch_id}"))
-
-
-def materialize_stream(canon_stream: DataFrame, out_dir: str, checkpoint: str, trigger_once: bool = True):
-    """Start the incremental materialisation (checkpointed, restartable)."""
-    w = (canon_stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: materialize_batch(df, out_dir, bid)))
-    w = w.trigger(availableNow=True) if trigger_once else w
-    return w.start()
-
-
-def read_materialized(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
-    """Read side of R8: audit rows replaced by id (last batch wins), network
-    targets merged (A5)."""
-    audit = spark.read.parquet(os.path.join(out_dir, "audit_events"))
-    audit = (audit.groupBy("id").agg(F.max_by(F.struct(*[c for c in audit.columns]), "batch_id").alias("r"))
-             .select("r.*").drop("batch_id"))
-    net = spark.read.parquet(os.path.join(out_dir, "network_rows")).drop("batch_id")
-    return {"audit_events": audit, "network_targets": A.network_targets(net)}
