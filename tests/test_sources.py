@@ -40,6 +40,9 @@ def test_saved_tables_defaults_and_run_listing(spark):
     assert r["status"] == "observed" and r["view_source"] == "view"
     runs = TR.list_runs(spark, root, "*.parquet").collect()
     assert [x["run"] for x in runs] == ["run-1"]
+    assert set(TR.read_trace_tables(spark, f"file://{run}/")) == {"audit_events"}  # the same by its address
+    assert [x["run"] for x in TR.list_runs(spark, f"file://{root}", "*.parquet").collect()] == ["run-1"]
+    assert TR.read_trace_tables(spark, os.path.join(root, "none")) == {}
 
 
 def test_writers(spark):

@@ -70,14 +70,25 @@ def last_model_segment(model: Column) -> Column:
     return F.element_at(F.split(model, "/"), -1)
 
 
+def _tool_frames() -> Column:
+    """Frames of a tool call: its name, and of a shell command the program and the chain of programs it starts."""
+    shell = F.col("category") == "shell"
+    none = F.array().cast("array<struct<kind:string,name:string>>")
+    return F.concat(F.array(frame("kind", F.lit("tool")), frame("tool", F.col("tool_name"))),
+                    F.when(shell & (F.col("command_name") != ""), F.array(frame("cmd", F.col("command_name")))).otherwise(none),
+                    F.when(shell & F.col("process_chain").isNotNull(), F.transform("process_chain", lambda p: frame("proc", p))).otherwise(none))
+
+
 def time_profile_samples(sessions: DataFrame, prompts: DataFrame, llm: DataFrame,
-                         project: str = "demo") -> DataFrame:
-    """Prompts and LLM responses of each session in time order; the weight
-    of an event is the seconds to the next one (W3).
+                         project: str = "demo", tools: DataFrame | None = None) -> DataFrame:
+    """Prompts, tool calls and LLM responses of each session in time order;
+    the weight of an event is the seconds to the next one (W3). Events without
+    a time are left out.
 
     ``sessions``: session_id, agent, session_tag; ``prompts``: session_id,
     prompt_index, timestamp_ms, tag; ``llm``: session_id, position,
-    prompt_index, timestamp_ms, tag, model.
+    prompt_index, timestamp_ms, tag, model; ``tools``: session_id, position,
+    prompt_index, timestamp_ms, tool_name, category, command_name, process_chain.
     """
     ptags = prompts.select("session_id", "prompt_index", F.col("tag").alias("prompt_tag"))
     pe = prompts.select("session_id", "position", "timestamp_ms",
@@ -87,7 +98,11 @@ def time_profile_samples(sessions: DataFrame, prompts: DataFrame, llm: DataFrame
                     F.array(frame("kind", F.lit("llm")),
                             frame("call", F.concat(F.lit("llm/"), F.col("tag"))),
                             frame("model", last_model_segment(F.col("model")))).alias("detail"))
-    ev = event_durations(pe.unionByName(le))
+    ev = pe.unionByName(le)
+    if tools is not None:
+        ev = ev.unionByName(tools.select("session_id", "position", "timestamp_ms", F.lit(1).alias("kind_rank"), "prompt_index",
+                                         _tool_frames().alias("detail")))
+    ev = event_durations(ev.where(F.col("timestamp_ms").isNotNull()))
     ev = ev.join(ptags, ["session_id", "prompt_index"], "left").join(sessions, "session_id", "left")
     base = F.array(frame("project", F.lit(project)), frame("agent", F.col("agent")),
                    frame("session", F.col("session_tag")), frame("prompt", F.col("prompt_tag")))

@@ -497,6 +497,43 @@ def p1_document_responses(spark, sf):
     return DI.document_events(FX.session_documents(spark, sf))[2]
 
 
+# ---- P7: time profile with tool calls --------------------------------------------
+
+_P7_COMMANDS = ["sudo bash -c 'cargo test'", "ls -la"]
+_P7_CHAINS = [["bash", "cargo"], ["ls"]]
+
+
+def _p7_tools(llm):
+    """A tool call 400 ms after each second response: shell commands, edits."""
+    p = F.col("position")
+    shell = p % 4 == 1
+    command = F.element_at(F.array(*[F.lit(c) for c in _P7_COMMANDS]), (p % 3 % 2 + 1).cast("int"))
+    return llm.where(p % 2 == 1).select(
+        "session_id", "position", (F.col("timestamp_ms") + 400).alias("timestamp_ms"), "prompt_index",
+        F.when(shell, "Bash").otherwise("Edit").alias("tool_name"), F.when(shell, "shell").otherwise("edit").alias("category"),
+        SL.command_basename(command).alias("command_name"), SL.process_chain(command).alias("process_chain"))
+
+
+_P7_FRAMES = " ".join(f"WHEN {k} THEN ';cmd:{c[0]};' || '{';'.join('proc:' + x for x in c)}'" for k, c in enumerate(_P7_CHAINS))
+
+
+@register("p7_time_profile", W(["session_log"], f"""
+    SELECT stack, CAST(sum(greatest(duration_s, 1)) AS BIGINT) AS weight FROM (
+        SELECT {_stack_sql("CASE e.k WHEN 'prompt' THEN ';kind:prompt' WHEN 'tool' THEN e.tool ELSE ';kind:llm;call:' || "
+                           + _sf("'llm/' || e.tag") + " || ';model:' || " + _sf("string_split(e.model, '/')[-1]") + " END")} AS stack, duration_s
+        FROM (SELECT *, CASE WHEN nxt IS NULL THEN 1 ELSE greatest((nxt - timestamp_ms) // 1000, 1) END AS duration_s
+              FROM (SELECT *, lead(timestamp_ms) OVER (PARTITION BY session_id ORDER BY timestamp_ms, kind_rank, position) AS nxt FROM (
+                    SELECT *, NULL AS tool FROM ev
+                    UNION ALL SELECT session_id, position, timestamp_ms + 400, 1, prompt_index, 'tool', NULL, NULL,
+                        CASE WHEN position % 4 = 1 THEN ';kind:tool;tool:bash' || CASE position % 3 % 2 {_P7_FRAMES} END
+                             ELSE ';kind:tool;tool:edit' END FROM llm WHERE position % 2 = 1))) e
+        LEFT JOIN ptag p ON e.session_id = p.session_id AND e.prompt_index = p.prompt_index
+        LEFT JOIN sess s ON e.session_id = s.session_id) GROUP BY stack""", TAG_CTES + _EV))
+def p7_time_profile(spark, sf):
+    _, sess, ptag, llm = _tagged(spark, sf)
+    return PR.fold_stacks(PR.time_profile_samples(sess, ptag, llm, tools=_p7_tools(llm)))
+
+
 # ---- P9 / P10: cached and clustered tags ---------------------------------------
 
 from ..operators import tagging as TG  # noqa: E402

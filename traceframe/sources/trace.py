@@ -3,8 +3,6 @@ dead letters, saved-run tables and run listing."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,13 +82,22 @@ def split_valid(lines: DataFrame, runner: str = "process", ts_field: str = "time
     return events, diag
 
 
+def _folder(spark: SparkSession, path: str):
+    """A folder's file system and its path there, on any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(at)
+
+
 def read_trace_tables(spark: SparkSession, run_dir: str, schemas: dict | None = None) -> dict[str, DataFrame]:
     """S3: the saved tables of one run (parquet folders named after the
     tables). Missing tables are skipped; missing columns get defaults."""
     out = {}
+    fs, at = _folder(spark, run_dir)
+    saved = {s.getPath().getName() for s in fs.listStatus(at)} if fs.exists(at) else set()
     for name in SAVED_TABLES:
-        p = os.path.join(run_dir, name)
-        if not os.path.exists(p):
+        p = f"{run_dir.rstrip('/')}/{name}"
+        if name not in saved:
             continue
         df = spark.read.schema(schemas[name]).parquet(p) if schemas and name in schemas else spark.read.parquet(p)
         for col, default in COLUMN_DEFAULTS.items():
@@ -107,7 +114,9 @@ def list_runs(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     Only file metadata is read (``binaryFile`` with the content pruned)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", pattern).load(root).select("path", "modificationTime", "length"))
-    run = F.regexp_extract("path", "^(?:file:)?" + os.path.abspath(root).rstrip("/") + "/([^/]+)/", 1)
+    home = _folder(spark, root)[1].toUri().getPath().rstrip("/")
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")  # without scheme and authority
+    run = F.when(plain.startswith(f"{home}/"), F.regexp_extract(F.substring(plain, len(home) + 2, 1 << 30), "^([^/]+)/", 1))
     return (files.withColumn("run", run).where(F.col("run") != "")
             .groupBy("run").agg(F.max("modificationTime").alias("modified"), F.sum("length").alias("bytes"),
                                 F.count(F.lit(1)).alias("files"))
