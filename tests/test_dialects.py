@@ -109,3 +109,19 @@ def test_discovery(spark, tmp_path, newest, want):
     assert len(files) == want and {f.dialect for f in files} <= {"messages", "rollout", "document"}
     if newest is None:
         assert {r.file.split("/")[-1] for r in D.read_documents(spark, D.home_roots(str(tmp_path))).collect()} == {"session-c.json", "session-d.json"}
+
+
+def test_time_profile_with_tools(spark):
+    from traceframe.operators import profiles as PR
+    sessions = spark.createDataFrame([("s", "a", "fix")], "session_id string, agent string, session_tag string")
+    prompts = spark.createDataFrame([("s", 0, 0, 1000, "ask")], "session_id string, position long, prompt_index long, timestamp_ms long, tag string")
+    llm = spark.createDataFrame([("s", 4, 0, 9000, "say", "v/m")],
+                                "session_id string, position long, prompt_index long, timestamp_ms long, tag string, model string")
+    tools = spark.createDataFrame([("s", 1, 0, 3000, "Bash", "shell", "bash", ["bash", "cargo"]), ("s", 2, 0, 6000, "Bash", "shell", "", None),
+                                   ("s", 3, 0, None, "Edit", "edit", "edit", [])],
+                                  "session_id string, position long, prompt_index long, timestamp_ms long, tool_name string, category string, "
+                                  "command_name string, process_chain array<string>")
+    got = {r.stack: r.weight for r in PR.fold_stacks(PR.time_profile_samples(sessions, prompts, llm, "p", tools)).collect()}
+    base = "project:p;agent:a;session:fix;prompt:ask"
+    assert got == {f"{base};kind:prompt": 2, f"{base};kind:tool;tool:bash;cmd:bash;proc:bash;proc:cargo": 3, f"{base};kind:tool;tool:bash": 3,
+                   f"{base};kind:llm;call:llm/say;model:m": 1}
