@@ -3,10 +3,16 @@ the prompt loader (P11)."""
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import short_hash
+from ..session import cut_lineage
+
+FITS_AT_ONCE = 4  # K-means fits of several k that run side by side
 
 
 def tag_from_cache(df: DataFrame, cache: DataFrame, text_col: str = "text", n: int = 12) -> DataFrame:
@@ -40,8 +46,10 @@ def tag_cluster(prompts: DataFrame, text_col: str = "text", k: int | None = None
     TF-IDF term (alphanumeric, ≤ 12 chars, else ``cluster{n}``).
 
     Every stage is a ``pyspark.ml`` estimator over the distributed feature
-    table; the only driver-side values are the vocabulary (≤ 1000 terms) and
-    the per-k silhouette scores."""
+    table; the only driver-side values are the vocabulary (≤ 1000 terms), the
+    cluster centres and the per-k silhouette scores. The fits of several k do
+    not depend on each other and run side by side, ``FITS_AT_ONCE`` at a time;
+    the chosen one is used as it is."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -49,8 +57,9 @@ def tag_cluster(prompts: DataFrame, text_col: str = "text", k: int | None = None
                                     SQLTransformer, StopWordsRemover)
     from pyspark.ml.functions import vector_to_array
 
-    d = (prompts.withColumn("_clean", preprocess(F.col(text_col))).where(F.col("_clean") != "")
-         .withColumn("prompt_hash", short_hash(F.col(text_col))))
+    # Cut, as each stage below passes over it, and each of the many short jobs of a fit ships its lineage.
+    d = cut_lineage(prompts.withColumn("_clean", preprocess(F.col(text_col))).where(F.col("_clean") != "")
+                    .withColumn("prompt_hash", short_hash(F.col(text_col))))
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol="_clean", outputCol="_tok", pattern=r"\w\w+", gaps=False),
         StopWordsRemover(inputCol="_tok", outputCol="_uni"),
@@ -61,22 +70,29 @@ def tag_cluster(prompts: DataFrame, text_col: str = "text", k: int | None = None
         Normalizer(inputCol="_tfidf", outputCol="features", p=2.0),
     ])
     model = pipe.fit(d)
-    feats = model.transform(d).select("prompt_hash", text_col, "features").persist()
+    feats = cut_lineage(model.transform(d).select("prompt_hash", text_col, "features"))
     vocab = model.stages[4].vocabulary
     n = feats.count()
+
+    def fit(kk: int):
+        return KMeans(k=kk, seed=seed, featuresCol="features").fit(feats.select("features"))
+
+    def scored(kk: int):
+        model = fit(kk)
+        pred = model.transform(feats.select("features"))
+        if pred.select("prediction").distinct().limit(2).count() < 2:
+            return None, model
+        return ClusteringEvaluator(featuresCol="features", metricName="silhouette").evaluate(pred), model
+
+    best = None
     if k is None:
-        best, best_k = -2.0, k_min
-        ev = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
-        for kk in range(k_min, min(k_max + 1, n)):
-            pred = KMeans(k=kk, seed=seed, featuresCol="features").fit(feats).transform(feats)
-            if pred.select("prediction").distinct().count() < 2:
-                continue
-            score = ev.evaluate(pred)
-            if score > best:
-                best, best_k = score, kk
-        k = best_k
-    k = max(1, min(k, n))
-    pred = KMeans(k=k, seed=seed, featuresCol="features").fit(feats).transform(feats)
+        tried = list(range(k_min, min(k_max + 1, n)))
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            fits = pool.map(inheritable_thread_target(feats.sparkSession)(scored), tried, chunksize=1)
+        scores = {kk: (score, model) for kk, (score, model) in zip(tried, fits) if score is not None and score > -2.0}
+        k = max(scores, key=lambda kk: (scores[kk][0], -kk), default=k_min)
+        best = scores[k][1] if k in scores and k <= n else None
+    pred = (best or fit(max(1, min(k, n)))).transform(feats)
     from pyspark.ml.stat import Summarizer
     # mean TF-IDF vector per cluster: a (partial) aggregate, never a collected group
     sums = (pred.groupBy("prediction").agg(Summarizer.mean(F.col("features")).alias("_mean"))
