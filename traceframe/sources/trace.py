@@ -11,6 +11,8 @@ from ..functions.scan import running_sum
 # Default values when a saved table lacks a column (additive schema evolution).
 COLUMN_DEFAULTS = {"status": "observed", "view_source": "view", "source": "unknown"}
 
+ORDER_BLOCK = 1 << 16  # line numbers of one step of the running count
+
 SAVED_TABLES = ["llm_calls", "token_usage", "audit_events", "process_nodes", "tool_calls",
                 "network_targets", "resource_samples"]
 
@@ -46,8 +48,8 @@ def split_valid(lines: DataFrame, runner: str = "process", ts_field: str = "time
     diagnostic row (source 'diagnostic', reason, running error count per
     file). Returns (events, diagnostics).
 
-    The running count is a two-level scan keyed by file (bucketed by the
-    scan partition), so no single task orders the whole log.
+    The running count is a two-level scan keyed by file and blocks of its
+    lines, so no single task orders the whole log, however lines are numbered.
     """
     v = "v"
     ok_json = F.col(v).isNotNull()
@@ -56,7 +58,8 @@ def split_valid(lines: DataFrame, runner: str = "process", ts_field: str = "time
     ok_comm = F.coalesce(F.expr(f"schema_of_variant(variant_get({v}, '$.comm'))") == "STRING", F.lit(False))
     reason = (F.when(~ok_json, "invalid json").when(~ok_ts, f"missing {ts_field}")
               .when(~ok_pid, "missing pid").when(~ok_comm, "missing comm"))
-    x = lines.withColumn("_reason", reason)
+    # The checks stand behind a generator: as a plain column, the filters below would copy the parser into each of them.
+    x = lines.withColumn("_reason", F.explode(F.array(reason)))
     events = x.where(F.col("_reason").isNull()).select(
         F.expr(f"variant_get({v}, '$.{ts_field}', 'bigint')").alias("timestamp"),
         F.lit(runner).alias("source"),
@@ -64,11 +67,7 @@ def split_valid(lines: DataFrame, runner: str = "process", ts_field: str = "time
         F.expr(f"variant_get({v}, '$.comm', 'string')").alias("comm"),
         F.expr(f"variant_get({v}, '$.data')").alias("data"),
         *[c for c in (order_col, file_col) if c in lines.columns])
-    bad = x.where(F.col("_reason").isNotNull())
-    if order_col in lines.columns:
-        bad = running_sum(bad, [file_col], F.expr(f"{order_col} div 8589934592"), [order_col],
-                          F.lit(1).cast("bigint"), "parse_error_count")
-    diag = bad.select(
+    bad = x.where(F.col("_reason").isNotNull()).select(
         F.coalesce(F.expr(f"try_variant_get({v}, '$.timestamp_ns', 'bigint')"),
                    F.expr(f"try_variant_get({v}, '$.timestamp', 'bigint')")).alias("timestamp"),
         F.lit("diagnostic").alias("source"),
@@ -76,9 +75,14 @@ def split_valid(lines: DataFrame, runner: str = "process", ts_field: str = "time
         F.coalesce(F.expr(f"try_variant_get({v}, '$.comm', 'string')"), F.lit(runner)).alias("comm"),
         F.lit("runner_parse_error").alias("type"), F.lit(runner).alias("runner"),
         F.col("_reason").alias("reason"),
-        *(["parse_error_count"] if "parse_error_count" in bad.columns else []),
         F.col("line").alias("raw"),
         *[c for c in (order_col, file_col) if c in lines.columns])
+    if order_col in lines.columns:
+        bad = running_sum(bad, [file_col], F.expr(f"{order_col} div {ORDER_BLOCK}"), [order_col],
+                          F.lit(1).cast("bigint"), "parse_error_count")
+    diag = bad.select("timestamp", "source", "pid", "comm", "type", "runner", "reason",
+                      *(["parse_error_count"] if "parse_error_count" in bad.columns else []), "raw",
+                      *[c for c in (order_col, file_col) if c in lines.columns])
     return events, diag
 
 
