@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scan import global_index, prev_value
+from ..session import stored
 
 
-def _top_per(df: DataFrame, part: list[str], key: str, n: int) -> DataFrame:
+def _top_per(df: DataFrame, part: list[str], key: str, n: int, weight: str | None = None) -> DataFrame:
     """Counter-style top ``n`` values of ``key`` per ``part``: count desc, then
-    first occurrence (``seq``)."""
-    g = df.groupBy(*part, key).agg(F.count(F.lit(1)).alias("count"), F.min("seq").alias("_first"))
+    first occurrence (``seq``). A row counts once, or ``weight`` times."""
+    g = df.groupBy(*part, key).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("count"), F.min("seq").alias("_first"))
     w = Window.partitionBy(*part).orderBy(F.col("count").desc(), F.col("_first").asc())
     return g.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
 
@@ -76,22 +77,27 @@ def simultaneous(events: DataFrame) -> DataFrame:
 def event_log_summary(flat: DataFrame, top: int = 5) -> DataFrame:
     """Totals, per-source counts, top commands and pids, time range, as
     (category, key, value) rows."""
-    valid = flat.where(F.col("error").isNull())
-    tot = flat.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    at = F.when(F.col("timestamp_ms") > 0, F.col("timestamp_ms"))
+    # One pass over the log; all that follows is read from its counts.
+    counted = stored(flat.groupBy("source", "comm", "pid", F.col("error").isNotNull().alias("bad")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"), F.min(at).alias("a"), F.max(at).alias("b")))
+    valid = counted.where(~F.col("bad"))
+    tot = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("errors"))
+
     def row(cat, key, val):
         return F.struct(F.lit(cat).alias("category"), F.lit(key).alias("key"), val.cast("bigint").alias("value"))
 
     totals = tot.select(F.explode(F.array(
         row("totals", "total", F.col("total")), row("totals", "valid", F.col("total") - F.col("errors")),
         row("totals", "errors", F.col("errors")))).alias("r")).select("r.*")
-    src = valid.groupBy(F.col("source").alias("key")).agg(F.count(F.lit(1)).alias("value")) \
+    src = valid.groupBy(F.col("source").alias("key")).agg(F.sum("n").alias("value")) \
         .select(F.lit("source").alias("category"), "key", "value")
     comm = _top_per(valid.where(F.col("comm").isNotNull() & (F.col("comm") != "")).withColumn("_all", F.lit(1)),
-                    ["_all"], "comm", top).select(F.lit("comm").alias("category"), F.col("comm").alias("key"),
-                                                  F.col("count").alias("value"))
-    pid = _top_per(valid.where(F.col("pid") > 0).withColumn("_all", F.lit(1)), ["_all"], "pid", top) \
+                    ["_all"], "comm", top, "n").select(F.lit("comm").alias("category"), F.col("comm").alias("key"),
+                                                       F.col("count").alias("value"))
+    pid = _top_per(valid.where(F.col("pid") > 0).withColumn("_all", F.lit(1)), ["_all"], "pid", top, "n") \
         .select(F.lit("pid").alias("category"), F.col("pid").cast("string").alias("key"), F.col("count").alias("value"))
-    rng = valid.where(F.col("timestamp_ms") > 0).agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b")) \
+    rng = valid.agg(F.min("a").alias("a"), F.max("b").alias("b")) \
         .select(F.explode(F.array(row("range", "start_ms", F.col("a")),
                                   row("range", "end_ms", F.col("b")))).alias("r")).select("r.*")
     return totals.unionByName(src).unionByName(comm).unionByName(pid).unionByName(rng)
