@@ -91,21 +91,37 @@ def _table(rows: list[dict]) -> pd.DataFrame:
 WAIT_SCHEMA = "place int, request_id string, has_body boolean"
 
 
-def _settle_block(scope: list[str], ttl_ms: int, cap: int, schema: pa.Schema):
-    """Rows of the calls of one block, and with ``place`` the requests that still wait at its end."""
+def _settle_blocks(scope: list[str], ttl_ms: int, cap: int, schema: pa.Schema):
+    """Rows of the calls of each block, and with ``place`` the requests that still wait at its end.
+    A task gets its events sorted by block; it holds one block at a time, and a call of Python serves many."""
+    keys = [*scope, "pid", "tid", "block"]
 
-    def settle_block(key: tuple, block: pa.Table) -> pa.Table:
-        events = [e | {"ts": e["timestamp_ms"]} for e in block.to_pylist()]
+    def settle_block(own: dict, events: list[dict]) -> list[dict]:
         begun = sorted((e for e in events if e["place"] is not None), key=lambda e: e["place"])
         rows, waiting = settle(begun, sorted((e for e in events if e["place"] is None), key=lambda e: (e["ts"], e["seq"])), ttl_ms, cap)
         # the pending row of a request is replaced by its pair row (same id, later)
         rows = list({r["id"]: r for r in rows}.values())
         rows += [{"pid": w["pid"], "tid": w["tid"], "request_seq": w["seq"], "start_timestamp_ms": w["ts"], "model": w["model"],
                   "request_id": w["request_id"], "has_body": w["has_body"], "place": i} for i, w in enumerate(waiting)]
-        own = dict(zip([*scope, "pid", "tid", "block"], (k.as_py() for k in key)))
-        return pa.Table.from_pylist([r | own for r in rows], schema)
-
-    return settle_block
+        return [r | own for r in rows]
+
+    def settle_blocks(batches):
+        own, events = None, []
+        for batch in batches:
+            out = []
+            for e in batch.to_pylist():
+                e["ts"] = e["timestamp_ms"]
+                block = {c: e[c] for c in keys}
+                if block != own:
+                    out += settle_block(own, events) if events else []
+                    own, events = block, []
+                events.append(e)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if events:
+            yield pa.RecordBatch.from_pylist(settle_block(own, events), schema)
+
+    return settle_blocks
 
 
 def _without_thread(events: DataFrame, scope: list[str] = ()) -> DataFrame:
@@ -140,11 +156,11 @@ def pair_llm_calls(events: DataFrame, ttl_ms: int = PENDING_TTL_MS, block_ms: in
                     .select(*keys, F.lead("block").over(follow).alias("next"), F.lead("first").over(follow).alias("next_first")))
     types = dict(e.dtypes)
     schema = "".join(f"`{c}` {types[c]}, " for c in scope) + f"{CALL_SCHEMA}, {WAIT_SCHEMA}, block bigint"
-    step = _settle_block(scope, ttl_ms, cap, to_arrow_schema(StructType.fromDDL(schema)))
+    step = _settle_blocks(scope, ttl_ms, cap, to_arrow_schema(StructType.fromDDL(schema)))
     settled, carried, todo = None, None, None
     while todo is None or not todo.isEmpty():
         rows = e if todo is None else e.join(todo, keys, "left_semi").unionByName(carried.join(todo, keys, "left_semi"))
-        made = rows.groupBy(*keys).applyInArrow(step, schema)
+        made = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(step, schema)
         after = stored(made if settled is None else settled.join(todo, keys, "left_anti").unionByName(made))
         passed = stored(after.where("place is not null").join(blocks, keys)
                         .where(F.col("start_timestamp_ms") >= F.col("next_first") - ttl_ms)
@@ -185,9 +201,10 @@ def call_rows(events: DataFrame, pairs: DataFrame, scope: list[str] = ()) -> Dat
         usage = F.expr("coalesce(try_variant_get(_v, '$.usage'), try_variant_get(_v, '$.usageMetadata'))")
         fields = {c: F.col(c) for c in ("comm", "provider", "host", "path", "model")} | {
             "session": CN.session_id_from_body("_v"), "conversation": CN.conversation_id_from_body("_v")} | also
-        return (body.withColumn("_u", usage).select(*scope, F.col("seq").cast("bigint").alias(f"{name}_seq"),
-                                                    F.when(F.col("_v").isNotNull(), F.col("body")).alias(name),
-                                                    *[c.alias(f"{name}_{n}") for n, c in fields.items()]))
+        # Behind a generator: filters over the tokens would otherwise copy the parser into each condition.
+        said = F.struct(F.when(F.col("_v").isNotNull(), F.col("body")).alias(name), *[c.alias(f"{name}_{n}") for n, c in fields.items()])
+        return (body.withColumn("_u", usage).select(*scope, F.col("seq").cast("bigint").alias(f"{name}_seq"), F.explode(F.array(said)).alias("_s"))
+                .select(*scope, f"{name}_seq", "_s.*"))
 
     asked = side("request")
     told = side("response", inner=CN.extract_model("_v"), finish=CN.finish_reason("_v"), usage=F.when(F.col("_u").isNotNull(), CN.usage_struct("_u")))
