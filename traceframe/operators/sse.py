@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import prev_value, running_last, running_sum
+from ..session import stored
 
 WINDOW_MS = 600_000  # key of events before any message_start: pid:tid:10-minute window
 
@@ -40,13 +41,17 @@ def clean_chunked(body: Column) -> Column:
 
 def sse_events(df: DataFrame, body_col: str = "body") -> DataFrame:
     """R2: one row per SSE event of each body (event, data, id, parsed flag)."""
+    # Bodies, lines and fields stand behind generators: as plain columns each use would work them out again.
     body = F.col(body_col)
-    clean = clean_chunked(body)
+    clean = F.col("_clean")
     src = F.when(_strip(clean) == "", body).otherwise(clean)
     norm = F.regexp_replace(src, "\r\n", "\n")
-    x = df.select("*", F.posexplode(F.split(norm, "\n\n")).alias("block_no", "_block")) \
+    x = df.select("*", F.explode(F.array(clean_chunked(body))).alias("_clean"))
+    x = x.select(*df.columns, F.posexplode(F.split(norm, "\n\n")).alias("block_no", "_block")) \
         .where(_strip(F.col("_block")) != "")
-    lines = F.transform(F.split("_block", "\n"), _strip)
+    kept = [c for c in df.columns if c != body_col]
+    x = x.select(*kept, "block_no", F.explode(F.array(F.transform(F.split("_block", "\n"), _strip))).alias("_lines"))
+    lines = F.col("_lines")
 
     def last_field(prefix):
         hits = F.filter(lines, lambda l: l.startswith(prefix))
@@ -54,11 +59,10 @@ def sse_events(df: DataFrame, body_col: str = "body") -> DataFrame:
 
     data_lines = F.transform(F.filter(lines, lambda l: l.startswith("data:")),
                              lambda l: _strip(l.substr(F.lit(6), F.length(l))))
-    x = x.select(*[c for c in df.columns if c != body_col], "block_no",
-                 last_field("event:").alias("event"),
-                 F.when(F.size(data_lines) > 0, F.array_join(data_lines, "\n")).alias("data"),
-                 last_field("id:").alias("id"))
-    x = x.where(F.col("event").isNotNull() | F.col("data").isNotNull())
+    data = F.when(F.size(data_lines) > 0, F.array_join(data_lines, "\n"))
+    fields = F.struct(last_field("event:").alias("event"), data.alias("data"), last_field("id:").alias("id"))
+    x = x.select(*kept, "block_no", F.explode(F.array(fields)).alias("_f"))
+    x = x.where(F.col("_f.event").isNotNull() | F.col("_f.data").isNotNull()).select(*kept, "block_no", "_f.*")
     return x.withColumn("is_json", F.expr("try_parse_json(data)").isNotNull())
 
 
@@ -86,20 +90,21 @@ def merge_sse_chunks(http: DataFrame, gap_ms: int = 5_000, bucket_ms: int = 3_60
     JSON object.
 
     Islands come from a two-level lag and running count, so a scope is never
-    one window; a message's deltas are one group."""
+    one window; a message's deltas are one group. The timeline and its islands
+    are stored once, as scans, deltas, ends and result all read them."""
     scope = list(scope)
     order, bucket = ["timestamp_ms", "seq"], F.expr(f"timestamp_ms div {int(bucket_ms)}")
-    x = prev_value(http.withColumn("_at", F.struct("timestamp_ms", "tid")), scope, bucket, order, "_at", "_prev")
+    x = prev_value(stored(http).withColumn("_at", F.struct("timestamp_ms", "tid")), scope, bucket, order, "_at", "_prev")
     chunk = F.col("type") == "sse_chunk"
     follows = chunk & F.col("_prev.tid").eqNullSafe(F.col("tid")) & (F.col("timestamp_ms") - F.col("_prev.timestamp_ms") <= gap_ms)
     x = x.withColumn("_new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1).cast("bigint")).drop("_prev", "_at")
-    x = running_sum(x, scope, bucket, order, F.col("_new"), "_island").drop("_new")
+    x = stored(running_sum(x, scope, bucket, order, F.col("_new"), "_island").drop("_new"))
     key = [*scope, "_island"]
     stream = (F.col("type") == "response") & F.coalesce(F.col("content_type").contains("text/event-stream"), F.lit(False))
     # Of a response only chunked framing holds events; a chunk holds them as it is.
     raw = x.select(*key, "type", *order, "content_type", F.when(chunk, F.col("body")).when(stream, clean_chunked(F.coalesce("body", F.lit("")))).alias("_raw"))
     deltas = (sse_events(raw, "_raw").withColumn("_v", F.expr("try_parse_json(data)"))
-              .select(*key, F.struct("timestamp_ms", "seq", "block_no").alias("p"), _delta_text("_v").alias("t")).where("t is not null"))
+              .select(*key, F.struct("timestamp_ms", "seq", "block_no").alias("p"), F.explode(F.array(_delta_text("_v"))).alias("t")).where("t is not null"))
     texts = deltas.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "t"))), lambda d: d["t"]), "").alias("_text"))
     ends = x.groupBy(*key).agg(F.count_if(chunk).alias("_chunks"), F.max("timestamp_ms").alias("_end"))
     y = (x.where(~chunk).join(ends, key, "left").join(texts, key, "left"))
@@ -132,6 +137,7 @@ def reassemble_sse(events: DataFrame, block_ms: int = 3_600_000) -> DataFrame:
                  F.expr("try_variant_get(_v, '$.usage.output_tokens', 'bigint')").alias("_out"),
                  F.expr("try_variant_get(_v, '$.message.model', 'string')").alias("_model"))
     bucket = F.expr(f"timestamp_ms div {block_ms}")
+    e = stored(e)  # both levels of the scan and the ends read the parsed events
     e = running_last(e, ["pid", "tid"], bucket, ["seq", "block_no"], F.col("_mid"), "_carried")
     key = F.coalesce(F.col("_carried"), F.format_string("w%d", F.expr(f"timestamp_ms div {WINDOW_MS}")))
     e = e.withColumn("message_key", key)
