@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import is_writable_open
 from ..functions import forest
 from ..functions.scan import running_sum
-from ..session import stored
+from ..session import discard, stored
 
 #: Columns that name a run and a machine; keys of every process table that holds several of them. (``host`` is a network peer.)
 SCOPE = ["run_id", "machine"]
@@ -183,9 +183,13 @@ def process_parents(nodes: DataFrame, bucket_ms: int = 3600 * 1000, scope: list[
 
 
 def process_forest(nodes: DataFrame, scope: list[str] = ()) -> DataFrame:
-    """All process nodes with ``parent_id``, null for roots."""
+    """All process nodes with ``parent_id``, null for roots. The nodes are made
+    once (lives, children and result all read them), and so is the forest."""
+    nodes = stored(nodes)
     parents = process_parents(nodes, scope=scope).withColumnRenamed("child_id", "id")
-    return nodes.join(parents, [*scope, "id"], "left")
+    forest_rows = stored(nodes.join(parents, [*scope, "id"], "left"))
+    discard(nodes)
+    return forest_rows
 
 
 def process_timeline(attached_audit: DataFrame, parents: DataFrame, nodes: DataFrame) -> DataFrame:
