@@ -57,9 +57,8 @@ def tag_cluster(prompts: DataFrame, text_col: str = "text", k: int | None = None
                                     SQLTransformer, StopWordsRemover)
     from pyspark.ml.functions import vector_to_array
 
-    # Cut, as each stage below passes over it, and each of the many short jobs of a fit ships its lineage.
-    d = cut_lineage(prompts.withColumn("_clean", preprocess(F.col(text_col))).where(F.col("_clean") != "")
-                    .withColumn("prompt_hash", short_hash(F.col(text_col))))
+    d = (prompts.withColumn("_clean", preprocess(F.col(text_col))).where(F.col("_clean") != "")
+         .withColumn("prompt_hash", short_hash(F.col(text_col))))
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol="_clean", outputCol="_tok", pattern=r"\w\w+", gaps=False),
         StopWordsRemover(inputCol="_tok", outputCol="_uni"),
@@ -70,7 +69,10 @@ def tag_cluster(prompts: DataFrame, text_col: str = "text", k: int | None = None
         Normalizer(inputCol="_tfidf", outputCol="features", p=2.0),
     ])
     model = pipe.fit(d)
-    feats = cut_lineage(model.transform(d).select("prompt_hash", text_col, "features"))
+    # Cut, as each of the many short jobs of a fit ships its lineage; persisted before, which fixes the partitions.
+    made = model.transform(d).select("prompt_hash", text_col, "features").persist()
+    feats = cut_lineage(made)
+    made.unpersist()
     vocab = model.stages[4].vocabulary
     n = feats.count()
 
