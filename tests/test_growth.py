@@ -68,3 +68,24 @@ def test_correlate_against_all_pairs(spark):
         if window or tree or (match and shared):
             want.append(repr((iid, aid, window, tree, match, halves, size, score)))
     assert got == sorted(want)
+
+
+def test_log_lines_are_parsed_once_and_counted_over_blocks(spark):
+    from traceframe.sources import trace as TR
+    rows = [(k, "f", "{" if k % 2 else '{"timestamp": 1, "pid": 2, "comm": "c"}') for k in (0, 1, 3, 70_001, 70_003, 140_000, 200_001)]
+    lines = spark.createDataFrame(rows, "line_order bigint, file string, line string").withColumn("v", F.expr("try_parse_json(line)"))
+    events, diag = TR.split_valid(lines)
+    assert events._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") <= 1
+    assert sorted((r.line_order, r.parse_error_count) for r in diag.collect()) == [(1, 1), (3, 2), (70_001, 3), (70_003, 4), (200_001, 5)]
+    assert events.count() == 2
+
+
+def test_the_chosen_clusters_are_not_fitted_again(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    from traceframe.operators import tagging as TG
+    tried, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, *a: (tried.append(self.getK()), fit(self, *a))[1])
+    texts = [(f"{a} {b} {a} report",) for a in ("tiger", "lemon", "piano", "river") for b in ("fast", "slow", "blue")]
+    assert TG.tag_cluster(spark.createDataFrame(texts, "text string"), k_min=2, k_max=4).count() == 12
+    assert sorted(tried) == [2, 3, 4]
