@@ -66,3 +66,20 @@ def test_every_level_finds_linked_sets():
             inter = len(np.intersect1d(a, b))
             if 100 * inter >= 85 * (len(a) + len(b) - inter) and inter < max(len(a), len(b)):
                 assert set(J.region_keys(a, classes).tolist()) & set(J.region_keys(b, classes).tolist()), (n, len(b), inter)
+
+
+def test_heavily_edited_copies_are_told_apart_without_their_pairs(spark):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(-2 ** 63, 2 ** 63 - 1, n)
+    base = draw(120)
+    sets = [np.concatenate([base, draw(120)]) for _ in range(300)]  # a half is shared: near no other set
+    sets += [np.concatenate([x[:-4], draw(4)]) for x in sets[:40]]  # near one other set
+    sets += [draw(3) for _ in range(20)] + [np.concatenate([base[:100], draw(1)])] * 2  # small sets, equal ones
+    rows = [(1, i, len(x), np.sort(x.view(np.uint64)).view(np.int64).tolist()) for i, x in enumerate(sets)]
+    points = J.written(spark.createDataFrame(rows, "family long, point long, n long, hashes array<long>"))
+    finer = J.finer_families(points, 85)
+    assert {r.point for r in finer.collect()} == {*range(40), *range(300, 340), 360, 361}
+    assert finer.groupBy("family").count().agg({"count": "max"}).first()[0] == 2
+    got = {(r.node, r.component) for r in J.join_points(points, 85, cell_points=16).collect()}
+    assert got == {(k, i) for i in range(40) for k in (i, 300 + i)} | {(360, 360), (361, 360)}

@@ -10,14 +10,17 @@ within a group.
    must agree on one of them and, reaching as far, give it too. (Small sets
    use pairs of d + 2 ranges, to be as selective.) Only points that share a
    key can be linked; points that share keys form families.
-2. Regions. A family of bounded size is one region. A larger family is dealt
-   into cells; pivots, drawn from the family, go to each of its cells, and a
-   cell measures each point's distance to the pivots and joins its own points.
+2. Regions. A family of bounded size is one region. A larger one is told apart
+   by its shingles: linked sets share one of their rarest (by the number of
+   points of large families that hold it), and what one point alone holds comes
+   first and links nothing. Points that share one are finer families. Those that
+   are still larger are dealt into cells; pivots, drawn from the family, go to
+   each of its cells, and a cell measures each point's distance to the pivots
+   and joins its own points.
 3. Contraction. Links found so far merge points into groups. Points outside
    the largest group of their family are still open. The points are dealt into
-   blocks of Voronoi regions: by the centre with which they share most keys,
-   the nearest pivot and the distance to it. Blocks can only hold linked points
-   if they share a key and, by the triangle inequality, if their ranges of
+   blocks of Voronoi regions, by the nearest pivot and the distance to it. By
+   the triangle inequality blocks can only hold linked points if their ranges of
    distances to every pivot, widened by the radius, meet. A block with open
    points is replicated to those blocks, and each pair of blocks is joined
    exactly. What is in one group already needs no comparison.
@@ -40,18 +43,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, near_slots, written
+from .common import columns, discard, near_slots, written
 from .components import components
 from .shingles import digests, list_array, mix, shingle_sets
 
 K = 4
 PERCENT = 85
 PIVOTS = 6
-RING = 0.02
 CELL_POINTS = 64
+#: Blocks hold as many times the points of a cell.
+BLOCK_CELLS = 2
 CELL_SHINGLES = 1 << 20
 #: Size classes grow by this factor; classes up to SMALL use pairs of ranges.
 CLASS_STEP = 1.25
@@ -234,28 +238,6 @@ def _join_cell(percent: int):
     return join
 
 
-def _may_link(percent: int):
-    """Keeps the pairs of blocks that may hold linked points of two groups. Where
-    a quarter of the hashes already differs in more elements than linked sets
-    may, the sets are not linked; hashes that fall together by the cut only
-    make the difference look smaller."""
-
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stays = []
-            for row in range(batch.num_rows):
-                (ga, na, la), (gb, nb, lb) = ([batch.column(i)[row].values for i in side] for side in ((2, 3, 4), (5, 6, 7)))
-                left, right = _unpack(pa.chunked_array([la])), _unpack(pa.chunked_array([lb]))
-                o = overlaps(left, right)
-                known = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - 2 * o
-                total = na.to_numpy()[:, None] + nb.to_numpy()[None, :]
-                other = ga.to_numpy()[:, None] != gb.to_numpy()[None, :]
-                stays.append(bool((other & (known <= (100 - percent) * total // (100 + percent))).any()))
-            yield batch.select(["asker", "block"]).filter(pa.array(stays, pa.bool_()))
-
-    return keep
-
-
 def _join_blocks(percent: int):
     """Links between the points of two blocks, one pair of blocks a row."""
 
@@ -277,59 +259,64 @@ def _join_blocks(percent: int):
 
 
 def families(rows: DataFrame, keys: str) -> DataFrame:
-    """(s1, s2, family, region) of stored rows (rid, s1, s2 and an array of
-    keys): points that share a key, transitively, are a family; families of one
-    point are left out. Of a key's rows the least is the centre; a row's region
-    is named by the centre with which it shares most keys."""
+    """(s1, s2, family) of stored rows (rid, s1, s2 and an array of keys): points
+    that share a key, transitively, are a family; families of one point are left
+    out. Of a key's rows the least is the centre."""
     keyed = rows.select(F.explode(keys).alias("key"), "rid")
     first = F.min("rid").over(Window.partitionBy("key").orderBy("rid"))
-    edges = written(keyed.withColumn("a", first).where("a != rid").groupBy("a", F.col("rid").alias("b")).agg(F.count("*").alias("c")))
+    edges = keyed.withColumn("a", first).where("a != rid").select("a", F.col("rid").alias("b"))
     of_row = components(edges).select(F.col("node").alias("rid"), F.col("component").alias("family"))
-    sides = edges.select(F.col("b").alias("rid"), "a", "c").unionByName(edges.groupBy("a").agg(F.max("c").alias("c")).select(F.col("a").alias("rid"), "a", "c"))
-    best = sides.groupBy("rid").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("region"))
-    light = rows.select("rid", "s1", "s2")
-    points = written(light.join(of_row, "rid").join(best, "rid").groupBy("s1", "s2")
-                     .agg(F.min("family").alias("family"), F.min("region").alias("region")))
+    points = written(rows.select("rid", "s1", "s2").join(of_row, "rid").groupBy("s1", "s2").agg(F.min("family").alias("family")))
     sizes = points.groupBy("family").count().where("count > 1").select("family")
-    return points.join(sizes, "family").select("s1", "s2", "family", "region")
-
-
-def _sharing(asking: DataFrame, span: DataFrame, near: Column, rows: DataFrame, keys: str, placed: DataFrame,
-             points: DataFrame, percent: int) -> DataFrame:
-    """(asker, block): blocks in the window that share a key with the asker's
-    open points, and that the lowest quarter of the hashes does not rule out."""
-    keyed = written(rows.select(F.xxhash64("s1", "s2").alias("point"), keys).join(placed.select("point", "block", "is_open"), "point")
-                    .select("block", "is_open", F.explode(keys).alias("key")).groupBy("key", "block").agg(F.max("is_open").alias("open")))
-    shared = written(keyed.where("open").select("key", F.col("block").alias("asker"))
-                     .join(keyed.select("key", "block"), "key").select("asker", "block").distinct())
-    window = written(shared.join(asking.drop("family"), "asker").join(span.select("block", "span"), "block").where(near).select("asker", "block"))
-    low = F.transform(F.filter("hashes", lambda h: (h >= 0) & (h < (1 << 62))), lambda h: F.shiftright(h, 31).cast("int"))
-    slim = written(points.select("family", "point", "n", low.alias("low")).join(placed.select("family", "block", "point", "is_open", "grp"), ["family", "point"])
-                   .groupBy("block").agg(F.collect_list(F.struct("is_open", "grp", "n", "low")).alias("members")))
-    pairs = (window.join(slim.select(F.col("block").alias("asker"), F.filter("members", lambda m: m["is_open"]).alias("a")), "asker")
-             .join(slim.select("block", F.col("members").alias("b")), "block"))
-    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("grp", "n", "low")]
-    return written(pairs.select("asker", "block", *sides).mapInArrow(_may_link(percent), "asker long, block long"))
-
-
-def join_points(points: DataFrame, percent: int, rows: DataFrame | None = None, keys: str = "keys",
-                cell_points: int = CELL_POINTS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """Steps 2 to 4 for stored points (family, region, point, n, hashes), each
-    point once: (node, component) of all points that are linked to another.
-    With the rows (s1, s2 and keys) that the points come from, blocks also keep
-    to one region and only meet where they share a key; without them the
-    triangle inequality alone decides."""
-    sizes = points.groupBy("family").agg(F.count("*").alias("points"), F.max("n").alias("largest"))
+    return points.join(sizes, "family").select("s1", "s2", "family")
+
+
+def finer_families(points: DataFrame, percent: int) -> DataFrame:
+    """The points (point, n, hashes) with the families of their rare shingles.
+    A linked partner holds percent of a point's shingles, so whichever others
+    and one more are taken, it holds one of them; taken in an order common to
+    all points, it takes that one too. The lower half of the hashes comes first,
+    by the number of points that hold them: those of one point alone are never
+    listed. The upper half follows for points that have too few."""
+    taken = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
+    low = F.filter("hashes", lambda h: h >= 0)
+    held = (points.select("point", F.explode(low).alias("h"))
+            .withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1"))
+    shared = held.groupBy("point").agg(F.sort_array(F.collect_list(F.struct("c", "h")))["h"].alias("h"))
+    rest = points.select("point", (taken - F.size(low)).alias("rest"))
+    listed = shared.join(rest, "point").select("point", (F.col("rest") + F.size("h")).alias("rest"), "h").where("rest > 0")
+    few = points.where(taken > F.size(low)).select("point", (taken - F.size(low)).alias("rest"), F.sort_array(F.filter("hashes", lambda h: h < 0)).alias("h"))
+    rows = written(listed.unionByName(few).select(F.col("point").alias("rid"), F.col("point").alias("s1"), F.lit(0).cast("long").alias("s2"),
+                                                  F.slice("h", F.lit(1), F.col("rest")).alias("keys")))
+    found = families(rows, "keys").select(F.col("s1").alias("point"), "family")
+    out = written(points.drop("family").join(found, "point"))
+    discard(rows)
+    return out
+
+
+def join_points(points: DataFrame, percent: int, cell_points: int = CELL_POINTS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """Steps 2 to 4 for stored points (family, point, n, hashes), each
+    point once: (node, component) of all points that are linked to another."""
     per_cell = F.greatest(F.lit(1), F.least(F.lit(cell_points), F.floor(F.lit(cell_shingles) / F.col("largest"))))
-    sizes = written(sizes.select("family", F.ceil(F.col("points") / per_cell).alias("cells"), per_cell.alias("per_cell")))
+
+    def measured(points: DataFrame) -> DataFrame:
+        sizes = points.groupBy("family").agg(F.count("*").alias("points"), F.max("n").alias("largest"))
+        return written(sizes.select("family", F.ceil(F.col("points") / per_cell).alias("cells"), per_cell.alias("per_cell")))
+
+    sizes, made = measured(points), []
+    if not sizes.where("cells > 1").isEmpty():
+        finer = finer_families(points.join(sizes.where("cells > 1"), "family", "left_semi"), percent)
+        points = points.join(sizes.where("cells = 1"), "family", "left_semi").unionByName(finer.select(*points.columns))
+        made = [finer, sizes]
+        sizes = measured(points)
     dealt = points.join(sizes, "family").withColumn(
         "cell", F.when(F.col("cells") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("point", F.lit(1)), F.col("cells"))))
     large = sizes.where("cells > 1").select("family", "cells", "per_cell")
-    light = points.select("family", "region", "point").join(large, "family")
+    light = points.select("family", "point").join(large, "family")
     drawn = light.groupBy("family", "cells").agg(*[
         F.min(F.struct(F.xxhash64(F.col("point"), F.lit(100 + i)), F.col("point").alias("id")))["id"].alias(f"p{i}")
         for i in range(PIVOTS)])
-    drawn = drawn.select("family", "cells", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("point"))
+    drawn = written(drawn.select("family", "cells", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("point")))
     pivots = (points.join(drawn, ["family", "point"])
               .withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))))
     cells = (dealt.select("family", "cell", "point", "hashes", F.lit(False).alias("is_pivot"))
@@ -344,37 +331,38 @@ def join_points(points: DataFrame, percent: int, rows: DataFrame | None = None,
                        .withColumn("grp", F.coalesce("component", "point")).drop("component"))
     groups = labelled.groupBy("family", "grp").agg(F.count("*").alias("c"))
     main = written(groups.groupBy("family").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.count("*").alias("groups")))
-    if main.where("groups > 1").isEmpty():
-        return components(links)
+    if not main.where("groups > 1").isEmpty():
+        group = components(links.unionByName(_open_links(points, labelled, main, percent)))
+    discard(sizes, drawn, found, labelled, main, *made)
+    return group
+
 
-    # Blocks: points of one region, of one nearest pivot and of about one distance to it.
+def _open_links(points: DataFrame, labelled: DataFrame, main: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the open points of ``labelled`` (family, point, far, per_cell, grp), by blocks."""
+    # Blocks: points of one nearest pivot and of about one distance to it, as they follow each other.
     nearest = F.array_min("far")
-    at = ["family", "region", "home", "ring"] if rows is not None else ["family", "home", "ring"]
     placed = (labelled.join(main.where("groups > 1"), "family")
-              .select("family", "region", "point", "far", "per_cell", (F.col("grp") != F.col("main")).alias("is_open"), "grp",
-                      F.array_position("far", nearest).alias("home"), F.floor(nearest / RING).alias("ring")))
-    parts = written(placed.groupBy(*at).agg(F.ceil(F.count("*") / F.first("per_cell")).alias("parts")))
-    placed = written(placed.join(parts, at).withColumn("block", F.xxhash64(*at, F.pmod(F.xxhash64("point", F.lit(2)), F.col("parts"))))
-                     .select("family", "block", "point", "far", "is_open", "grp"))
+              .select("family", "point", "far", "per_cell", (F.col("grp") != F.col("main")).alias("is_open")))
+    order = Window.partitionBy("family", "is_open").orderBy(F.array_position("far", nearest), nearest, "point")
+    at = ((F.row_number().over(order) - 1) / (BLOCK_CELLS * F.col("per_cell"))).cast("long")
+    placed = written(placed.select("family", F.xxhash64("family", "is_open", at).alias("block"), "point", "far", "is_open"))
     span = written(placed.select("family", "block", "is_open", F.posexplode("far").alias("i", "d"))
-                   .groupBy("family", "block", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("is_open").alias("open"))
-                   .groupBy("family", "block").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("span"), F.max("open").alias("open")))
-    # Every block with open points meets the blocks in its triangle-inequality window.
+                   .groupBy("family", "block", "is_open", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+                   .groupBy("family", "block", "is_open").agg(F.sort_array(F.collect_list(F.struct("i", "lo", "hi"))).alias("span")))
+    # Every block of open points meets the blocks in its triangle-inequality window, open ones once.
     radius = 1 - percent / 100 + 1e-9
-    asking = span.where("open").select("family", F.col("block").alias("asker"), F.col("span").alias("asked"))
+    asking = span.where("is_open").select("family", F.col("block").alias("asker"), F.col("span").alias("asked"))
     near = F.forall(F.zip_with("asked", "span", lambda x, y: (x["lo"] - radius <= y["hi"]) & (y["lo"] - radius <= x["hi"])), lambda x: x)
-    if rows is None:
-        meets = written(asking.join(span, "family").where(near).select("asker", "block"))
-    else:
-        meets = _sharing(asking, span, near, rows, keys, placed, points, percent)
-    filled = written(points.join(placed.select("family", "block", "point", "is_open"), ["family", "point"])
+    meets = written(asking.join(span, "family").where(near).where("not is_open or asker <= block").select("asker", "block"))
+    filled = written(points.join(placed.select("family", "block", "point"), ["family", "point"])
                      .join(meets.select("block").unionByName(meets.select(F.col("asker").alias("block"))).distinct(), "block")
-                     .groupBy("block").agg(F.collect_list(F.struct("point", "is_open", "hashes")).alias("members")))
-    pairs = (meets.join(filled.select(F.col("block").alias("asker"), F.filter("members", lambda m: m["is_open"]).alias("a")), "asker")
+                     .groupBy("block").agg(F.collect_list(F.struct("point", "hashes")).alias("members")))
+    pairs = (meets.join(filled.select(F.col("block").alias("asker"), F.col("members").alias("a")), "asker")
              .join(filled.select("block", F.col("members").alias("b")), "block"))
     sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("point", "hashes")]
     more = written(pairs.select(*sides).mapInArrow(_join_blocks(percent), "a long, b long"))
-    return components(links.unionByName(more))
+    discard(placed, span, meets, filled)
+    return more
 
 
 def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
@@ -391,8 +379,9 @@ def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str
     wanted = written(distinct.join(families(sets, "keys"), same))
     fetched = _fetch(near_slots(texts, wanted), k)
     points = written(fetched.drop("doc_id").join(wanted, same).dropDuplicates(same)
-                     .select("family", "region", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
-    merged = join_points(points, percent, sets, "keys", cell_points, cell_shingles).withColumnRenamed("node", "point")
+                     .select("family", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
+    merged = join_points(points, percent, cell_points, cell_shingles).withColumnRenamed("node", "point")
+    discard(wanted, points)
     rows = sets.select("doc_id", "th", "n_shingles", F.xxhash64("s1", "s2").alias("point")).join(merged, "point", "left")
     return rows.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "point")).alias("component"))
 
