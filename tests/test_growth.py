@@ -70,6 +70,24 @@ def test_correlate_against_all_pairs(spark):
     assert got == sorted(want)
 
 
+def test_correlations_are_scored_without_their_pairs(spark):
+    from traceframe.operators.correlate import correlate, score_correlations
+    texts = [None, [], ["/repo/a.py", "cat"], ["/repo/a.py"], ["a b", "/re"], ["b"], ["main.py", "/api", "git"]]
+    args = [[], ["/repo/a.py"], ["xa", "bx"], ["/api/main.py", ""], ["b", None], ["git"]]
+    inter = [(k // 2 if k % 9 else None, k % 4 if k % 5 else None, 400 * k if k % 8 else None, t) for k, t in enumerate(texts * 4)]
+    acts = [(k if k % 7 else 3, k % 5 if k % 6 else None, 300 * k if k % 8 else None, a, a + ["sh"]) for k, a in enumerate(args * 6)]
+    rel = spark.createDataFrame([(0, 0), (0, 1), (0, 1), (1, 3), (2, 2), (3, 4), (None, 1), (1, None)], "target bigint, related_pid bigint")
+    i, a = spark.createDataFrame(inter, INTER), spark.createDataFrame(acts, ACTS)
+    score = lambda totals: sorted(map(repr, score_correlations(correlate(i, a, rel, totals=totals)).collect()))
+    assert score(True) == score(False) != []
+    # 400 interactions and 400 actions of one pid and two lists: 160 000 pairs, far apart in time
+    i = spark.createDataFrame([(k, 1, 10_000 * k, ["/repo/a.py"]) for k in range(400)], INTER)
+    a = spark.createDataFrame([(k, 1, 10_000 * k + 100, [f"/repo/a.py{k % 2}"], ["sh"]) for k in range(400)], ACTS)
+    out = score_correlations(correlate(i, a, spark.createDataFrame([(1, 1)], rel.schema), totals=True))
+    assert {(r.related_actions, r.process_matches, r.temporal_matches, r.argument_matches) for r in out.collect()} == {(400, 400, 1, 400)}
+    assert most_rows(out) < 10_000
+
+
 def test_log_lines_are_parsed_once_and_counted_over_blocks(spark):
     from traceframe.sources import trace as TR
     rows = [(k, "f", "{" if k % 2 else '{"timestamp": 1, "pid": 2, "comm": "c"}') for k in (0, 1, 3, 70_001, 70_003, 140_000, 200_001)]
