@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, near_slots, written
+from .common import columns, discard, near_slots, written
 from .jaccard_join import families, join_points
 from .passages import passages
 from .shingles import digests, list_array, mix, shingle_sets
@@ -173,7 +173,9 @@ def paragraph_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, min_w
     sets = _fetch(near_slots(texts, asked).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted"), k)
     points = written(sets.dropDuplicates(["s1", "s2"]).join(wanted.select("s1", "s2", "family", "n"), ["s1", "s2"])
                      .select("family", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
+    discard(wanted, asked)
     merged = join_points(points, percent).withColumnRenamed("node", "point")
+    discard(points)
     classed = (own.withColumn("point", F.xxhash64("s1", "s2")).join(merged, "point", "left")
                .select("doc_id", "th", "pos", "chars", F.coalesce("component", "point").alias("class")))
     whole = lines.where("pos < 0").select("doc_id", "th", F.col("n").alias("n_paragraphs"))
