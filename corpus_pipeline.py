@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceframe.llm import decontaminate, jaccard_join, langid, packing, pii
-from traceframe.llm.common import columns, table
+from traceframe.llm.common import BATCH_ROWS, columns, table
 from traceframe.session import ensure_checkpoint_dir
 
 
@@ -23,7 +23,10 @@ def whole(docs: DataFrame) -> Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents without a language: null texts and texts without a letter.
+    From here on texts go to Python in small batches."""
+    for k, v in BATCH_ROWS.items():
+        spark.conf.set(k, v)
     net = langid.train(docs.where(~langid.held_out())) or langid.ByteNet(["any"])  # without labels, letters alone decide
     return langid.predict(docs, net, [whole(docs)]).where(F.col("lang_pred") != langid.UNKNOWN).select("doc.*")
 

@@ -1,9 +1,13 @@
 import random
+import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from util import frame, linked_components, near_texts, prose
 
 from traceframe.llm import jaccard_join as J
+from traceframe.llm.common import WRITE_CONF
 from traceframe.llm.components import components
 from traceframe.llm.shingles import shingle_sets
 
@@ -83,3 +87,34 @@ def test_heavily_edited_copies_are_told_apart_without_their_pairs(spark):
     assert finer.groupBy("family").count().agg({"count": "max"}).first()[0] == 2
     got = {(r.node, r.component) for r in J.join_points(points, 85, cell_points=16).collect()}
     assert got == {(k, i) for i in range(40) for k in (i, 300 + i)} | {(360, 360), (361, 360)}
+
+
+def test_small_families_are_told_apart_as_well(spark, monkeypatch):
+    rng = random.Random(12)
+    base = prose(rng, 150)
+    texts = [f"{base} {prose(rng, 150)}" for _ in range(12)]  # a third alike: they share region keys, and link with nothing
+    (_, off, h), = shingle_sets(pa.array(texts), 4)
+    keys = [set(J.region_keys(h[a:b], J.SizeClasses(1 << 12, 85)).tolist()) for a, b in zip(off[:-1], off[1:])]
+    assert sum(any(a & b for b in keys if b is not a) for a in keys) > 2
+    texts += [texts[0] + " end", texts[1], None]
+    kept, join = [], J.join_points
+    monkeypatch.setattr(J, "join_points", lambda points, *a, **o: kept.extend(points.collect()) or join(points, *a, **o))
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.component_id for r in J.jaccard_join(docs.unionByName(docs.where("doc_id = 0"))).collect()}
+    assert got == {i: {12: 0, 13: 1}.get(i, i) for i in range(15)}
+    assert len(kept) == len({r.point for r in kept}) == 2
+
+
+def test_written_leaves_no_shuffle_files_and_settings_as_they_were(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    def shuffled():
+        files = held.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before, conf = shuffled(), {k: spark.conf.get(k, None) for k in WRITE_CONF}
+    out = J.written(spark.range(2000).groupBy((F.col("id") % 7).alias("k")).count())
+    ends = time.time() + 10
+    while shuffled() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not shuffled() - before and len(out.collect()) == 7
+    assert conf == {k: spark.conf.get(k, None) for k in WRITE_CONF}

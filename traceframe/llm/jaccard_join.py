@@ -10,11 +10,13 @@ within a group.
    must agree on one of them and, reaching as far, give it too. (Small sets
    use pairs of d + 2 ranges, to be as selective.) Only points that share a
    key can be linked; points that share keys form families.
-2. Regions. A family of bounded size is one region. A larger one is told apart
-   by its shingles: linked sets share one of their rarest (by the number of
-   points of large families that hold it), and what one point alone holds comes
-   first and links nothing. Points that share one are finer families. Those that
-   are still larger are dealt into cells; pivots, drawn from the family, go to
+2. Regions. Families are told apart by their shingles: linked sets share one of
+   their rarest (by the number of points of families that hold it), and what one
+   point alone holds comes first and links nothing. Points that share one are
+   finer families. (All families are, whatever their size, since by keys alone
+   they grow together in a large table; ``join_points`` by itself does so for
+   the larger ones.) A finer family of bounded size is one region. Those that
+   are larger are dealt into cells; pivots, drawn from the family, go to
    each of its cells, and a cell measures each point's distance to the pivots
    and joins its own points.
 3. Contraction. Links found so far merge points into groups. Points outside
@@ -43,7 +45,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, discard, near_slots, written
@@ -61,6 +63,8 @@ CELL_SHINGLES = 1 << 20
 CLASS_STEP = 1.25
 SMALL = 64
 COLUMN_BLOCK = 1 << 13
+#: The lower half of the hashes lies below this (as signed numbers: from 0 on).
+LOWER = np.uint64(1 << 63)
 
 
 def most_differences(a: int, b: int, percent: int) -> int:
@@ -117,8 +121,9 @@ def region_keys(h: np.ndarray, classes: SizeClasses) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One row for each text (doc_id, text, th): id, text hash, size, digests and region keys. Within a task equal sets give keys once."""
-    schema = "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>"
+    """One row for each text (doc_id, text, th): id, text hash, size, number of hashes in
+    the lower half, digests and region keys. Within a task equal sets give keys once."""
+    schema = "doc_id long, th long, n_shingles long, n_low long, s1 long, s2 long, keys array<long>"
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(1 << 12, percent)
@@ -134,29 +139,31 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     keys.append(region_keys(h[a:b], classes) if s not in seen else np.zeros(0, np.uint64))
                     seen.add(s)
                 koff = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+                lows = np.concatenate([[0], np.cumsum(h < LOWER)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(size)), batch.column(2).slice(row, len(size)), pa.array(size, pa.int64()),
-                     pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                     pa.array(np.diff(lows[off]), pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                      list_array(koff, np.concatenate([np.zeros(0, np.uint64), *keys]))],
-                    names=["doc_id", "th", "n_shingles", "s1", "s2", "keys"])
+                    names=["doc_id", "th", "n_shingles", "n_low", "s1", "s2", "keys"])
                 if len(seen) > 1 << 20:
                     seen.clear()
 
     return docs.mapInArrow(make, schema)
 
 
-def _fetch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, s1, s2, hashes) of whole texts."""
+def _fetch(asked: DataFrame, k: int, keep: tuple[str, ...] = ("point", "n"), lower: bool = False) -> DataFrame:
+    """The ``keep`` columns (long) and the hashes of stored whole texts; with ``lower`` only their lower half."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, off, h in shingle_sets(batch.column(1), k):
-                s1, s2 = digests(off, h)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(s1)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                     list_array(off, h)], names=["doc_id", "s1", "s2", "hashes"])
+            for row, off, h in shingle_sets(batch.column(len(keep)), k):
+                if lower:
+                    use = h < LOWER
+                    off, h = np.concatenate([[0], np.cumsum(use)])[off], h[use]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, len(off) - 1) for i in range(len(keep))), list_array(off, h)],
+                                                 names=[*keep, "hashes"])
 
-    return docs.mapInArrow(make, "doc_id long, s1 long, s2 long, hashes array<long>")
+    return asked.select(*keep, "text").mapInArrow(make, ", ".join(f"{c} long" for c in keep) + ", hashes array<long>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -271,32 +278,48 @@ def families(rows: DataFrame, keys: str) -> DataFrame:
     return points.join(sizes, "family").select("s1", "s2", "family")
 
 
-def finer_families(points: DataFrame, percent: int) -> DataFrame:
-    """The points (point, n, hashes) with the families of their rare shingles.
-    A linked partner holds percent of a point's shingles, so whichever others
-    and one more are taken, it holds one of them; taken in an order common to
-    all points, it takes that one too. The lower half of the hashes comes first,
-    by the number of points that hold them: those of one point alone are never
-    listed. The upper half follows for points that have too few."""
-    taken = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
-    low = F.filter("hashes", lambda h: h >= 0)
-    held = (points.select("point", F.explode(low).alias("h"))
+def _taken(percent: int) -> Column:
+    """How many shingles of a point of ``n`` include one of each linked partner's, in any order common to all points."""
+    return F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
+
+
+def rare_families(low: DataFrame, sizes: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """(point, family) by the rare shingles of the points. A linked partner
+    holds percent of a point's shingles, so whichever others and one more are
+    taken, it holds one of them; taken in an order common to all points, it
+    takes that one too. The lower half of the hashes comes first, by the number
+    of points that hold them: those of one point alone are never listed. The
+    upper half follows for points that have too few. ``low`` has the lower
+    hashes (point, hashes), ``sizes`` their number (point, n, n_low), ``few``
+    the hashes (point, n, hashes) of the points that need upper ones."""
+    held = (low.select("point", F.explode("hashes").alias("h"))
             .withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1"))
     shared = held.groupBy("point").agg(F.sort_array(F.collect_list(F.struct("c", "h")))["h"].alias("h"))
-    rest = points.select("point", (taken - F.size(low)).alias("rest"))
+    rest = sizes.select("point", (_taken(percent) - F.col("n_low")).cast("int").alias("rest"))
     listed = shared.join(rest, "point").select("point", (F.col("rest") + F.size("h")).alias("rest"), "h").where("rest > 0")
-    few = points.where(taken > F.size(low)).select("point", (taken - F.size(low)).alias("rest"), F.sort_array(F.filter("hashes", lambda h: h < 0)).alias("h"))
-    rows = written(listed.unionByName(few).select(F.col("point").alias("rid"), F.col("point").alias("s1"), F.lit(0).cast("long").alias("s2"),
-                                                  F.slice("h", F.lit(1), F.col("rest")).alias("keys")))
-    found = families(rows, "keys").select(F.col("s1").alias("point"), "family")
-    out = written(points.drop("family").join(found, "point"))
+    upper = few.select("point", (_taken(percent) - F.size(F.filter("hashes", lambda h: h >= 0))).alias("rest"),
+                       F.sort_array(F.filter("hashes", lambda h: h < 0)).alias("h")).where("rest > 0")
+    rows = written(listed.unionByName(upper).select(F.col("point").alias("rid"), F.col("point").alias("s1"), F.lit(0).cast("long").alias("s2"),
+                                                    F.slice("h", F.lit(1), F.col("rest")).alias("keys")))
+    found = written(families(rows, "keys").select(F.col("s1").alias("point"), "family"))
     discard(rows)
+    return found
+
+
+def finer_families(points: DataFrame, percent: int) -> DataFrame:
+    """The stored points (point, n, hashes) with the families of their rare shingles."""
+    low = points.select("point", "n", F.filter("hashes", lambda h: h >= 0).alias("hashes"))
+    found = rare_families(low, low.select("point", "n", F.size("hashes").alias("n_low")), points, percent)
+    out = written(points.drop("family").join(found, "point"))
+    discard(found)
     return out
 
 
-def join_points(points: DataFrame, percent: int, cell_points: int = CELL_POINTS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """Steps 2 to 4 for stored points (family, point, n, hashes), each
-    point once: (node, component) of all points that are linked to another."""
+def join_points(points: DataFrame, percent: int, cell_points: int = CELL_POINTS, cell_shingles: int = CELL_SHINGLES,
+                told_apart: bool = False) -> DataFrame:
+    """Steps 2 to 4 for stored points (family, point, n, hashes), each point
+    once: (node, component) of all points that are linked to another.
+    ``told_apart``: the families are already those of rare shingles."""
     per_cell = F.greatest(F.lit(1), F.least(F.lit(cell_points), F.floor(F.lit(cell_shingles) / F.col("largest"))))
 
     def measured(points: DataFrame) -> DataFrame:
@@ -304,7 +327,7 @@ def join_points(points: DataFrame, percent: int, cell_points: int = CELL_POINTS,
         return written(sizes.select("family", F.ceil(F.col("points") / per_cell).alias("cells"), per_cell.alias("per_cell")))
 
     sizes, made = measured(points), []
-    if not sizes.where("cells > 1").isEmpty():
+    if not told_apart and not sizes.where("cells > 1").isEmpty():
         finer = finer_families(points.join(sizes.where("cells > 1"), "family", "left_semi"), percent)
         points = points.join(sizes.where("cells = 1"), "family", "left_semi").unionByName(finer.select(*points.columns))
         made = [finer, sizes]
@@ -370,20 +393,32 @@ def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str
     """(doc_id, th, n_shingles, component) of each row: th is the hash of the
     text, component is null for the empty set."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = _sets(texts.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))), k, percent)
-    sets = written(sets.withColumn("rid", F.monotonically_increasing_id()))
+    texts = texts.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sets = written(_sets(texts, k, percent).withColumn("rid", F.monotonically_increasing_id()))
 
     # One document for each point of a family; its set is made again from its text.
     same = ["s1", "s2"]
-    distinct = sets.groupBy(*same).agg(F.min("doc_id").alias("_id"), F.first("n_shingles").alias("n"))
-    wanted = written(distinct.join(families(sets, "keys"), same))
-    fetched = _fetch(near_slots(texts, wanted), k)
-    points = written(fetched.drop("doc_id").join(wanted, same).dropDuplicates(same)
-                     .select("family", F.xxhash64("s1", "s2").alias("point"), "n", "hashes"))
-    merged = join_points(points, percent, cell_points, cell_shingles).withColumnRenamed("node", "point")
-    discard(wanted, points)
-    rows = sets.select("doc_id", "th", "n_shingles", F.xxhash64("s1", "s2").alias("point")).join(merged, "point", "left")
-    return rows.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "point")).alias("component"))
+    point = F.xxhash64(*same).alias("point")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
+    distinct = sets.groupBy(*same).agg(F.min(place).alias("at"), F.first("n_shingles").alias("n"), F.first("n_low").alias("n_low"))
+    wanted = written(distinct.join(families(sets, "keys"), same)
+                     .select(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th"), point, "n", "n_low"))
+    rows = written(sets.select("doc_id", "th", "n_shingles", point))
+    discard(sets)
+    hit = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    asked = written(near_slots(texts, wanted).join(wanted, hit).select("point", "n", "n_low", "text"))
+    made = [wanted, asked]
+    if asked.count() > wanted.count():  # rows that come twice
+        asked = written(asked.dropDuplicates(["point"]))
+        made.append(asked)
+    few = asked.where(_taken(percent) > F.col("n_low"))
+    found = rare_families(_fetch(asked, k, lower=True), asked, _fetch(few, k), percent)
+    points = written(_fetch(asked.join(found, "point"), k, ("family", "point", "n")))
+    discard(found, *made)
+    merged = join_points(points, percent, cell_points, cell_shingles, told_apart=True).withColumnRenamed("node", "point")
+    discard(points)
+    return rows.join(merged, "point", "left").select(
+        "doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "point")).alias("component"))
 
 
 def jaccard_join(docs: DataFrame, **options) -> DataFrame:
