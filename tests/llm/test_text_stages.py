@@ -301,6 +301,19 @@ def test_passages_equal_brute_force(spark):
     assert N.passages(frame(spark, docs).where("false")).collect() == []
 
 
+def test_only_windows_of_a_mark_are_compared():
+    import pyarrow as pa
+    rng = random.Random(4)
+    text = prose(rng, 300)
+    (_, _, words), = N.word_hashes(pa.array([text]))
+    at, _ = N.anchors(words, 50)
+    marks = at[len(at) // 2:len(at) // 2 + 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text]), pa.array([marks.tolist()])], names=["doc_id", "th", "text", "marks"])
+    made, = N._window_rows(50)([batch])
+    grams = N.gram_hashes(words, 25)
+    assert made.column("pos").to_pylist() == [p for p in range(251) if p + int(np.argmin(grams[p:p + 26])) == marks[0]]
+
+
 def test_bands_reach_the_recall():
     b = G.bands_for(0.8, G.ROWS, G.RECALL)
     assert 1 - (1 - 0.8 ** G.ROWS) ** b >= G.RECALL > 1 - (1 - 0.8 ** G.ROWS) ** (b - 1)

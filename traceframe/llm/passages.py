@@ -7,8 +7,8 @@ that occurs, verbatim, at another place of the table (words as in
 1. Anchors. Of the grams of about half a window in each window the one of
    least hash is its anchor. Equal windows have equal anchors, so that only a
    window with an anchor that occurs at two places can occur twice.
-2. Windows. Of the texts that hold such anchors, the windows around them are
-   compared as a whole by 64-bit hash. The document of least id that has a
+2. Windows. Of the texts that hold such anchors, the windows with these as their
+   anchors are compared as a whole by 64-bit hash. The document of least id that has a
    window is named by the others.
 
 Defined cases: null and empty texts and those of fewer words have no passage;
@@ -42,14 +42,18 @@ def gram_hashes(words: np.ndarray, m: int) -> np.ndarray:
     return mix((sums[m:] - sums[:-m]) * _power(_INVERSE, n + 1)[:n - m + 1] ^ np.uint64(m))
 
 
+def anchor_places(h: np.ndarray, size: int) -> np.ndarray:
+    """The place of the anchor of each window of ``size`` words, from the hashes of the grams."""
+    span = size - size // 2 + 1
+    if len(h) < span:
+        return np.zeros(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1) + np.arange(len(h) - span + 1)
+
+
 def anchors(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of one text's windows of ``size`` words, each once."""
-    m = size // 2
-    h, span = gram_hashes(words, m), size - m + 1
-    if len(h) < span:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = np.lib.stride_tricks.sliding_window_view(h, span).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
+    h = gram_hashes(words, size // 2)
+    at = np.unique(anchor_places(h, size))
     return at, h[at]
 
 
@@ -77,19 +81,15 @@ def _anchor_rows(size: int):
 
 
 def _window_rows(size: int):
-    """Windows that hold one of the anchors at ``marks``."""
+    """Windows whose own anchor is one of those at ``marks``; others that hold it have another anchor."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for row, words in _texts_of(batch, 2):
-                h = gram_hashes(words, size)
                 marks = batch.column(3)[row].values.to_numpy()
-                edge = np.zeros(len(h) + 1, np.int64)
-                np.add.at(edge, np.maximum(marks - (size - size // 2), 0), 1)
-                np.add.at(edge, np.minimum(marks + 1, len(h)), -1)
-                at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                found.append((row, at, h[at]))
+                at = np.flatnonzero(np.isin(anchor_places(gram_hashes(words, size // 2), size), marks))
+                found.append((row, at, gram_hashes(words, size)[at]))
             yield _rows(batch, found)
 
     return make
