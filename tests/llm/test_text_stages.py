@@ -49,6 +49,20 @@ def test_packing_cuts_and_places_every_id_once(spark):
     assert sum(padded.values()) < 1.05 * sum(filled.values())
 
 
+def test_a_run_encodes_its_distinct_words_once_whatever_came_before(monkeypatch):
+    encoder = P.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    given = []
+    monkeypatch.setattr(encoder, "_encode_words", lambda words, make=encoder._encode_words: given.append(sorted(words)) or make(words))
+    texts = ["one two. É", None, "two. one\nthree  !?", "É one, ONE"] + ODD
+    for _ in range(2):
+        given.clear()
+        got = encoder.encode_all([t or "" for t in texts])
+        assert [np.frombuffer(g, "<u4").tolist() + [2] for g in got] == ids_of(texts)
+        assert given == [sorted({w for t in texts for w in (t or "").replace("\n", " ").split(" ") if w})]
+    monkeypatch.setattr(P, "RUN_CHARS", 5)
+    assert encoder.encode_all([t or "" for t in texts]) == got
+
+
 def test_best_fit_decreasing_takes_the_tightest_window():
     lengths = sorted((random.Random(4).randint(1, 100) for _ in range(500)), reverse=True)
     seq, off = P.best_fit_decreasing(lengths, 100)

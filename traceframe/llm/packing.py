@@ -16,10 +16,12 @@ columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,29 @@ from .common import vocabulary_path, written
 WINDOW = 4096
 BLOCK_PIECES = 2048
 SLICE_CHARS = 1 << 18
-CACHE_WORDS = 1 << 20
-CACHE_WORD_CHARS = 48
+#: Texts are encoded together in runs of about so many characters, and ids laid out for so many pieces at once.
+RUN_CHARS = 1 << 25
+RUN_PIECES = 64
 
 _ENCODERS: dict = {}
 
 
+def _without_normalizer(tokenizer):
+    """For ASCII words in lower case with a space between them: the tokenizer
+    without its normalizer, if that leaves such texts as they are."""
+    spec = json.loads(tokenizer.to_str())
+    normalizer = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
+    steps = normalizer["normalizers"] if normalizer["type"] == "Sequence" else [normalizer]
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    if not all(s == spaces or s == {"type": s["type"]} and s["type"] in ("NFC", "Lowercase") for s in steps):
+        return tokenizer
+    return type(tokenizer).from_str(json.dumps(spec | {"normalizer": None}))
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes, by way of a bounded word cache.
+    """Ids of whole texts as little-endian bytes; a run of texts gives each of
+    its distinct words to the library once. Nothing is kept from run to run, so
+    that a text costs the same whatever came before.
 
     Valid for vocabularies whose pre-tokenizer drops white space, so that a
     text's ids are those of its space-separated words in order.
@@ -46,12 +63,12 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = _without_normalizer(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {"": b""}
         one = self.tokenizer.encode("Ab ab. ab, ab", add_special_tokens=False).ids
-        self.cache |= self._encode_odd([".", ","]) if self.ends_word.any() else {}
+        self.marks = self._encode_odd([".", ","]) if self.ends_word.any() else {}
         parts = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in ("ab", ".", ",")]
         ab, stop, comma = parts
         self.lower = self.ends_word.any() and np.array(one, dtype="<u4").tobytes() == ab + ab + stop + ab + comma + ab
@@ -70,11 +87,11 @@ class WordEncoder:
                 start = end
         return out
 
-    def _encode_plain(self, words: list[str]) -> dict[str, bytes]:
+    def _encode_plain(self, words: list[str], tokenizer) -> dict[str, bytes]:
         """Words of letters only: one text, cut after each id that ends a word."""
         out = {}
         parts = [words[i:i + 256] for i in range(0, len(words), 256)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+        for part, e in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
             if len(ends) != len(part):
@@ -88,20 +105,21 @@ class WordEncoder:
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Letters with at most one comma or full stop behind them are looked up and encoded without it, in lower case."""
-        cache = self.cache
-        cores: dict[str, tuple[str, str]] = {}
-        odd = []
+        plain, cores, odd = [], [], []
         for w in words:
-            core, tail = (w[:-1], w[-1]) if w[-1] in ".," else (w, "")
-            if self.lower and core.isalpha() and "Σ" not in core and "İ" not in core:
-                cores[w] = core.lower(), tail
+            core = w[:-1] if w[-1:] in ".," else w
+            if self.lower and core.isalpha() and (core.isascii() or ("Σ" not in core and "İ" not in core)):
+                plain.append(w)
+                cores.append(core.lower())
             else:
                 odd.append(w)
-        new = self._encode_plain([c for c in dict.fromkeys(c for c, _ in cores.values()) if c not in cache])
+        distinct = dict.fromkeys(cores)
+        new = self._encode_plain([c for c in distinct if c.isascii()], self.bare)
+        new |= self._encode_plain([c for c in distinct if not c.isascii()], self.tokenizer)
         out = self._encode_odd(odd) if odd else {}
-        for w, (core, tail) in cores.items():
-            out[w] = (new[core] if core in new else cache[core]) + cache[tail]
-        return new | out
+        for w, core in zip(plain, cores):
+            out[w] = new[core] + self.marks[w[-1]] if w[-1] in self.marks else new[core]
+        return out
 
     def _slices(self, text: str) -> Iterator[str]:
         start = 0
@@ -113,18 +131,49 @@ class WordEncoder:
             start = cut + 1
         yield text[start:]
 
+    def _encode_run(self, pieces: list[str]) -> list[bytes]:
+        """Every distinct word of the run is encoded once; its ids are then copied to its places."""
+        lists = pc.split_pattern(pc.replace_substring(pa.array(pieces, pa.large_string()), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        ids_of = {"": b""} | self._encode_words([w for w in distinct if w])
+        known = [ids_of[w] for w in distinct]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = np.concatenate([[0], np.cumsum(size)])
+        ids = np.frombuffer(b"".join(known), "<u4")
+        code, ends = words.indices.to_numpy(), lists.offsets.to_numpy()
+        out = []
+        for i in range(0, len(pieces), RUN_PIECES):
+            end = ends[i:i + RUN_PIECES + 1]
+            part = code[end[0]:end[-1]]
+            n = size[part]
+            off = np.concatenate([[0], np.cumsum(n)])
+            laid = ids[np.repeat(at[part] - off[:-1], n) + np.arange(off[-1])]
+            cuts = off[end - end[0]].tolist()
+            out += [laid[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        pieces: list[str] = []
+        owners: list[int] = []
+        held = 0
+        for i, text in enumerate(texts):
+            for piece in self._slices(text):
+                pieces.append(piece)
+                owners.append(i)
+                held += len(piece)
+                if held >= RUN_CHARS:
+                    for owner, ids in zip(owners, self._encode_run(pieces)):
+                        out[owner].append(ids)
+                    pieces, owners, held = [], [], 0
+        if pieces:
+            for owner, ids in zip(owners, self._encode_run(pieces)):
+                out[owner].append(ids)
+        return [b"".join(parts) for parts in out]
+
     def encode(self, text: str) -> bytes:
-        parts = []
-        for piece in self._slices(text):
-            words = piece.replace("\n", " ").split(" ")
-            try:
-                parts.append(b"".join(map(self.cache.__getitem__, words)))
-            except KeyError:
-                new = self._encode_words([w for w in dict.fromkeys(words) if w not in self.cache])
-                parts.append(b"".join([new[w] if w in new else self.cache[w] for w in words]))
-                if len(self.cache) < CACHE_WORDS:
-                    self.cache.update((w, b) for w, b in new.items() if len(w) <= CACHE_WORD_CHARS)
-        return b"".join(parts)
+        return self.encode_all([text])[0]
 
 
 def _encoder(name: str) -> WordEncoder:
@@ -152,9 +201,10 @@ def encode_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id:
                 r.clear()
             return out
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
+        def packed(owners: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            for doc, ids in zip(owners, encoder.encode_all(texts)):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[start * 4:(start + window) * 4]
@@ -164,6 +214,17 @@ def encode_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id:
                 if held > 8 << 20:
                     yield flush()
                     held = 0
+
+        owners, texts, chars = [], [], 0
+        for batch in batches:
+            owners += batch.column(0).to_pylist()
+            more = [text or "" for text in batch.column(1).to_pylist()]
+            texts += more
+            chars += sum(map(len, more))
+            if chars >= RUN_CHARS:
+                yield from packed(owners, texts)
+                owners, texts, chars = [], [], 0
+        yield from packed(owners, texts)
         yield flush()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, schema)
