@@ -118,3 +118,21 @@ def test_written_leaves_no_shuffle_files_and_settings_as_they_were(spark):
         time.sleep(0.1)
     assert not shuffled() - before and len(out.collect()) == 7
     assert conf == {k: spark.conf.get(k, None) for k in WRITE_CONF}
+
+
+def test_region_keys_are_shuffled_but_never_stored(spark, monkeypatch):
+    stored, write = [], J.written
+    monkeypatch.setattr(J, "written", lambda df: stored.append(df.columns) or write(df))
+    rng = random.Random(21)
+    texts = [prose(rng, 120) for _ in range(6)]
+    texts += [texts[0] + " end", texts[1], None, "", "x y"]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.component_id for r in J.jaccard_join(docs.unionByName(docs)).collect()}
+    assert got == {i: {6: 0, 7: 1}.get(i, i) for i in range(11)}
+    assert ["point"] in stored and not any("keys" in c and "th" in c for c in stored)
+
+
+def test_points_that_share_a_key_with_another(spark):
+    rows = [(1, 5), (1, 5), (2, 6), (3, 6), (3, 7), (4, 7), (4, 7), (8, 9), (8, 10), (None, 5)]
+    got = J._key_sharers(spark.createDataFrame(rows, "point long, key long").where("point is not null")).collect()
+    assert sorted(r.point for r in got) == [2, 3, 4]

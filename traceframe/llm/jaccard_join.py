@@ -63,6 +63,8 @@ CELL_SHINGLES = 1 << 20
 CLASS_STEP = 1.25
 SMALL = 64
 COLUMN_BLOCK = 1 << 13
+#: Shingles of more points than this are equally common.
+MOST_HOLDERS = (1 << 15) - 1
 #: The lower half of the hashes lies below this (as signed numbers: from 0 on).
 LOWER = np.uint64(1 << 63)
 
@@ -120,35 +122,54 @@ def region_keys(h: np.ndarray, classes: SizeClasses) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One row for each text (doc_id, text, th): id, text hash, size, number of hashes in
-    the lower half, digests and region keys. Within a task equal sets give keys once."""
-    schema = "doc_id long, th long, n_shingles long, n_low long, s1 long, s2 long, keys array<long>"
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """One row for each text (doc_id, text, th): id, text hash, size, number of hashes in the lower half, digests."""
+    schema = "doc_id long, th long, n_shingles long, n_low long, s1 long, s2 long"
+
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, off, h in shingle_sets(batch.column(1), k):
+                size = np.diff(off)
+                s1, s2 = digests(off, h)
+                lows = np.concatenate([[0], np.cumsum(h < LOWER)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(size)), batch.column(2).slice(row, len(size)), pa.array(size, pa.int64()),
+                     pa.array(np.diff(lows[off]), pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))],
+                    names=["doc_id", "th", "n_shingles", "n_low", "s1", "s2"])
+
+    return docs.mapInArrow(make, schema)
+
+
+def _keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(s1, s2, keys) of the texts: digests and region keys, which are cut to 48 bits (so
+    they may agree by chance, and shuffle shorter). Within a task equal sets come once."""
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(1 << 12, percent)
         seen: set[int] = set()
         for batch in batches:
-            for row, off, h in shingle_sets(batch.column(1), k):
+            for _, off, h in shingle_sets(batch.column(0), k):
                 size = np.diff(off)
                 if len(size) and size.max() >= classes.lows[-1]:
                     classes = SizeClasses(int(size.max()), percent)
                 s1, s2 = digests(off, h)
-                keys = []
-                for a, b, s in zip(off[:-1].tolist(), off[1:].tolist(), s1.tolist()):
-                    keys.append(region_keys(h[a:b], classes) if s not in seen else np.zeros(0, np.uint64))
-                    seen.add(s)
-                koff = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
-                lows = np.concatenate([[0], np.cumsum(h < LOWER)])
+                use = [i for i, s in enumerate(s1.tolist()) if s not in seen and not seen.add(s)]
+                keys = [region_keys(h[off[i]:off[i + 1]], classes) >> np.uint64(16) for i in use]
+                koff = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, len(size)), batch.column(2).slice(row, len(size)), pa.array(size, pa.int64()),
-                     pa.array(np.diff(lows[off]), pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                     list_array(koff, np.concatenate([np.zeros(0, np.uint64), *keys]))],
-                    names=["doc_id", "th", "n_shingles", "n_low", "s1", "s2", "keys"])
+                    [pa.array(s1[use].view(np.int64)), pa.array(s2[use].view(np.int64)),
+                     list_array(koff, np.concatenate([np.zeros(0, np.uint64), *keys]))], names=["s1", "s2", "keys"])
                 if len(seen) > 1 << 20:
                     seen.clear()
 
-    return docs.mapInArrow(make, schema)
+    return docs.select("text").mapInArrow(make, "s1 long, s2 long, keys array<long>")
+
+
+def _key_sharers(keyed: DataFrame) -> DataFrame:
+    """(point): those of (point, key) that share a key with another point."""
+    first = F.min("point").over(Window.partitionBy("key").orderBy("point"))
+    pairs = keyed.withColumn("a", first).where("a != point")
+    return pairs.select(F.explode(F.array("a", "point")).alias("point")).distinct()
 
 
 def _fetch(asked: DataFrame, k: int, keep: tuple[str, ...] = ("point", "n"), lower: bool = False) -> DataFrame:
@@ -288,13 +309,15 @@ def rare_families(low: DataFrame, sizes: DataFrame, few: DataFrame, percent: int
     holds percent of a point's shingles, so whichever others and one more are
     taken, it holds one of them; taken in an order common to all points, it
     takes that one too. The lower half of the hashes comes first, by the number
-    of points that hold them: those of one point alone are never listed. The
-    upper half follows for points that have too few. ``low`` has the lower
+    of points that hold them: those of one point alone are never listed. (Cut
+    to 48 bits, which keeps equal ones equal, and the number before them, they
+    are one key.) The upper half follows for points that have too few. ``low`` has the lower
     hashes (point, hashes), ``sizes`` their number (point, n, n_low), ``few``
     the hashes (point, n, hashes) of the points that need upper ones."""
-    held = (low.select("point", F.explode("hashes").alias("h"))
+    held = (low.select("point", F.explode("hashes").alias("h")).select("point", F.shiftright("h", 15).alias("h"))
             .withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1"))
-    shared = held.groupBy("point").agg(F.sort_array(F.collect_list(F.struct("c", "h")))["h"].alias("h"))
+    ranked = F.shiftleft(F.least("c", F.lit(MOST_HOLDERS)), 48).bitwiseOR(F.col("h"))
+    shared = held.groupBy("point").agg(F.sort_array(F.collect_list(ranked)).alias("h"))
     rest = sizes.select("point", (_taken(percent) - F.col("n_low")).cast("int").alias("rest"))
     listed = shared.join(rest, "point").select("point", (F.col("rest") + F.size("h")).alias("rest"), "h").where("rest > 0")
     upper = few.select("point", (_taken(percent) - F.size(F.filter("hashes", lambda h: h >= 0))).alias("rest"),
@@ -394,17 +417,17 @@ def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str
     text, component is null for the empty set."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    sets = written(_sets(texts, k, percent).withColumn("rid", F.monotonically_increasing_id()))
+    # Keys are never stored: they go straight to the shuffle that finds which are shared, and the small rows come in a pass of their own.
+    point = F.xxhash64("s1", "s2").alias("point")
+    sharers = written(_key_sharers(_keyed(texts, k, percent).select(point, F.explode("keys").alias("key"))))
+    rows = written(_sets(texts, k).select("doc_id", "th", "n_shingles", "n_low", point))
 
-    # One document for each point of a family; its set is made again from its text.
-    same = ["s1", "s2"]
-    point = F.xxhash64(*same).alias("point")
+    # One document for each point that shares a key; its set is made again from its text.
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
-    distinct = sets.groupBy(*same).agg(F.min(place).alias("at"), F.first("n_shingles").alias("n"), F.first("n_low").alias("n_low"))
-    wanted = written(distinct.join(families(sets, "keys"), same)
-                     .select(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th"), point, "n", "n_low"))
-    rows = written(sets.select("doc_id", "th", "n_shingles", point))
-    discard(sets)
+    distinct = (rows.join(sharers, "point", "left_semi").groupBy("point")
+                .agg(F.min(place).alias("at"), F.first("n_shingles").alias("n"), F.first("n_low").alias("n_low")))
+    wanted = written(distinct.select(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th"), "point", "n", "n_low"))
+    discard(sharers)
     hit = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     asked = written(near_slots(texts, wanted).join(wanted, hit).select("point", "n", "n_low", "text"))
     made = [wanted, asked]
@@ -413,7 +436,8 @@ def linked_rows(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str
         made.append(asked)
     few = asked.where(_taken(percent) > F.col("n_low"))
     found = rare_families(_fetch(asked, k, lower=True), asked, _fetch(few, k), percent)
-    points = written(_fetch(asked.join(found, "point"), k, ("family", "point", "n")))
+    near = near_slots(asked, found.withColumnRenamed("point", "_id"), "point")
+    points = written(_fetch(near.join(found, "point"), k, ("family", "point", "n")))
     discard(found, *made)
     merged = join_points(points, percent, cell_points, cell_shingles, told_apart=True).withColumnRenamed("node", "point")
     discard(points)
