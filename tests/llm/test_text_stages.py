@@ -335,3 +335,35 @@ def test_bands_reach_the_recall():
 
 def test_clashing_names_are_present(spark):
     assert set(CLASHING) < set(frame(spark, ["x"]).columns)
+
+
+def test_recurring_places_are_found_in_one_narrow_shuffle(spark, capsys):
+    rows = [(1, 1, 0, 5), (2, 2, 0, 5), (None, 3, 1, 6), (None, 3, 1, 6), (4, 4, 2, 7), (4, 4, 9, 7), (None, 5, 0, 8), (None, 6, 0, 8)]
+    found = N._recurring(spark.createDataFrame(rows, "doc_id long, th long, pos long, h long"))
+    found.explain()
+    plan = capsys.readouterr().out
+    got = sorted(((r.doc_id, r.th, r.pos, r.first) for r in found.collect()), key=str)
+    assert got == sorted([(1, 1, 0, 1), (2, 2, 0, 1), (4, 4, 2, 4), (4, 4, 9, 4), (None, 5, 0, None), (None, 6, 0, None)], key=str)
+    shuffled = plan[plan.index("Exchange"):]
+    assert plan.count("Exchange") == 1 and "xxhash64" in plan and "xxhash64" not in shuffled
+
+
+def test_bands_are_gone_when_passages_are_sought(spark, monkeypatch):
+    kept, write, drop = {}, G.written, G.discard
+
+    def written(df):
+        out = write(df)
+        kept[id(out)] = out
+        return out
+
+    def discard(*tables):
+        for t in tables:
+            kept.pop(id(t), None)
+        drop(*tables)
+
+    monkeypatch.setattr(G, "written", written)
+    monkeypatch.setattr(G, "discard", discard)
+    line = prose(random.Random(5), 30)
+    rows = G.paragraph_repeats(frame(spark, [line, "x\n" + line, None, "y"]))
+    assert not any("bands" in t.columns for t in kept.values())
+    assert {r.doc_id: (r.n_paragraphs, r.n_removed) for r in rows.collect()} == {0: (1, 0), 1: (2, 1), 2: (1, 0), 3: (1, 0)}

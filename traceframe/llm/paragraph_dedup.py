@@ -162,12 +162,16 @@ def paragraph_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, min_w
     """(all paragraph rows with their class, classes with size and first occurrence)."""
     texts = _texts(docs, id_col, text_col)
     bands = bands_for(percent / 100, rows, recall)
-    lines = written(_sketch(texts, k, min_words, rows, bands).withColumn("rid", F.monotonically_increasing_id()))
+    banded = written(_sketch(texts, k, min_words, rows, bands).withColumn("rid", F.monotonically_increasing_id()))
+    found = written(families(banded.where("pos >= 0"), "bands"))
+    lines = written(banded.drop("bands", "rid"))  # what is needed to the end, without the bands
+    discard(banded)
     own = lines.where("pos >= 0")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th", "pos")
     spanned = F.struct(*(F.expr(c) for c in ("doc_id IS NULL AS late", "doc_id", "th", "pos", "size(chars) AS span")))
     distinct = own.groupBy("s1", "s2").agg(F.min(spanned).alias("at"), F.first("n").alias("n"))
-    wanted = written(distinct.join(families(own, "bands"), ["s1", "s2"]))
+    wanted = written(distinct.join(found, ["s1", "s2"]))
+    discard(found)
     asked = wanted.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th")).agg(F.collect_set(F.struct("at.pos", "at.span")).alias("wanted"))
     asked = written(asked)
     sets = _fetch(near_slots(texts, asked).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted"), k)

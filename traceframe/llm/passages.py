@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, near_slots, written
@@ -96,12 +96,14 @@ def _window_rows(size: int):
 
 
 def _recurring(rows: DataFrame) -> DataFrame:
-    """(h, first) of the hashes that have two places: the least document id, null if all are null.
-    Places are compared by 64-bit hash, so that the aggregation keeps flat numbers."""
+    """The rows whose hash has two places, with ``first``: the least document id of the hash, null if all are null.
+    Rows are shuffled once, by hash; places are compared by 64-bit hash, made after the shuffle, so that they are flat numbers."""
     place = F.xxhash64("doc_id", "th").bitwiseXOR(F.col("pos"))
-    return (rows.select("h", "doc_id", place.alias("place")).groupBy("h")
-            .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.min("doc_id").alias("first"))
-            .where("a != b").select("h", "first"))
+    same = Window.partitionBy("h")
+    return (rows.repartition("h").withColumn("place", place)
+            .select("doc_id", "th", "pos", F.min("place").over(same).alias("a"), F.max("place").over(same).alias("b"),
+                    F.min("doc_id").over(same).alias("first"))
+            .where("a != b").drop("a", "b"))
 
 
 def _covered(starts: Column, size: int) -> Column:
@@ -125,15 +127,14 @@ def passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
                         F.col(text_col).alias("text"))
     schema = "doc_id long, th long, pos long, h long"
-    marked = written(texts.mapInArrow(_anchor_rows(words), schema))
-    marks = written(marked.join(_recurring(marked).select("h"), "h").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("marks"))
+    marked = _recurring(texts.mapInArrow(_anchor_rows(words), schema))
+    marks = written(marked.groupBy("doc_id", "th").agg(F.collect_set(F.col("pos").cast("int")).alias("marks"))
                     .withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"))
-    discard(marked)
     asked = near_slots(texts, marks).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    windows = written(asked.select("doc_id", "th", "text", "marks").mapInArrow(_window_rows(words), schema))
+    windows = _recurring(asked.select("doc_id", "th", "text", "marks").mapInArrow(_window_rows(words), schema))
     other = F.when(~F.col("doc_id").eqNullSafe(F.col("first")), F.col("first"))
-    own = written(windows.join(_recurring(windows), "h").groupBy("doc_id", "th")
-                  .agg(F.sort_array(F.collect_set("pos")).alias("starts"), F.sort_array(F.collect_set(other)).alias("passage_copies_of"))
+    own = written(windows.groupBy("doc_id", "th")
+                  .agg(F.sort_array(F.collect_set(F.col("pos").cast("int"))).cast("array<long>").alias("starts"), F.sort_array(F.collect_set(other)).alias("passage_copies_of"))
                   .select("doc_id", "th", _covered(F.col("starts"), words).alias("passages"), "passage_copies_of"))
-    discard(marks, windows)
+    discard(marks)
     return own
