@@ -131,10 +131,12 @@ def passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
     marks = written(marked.groupBy("doc_id", "th").agg(F.collect_set(F.col("pos").cast("int")).alias("marks"))
                     .withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"))
     asked = near_slots(texts, marks).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    windows = _recurring(asked.select("doc_id", "th", "text", "marks").mapInArrow(_window_rows(words), schema))
+    asked = written(asked.select("doc_id", "th", "text", "marks"))  # smaller than the shuffled texts, which go before windows come
+    discard(marks)
+    windows = _recurring(asked.mapInArrow(_window_rows(words), schema))
     other = F.when(~F.col("doc_id").eqNullSafe(F.col("first")), F.col("first"))
     own = written(windows.groupBy("doc_id", "th")
                   .agg(F.sort_array(F.collect_set(F.col("pos").cast("int"))).cast("array<long>").alias("starts"), F.sort_array(F.collect_set(other)).alias("passage_copies_of"))
                   .select("doc_id", "th", _covered(F.col("starts"), words).alias("passages"), "passage_copies_of"))
-    discard(marks)
+    discard(asked)
     return own
